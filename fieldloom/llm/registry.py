@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import secrets
+from .licenses import op7_license_scan
 from .pieces import op2_sentencepiece
+from .quality import op1_quality_rules
+from .secrets import op3_secret_scan
+from .sharding import op9_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece,)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_secret_scan, op7_license_scan, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_secret_scan": secrets.ORACLE}
