@@ -63,9 +63,14 @@ def _probe(keys: DataFrame, targets: list[_Target]) -> dict[tuple[int, int, int]
         step = max(0, bits - PROBE_BITS)
         rows = keys
         if bits < KEY_BITS or cut:
-            spots = keys.sparkSession.createDataFrame(cells, "g long, low long")
-            match = F.shiftright(column, bits) == F.shiftright("low", bits) if bits < KEY_BITS else F.lit(True)
-            rows = keys.join(F.broadcast(spots), match & (F.col("k1") == F.col("g")) if cut else match, "left_semi")
+            inside = F.lit(True) if bits == KEY_BITS else F.lit(False)
+            if bits < KEY_BITS:
+                for g in sorted({g for g, _ in cells}):
+                    low = F.shiftright(column, bits).isin([x >> bits for y, x in cells if y == g])
+                    inside = inside | (low & (F.col("k1") == g) if cut else low)
+            elif cut:
+                inside = F.col("k1").isin(sorted({g for g, _ in cells}))
+            rows = keys.where(inside)
         group = F.col("k1") if cut else F.lit(-1).cast("long")
         sums = rows.groupBy(group.alias("g"), F.shiftright(column, step).alias("cell")).agg(F.sum("size").alias("n"), F.min(column).alias("a"), F.max(column).alias("b"))
         for g, cell, n, a, b in sorted(map(tuple, sums.collect())):
