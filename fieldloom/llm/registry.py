@@ -6,17 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets
+from . import minhash, secrets
+from .byte_repeats import op8_suffix_dedup
 from .licenses import op7_license_scan
+from .minhash import op5_minhash
 from .pieces import op2_sentencepiece
 from .quality import op1_quality_rules
 from .secrets import op3_secret_scan
 from .sharding import op9_sharding
+from .tiling import op4_decontamination
+from .word_repeats import op10_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_secret_scan, op7_license_scan, op9_sharding)}
+    ops = (op1_quality_rules, op2_sentencepiece, op3_secret_scan, op4_decontamination, op5_minhash, op7_license_scan, op8_suffix_dedup, op9_sharding, op10_substring_dedup)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_scan": secrets.ORACLE}
+    return {"op3_secret_scan": secrets.ORACLE, "op5_minhash": minhash.ORACLE}

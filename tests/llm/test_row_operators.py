@@ -191,7 +191,7 @@ def test_shards_are_near_equal_and_slots_gapless(spark, copies):
 def test_equal_texts_share_a_shard(spark):
     texts = [prose(i // 3, 40) for i in range(900)]
     where = {}
-    for r in sharding.assign_shards(frame(spark, texts), 5).collect():
+    for r in sharding.assign_shards(frame(spark, texts), 2).collect():
         where.setdefault(r.text_crc32, set()).add(r.shard)
     assert all(len(x) == 1 for x in where.values())
 
