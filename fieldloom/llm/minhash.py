@@ -5,9 +5,9 @@ of many universal hash functions over its shingles, and classes that agree in a
 No bucket is expanded into all its pairs:
 
 1. every member is compared with its bucket's least member, and what is linked is put in components;
-2. members of buckets that still hold several components are compared with a random member of another;
-3. what then remains is compared pair by pair, but only across components and where the triangle inequality (Jaccard
-   distance is a metric, and the distances to the hub of step 1 are known) leaves a link possible.
+2. members of buckets that still hold several components are compared with the bucket's most central member;
+3. in buckets that even then hold several components, pairs across components are found by prefix and place filtering:
+   two sets as alike as the threshold share one of the rarest shingles of each, with enough shingles after it.
 
 So a large group of near copies costs a few comparisons a member, and no link between bucket mates is lost.
 A pair at the threshold shares a bucket with probability 1 - (1 - 0.8**5)**32 > 0.999996.
@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, documents, texts
+from .common import Stage, blob_key, documents, texts
 from .components import connected_components
 from .hashing import U64, Words, digest16, mix, text_slices
 
@@ -108,25 +108,20 @@ def _sketch(k: int, with_sets: bool):
                 else:
                     bands = band_keys(sig)
                     flat = np.r_[0, np.cumsum(np.where(n > 0, BANDS, 0))]
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int64)), key, _lists(bands[n > 0].ravel(), flat, pa.int64())], ["doc_id", "n_shingles", "set_key", "bands"])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("blob"), pa.array(n.astype(np.int64)), key, _lists(bands[n > 0].ravel(), flat, pa.int64())], ["doc_id", "blob", "n_shingles", "set_key", "bands"])
 
     return run
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b) with near: the exact share of common shingles in percent or more. Signatures are compared first."""
+    """The pairs (a, b) whose sets have percent of their union in common or more. Signatures are compared first."""
     of = lambda side: sets.select(F.col("rep").alias(side), F.col("sig").alias(f"s{side}"), F.col("shingles").alias(f"x{side}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
     inter = F.size(F.array_intersect("xa", "xb"))
-    out = both.select("a", "b", F.size("xa").alias("na"), F.size("xb").alias("nb"), agree.alias("agree"), inter.alias("inter"))
-    union = F.col("na") + F.col("nb") - F.col("inter")
-    alike = F.col("agree") >= (percent / 100 - MARGIN) * BANDS * ROWS
-    return out.select("a", "b", (alike & (100 * F.col("inter") >= percent * union)).alias("near"), (1 - F.col("inter") / union).alias("distance"))
-
-
-def _hubs(rows: DataFrame, order: Column) -> DataFrame:
-    return rows.groupBy("band").agg(F.min_by(F.struct("rep", "comp"), order).alias("hub"))
+    alike = both.where(agree >= (percent / 100 - MARGIN) * BANDS * ROWS)
+    out = alike.select("a", "b", F.size("xa").alias("na"), F.size("xb").alias("nb"), inter.alias("inter"))
+    return out.where(100 * F.col("inter") >= percent * (F.col("na") + F.col("nb") - F.col("inter"))).select("a", "b")
 
 
 def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -137,15 +132,55 @@ def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(mixed, "band")
 
 
+def _prefixes(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, n, place, shingle, held): the first n - ceil(n * percent / 100) + 1 shingles of each member of apart.
+
+    Shingles are ordered by how many of these members hold them, then by hash.
+    """
+    owned = apart.select("rep").distinct().join(sets.select("rep", "shingles"), "rep")
+    shingles = owned.select("rep", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    shared = shingles.groupBy("shingle").agg(F.count("*").alias("held"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("held", "shingle"))
+    first = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    return Stage(shingles.join(shared, "shingle").withColumn("place", place).where(F.col("place") <= first), "minhash-prefixes").df
+
+
+def _central_pairs(apart: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Each member of another component with its bucket's most central one: that with the fewest shingles of its own."""
+    own = prefixes.groupBy("rep").agg(F.count_if(F.col("held") == 1).alias("own"))
+    rows = apart.join(own, "rep")
+    hubs = rows.groupBy("band").agg(F.min(F.struct("own", "rep", "comp")).alias("hub"))
+    mates = rows.join(hubs, "band").where(F.col("comp") != F.col("hub.comp"))
+    return mates.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
+
+
+def _prefix_pairs(apart: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components among the members of apart(band, rep, comp) that can reach percent.
+
+    Sets that reach it have a first common shingle within both prefixes, and from there on as many shingles left as
+    they must share. One side is enough to come from outside a bucket's largest component, so that a large group isn't
+    held against itself.
+    """
+    apart = Stage(apart, "minhash-apart").df
+    main = apart.groupBy("band", "comp").count().groupBy("band").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+    outer = apart.join(main, "band").where("comp <> main").select("rep").distinct()
+    rows = prefixes.where("held > 1").join(apart.select("rep", "comp").distinct(), "rep")
+    x, y = rows.join(outer, "rep").alias("x"), rows.alias("y")
+    left = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    enough = (100 + percent) * left >= percent * (F.col("x.n") + F.col("y.n"))
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.comp") != F.col("y.comp")) & enough)
+    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
 def _joined(comps: Stage, confirmed: DataFrame) -> Stage:
     """The components when the near pairs of confirmed are added."""
-    out = connected_components(comps.df.union(confirmed.where("near").select("a", "b")))
+    out = connected_components(comps.df.union(confirmed))
     comps.drop()
     return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
-    """Every row of docs with n_shingles, component_id and kept.
+    """doc_id, blob (content address), n_shingles, component_id and kept of every row of docs.
 
     Two texts are linked if they share percent of their distinct k-word shingles or more (words are lower-cased
     in A-Z). Null and empty texts and texts without words are linked with nothing. Rows with a null id are left
@@ -155,7 +190,7 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     """
     docs = texts(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sketch = Stage(docs.mapInArrow(_sketch(k, False), f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>"), "minhash-sketch")
+    sketch = Stage(docs.withColumn("blob", blob_key(F.col("text"))).mapInArrow(_sketch(k, False), f"doc_id {kind}, blob binary, n_shingles long, set_key binary, bands array<long>"), "minhash-sketch")
     named = sketch.df.where("set_key is not null and doc_id is not null")
     classes = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = classes.groupBy("rep").agg(F.min_by(F.struct("set_key", "bands"), "set_key").alias("c")).select("rep", "c.*")
@@ -168,31 +203,31 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     sets = Stage(docs.join(wanted, "doc_id").mapInArrow(_sketch(k, True), f"rep {kind}, sig array<int>, shingles array<long>").dropDuplicates(["rep"]), "minhash-sets").df
 
     first = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    star = Stage(_confirm(first, sets, percent), "minhash-star").df
-    comps = connected_components(star.where("near").select("a", "b"))
-
-    buckets = members.select("band", "rep", "hub")
-    apart = _labelled(buckets, comps.df)
-    mates = apart.join(_hubs(apart, F.xxhash64("rep", "band")).withColumnRenamed("hub", "other"), "band")
-    second = mates.where(F.col("comp") != F.col("other.comp")).select(F.least("rep", "other.rep").alias("a"), F.greatest("rep", "other.rep").alias("b"))
-    comps = _joined(comps, _confirm(second.distinct(), sets, percent))
-
-    far = star.select(F.col("a").alias("rep"), F.col("b").alias("hub"), "distance")
-    apart = _labelled(buckets, comps.df).where("rep <> hub").join(far, ["rep", "hub"])
-    apart = Stage(apart.select("band", "rep", "comp", "distance"), "minhash-apart").df
-    x, y = apart.alias("x"), apart.alias("y")
-    close = F.abs(F.col("x.distance") - F.col("y.distance")) <= 1 - percent / 100 + 1e-9
-    third = x.join(y, F.col("x.band") == F.col("y.band")).where((F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & close)
-    comps = _joined(comps, _confirm(third.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), sets, percent))
+    comps = connected_components(_confirm(first, sets, percent))
+
+    buckets = members.select("band", "rep")
+    apart = Stage(_labelled(buckets, comps.df).select("band", "rep", "comp"), "minhash-apart").df
+    prefixes = _prefixes(apart, sets, percent)
+    comps = _joined(comps, _confirm(_central_pairs(apart, prefixes), sets, percent))
+    third = _prefix_pairs(_labelled(buckets, comps.df).select("band", "rep", "comp"), prefixes, percent)
+    comps = _joined(comps, _confirm(third, sets, percent))
 
     label = classes.join(comps.df.select(F.col("a").alias("rep"), F.col("b").alias("comp")), "rep", "left").select("set_key", F.col("rep"), F.coalesce("comp", "rep").alias("comp"))
-    rows = sketch.df.select("doc_id", "n_shingles", "set_key").join(label, "set_key", "left")
+    rows = sketch.df.select("doc_id", "blob", "n_shingles", "set_key").join(label, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return rows.select("doc_id", "blob", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that near_duplicates keeps, with all their columns; of rows equal in id and text, one."""
+    gone = near_duplicates(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("blob").alias("_gone")).distinct()
+    rows = docs.withColumn("_blob", blob_key(F.coalesce("text", F.lit(""))))
+    rows = rows.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_blob") == F.col("_gone")), "left_anti")
+    return rows.dropDuplicates(["doc_id", "_blob"]).drop("_blob")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir)).drop("blob")
 
 
 ORACLE = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
