@@ -56,17 +56,22 @@ def _repeat_words(table: DataFrame) -> DataFrame:
     return table.withColumn("n_repeat_words", F.coalesce(total, F.lit(0)).cast("long")).drop("_hash", "_order")
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
+def text_statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id, the contract's counts, base_failed and the learner's statistics for every row.
 
+    carry: the whole row comes along as the struct _row.
+
     Null and empty texts have no words and fail the base rules. Words of a window are compared by 64-bit hash,
     within one text only.
     """
     text = F.col("text")
     lines = F.filter(F.split(text, "\n"), lambda x: F.char_length(_without(x, " \t\n\x0b\x0c\r")) > 0)
-    t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    row = [F.struct("*").alias("_row")] if carry else []
+    carried = ["_row"] if carry else []
+    t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *row)
     t = t.select(
         "doc_id",
+        *carried,
         F.array_remove(F.split(text, SPACES), "").alias("words"),
         lines.alias("lines"),
         F.char_length(_without(text, " \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
@@ -81,6 +86,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     chars, words = F.greatest("word_chars", F.lit(1)), F.greatest(n, F.lit(1))
     t = t.select(
         "doc_id",
+        *carried,
         n.alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -186,19 +192,24 @@ def decide(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(0)
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def quality_verdicts(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
     """text_statistics with rule (0: none) and kept.
 
     A label counts if its quality is 0 or 1; of several labels of one id the worst holds. Rows with a null id
     have no label. Without labels the base rules alone decide.
     """
-    stats = Stage(text_statistics(docs), "quality-statistics").df
+    stats = Stage(text_statistics(docs, carry), "quality-statistics").df
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     labelled = stats.join(known, "doc_id").select(*FEATURES, (1 - F.col("quality")).cast("int").alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("held"))
     stats = stats.withColumn("rule", decide(learn_rules(labelled)))
     return stats.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns."""
+    return quality_verdicts(docs, labels, carry=True).where("kept").select("_row.*")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality_verdicts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import minhash, secrets
 from .byte_repeats import op8_suffix_dedup
+from .html_text import op6_html_text
 from .licenses import op7_license_scan
 from .minhash import op5_minhash
 from .pieces import op2_sentencepiece
@@ -19,7 +20,7 @@ from .word_repeats import op10_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_quality_rules, op2_sentencepiece, op3_secret_scan, op4_decontamination, op5_minhash, op7_license_scan, op8_suffix_dedup, op9_sharding, op10_substring_dedup)
+    ops = (op1_quality_rules, op2_sentencepiece, op3_secret_scan, op4_decontamination, op5_minhash, op6_html_text, op7_license_scan, op8_suffix_dedup, op9_sharding, op10_substring_dedup)
     return {f.__name__: f for f in ops}
 
 

@@ -144,6 +144,18 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
+def redact_documents(docs: DataFrame, ledger: Ledger) -> DataFrame:
+    """docs with every finding in text replaced by a mark, and n_chars made to fit where it changed."""
+    rows = docs.withColumn("_blob", blob_key(F.coalesce("text", F.lit(""))))
+    found = ledger.findings.groupBy(F.col("blob").alias("_blob")).agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("_spans"))
+    rows = rows.join(found, "_blob", "left")
+    rows = rows.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("_spans"))))
+    if "n_chars" in docs.columns:
+        size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        rows = rows.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(size))
+    return rows.select(docs.columns)
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 

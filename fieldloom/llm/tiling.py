@@ -170,5 +170,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     return tile_matches(docs, benchmark).withColumn("coverage", share).where(F.col("coverage") >= coverage)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """The rows of docs of which no item is covered to the share, with all their columns; nothing is shuffled."""
+    for index in item_blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            for batch in batches:
+                for part, ts in text_slices(batch, "text", SLICE):
+                    bad = {t for t, k, _, covered, _ in index.matches(Words(ts, lower=True)) if covered >= coverage * len(index.words[k])}
+                    yield part.filter(pa.array([t not in bad for t in range(len(ts))])) if bad else part
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
