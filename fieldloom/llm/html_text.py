@@ -277,10 +277,11 @@ def labelled_page(seed: int) -> tuple[str, list[int]]:
             out.append(around(wrap, r.choice([lambda: one(0, "&copy; " + words(1, 4) + " &middot; " + prose(3, 12)), lambda: paragraphs(0, 1, 2) + links(0, 3)])()))
         return "".join(out)
 
-    body = top()
+    bare = r.random() < 0.2
+    body = "" if bare and r.random() < 0.7 else top()
     wraps = [("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), box(["content", "post", "entry", "story", "article-body", "main-content"]), ("<div>", "</div>"), ("", "")]
     body += around(r.choice(wraps), article())
-    body += bottom()
+    body += "" if bare and r.random() < 0.7 else bottom()
     head = '<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>x</title><style>p{margin:0}</style></head><body>'
     return head + body + r.choice(["</body></html>", ""]), labels
 
