@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import blob_key, texts
 from .hashing import U64, mix, text_slices
 
-SLICE = 1 << 22
+SLICE = 1 << 20
 BUCKET_KEYS = 1_500_000
 #: Kinds of rows: a key asked for, a key that its sender knows to repeat, and occurrences known to repeat.
 ASK, KNOWN, TOLD = 0, 1, 2
@@ -27,7 +27,8 @@ ASK, KNOWN, TOLD = 0, 1, 2
 SAME, MIXED = 0, 1
 SENT = "bucket int, mode int, kind int, docs binary, counts binary, refs binary, keys binary, checks binary"
 SENT_NAMES = ["bucket", "mode", "kind", "docs", "counts", "refs", "keys", "checks"]
-ANSWER = "blob binary, mode int, refs binary, leads binary"
+ANSWER = "home int, mode int, docs binary, counts binary, refs binary, leads binary"
+REPLY = "blob binary, same binary, mixed binary, leads binary"
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -131,8 +132,13 @@ def sorted_repeats(runs: list[tuple[np.ndarray, np.ndarray]], settled: np.ndarra
     return hit, lead
 
 
-def answer(find: Callable = sorted_repeats) -> Callable[[pa.Table], pa.Table]:
-    """The function of a bucket's group: rows (blob, mode, refs, leads) for the occurrences whose key repeats."""
+def _homes(docs: np.ndarray, homes: int) -> np.ndarray:
+    """Where the answers to a text are gathered: by its content address."""
+    return docs[:, :4].copy().view(np.uint32).ravel().astype(np.int64) % homes
+
+
+def answer(homes: int, find: Callable = sorted_repeats) -> Callable[[pa.Table], pa.Table]:
+    """The function of a bucket's group: packed rows, one a home, for the occurrences whose key repeats."""
 
     def run(table: pa.Table) -> pa.Table:
         out = []
@@ -140,56 +146,79 @@ def answer(find: Callable = sorted_repeats) -> Callable[[pa.Table], pa.Table]:
         for mode in (SAME, MIXED):
             mine = sorted((r for r in rows if r["mode"] == mode), key=lambda r: (r["docs"], r["keys"]))  # any order of arrival gives one answer
             asks = [r for r in mine if r["kind"] != TOLD]
-            docs, counts, refs, leads = [], [], [], []
-            if asks:
-                runs = [(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["checks"], np.uint32)) for r in asks]
-                sizes = [len(r[0]) for r in runs]
-                settled = np.repeat([r["kind"] == KNOWN for r in asks], sizes)
-                hit, lead = find(runs, settled, mode)
-                owned = ~settled
-                ref = np.concatenate([np.zeros(0, np.uint64), *[_unplaned(r["refs"], np.uint64) for r in asks if r["kind"] == ASK]])
-                per = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(r["counts"], np.uint32) for r in asks]]).astype(np.int64)
-                doc = np.frombuffer(b"".join(r["docs"] for r in asks), np.uint8).reshape(-1, 16)
-                h, ld = hit[owned], lead[owned]
-                seg = np.repeat(np.arange(len(per)), per)
-                n = np.bincount(seg[h], minlength=len(per)) if len(per) else per
-                keep = n > 0
-                docs.append(doc[keep])
-                counts.append(n[keep])
-                refs.append(ref[h])
-                leads.append(ld[h])
+            docs, refs, leads = [np.zeros((0, 16), np.uint8)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
             for r in mine:
                 if r["kind"] == TOLD:
-                    docs.append(np.frombuffer(r["docs"], np.uint8).reshape(-1, 16))
-                    counts.append(np.frombuffer(r["counts"], np.uint32).astype(np.int64))
+                    docs.append(np.repeat(np.frombuffer(r["docs"], np.uint8).reshape(-1, 16), np.frombuffer(r["counts"], np.uint32), axis=0))
                     refs.append(_unplaned(r["refs"], np.uint64))
                     leads.append(np.zeros(len(refs[-1]), bool))
-            if docs:
-                c = np.concatenate(counts)
-                d = np.concatenate(docs)
-                out.append(pa.table([_binary(d, 16, np.ones(len(d), np.int64)), pa.array(np.full(len(d), mode, np.int32)), _binary(np.concatenate(refs), 8, c), _binary(np.concatenate(leads), 1, c)], ["blob", "mode", "refs", "leads"]))
-        if not out:
-            return pa.table([pa.array([], pa.binary()), pa.array([], pa.int32()), pa.array([], pa.binary()), pa.array([], pa.binary())], ["blob", "mode", "refs", "leads"])
-        return pa.concat_tables(out)
+            if asks:
+                runs = [(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["checks"], np.uint32)) for r in asks]
+                settled = np.repeat([r["kind"] == KNOWN for r in asks], [len(r[0]) for r in runs])
+                hit, lead = find(runs, settled, mode)
+                owned = hit[~settled]
+                per = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in asks])
+                seg = np.repeat(np.arange(len(per)), per)[owned]
+                docs.append(np.frombuffer(b"".join(r["docs"] for r in asks), np.uint8).reshape(-1, 16)[seg])
+                refs.append(np.concatenate([_unplaned(r["refs"], np.uint64) for r in asks if r["kind"] == ASK] or refs)[owned])
+                leads.append(lead[~settled][owned])
+            doc, ref, led = np.concatenate(docs), np.concatenate(refs), np.concatenate(leads)
+            home = _homes(doc, homes)
+            order = np.argsort(home, kind="stable")
+            cut = _cuts(home[order])
+            for a, b in zip(cut, cut[1:], strict=False):
+                part = order[a:b]
+                at = _cuts(doc[part].view("V16").ravel())
+                out.append((int(home[part[0]]), mode, doc[part[at[:-1]]].tobytes(), np.diff(at).astype(np.uint32).tobytes(), _planes(ref[part]), led[part].tobytes()))
+        kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 4
+        columns = zip(*out, strict=True) if out else [[]] * 6
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["home", "mode", "docs", "counts", "refs", "leads"])
 
     return run
 
 
+def gather(table: pa.Table) -> pa.Table:
+    """The function of a home's group: one row a text, with the places whose keys repeat, are mixed, or lead."""
+    rows = table.to_pylist()
+    doc = np.concatenate([np.repeat(np.frombuffer(r["docs"], np.uint8).reshape(-1, 16), np.frombuffer(r["counts"], np.uint32), axis=0) for r in rows])
+    ref = np.concatenate([_unplaned(r["refs"], np.uint64) for r in rows])
+    led = np.concatenate([np.frombuffer(r["leads"], bool) for r in rows])
+    mixed = np.repeat([r["mode"] == MIXED for r in rows], [len(r["leads"]) for r in rows])
+    name, owner = _distinct(doc)
+    columns = []
+    for which in (~mixed, mixed, led):
+        o, r = owner[which], ref[which]
+        order = np.lexsort((r, o))
+        o, r = o[order], r[order]
+        new = np.ones(len(o), bool)
+        new[1:] = (o[1:] != o[:-1]) | (r[1:] != r[:-1])
+        columns.append(_binary(r[new], 8, np.bincount(o[new], minlength=len(name))))
+    return pa.table([_binary(name, 16, np.ones(len(name), np.int64)), *columns], ["blob", "same", "mixed", "leads"])
+
+
+def _distinct(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 16-byte rows and the row of each."""
+    pair = np.ascontiguousarray(doc).view(np.uint64)
+    order = np.lexsort((pair[:, 1], pair[:, 0]))
+    p = pair[order]
+    new = np.r_[True, (p[1:] != p[:-1]).any(1)]
+    owner = np.empty(len(doc), np.int64)
+    owner[order] = np.cumsum(new) - 1
+    return np.ascontiguousarray(doc[order[new]]), owner
+
+
 class Replies:
     """The answers to the keys of one text."""
 
-    def __init__(self, rows: list[dict] | None):
-        found: dict[int, list] = {SAME: [], MIXED: []}
-        leads = []
-        for r in rows or ():
-            refs = np.frombuffer(r["refs"], np.uint64).astype(np.int64)
-            found[r["mode"]].append(refs)
-            if r["mode"] == SAME:
-                leads.append(refs[np.frombuffer(r["leads"], bool)])
-        none = np.zeros(0, np.int64)
-        self.same = np.unique(np.concatenate([none, *found[SAME]]))
-        self.mixed = np.unique(np.concatenate([none, *found[MIXED]]))
-        self.leads = np.unique(np.concatenate([none, *leads]))
+    __slots__ = ("same", "mixed", "leads")
+
+    def __init__(self, same: bytes | None, mixed: bytes | None, leads: bytes | None):
+        self.same, self.mixed, self.leads = (np.frombuffer(x or b"", np.int64) for x in (same, mixed, leads))
+
+    @classmethod
+    def column(cls, batch: pa.RecordBatch, name: str) -> list[Replies]:
+        none = {"same": None, "mixed": None, "leads": None}
+        return [cls(**(x or none)) for x in batch.column(name).to_pylist()]
 
 
 class Method:
@@ -212,10 +241,12 @@ class Method:
 def _asking(method: Method, buckets: int, windows: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if windows:
+                batch = batch.filter(batch.column("text").is_valid())
             for part, ts in text_slices(batch, "text", SLICE):
                 sender = Sender(part.column("blob").to_pylist(), buckets)
                 if windows:
-                    method.windows(sender, ts, [Replies(r) for r in part.column("replies").to_pylist()])
+                    method.windows(sender, ts, Replies.column(part, "replies"))
                 else:
                     method.keys(sender, ts)
                 if sender.rows:
@@ -231,16 +262,17 @@ def _removing(method: Method):
         for batch in batches:
             for part, ts in text_slices(batch, "text", SLICE):
                 copied = [n > 1 for n in part.column("copies").to_pylist()]
-                first, second = ([Replies(r) for r in part.column(c).to_pylist()] for c in ("replies", "more"))
-                rows = [method.remove(*x) for x in zip(ts, copied, first, second, strict=True)]
+                rows = [method.remove(*x) for x in zip(ts, copied, Replies.column(part, "replies"), Replies.column(part, "more"), strict=True)]
                 columns = [pa.array(c) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("blob"), *columns], names)
 
     return run
 
 
-def _replies(answers: DataFrame, name: str) -> DataFrame:
-    return answers.groupBy("blob").agg(F.collect_list(F.struct("mode", "refs", "leads")).alias(name))
+def _replies(asked: DataFrame, buckets: int, find: Callable, name: str) -> DataFrame:
+    """(blob, struct of answers) from the rows of a map pass; both exchanges carry packed rows."""
+    answers = asked.groupBy("bucket").applyInArrow(answer(buckets, find), ANSWER)
+    return answers.groupBy("home").applyInArrow(gather, REPLY).select("blob", F.struct("same", "mixed", "leads").alias(name))
 
 
 def remove_repeats(docs: DataFrame, method: Method, columns: list[str] | None = None) -> DataFrame:
@@ -254,11 +286,10 @@ def remove_repeats(docs: DataFrame, method: Method, columns: list[str] | None =
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size * method.keys_per_byte) // BUCKET_KEYS))
     paths = docs.select(*(columns or ["doc_id"]), blob_key(F.coalesce("text", F.lit(""))).alias("_blob"))
     blobs = texts(docs).select(blob_key(F.col("text")).alias("blob"), "text").groupBy("blob").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    told = answer(method.find)
-    asked = blobs.mapInArrow(_asking(method, buckets, False), SENT)
-    first = _replies(asked.groupBy("bucket").applyInArrow(told, ANSWER), "replies")
+    first = _replies(blobs.mapInArrow(_asking(method, buckets, False), SENT), buckets, method.find, "replies")
     with_first = blobs.join(first, "blob", "left")
-    asked = with_first.where("replies is not null").mapInArrow(_asking(method, buckets, True), SENT)
-    second = _replies(asked.groupBy("bucket").applyInArrow(answer(), ANSWER), "more")
+    # a filter would turn the join into an inner one with another scan below, and the exchange could not be shared
+    asked = with_first.withColumn("text", F.when(F.col("replies").isNotNull(), F.col("text")))
+    second = _replies(asked.mapInArrow(_asking(method, buckets, True), SENT), buckets, sorted_repeats, "more")
     done = with_first.join(second, "blob", "left").mapInArrow(_removing(method), f"blob binary, {method.result}")
     return paths.join(done.withColumnRenamed("blob", "_blob"), "_blob", "left").drop("_blob")
