@@ -199,3 +199,15 @@ class SuffixArrays(Method):
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), SuffixArrays())
+
+
+ORACLE = """WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT rid, unnest(range(1, len(h) // 2 - 398)) AS i, h FROM d WHERE len(h) >= 800),
+s AS (SELECT rid, i, md5(substr(h, 2 * i - 1, 800)) AS win FROM p),
+k AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY win) AS n FROM s) WHERE n > 1),
+g AS (SELECT rid, i, i - lag(i) OVER (PARTITION BY rid ORDER BY i) AS gap FROM k),
+e AS (SELECT rid, i, sum(CASE WHEN gap <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM g),
+sp AS (SELECT rid, run, min(i) AS a, max(i) + 400 AS b FROM e GROUP BY ALL),
+q AS (SELECT rid, run, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 1) AS prev FROM sp),
+t AS (SELECT q.rid, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * prev - 1, 2 * (a - prev)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) - 1) AS kept FROM q JOIN d USING (rid) GROUP BY q.rid)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN t USING (rid)"""

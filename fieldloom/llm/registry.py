@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, secrets
+from . import byte_repeats, minhash, secrets, sharding, word_repeats
 from .byte_repeats import op8_suffix_dedup
 from .html_text import op6_html_text
 from .licenses import op7_license_scan
@@ -25,4 +25,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_scan": secrets.ORACLE, "op5_minhash": minhash.ORACLE}
+    return {
+        "op3_secret_scan": secrets.ORACLE,
+        "op5_minhash": minhash.ORACLE,
+        "op8_suffix_dedup": byte_repeats.ORACLE,
+        "op9_sharding": sharding.ORACLE,
+        "op10_substring_dedup": word_repeats.ORACLE,
+    }

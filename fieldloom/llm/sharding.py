@@ -152,10 +152,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(documents(spark, sf_dir))
 
 
-# crc32 is not a DuckDB function: the recursion follows its definition, byte by byte, over the reflected polynomial.
-ORACLE = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-k AS (SELECT rid, doc_id, CAST(strlen(text) + 16 AS BIGINT) AS size, text, CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS k1,
- CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS k2 FROM d),
+_BIT = "CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END"
+# DuckDB has no crc32: t is its table, made by its rule, and the list of a text's bytes is folded over it.
+ORACLE = f"""WITH t AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: {_BIT}) ORDER BY i) AS t FROM range(256) r(i)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS b FROM documents),
+k AS (SELECT rid, doc_id, CAST(strlen(text) + 16 AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295, b), lambda x, y: xor(x // 256, t[xor(x, y) % 256 + 1])), 4294967295) AS crc, CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS k1,
+ CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS k2 FROM d, t),
 tot AS (SELECT CAST(sum(size) AS HUGEINT) AS total, count(*) AS cnt FROM k),
 j AS (SELECT unnest(range(1, {SHARDS})) AS j),
 g1 AS (SELECT k1, CAST(sum(size) AS HUGEINT) AS n FROM k GROUP BY k1),
