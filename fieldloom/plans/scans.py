@@ -50,10 +50,10 @@ def day_range_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(A.dense_cells(spark, sf_dir).where("day_idx between 100 and 109"), "day_idx p | val:6")
 
 
-@query(ask("day cell | target:3 pred_b:3", FIELD_SQL, "SELECT day, cell, target, pred_b FROM field WHERE day = DATE '1996-02-29'"))
+@query(ask("day cell | target:6 pred_b:6", FIELD_SQL, "SELECT day, cell, target, pred_b FROM field WHERE day = DATE '1996-02-29'"))
 def day_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC12, SC15: one day across all shards."""
-    return pick(A.field(spark, sf_dir).where("day = date '1996-02-29'"), "day cell | target:3 pred_b:3")
+    return pick(A.field(spark, sf_dir).where("day = date '1996-02-29'"), "day cell | target:6 pred_b:6")
 
 
 @query(ask("year region n_days | e2:0", ERRORS_SQL, f"SELECT CAST(year(day) AS INTEGER) AS year, region, count(DISTINCT day) AS n_days, sum(w * err_b * err_b) / sum(w) AS e2 FROM ({masks.regions_sql('errors', ('global', 'land', 'tropics'))}) GROUP BY ALL"))
@@ -63,11 +63,11 @@ def population_loader(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(e.groupBy("year", "region").agg(F.countDistinct("day").alias("n_days"), (metrics.wsum(F.col("err_b") ** 2) / F.sum("w")).alias("e2")), "year region n_days | e2:0")
 
 
-@query(ask("day cell row col | target:3 err_a:3 err_b:3", ERRORS_SQL, "SELECT day, cell, row, col, target, err_a, err_b FROM errors WHERE day BETWEEN DATE '1997-07-01' AND DATE '1997-07-07' AND abs(lat) < 40 AND col BETWEEN 5 AND 12"))
+@query(ask("day cell row col | target:6 err_a:6 err_b:6", ERRORS_SQL, "SELECT day, cell, row, col, target, err_a, err_b FROM errors WHERE day BETWEEN DATE '1997-07-01' AND DATE '1997-07-07' AND abs(lat) < 40 AND col BETWEEN 5 AND 12"))
 def case_study_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SK6: a cropped field for export."""
     e = A.errors(spark, sf_dir).where("day between date '1997-07-01' and date '1997-07-07' and abs(lat) < 40 and col between 5 and 12")
-    return pick(e, "day cell row col | target:3 err_a:3 err_b:3")
+    return pick(e, "day cell row col | target:6 err_a:6 err_b:6")
 
 
 # --- SO: sorts, limits and top-k

@@ -146,11 +146,11 @@ def thirteen_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(means, _THIRTEEN_SPEC.replace(":-2", ":0"))
 
 
-@query(ask("year season cell n | t_sum:1 e_sum:1 e_sq:-0", ERRORS_SQL, "SELECT CAST(year(day) AS INTEGER) AS year, season, cell, count(*) AS n, sum(target) AS t_sum, sum(err_a) AS e_sum, sum(err_a * err_a) AS e_sq FROM errors WHERE cell < 24 GROUP BY ALL"))
+@query(ask("year season cell n | t_sum:2 e_sum:2 e_sq:0", ERRORS_SQL, "SELECT CAST(year(day) AS INTEGER) AS year, season, cell, count(*) AS n, sum(w * target) AS t_sum, sum(w * err_a) AS e_sum, sum(w * err_a * err_a) AS e_sq FROM errors WHERE cell < 24 GROUP BY ALL"))
 def season_cell_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG24, AG25: additive sums a year, season and cell of the first row of cells."""
     e = A.errors(spark, sf_dir).where("cell < 24").withColumn("year", F.year("day"))
-    return pick(e.groupBy("year", "season", "cell").agg(F.count("*").alias("n"), F.sum("target").alias("t_sum"), F.sum("err_a").alias("e_sum"), F.sum(F.col("err_a") * F.col("err_a")).alias("e_sq")), "year season cell n | t_sum:1 e_sum:1 e_sq:-0")
+    return pick(e.groupBy("year", "season", "cell").agg(F.count("*").alias("n"), metrics.wsum("target").alias("t_sum"), metrics.wsum("err_a").alias("e_sum"), metrics.wsum(F.col("err_a") ** 2).alias("e_sq")), "year season cell n | t_sum:2 e_sum:2 e_sq:0")
 
 
 @query(ask("climate | pop:3 samp:3", ERRORS_SQL, "SELECT climate, stddev_pop(err_b) AS pop, stddev_samp(err_b) AS samp FROM errors GROUP BY climate"))
@@ -294,11 +294,11 @@ def error_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- FI: filters
 
 
-@query(ask("day cell | target:3", FIELD_SQL, "SELECT day, cell, target FROM field WHERE day BETWEEN DATE '1996-02-20' AND DATE '1996-03-05' AND NOT leap_day"))
+@query(ask("day cell | target:6", FIELD_SQL, "SELECT day, cell, target FROM field WHERE day BETWEEN DATE '1996-02-20' AND DATE '1996-03-05' AND NOT leap_day"))
 def date_range_without_leap_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FI4, FI5: the date range is filtered before the aggregate."""
     f = A.field(spark, sf_dir).where("day between date '1996-02-20' and date '1996-03-05' and not leap_day")
-    return pick(f, "day cell | target:3")
+    return pick(f, "day cell | target:6")
 
 
 @query(ask("inside n | a_rmse:3", ERRORS_SQL, f"SELECT abs(lat) <= {masks.BELT} AS inside, count(*) AS n, sqrt(sum(w * err_a * err_a) / sum(w)) AS a_rmse FROM errors GROUP BY 1"))
