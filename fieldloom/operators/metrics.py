@@ -30,6 +30,20 @@ def error_sums(df: DataFrame, by: list[str], methods: tuple[str, ...] = ("a", "b
     return df.groupBy(*by).agg(*out)
 
 
+def roll_up(sums: DataFrame, grid: DataFrame, by: list[str], land_inclusive: bool = True, periods: bool = False) -> DataFrame:
+    """Sums by cell (and season) added up to overlapping regions (and periods).
+
+    The field is aggregated once, to a row a cell at most; only these few rows are multiplied by their regions.
+    """
+    from .masks import by_region
+
+    keys = [c for c in ("cell", "season", *by) if c in sums.columns]
+    cells = by_region(sums.join(F.broadcast(grid.select("cell", "lat", "lsm", "oro_m")), "cell"), land_inclusive=land_inclusive)
+    cells = with_periods(cells) if periods else cells
+    out = ["region", *(["period"] if periods else []), *by]
+    return cells.groupBy(*out).agg(*[F.sum(c).alias(c) for c in sums.columns if c not in keys])
+
+
 def error_metrics(sums: DataFrame, methods: tuple[str, ...] = ("a", "b")) -> DataFrame:
     """rmse, mae, bias of each method and the baseline, and skills of both forms against the baseline."""
     new = {}

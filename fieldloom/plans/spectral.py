@@ -88,3 +88,19 @@ def padded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.transform("vals", lambda x: x.cast("double"))
     r = A.dense(spark, sf_dir).select("day_idx", "row", arrays.circular_pad(v, 2, 16).alias("p"), arrays.replicate_pad(v, 2).alias("q"))
     return pick(r.select("day_idx", "row", F.posexplode(F.arrays_zip("p", "q")).alias("c", "z")).select("day_idx", "row", "c", F.col("z.p").alias("circular"), F.col("z.q").alias("replicated")), "day_idx row c | circular:6 replicated:6")
+
+
+_BANDS = {"low": (1, 2), "middle": (3, 5), "high": (6, 8)}
+
+
+@query(ask("population band | truth:7 predicted:7 ratio:7", f"{_DFT}, b AS (SELECT population, CASE WHEN k <= 2 THEN 'low' WHEN k <= 5 THEN 'middle' ELSE 'high' END AS band, row < 2 AS south, sum(w * p1) / sum(w) AS p FROM one WHERE k BETWEEN 1 AND 8 GROUP BY ALL)", "SELECT population, band, max(p) FILTER (south) AS truth, max(p) FILTER (NOT south) AS predicted, max(p) FILTER (NOT south) / max(p) FILTER (south) AS ratio FROM b GROUP BY ALL"))
+def band_power_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG28: power by bands of wavenumbers, and the ratio of the two half fields in each."""
+    cells = S.zonal_power(_rows(spark, sf_dir), "vals", ["population", "row", "w"]).select("population", (F.col("row") < 2).alias("south"), "w", F.posexplode("power").alias("k", "p"))
+    band = F.lit(None).cast("string")
+    for name, (lo, hi) in _BANDS.items():
+        band = F.when(F.col("k").between(lo, hi), name).otherwise(band)
+    b = cells.withColumn("band", band).where("band is not null").groupBy("population", "band", "south").agg((F.sum(F.col("w") * F.col("p")) / F.sum("w")).alias("p"))
+    side = lambda south: F.max(F.when(F.col("south") == south, F.col("p")))
+    out = b.groupBy("population", "band").agg(side(True).alias("truth"), side(False).alias("predicted"))
+    return pick(out.withColumn("ratio", F.col("predicted") / F.col("truth")), "population band | truth:7 predicted:7 ratio:7")

@@ -27,15 +27,15 @@ def _regional(land: bool) -> str:
 
 @query(ask(f"region period | {_METRIC_SPEC}", ERRORS_SQL, _regional(True)))
 def regional_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = metrics.with_periods(masks.by_region(A.errors(spark, sf_dir)))
-    return pick(metrics.error_metrics(metrics.error_sums(rows, ["region", "period"])), f"region period | {_METRIC_SPEC}")
+    sums = metrics.error_sums(A.errors(spark, sf_dir), ["cell", "season"])
+    return pick(metrics.error_metrics(metrics.roll_up(sums, A.grid(spark), [], periods=True)), f"region period | {_METRIC_SPEC}")
 
 
 @query(ask(f"region period | {_METRIC_SPEC}", ERRORS_SQL, _regional(False)))
 def regional_rmse_strict_land(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FI1b: half-land cells are in neither land nor ocean."""
-    rows = metrics.with_periods(masks.by_region(A.errors(spark, sf_dir), land_inclusive=False))
-    return pick(metrics.error_metrics(metrics.error_sums(rows, ["region", "period"])), f"region period | {_METRIC_SPEC}")
+    sums = metrics.error_sums(A.errors(spark, sf_dir), ["cell", "season"])
+    return pick(metrics.error_metrics(metrics.roll_up(sums, A.grid(spark), [], land_inclusive=False, periods=True)), f"region period | {_METRIC_SPEC}")
 
 
 _CLASS_SQL = """class AS (SELECT *, (CASE WHEN abs(lat) < 23.5 THEN 0 WHEN lat >= 23.5 AND lat < 60 THEN 1 WHEN lat <= -23.5 AND lat > -60 THEN 2 WHEN lat >= 60 AND lat < 80 THEN 3 WHEN lat <= -60 AND lat > -80 THEN 4
@@ -91,7 +91,8 @@ def global_correction_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regional_correction_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG8: a row for every region, with its share of the weight, empty ones included."""
     cells = masks.by_region(A.grid(spark)).groupBy("region").agg(F.count("*").alias("n_cells"), (F.sum("w") / A.CELLS).alias("weight_fraction"))
-    found = metrics.correction_metrics(metrics.correction_sums(masks.by_region(A.errors(spark, sf_dir)), ["region"]))
+    sums = metrics.correction_sums(A.errors(spark, sf_dir), ["cell"])
+    found = metrics.correction_metrics(metrics.roll_up(sums, A.grid(spark), []))
     return pick(cells.join(found, "region", "left"), f"region n_cells | weight_fraction:7 {_CORRECTED_SPEC}")
 
 
