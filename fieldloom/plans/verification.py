@@ -186,7 +186,7 @@ i AS (SELECT day_idx, row, abs(val - lag(val) OVER (PARTITION BY day_idx, row OR
 @query(ask("| seam_abs_mean:6 seam_abs_median:6 interior_abs_mean:6 interior_median:6 seam_to_interior:6 seam_percentile:4", f"{DENSE_SQL}, {_SEAM}, sm AS (SELECT median(abs(jump)) AS med FROM s)", """SELECT a.m AS seam_abs_mean, med AS seam_abs_median, b.m AS interior_abs_mean, b.med2 AS interior_median, a.m / b.m AS seam_to_interior, 100.0 * b.below AS seam_percentile
  FROM sm, (SELECT avg(abs(jump)) AS m FROM s) a, (SELECT avg(step) AS m, median(step) AS med2, avg(CASE WHEN step <= med THEN 1.0 ELSE 0.0 END) AS below FROM i, sm WHERE step IS NOT NULL) b"""))
 def seam_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The jump across the seam against steps between neighbours, within each row array: no shuffle of cells."""
+    """AG12: the jump across the seam against steps between neighbours, within each row array: no shuffle of cells."""
     rows = A.dense(spark, sf_dir)
     v = F.transform("vals", lambda x: x.cast("double"))
     rows = rows.select(F.abs(F.element_at(v, 1) - F.element_at(v, -1)).alias("seam"), F.zip_with(F.slice(v, 2, 15), F.slice(v, 1, 15), lambda a, b: F.abs(a - b)).alias("steps"))
@@ -376,3 +376,9 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FI15: 42 days a climate without replacement, the remainder to the first seasons; the order is by hash."""
     d = A.daily(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("climate", "season").orderBy(F.md5(F.col("day").cast("string").cast("binary")))))
     return d.where(F.col("k") <= 10 + F.col("season").isin("DJF", "MAM").cast("int")).select("climate", "season", "day")
+
+
+@query(ask("climate | scale:9", ERRORS_SQL, f"SELECT climate, {S.TARGET_STD!r} / sqrt(sum(w)) AS scale FROM errors GROUP BY climate"))
+def coefficient_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PR19: what takes scores of weighted anomalies to physical units."""
+    return pick(A.errors(spark, sf_dir).groupBy("climate").agg((F.lit(S.TARGET_STD) / F.sqrt(F.sum("w"))).alias("scale")), "climate | scale:9")
