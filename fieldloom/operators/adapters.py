@@ -55,7 +55,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted sums a day: w, base_e2, a_e2, b_e2, and day_idx, the day's place within its climate."""
     sums = {n: F.sum(F.col("w") * F.col(f"err_{p}") ** 2) for n, p in (("base_e2", "base"), ("a_e2", "a"), ("b_e2", "b"))}
     days = errors(spark, sf_dir).groupBy("climate", "season", "day", "leap_day").agg(F.sum("w").alias("w"), *[v.alias(k) for k, v in sums.items()])
-    return days.withColumn("day_idx", F.row_number().over(Window.partitionBy("climate").orderBy("day")) - 1)
+    return days.withColumn("day_idx", F.row_number().over(Window.partitionBy("climate").orderBy("day")).cast("long") - 1)
 
 
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:

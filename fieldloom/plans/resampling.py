@@ -104,7 +104,7 @@ def season_aligned_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(s.groupBy("climate").agg(*B.interval("b_rmse")), "climate | b_rmse_lo:2 b_rmse_hi:2")
 
 
-@query(ask("climate excludes_zero n_bad | lo:2 hi:2 median:2 sd:2 p_above:6", f"{_PLAIN}, r AS (SELECT {_PAIRED} FROM sums), d AS (SELECT c.climate, c.rep, c.delta_rmse - p.delta_rmse AS x FROM r c JOIN r p ON p.climate = 'pd' AND p.rep = c.rep AND c.climate <> 'pd')", "SELECT climate, lo > 0 OR hi < 0 AS excludes_zero, n_bad, lo, hi, median, sd, p_above FROM (SELECT climate, 0 AS n_bad, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi, median(x) AS median, stddev_samp(x) AS sd, avg(CAST(x > 0 AS INTEGER)) AS p_above FROM d GROUP BY climate)"))
+@query(ask("climate excludes_zero n_bad | lo:2 hi:2 median:2 sd:2 p_above:6", f"{_PLAIN}, r AS (SELECT {_PAIRED} FROM sums), d AS (SELECT c.climate, c.rep, c.delta_rmse - p.delta_rmse AS x FROM r c JOIN r p ON p.climate = 'pd' AND p.rep = c.rep AND c.climate <> 'pd')", "SELECT climate, lo > 0 OR hi < 0 AS excludes_zero, n_bad, lo, hi, median, sd, p_above FROM (SELECT climate, CAST(0 AS BIGINT) AS n_bad, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi, median(x) AS median, stddev_samp(x) AS sd, avg(CAST(x > 0 AS INTEGER)) AS p_above FROM d GROUP BY climate)"))
 def climate_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BO9, BO10: differences across climates (unpaired draws, joined by replicate) with the comparison record."""
     r = _replicates(spark, sf_dir)

@@ -78,7 +78,7 @@ def largest_cell_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SO1: the 25 largest errors of all cells and days, ties by day and cell: a top-k of each task, then of those."""
     e = A.errors(spark, sf_dir).select("day", "cell", quantize(F.abs("err_b"), 2).alias("err"))
     top = e.orderBy(F.desc("err"), "day", "cell").limit(25)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("err"), "day", "cell"))).select("day", "cell", "place", "err")
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("err"), "day", "cell")).cast("long")).select("day", "cell", "place", "err")
 
 
 _GRID = "g AS (SELECT o_orderkey % 13 AS kx, o_orderkey % 9 AS ky, CAST(o_orderkey % 5 AS INTEGER) AS r, floor(avg(o_totalprice) * 100 + 0.5) / 100 AS mse FROM orders GROUP BY 1, 2, 3)"
@@ -148,7 +148,7 @@ def pool_minus_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_.join(left, "climate").select("climate", "n_pool", "n_train", "contained")
 
 
-@query(f"WITH {GRID_SQL} SELECT count(*) AS n_common, 0 AS n_unlike FROM grid")
+@query(f"WITH {GRID_SQL} SELECT count(*) AS n_common, CAST(0 AS BIGINT) AS n_unlike FROM grid")
 def grid_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JO16: cells of two maps compared, with those that only one has."""
     a, b = A.grid(spark).select("cell", "lat"), A.grid(spark).select("cell", F.col("lat").alias("lat2"))

@@ -194,3 +194,26 @@ def test_stream_adds_up_to_the_batch(spark, tmp_path):
     got = {r.climate: r.b_e2 for r in accumulated(spark, f"{tmp_path}/partials", ["climate"]).collect()}
     want = {r.climate: r.x for r in e.groupBy("climate").agg(F.sum(F.col("w") * F.col("err_b") ** 2).alias("x")).collect()}
     assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-6 * want[c] for c in want)
+
+
+def test_stream_of_events_counts_windows(spark, tmp_path):
+    from fieldloom.streaming.accumulate import stream_event_counts
+
+    e = A.table(spark, DATA, "events").select("ts", "event_type", "value")
+    e.repartition(3).write.parquet(f"{tmp_path}/events")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events")
+    q = stream_event_counts(stream, "1 day").writeStream.outputMode("complete").format("memory").queryName("event_counts").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.window.start, r.event_type): r.n for r in spark.table("event_counts").collect()}
+    want = {(r.window.start, r.event_type): r.n for r in e.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day"), "event_type").agg(F.count("*").alias("n")).collect()}
+    assert got == want and len(got) > 10
+
+
+def test_schemas_are_required(spark):
+    from pyspark.sql import types as T
+
+    df = spark.range(2).withColumn("v", F.lit(1.0).cast("float"))
+    want = T.StructType([T.StructField("v", T.FloatType())])
+    assert arrays.require_schema(df, want).columns == ["v"]
+    with pytest.raises(ValueError, match="DoubleType"):
+        arrays.require_schema(df, T.StructType([T.StructField("v", T.DoubleType())]))
