@@ -41,6 +41,33 @@ class Stage:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Stages that a computation needs only until its result is written."""
+
+    def __init__(self):
+        self.stages: list[Stage] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.stages.append(Stage(df, name))
+        return self.stages[-1].df
+
+    def clear(self) -> None:
+        for s in self.stages:
+            s.drop()
+        self.stages.clear()
+
+
+def join_summary(rows: DataFrame, summary: DataFrame, key: str) -> DataFrame:
+    """rows joined with an aggregate that has one row a key.
+
+    The wrapped key makes Spark exchange the aggregate anew instead of joining where it was made: adaptive execution
+    can then split the rows of a hot key over several tasks.
+    """
+    other = summary.withColumnRenamed(key, "_key")
+    wrapped = lambda c: F.struct(F.col(c).alias("k"))
+    return rows.join(other, wrapped(key) == wrapped("_key")).drop("_key")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage
+from .common import Stage, join_summary
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over edges (a, b). A hot node is a minimum over partial minima and a join that Spark can split."""
     if large:
-        near = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = edges.select(F.inline(both))  # not a union: the join below can split only what one exchange brings
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    joined = near.join(least, "a")
+    joined = join_summary(near, least, "a")
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -33,7 +34,8 @@ def connected_components(edges: DataFrame) -> Stage:
     edges(a, b) are undirected; loops and repeated edges are harmless, ends must not be null. Each round is
     written to the shared folder, and the one before is deleted.
     """
-    now = Stage(edges.select(F.col("a"), F.col("b")).where("a <> b").distinct(), "components")
+    # repeated edges go in the first round; to drop them here would tie the rows of a hot key to one task of a join below
+    now = Stage(edges.select("a", "b").where("a <> b"), "components")
     state = _state(now.df)
     while state[0]:
         new = Stage(_star(_star(now.df, True), False), "components")

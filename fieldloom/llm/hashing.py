@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -99,12 +100,14 @@ def digest16(data: bytes) -> bytes:
 
 def text_slices(batch: pa.RecordBatch, column: str, size: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of a batch with about size bytes of UTF-8 in column (null: empty), one row at least."""
-    texts = [t.as_py() or b"" for t in batch.column(column).cast(pa.binary())]
+    texts = batch.column(column).cast(pa.binary())
+    lengths = [n or 0 for n in pa.compute.binary_length(texts).to_pylist()]
+    taken = lambda a, b: [t or b"" for t in texts.slice(a, b - a).to_pylist()]
     start = total = 0
-    for k, t in enumerate(texts):
-        if total and total + len(t) > size:
-            yield batch.slice(start, k - start), texts[start:k]
+    for k, n in enumerate(lengths):
+        if total and total + n > size:
+            yield batch.slice(start, k - start), taken(start, k)
             start, total = k, 0
-        total += len(t)
-    if start < len(texts):
-        yield batch.slice(start), texts[start:]
+        total += n
+    if start < len(lengths):
+        yield batch.slice(start), taken(start, len(lengths))

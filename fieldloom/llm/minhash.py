@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, blob_key, documents, texts
+from .common import Scratch, Stage, blob_key, documents, join_summary, texts
 from .components import connected_components
 from .hashing import U64, Words, digest16, mix, text_slices
 
 BANDS, ROWS = 32, 5
 #: A pair whose signatures agree less than the threshold by this much is not confirmed on full sets (8 deviations).
 MARGIN = 0.25
-SLICE = 1 << 21
+SLICE = 1 << 20
 _R = np.random.default_rng(19970101)
 _A = _R.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * U64(2) + U64(1)
 _B = _R.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -124,15 +124,15 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out.where(100 * F.col("inter") >= percent * (F.col("na") + F.col("nb") - F.col("inter"))).select("a", "b")
 
 
-def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
     """rows(band, rep, ...) with comp, where the band still holds several components."""
     known = comps.select(F.col("a").alias("rep"), F.col("b").alias("comp"))
-    rows = rows.join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    rows = scratch.write(rows.join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "minhash-labelled")
     mixed = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    return rows.join(mixed, "band")
+    return join_summary(rows, mixed, "band")
 
 
-def _prefixes(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _prefixes(apart: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(rep, n, place, shingle, held): the first n - ceil(n * percent / 100) + 1 shingles of each member of apart.
 
     Shingles are ordered by how many of these members hold them, then by hash.
@@ -142,7 +142,7 @@ def _prefixes(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     shared = shingles.groupBy("shingle").agg(F.count("*").alias("held"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("held", "shingle"))
     first = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
-    return Stage(shingles.join(shared, "shingle").withColumn("place", place).where(F.col("place") <= first), "minhash-prefixes").df
+    return scratch.write(shingles.join(shared, "shingle").withColumn("place", place).where(F.col("place") <= first), "minhash-prefixes")
 
 
 def _central_pairs(apart: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -150,20 +150,20 @@ def _central_pairs(apart: DataFrame, prefixes: DataFrame) -> DataFrame:
     own = prefixes.groupBy("rep").agg(F.count_if(F.col("held") == 1).alias("own"))
     rows = apart.join(own, "rep")
     hubs = rows.groupBy("band").agg(F.min(F.struct("own", "rep", "comp")).alias("hub"))
-    mates = rows.join(hubs, "band").where(F.col("comp") != F.col("hub.comp"))
+    mates = join_summary(rows, hubs, "band").where(F.col("comp") != F.col("hub.comp"))
     return mates.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
 
 
-def _prefix_pairs(apart: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+def _prefix_pairs(apart: DataFrame, prefixes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) across components among the members of apart(band, rep, comp) that can reach percent.
 
     Sets that reach it have a first common shingle within both prefixes, and from there on as many shingles left as
     they must share. One side is enough to come from outside a bucket's largest component, so that a large group isn't
     held against itself.
     """
-    apart = Stage(apart, "minhash-apart").df
+    apart = scratch.write(apart, "minhash-apart")
     main = apart.groupBy("band", "comp").count().groupBy("band").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-    outer = apart.join(main, "band").where("comp <> main").select("rep").distinct()
+    outer = join_summary(apart, main, "band").where("comp <> main").select("rep").distinct()
     rows = prefixes.where("held > 1").join(apart.select("rep", "comp").distinct(), "rep")
     x, y = rows.join(outer, "rep").alias("x"), rows.alias("y")
     left = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     one document, so all are kept or none; if an id stands for several texts and leads the classes of more than
     one, the class of the least key is linked and the other texts are left unlinked.
     """
-    docs = texts(docs)
+    docs, scratch = texts(docs), Scratch()
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketch = Stage(docs.withColumn("blob", blob_key(F.col("text"))).mapInArrow(_sketch(k, False), f"doc_id {kind}, blob binary, n_shingles long, set_key binary, bands array<long>"), "minhash-sketch")
     named = sketch.df.where("set_key is not null and doc_id is not null")
@@ -197,20 +197,22 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     classes = Stage(classes, "minhash-classes").df
     rows = classes.select("rep", "set_key", F.explode("bands").alias("band"))
     hubs = rows.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
-    members = Stage(rows.join(hubs, "band"), "minhash-buckets").df
+    members = scratch.write(join_summary(rows, hubs, "band"), "minhash-buckets")
 
     wanted = members.select(F.col("rep").alias("doc_id"), "set_key").distinct()
-    sets = Stage(docs.join(wanted, "doc_id").mapInArrow(_sketch(k, True), f"rep {kind}, sig array<int>, shingles array<long>").dropDuplicates(["rep"]), "minhash-sets").df
+    sets = docs.join(wanted, "doc_id").mapInArrow(_sketch(k, True), f"rep {kind}, sig array<int>, shingles array<long>").dropDuplicates(["rep"])
+    sets = scratch.write(sets, "minhash-sets")
 
     first = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     comps = connected_components(_confirm(first, sets, percent))
 
     buckets = members.select("band", "rep")
-    apart = Stage(_labelled(buckets, comps.df).select("band", "rep", "comp"), "minhash-apart").df
-    prefixes = _prefixes(apart, sets, percent)
+    apart = scratch.write(_labelled(buckets, comps.df, scratch).select("band", "rep", "comp"), "minhash-apart")
+    prefixes = _prefixes(apart, sets, percent, scratch)
     comps = _joined(comps, _confirm(_central_pairs(apart, prefixes), sets, percent))
-    third = _prefix_pairs(_labelled(buckets, comps.df).select("band", "rep", "comp"), prefixes, percent)
+    third = _prefix_pairs(_labelled(buckets, comps.df, scratch).select("band", "rep", "comp"), prefixes, percent, scratch)
     comps = _joined(comps, _confirm(third, sets, percent))
+    scratch.clear()
 
     label = classes.join(comps.df.select(F.col("a").alias("rep"), F.col("b").alias("comp")), "rep", "left").select("set_key", F.col("rep"), F.coalesce("comp", "rep").alias("comp"))
     rows = sketch.df.select("doc_id", "blob", "n_shingles", "set_key").join(label, "set_key", "left")
