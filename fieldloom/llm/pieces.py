@@ -234,6 +234,10 @@ class PieceCodec:
             for w, ids in zip(part, self.encode_words(part), strict=True):
                 self.cache[w] = (",".join([text[i] for i in ids]), b"".join([raw[i] for i in ids]))
 
+    def forget(self) -> None:
+        """Empty the caches: a worker that waits for other work holds no words."""
+        self.cache, self.old = {}, {}
+
     def encode(self, text: str) -> list[int]:
         return [i for ids in self.encode_words(self.split(text)) for i in ids]
 
@@ -320,6 +324,8 @@ def encode_decode(docs: DataFrame, model: str | None = None, ids: bool = False)
                     columns.append(pa.array([[int(x) for x in s.split(",")] if s else [] for s, _ in rows], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        codec(blob).forget()
+        gc.enable()
 
     docs = texts(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
