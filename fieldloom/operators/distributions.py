@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,17 +115,102 @@ def nearest_distances(queries: DataFrame, refs: DataFrame, ks: tuple[int, ...],
     return out.withColumn("k", place).where(F.col("k").isin(*ks)).select("id", "k", F.col("d").alias("distance"))
 
 
-def pair_distances(sample: DataFrame) -> DataFrame:
-    """(i, j, gi, gj, d2) of all ordered pairs of sample(id, g, x): for bounded samples, as the statistics need them all."""
-    a = sample.select(F.col("id").alias("i"), F.col("g").alias("gi"), F.col("x").alias("xi"))
-    b = sample.select(F.col("id").alias("j"), F.col("g").alias("gj"), F.col("x").alias("xj"))
-    d2 = F.aggregate(F.zip_with("xi", "xj", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, z: s + z)
-    return a.crossJoin(F.broadcast(b)).select("i", "j", "gi", "gj", d2.alias("d2"))
+def _over_pairs(sample: DataFrame, visit: Callable, most_queries: int = 2048) -> dict[int, float]:
+    """Sums by key over all ordered pairs of rows of sample(id, g, x), pairs of a row with itself among them.
 
+    visit(d2, i, gi, j, gj) gives keys and what to add to them for a block of squared distances. Rows go to the tasks in
+    blocks of about most_queries against all rows; a task adds up its pairs, and only its sums are shuffled.
+    """
+    parts = max(1, -(-sample.count() // most_queries))
+    total: dict[int, float] = {}
+    for part in range(parts):
+        rows = sample.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).collect()
+        if not rows:
+            continue
+        i, gi, q = np.array([r.id for r in rows]), np.array([r.g for r in rows]), np.array([r.x for r in rows], float)
+
+        def run(batches: Iterator[pa.RecordBatch], i=i, gi=gi, q=q) -> Iterator[pa.RecordBatch]:
+            keys, sums = np.zeros(0, np.int64), np.zeros(0)
+            for b in batches:
+                for at in range(0, len(b), 512):
+                    c = b.slice(at, 512)
+                    x = c.column("x").flatten().to_numpy().reshape(len(c), -1)
+                    d2 = np.stack([((q - v) ** 2).sum(1) for v in x], 1)
+                    k, v = visit(d2, i, gi, c.column("id").to_numpy(), c.column("g").to_numpy())
+                    keys, place = np.unique(np.concatenate((keys, k)), return_inverse=True)
+                    sums = np.bincount(place, np.concatenate((sums, v)), len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sums, pa.float64())], ["k", "v"])
+
+        for r in sample.select("id", "g", "x").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+            total[r.k] = total.get(r.k, 0.0) + r.v
+    return total
+
+
+def median_distance(sample: DataFrame) -> float | None:
+    """The exact median distance of unordered pairs (i < j) of sample(id, g, x).
+
+    Four passes find the 64 bits of the middle values, 16 at a time, from counts: no pair is kept.
+    """
+
+    def counts(prefixes: list[int], shift: int) -> dict[int, float]:
+        def visit(d2, i, gi, j, gj):
+            bits = np.sqrt(d2[i[:, None] < j[None, :]]).view(np.int64) >> shift
+            found = [np.unique((bits[bits >> 16 == p] & 0xFFFF) + (n << 16), return_counts=True) for n, p in enumerate(prefixes)]
+            return np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found])
+
+        return _over_pairs(sample, visit)
+
+    at = counts([0], 48)
+    n = int(sum(at.values()))
+    if not n:
+        return None
+    middle = []
+    for rank in ((n - 1) // 2, n // 2):
+        middle.append([0, rank])
+    for shift in (48, 32, 16, 0):
+        prefixes = sorted({p for p, _ in middle})
+        at = at if shift == 48 else counts(prefixes, shift)
+        for m in middle:
+            place = prefixes.index(m[0])
+            for k in sorted(k for k in at if k >> 16 == place):
+                if m[1] < at[k]:
+                    m[0] = m[0] << 16 | k & 0xFFFF
+                    break
+                m[1] -= int(at[k])
+    return float(np.array([m[0] for m in middle]).view(np.float64).mean())
+
+
+def energy_and_kernel(sample: DataFrame, bandwidth: float | None) -> tuple[float | None, float | None]:
+    """Energy distance and squared kernel discrepancy between groups 0 and 1 of sample(id, g, x), diagonals included."""
+    s2 = 2 * bandwidth * bandwidth if bandwidth else np.nan
+
+    def visit(d2, i, gi, j, gj):
+        d, k = np.sqrt(d2), np.exp(-d2 / s2)
+        cells = [(u, v, np.ix_(gi == u, gj == v)) for u in (0, 1) for v in (0, 1)]
+        return np.arange(12), np.array([f for u, v, c in cells for f in (d[c].size, d[c].sum(), k[c].sum())])
+
+    at = _over_pairs(sample, visit)
+    if not all(at.get(3 * c) for c in range(4)):
+        return None, None
+    d, k = ([at[3 * c + f] / at[3 * c] for c in range(4)] for f in (1, 2))
+    return 2 * d[1] - d[0] - d[3], (None if np.isnan(s2) else k[0] + k[3] - 2 * k[1])
+
+
+def swapped_energies(sample: DataFrame, swaps: Callable[[np.ndarray], np.ndarray]) -> list[float | None]:
+    """Energy distances of sample(id, g, x) under many labellings: swaps(ids) has a column of 0 and 1 a labelling.
+
+    A labelling's sums of distances are products of the block of distances with its labels.
+    """
 
-def energy_and_kernel(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Energy distance and squared kernel discrepancy between groups 0 and 1 of pairs(gi, gj, d, k), diagonals included."""
-    cell = lambda c, u, v: F.avg(F.when((F.col("gi") == u) & (F.col("gj") == v), F.col(c)))
-    energy = 2 * cell("d", 0, 1) - cell("d", 0, 0) - cell("d", 1, 1)
-    kernel = cell("k", 0, 0) + cell("k", 1, 1) - 2 * cell("k", 0, 1)
-    return (pairs.groupBy(*by) if by else pairs.groupBy()).agg(energy.alias("energy"), kernel.alias("mmd2"))
+    def visit(d2, i, gi, j, gj):
+        d = np.sqrt(d2)
+        one, two = (gi[:, None] + swaps(i)) % 2.0, (gj[:, None] + swaps(j)) % 2.0
+        right = d @ two, d @ (1 - two)
+        cells = [((1 - one) * right[1]).sum(0), ((1 - one) * right[0]).sum(0), (one * right[1]).sum(0), (one * right[0]).sum(0)]
+        sizes = [u.sum(0) * v.sum(0) for u in (1 - one, one) for v in (1 - two, two)]
+        flat = np.concatenate(cells + sizes)
+        return np.arange(len(flat)), flat
+
+    at = _over_pairs(sample, visit)
+    s = np.array([at[k] for k in range(len(at))]).reshape(2, 4, -1) if at else np.zeros((2, 4, 0))
+    return [float(2 * d[1] / n[1] - d[0] / n[0] - d[3] / n[3]) if n.all() else None for d, n in zip(s[0].T, s[1].T, strict=True)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -184,28 +185,31 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(D.nearest_distances(_points(spark, sf_dir, 0), _points(spark, sf_dir, 1), (1, 5, 20)), "id k | distance:6")
 
 
-def _sample_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = A.table(spark, sf_dir, "embeddings").where("label < 2 and vec_id < 200")
-    return D.pair_distances(s.select(F.col("vec_id").alias("id"), F.col("label").alias("g"), F.transform("embedding", lambda v: v.cast("double")).alias("x")))
+def _two_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.table(spark, sf_dir, "embeddings").where("label < 2").select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("long").alias("g"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
 
 
 @query(ask("| bandwidth:6 energy:6 mmd2:6", f"{_PAIRS}, s AS (SELECT median(sqrt(d2)) AS s FROM pairs WHERE i < j), c AS (SELECT gi, gj, avg(sqrt(d2)) AS d, avg(exp(-d2 / (2 * s * s))) AS k FROM pairs, s GROUP BY gi, gj)", "SELECT s AS bandwidth, (SELECT 2 * sum(d) FILTER (gi = 0 AND gj = 1) - sum(d) FILTER (gi = gj) FROM c) AS energy, (SELECT sum(k) FILTER (gi = gj) - 2 * sum(k) FILTER (gi = 0 AND gj = 1) FROM c) AS mmd2 FROM s"))
 def energy_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """QU9: with the median distance of unordered pairs as bandwidth; diagonals count."""
-    p = _sample_pairs(spark, sf_dir).withColumn("d", F.sqrt("d2"))
-    s = p.where("i < j").agg(F.percentile("d", F.lit(0.5)).alias("bandwidth"))
-    k = p.crossJoin(F.broadcast(s)).withColumn("k", F.exp(-F.col("d2") / (2 * F.col("bandwidth") * F.col("bandwidth"))))
-    return pick(D.energy_and_kernel(k, ["bandwidth"]), "| bandwidth:6 energy:6 mmd2:6")
+    """QU9: with the median distance of unordered pairs as bandwidth; diagonals count. All vectors of both populations."""
+    s = _two_samples(spark, sf_dir)
+    bandwidth = D.median_distance(s)
+    energy, mmd2 = D.energy_and_kernel(s, bandwidth)
+    values = {"bandwidth": bandwidth, "energy": energy, "mmd2": mmd2}
+    return pick(spark.range(1).select(*[F.lit(v).cast("double").alias(k) for k, v in values.items()]), "| bandwidth:6 energy:6 mmd2:6")
 
 
 @query(ask("n_perm | observed:6 p_value:6", f"{_PAIRS}, r AS (SELECT unnest(range(50)) AS r), f AS (SELECT r, i, j, ((gi + ((r * 7919 + i // 10 * 104729 + 31) * 48271) % 2147483647 % 2) % 2) AS gi, ((gj + ((r * 7919 + j // 10 * 104729 + 31) * 48271) % 2147483647 % 2) % 2) AS gj, sqrt(d2) AS d FROM pairs, r), e AS (SELECT r, 2 * avg(d) FILTER (gi = 0 AND gj = 1) - avg(d) FILTER (gi = 0 AND gj = 0) - avg(d) FILTER (gi = 1 AND gj = 1) AS e FROM f GROUP BY r), o AS (SELECT 2 * avg(sqrt(d2)) FILTER (gi = 0 AND gj = 1) - avg(sqrt(d2)) FILTER (gi = 0 AND gj = 0) - avg(sqrt(d2)) FILTER (gi = 1 AND gj = 1) AS o FROM pairs)", "SELECT count(*) AS n_perm, any_value(o) AS observed, (1 + count(*) FILTER (floor(e * 1e8) >= floor(o * 1e8))) / (1.0 + count(*)) AS p_value FROM e, o"))
 def block_permutation_p_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """QU10: the labels of whole blocks of ten are swapped or not."""
-    p = _sample_pairs(spark, sf_dir).withColumns({"d": F.sqrt("d2"), "k": F.lit(0.0)})
-    observed = D.energy_and_kernel(p, []).select(F.col("energy").alias("observed"))
-    swap = lambda v: F.pmod((F.col("r") * 7919 + F.floor(F.col(v) / 10) * 104729 + 31) * 48271, F.lit(2147483647)) % 2
-    many = p.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(49))))
-    many = many.withColumns({"gi": (F.col("gi") + swap("i")) % 2, "gj": (F.col("gj") + swap("j")) % 2})
-    e = D.energy_and_kernel(many, ["r"]).crossJoin(F.broadcast(observed))
+    """QU10: the labels of whole blocks of ten are swapped or not. All vectors of both populations."""
+
+    def swaps(ids: np.ndarray) -> np.ndarray:
+        m, r = 2147483647, np.arange(50, dtype=np.int64)
+        block = ids.astype(np.int64)[:, None] // 10 % m
+        drawn = (r * 7919 + block * 104729 + 31) % m * 48271 % m % 2
+        return np.hstack((np.zeros((len(ids), 1), np.int64), drawn))
+
+    observed, *energies = D.swapped_energies(_two_samples(spark, sf_dir), swaps) or [None]
+    rows = spark.range(len(energies)).select(F.get(F.array(*[F.lit(e).cast("double") for e in energies]), F.col("id").cast("int")).alias("energy"), F.lit(observed).cast("double").alias("observed"))
     above = F.count_if(F.floor(F.col("energy") * 1e8) >= F.floor(F.col("observed") * 1e8))
-    return pick(e.groupBy("observed").agg(F.count("*").alias("n_perm"), ((1 + above) / (1.0 + F.count("*"))).alias("p_value")), "n_perm | observed:6 p_value:6")
+    return pick(rows.groupBy("observed").agg(F.count("*").alias("n_perm"), ((1 + above) / (1.0 + F.count("*"))).alias("p_value")), "n_perm | observed:6 p_value:6")
