@@ -149,8 +149,8 @@ def thirteen_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ask("year season cell n | t_sum:2 e_sum:2 e_sq:0", ERRORS_SQL, "SELECT CAST(year(day) AS INTEGER) AS year, season, cell, count(*) AS n, sum(w * target) AS t_sum, sum(w * err_a) AS e_sum, sum(w * err_a * err_a) AS e_sq FROM errors WHERE cell < 24 GROUP BY ALL"))
 def season_cell_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG24, AG25: additive sums a year, season and cell of the first row of cells."""
-    e = A.errors(spark, sf_dir).where("cell < 24").withColumn("year", F.year("day"))
+    """AG24, AG25: additive sums a year, season and cell, of every cell."""
+    e = A.errors(spark, sf_dir).withColumn("year", F.year("day"))
     return pick(e.groupBy("year", "season", "cell").agg(F.count("*").alias("n"), metrics.wsum("target").alias("t_sum"), metrics.wsum("err_a").alias("e_sum"), metrics.wsum(F.col("err_a") ** 2).alias("e_sq")), "year season cell n | t_sum:2 e_sum:2 e_sq:0")
 
 

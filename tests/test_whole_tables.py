@@ -12,6 +12,7 @@ ORACLES = registry.oracle_sql()
 CUTS = {
     "energy_distance": [" AND a.day_idx < 200 AND b.day_idx < 200"],
     "block_permutation_p_value": [" AND a.day_idx < 200 AND b.day_idx < 200"],
+    "season_cell_sums": [" WHERE cell < 24"],
 }
 
 
