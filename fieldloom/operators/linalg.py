@@ -47,6 +47,24 @@ def gram(df: DataFrame, column: str) -> DataFrame:
     return _summed(df.select(column).mapInArrow(_partial_products(column, False), "i int, row array<double>"))
 
 
+def gram_blocks(df: DataFrame, key: str, column: str, size: int = 256) -> DataFrame:
+    """(i, j, value) of the Gram matrix of all rows of df(key, column), i and j being keys of 0 or more.
+
+    Rows with keys in the same run of size numbers are a block. A task multiplies one block with another and writes the
+    product as rows, so that no task or driver holds the matrix.
+    """
+    blocks = df.groupBy(F.floor(F.col(key) / size).alias("block")).agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(column).alias("x"))).alias("rows"))
+    pairs = blocks.select(F.col("rows").alias("a")).crossJoin(blocks.select(F.col("rows").alias("b")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(len(batch)):
+                (i, x), (j, y) = ((r.field("k").to_numpy(), np.stack(r.field("x").to_numpy(zero_copy_only=False))) for r in (batch.column(c).slice(n, 1).flatten() for c in ("a", "b")))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i, len(j)), pa.int64()), pa.array(np.tile(j, len(i)), pa.int64()), pa.array((x @ y.T).ravel())], ["i", "j", "value"])
+
+    return pairs.mapInArrow(run, "i long, j long, value double")
+
+
 def moments(df: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
     """Number of rows, mean and covariance (n - 1) of an array column, from one pass. The matrix goes to the driver."""
     cells = _summed(df.select(column).mapInArrow(_partial_products(column, True), "i int, row array<double>")).collect()

@@ -31,9 +31,9 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ask("i j | value:6", DENSE_SQL, "SELECT CAST(a.day_idx AS INTEGER) AS i, CAST(b.day_idx AS INTEGER) AS j, sum(a.val * b.val) AS value FROM cells a JOIN cells b USING (p) WHERE a.day_idx < 60 AND b.day_idx < 60 GROUP BY ALL"))
 def temporal_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LA1, LA2: partial Gram matrices of pixel rows, summed. A pixel's days are a bounded array."""
-    pixels = A.dense_cells(spark, sf_dir).where("day_idx < 60").groupBy("p").agg(F.transform(F.sort_array(F.collect_list(F.struct("day_idx", "val"))), lambda v: v["val"]).alias("x"))
-    return pick(L.gram(pixels, "x"), "i j | value:6")
+    """LA1, LA2: the Gram matrix of all days, in blocks of days that are written as rows."""
+    g = L.gram_blocks(_fields(spark, sf_dir).withColumn("day_idx", F.col("day_idx").cast("long")), "day_idx", "x")
+    return pick(g.withColumns({c: F.col(c).cast("int") for c in ("i", "j")}), "i j | value:6")
 
 
 @query(ask("day_idx k | score:6", _SCORES, "SELECT day_idx, k, s AS score FROM scores"))
@@ -64,11 +64,16 @@ def mode_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ask("i j | value:8", MATRIX_SQL, "SELECT x.k AS i, y.k AS j, covar_samp(x.val, y.val) AS value FROM x JOIN y USING (day_idx) WHERE x.split = 'train' AND x.k < 8 AND y.k < 8 GROUP BY ALL"))
 def score_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LA9: covariance blocks with 1 / (n - 1), as a 64 by 64 matrix summed over partitions."""
+    """LA9: all of Sxx, Sxy and Syy with 1 / (n - 1), from a 64 by 64 matrix summed over partitions."""
     m = A.matrices(spark, sf_dir).where("split = 'train'").select(F.concat("x", "y").alias("xy"))
     _, _, cov = L.moments(m, "xy")
-    rows = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(cov[i, 32 + j])).alias("value")) for i in range(8) for j in range(8)]
-    return pick(spark.range(1).select(F.inline(F.array(*rows))), "i j | value:8")
+    blocks = {"xx": cov[:32, :32], "xy": cov[:32, 32:], "yy": cov[32:, 32:]}
+    out = None
+    for name, block in blocks.items():
+        values = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in block])
+        part = spark.range(1).select(F.posexplode(values).alias("i", "r")).select(F.lit(name).alias("block"), "i", F.posexplode("r").alias("j", "value"))
+        out = part if out is None else out.union(part)
+    return pick(out, "block i j | value:8")
 
 
 def _canonical(spark: SparkSession, sf_dir: str, rank: int = 8):
@@ -233,8 +238,8 @@ def top_mode_increases(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VEC = f"{_SPLIT}, v AS (SELECT population, day_idx, dense_rank() OVER (PARTITION BY population ORDER BY day_idx) - 1 AS pos, j, a_in FROM h WHERE population < 3), sizes AS (SELECT population, count(DISTINCT day_idx) AS n FROM v GROUP BY population), starts AS ({starts_sql('sizes', '10', 100)}), counts AS ({_COUNTS.format(by='population', starts='starts')}), rj AS (SELECT population, rep, j, sum(times * a_in) / sum(times) AS mu, sum(times * a_in * a_in) / sum(times) AS m2 FROM counts JOIN v ON v.population = counts.population AND v.pos = counts.day_idx GROUP BY ALL), rb AS (SELECT population, rep, sum(mu * mu) AS b, sum(m2) AS m FROM rj GROUP BY ALL)".replace("SELECT population, rep, j, sum", "SELECT counts.population, rep, j, sum")
 
 
-def _bias_replicates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    r = _residuals(spark, sf_dir).where("population < 3").withColumn("pos", F.row_number().over(Window.partitionBy("population").orderBy("day_idx")) - 1)
+def _bias_replicates(spark: SparkSession, sf_dir: str, populations: str = "true") -> tuple[DataFrame, DataFrame]:
+    r = _residuals(spark, sf_dir).where(populations).withColumn("pos", F.row_number().over(Window.partitionBy("population").orderBy("day_idx")) - 1)
     v = r.select("population", F.col("pos").alias("day_idx"), F.posexplode("a_in").alias("j", "a_in"))
     counts = B.day_counts(B.block_starts(r.groupBy("population").agg(F.count("*").alias("n")), 100, 10), ["population"])
     t = F.sum("times")
@@ -263,7 +268,7 @@ def change_angle_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BO12: the angle between two populations' changes, replicate by replicate."""
     from fieldloom.functions.scalars import quantize, vector_angle
 
-    rb = _bias_replicates(spark, sf_dir)[1]
+    rb = _bias_replicates(spark, sf_dir, "population < 3")[1]
     w = rb.groupBy("rep").pivot("population", [0, 1, 2]).agg(F.first("b").alias("b"), F.first("m").alias("m"))
     x1, y1, x2, y2 = F.col("1_b") - F.col("0_b"), F.col("1_m") - F.col("0_m"), F.col("2_b") - F.col("0_b"), F.col("2_m") - F.col("0_m")
     a = quantize(vector_angle(x1 * x2 + y1 * y2, x1 * x1 + y1 * y1, x2 * x2 + y2 * y2), 5)

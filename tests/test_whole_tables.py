@@ -1,6 +1,7 @@
 """Queries over whole tables: their SQL twins still hold a cut, so each is held against its twin without it, or NumPy."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from fieldloom.plans import registry
@@ -12,6 +13,9 @@ ORACLES = registry.oracle_sql()
 CUTS = {
     "energy_distance": [" AND a.day_idx < 200 AND b.day_idx < 200"],
     "block_permutation_p_value": [" AND a.day_idx < 200 AND b.day_idx < 200"],
+    "temporal_gram": [" WHERE a.day_idx < 60 AND b.day_idx < 60"],
+    "bias_variance_replicates": [" WHERE population < 3"],
+    "bias_noise_floor": [" WHERE population < 3"],
     "season_cell_sums": [" WHERE cell < 24"],
 }
 
@@ -36,3 +40,12 @@ def whole(name):
 def test_query_equals_its_sql_without_the_cut(spark, name):
     got = registry.queries()[name](spark, DATA)
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == whole(name)
+
+
+def test_score_covariance_has_all_blocks(spark):
+    x = np.array([r.embedding for r in spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id % 5 <> 0").collect()], float)
+    cov, got = np.cov(x.T), {"xx": np.full((32, 32), np.nan), "xy": np.full((32, 32), np.nan), "yy": np.full((32, 32), np.nan)}
+    for r in registry.queries()["score_covariance"](spark, DATA).collect():
+        got[r.block][r.i, r.j] = r.value
+    for name, want in (("xx", cov[:32, :32]), ("xy", cov[:32, 32:]), ("yy", cov[32:, 32:])):
+        assert np.abs(got[name] - want).max() < 1e-7
