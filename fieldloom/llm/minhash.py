@@ -97,16 +97,13 @@ def _sketch(k: int, with_sets: bool):
             for part, ts in text_slices(batch, "text", SLICE):
                 h, start = shingle_sets(ts, k)
                 n = np.diff(start)
-                key = pa.array([digest16(h[a:b].tobytes()) if b > a else None for a, b in zip(start, start[1:], strict=False)], pa.binary())
                 sig = signatures(h, start)
                 if with_sets:
-                    wanted = part.column("set_key").to_pylist()
-                    mine = pa.array([x is not None and x == y for x, y in zip(wanted, key.to_pylist(), strict=True)])
                     flat = np.arange(0, sig.size + 1, sig.shape[1])
-                    out = pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(sig.view(np.int32).ravel(), flat, pa.int32()), _lists(h.view(np.int64), start, pa.int64())], ["rep", "sig", "shingles"])
-                    yield out.filter(mine)
+                    yield pa.RecordBatch.from_arrays([part.column("rep"), _lists(sig.view(np.int32).ravel(), flat, pa.int32()), _lists(h.view(np.int64), start, pa.int64())], ["rep", "sig", "shingles"])
                 else:
                     bands = band_keys(sig)
+                    key = pa.array([digest16(h[a:b].tobytes()) if b > a else None for a, b in zip(start, start[1:], strict=False)], pa.binary())
                     flat = np.r_[0, np.cumsum(np.where(n > 0, BANDS, 0))]
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("blob"), pa.array(n.astype(np.int64)), key, _lists(bands[n > 0].ravel(), flat, pa.int64())], ["doc_id", "blob", "n_shingles", "set_key", "bands"])
 
@@ -185,22 +182,22 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     Two texts are linked if they share percent of their distinct k-word shingles or more (words are lower-cased
     in A-Z). Null and empty texts and texts without words are linked with nothing. Rows with a null id are left
     unlinked, as their own component (component_id null, kept true). Rows that repeat an id with the same text are
-    one document, so all are kept or none; if an id stands for several texts and leads the classes of more than
-    one, the class of the least key is linked and the other texts are left unlinked.
+    one document, so all are kept or none. An id may stand for several texts: each is linked on its own, a component
+    is named by its least id, and of that id's texts in it the one of the least content address is kept.
     """
     docs, scratch = texts(docs), Scratch()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sketch = Stage(docs.withColumn("blob", blob_key(F.col("text"))).mapInArrow(_sketch(k, False), f"doc_id {kind}, blob binary, n_shingles long, set_key binary, bands array<long>"), "minhash-sketch")
+    keyed = docs.withColumn("blob", blob_key(F.col("text")))
+    sketch = Stage(keyed.mapInArrow(_sketch(k, False), f"doc_id {kind}, blob binary, n_shingles long, set_key binary, bands array<long>"), "minhash-sketch")
     named = sketch.df.where("set_key is not null and doc_id is not null")
-    classes = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    classes = classes.groupBy("rep").agg(F.min_by(F.struct("set_key", "bands"), "set_key").alias("c")).select("rep", "c.*")
-    classes = Stage(classes, "minhash-classes").df
-    rows = classes.select("rep", "set_key", F.explode("bands").alias("band"))
+    classes = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "blob")).alias("lead"), F.first("bands").alias("bands"))
+    classes = Stage(classes.withColumn("rep", F.monotonically_increasing_id()), "minhash-classes").df  # numbers hold once they are written
+    rows = classes.select("rep", F.explode("bands").alias("band"))
     hubs = rows.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
     members = scratch.write(join_summary(rows, hubs, "band"), "minhash-buckets")
 
-    wanted = members.select(F.col("rep").alias("doc_id"), "set_key").distinct()
-    sets = docs.join(wanted, "doc_id").mapInArrow(_sketch(k, True), f"rep {kind}, sig array<int>, shingles array<long>").dropDuplicates(["rep"])
+    wanted = members.select("rep").distinct().join(classes.select("rep", "lead.*"), "rep")
+    sets = keyed.join(wanted, ["doc_id", "blob"]).mapInArrow(_sketch(k, True), "rep long, sig array<int>, shingles array<long>").dropDuplicates(["rep"])
     sets = scratch.write(sets, "minhash-sets")
 
     first = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
@@ -214,10 +211,14 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     comps = _joined(comps, _confirm(third, sets, percent))
     scratch.clear()
 
-    label = classes.join(comps.df.select(F.col("a").alias("rep"), F.col("b").alias("comp")), "rep", "left").select("set_key", F.col("rep"), F.coalesce("comp", "rep").alias("comp"))
+    label = classes.join(comps.df.select(F.col("a").alias("rep"), F.col("b").alias("comp")), "rep", "left").select("set_key", "lead", F.coalesce("comp", "rep").alias("comp"))
+    leads = label.groupBy("comp").agg(F.min("lead").alias("first"))
+    label = join_summary(label, leads, "comp").select("set_key", "first")
     rows = sketch.df.select("doc_id", "blob", "n_shingles", "set_key").join(label, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return rows.select("doc_id", "blob", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    named = F.col("doc_id").isNotNull()
+    component = F.when(named, F.coalesce("first.doc_id", "doc_id"))
+    kept = F.when(named, (F.col("doc_id") == F.col("first.doc_id")) & (F.col("blob") == F.col("first.blob")))
+    return rows.select("doc_id", "blob", "n_shingles", component.alias("component_id"), F.coalesce(kept, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

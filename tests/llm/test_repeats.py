@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from fieldloom.llm.byte_repeats import SuffixArrays, SuffixFamily
-from fieldloom.llm.minhash import near_duplicates
+from fieldloom.llm.minhash import drop_near_duplicates, near_duplicates
 from fieldloom.llm.repeats import remove_repeats
 from fieldloom.llm.tiling import contaminated, tile_matches, tiles
 from fieldloom.llm.word_repeats import COVER, PERIOD, DifferenceCover
@@ -127,6 +127,19 @@ def test_near_duplicates_of_odd_rows(spark):
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in rows) == [("5", "5", True), ("5", "5", True), ("6", "6", True), ("None", "None", True)]
 
 
+def test_near_duplicates_under_an_id_of_many_texts(spark):
+    made = [prose(50 + n, 60) for n in range(6)]
+    near = [t + " end" for t in made]
+    ids = [0] * 6 + list(range(10, 16)) + list(range(20, 26))
+    rows = near_duplicates(frame(spark, made + made + near, ids)).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in rows) == sorted((i, 0, i == 0) for i in ids)
+    rows = near_duplicates(frame(spark, [made[0], near[0], made[0], made[1], made[0]], [3, 3, 3, 4, None])).collect()
+    first = min((hashlib.sha256(t.encode()).digest(), t) for t in (made[0], near[0]))[1]
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in rows) == sorted([(3, 3, first == made[0])] * 2 + [(3, 3, first == near[0]), (4, 4, True), (0, 0, True)])
+    kept = drop_near_duplicates(frame(spark, made + made + near, ids)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted((0, t) for t in made)
+
+
 # --- 4: greedy string tiling
 
 
