@@ -25,13 +25,24 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never shown as part of a page's prose.
-SILENT_TAGS = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "head", "title", "textarea", "select", "button", "datalist", "audio", "video")
+#: what is in the first holds no tags and ends at its end tag only, or with the page; the others hold elements.
+RAW_TAGS = frozenset("script style noscript iframe title textarea".split())
+SILENT_TAGS = frozenset("template svg math object canvas select button datalist audio video".split())
+#: No end tag within the first, and no start tag within the second, closes an element around them.
+END_BARS, START_BARS = frozenset("template object select".split()), frozenset("template object select button".split())
+#: Start tags that end an open svg or math, but not within those of its elements that hold HTML; tags that end a select.
+FOREIGN, HTML_WITHIN = frozenset(("svg", "math")), frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+ENDS_SELECT = frozenset("select input textarea".split())
 #: An open element of the key is closed by a tag of the values (or, for p, by any block).
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<silent>" + "|".join(SILENT_TAGS) + r""")(?=[\s>/])(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=silent)\s*>|\Z)|</(?P<close>[a-zA-Z][^\s>/]*)[^>]*>|<(?P<open>[a-zA-Z][^\s>/]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<)""",
+    r"""<!--.*?(?:-->|\Z)|</(?P<close>[a-zA-Z][^\s>/]*)[^>]*>|<(?P<open>[a-zA-Z][^\s>/]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<)""",
     re.S | re.I,
 )
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW_TAGS}
+#: A slash that ends an unquoted value doesn't close the element.
+_SELF_CLOSED = re.compile(r"""(?:\A|[\s"'])[^\s"'=]*/\Z""")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]{2,}")
 ENDS = tuple(".!?…。！？")
@@ -61,32 +72,71 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
+    def last(tags: frozenset[str], least: int = 0) -> int:
+        return next((k for k in range(len(stack) - 1, least - 1, -1) if stack[k][0] in tags), -1)
+
+    quiet, at = -1, 0  # place of the outermost silent element that is open; place in the page
+    while m := _TOKEN.match(page, at):
+        at = m.end()
         kind = m.lastgroup
         if kind == "text":
-            parts.append(m["text"])
-            if any(t == "a" for t, _ in stack):
-                linked += len(m["text"])
+            if quiet < 0:
+                parts.append(m["text"])
+                if any(t == "a" for t, _ in stack):
+                    linked += len(m["text"])
         elif m["open"]:
             tag = m["open"].lower()
-            block = tag in BLOCK_TAGS
+            if tag == "head":  # what it may hold is silent or void, and anything else ends it
+                continue
+            foreign = quiet >= 0 and (root := last(FOREIGN, quiet)) >= 0 and last(HTML_WITHIN, root + 1) < 0
+            if foreign and tag in BREAKS_OUT:
+                while foreign:
+                    del stack[root:]
+                    foreign = quiet < len(stack) and (root := last(FOREIGN, quiet)) >= 0 and last(HTML_WITHIN, root + 1) < 0
+                quiet = quiet if quiet < len(stack) else -1
+            if tag in RAW_TAGS and not foreign:
+                if tag == "textarea" and quiet >= 0 and (k := last(frozenset(("select",)), quiet)) >= 0:
+                    del stack[k:]
+                    quiet = quiet if quiet < len(stack) else -1
+                end = _RAW_END[tag].search(page, at)
+                at = end.end() if end else len(page)
+                continue
+            if quiet >= 0:
+                over = last(frozenset(("select",)), quiet) if tag in ENDS_SELECT else last(frozenset(("button",)), quiet) if tag == "button" else -1
+                if over >= 0:
+                    del stack[over:]
+                    quiet = quiet if quiet < len(stack) else -1
+                if over >= 0 and tag == "select":
+                    continue
+            block = tag in BLOCK_TAGS and not foreign
             if block:
-                flush()
-                shut = next((k for k in range(len(stack) - 1, -1, -1) if tag in CLOSED_BY.get(stack[k][0], ()) or stack[k][0] == "p"), None)
-                if shut is not None and not any(t in ("table", "ul", "ol", "dl") for t, _ in stack[shut + 1 :]):
+                bar = last(START_BARS, quiet) if quiet >= 0 else -1
+                shut = next((k for k in range(len(stack) - 1, bar, -1) if tag in CLOSED_BY.get(stack[k][0], ()) or stack[k][0] == "p"), None)
+                if shut is not None and any(t in ("table", "ul", "ol", "dl") for t, _ in stack[shut + 1 :]):
+                    shut = None
+                if quiet < 0 or shut is not None and shut < quiet:
+                    flush()
+                    quiet = -1
+                if shut is not None:
                     del stack[shut:]
-            elif tag == "br":
+            elif tag == "br" and quiet < 0:
                 parts.append(" ")
-            if tag not in VOID_TAGS and not m["attrs"].endswith("/"):
+            closed = _SELF_CLOSED.search(m["attrs"]) if tag in FOREIGN else tag not in SILENT_TAGS and m["attrs"].endswith("/")
+            if tag not in VOID_TAGS and not closed:
+                if quiet < 0 and tag in SILENT_TAGS:
+                    quiet = len(stack)
                 names = frozenset(x for n in _NAMED.findall(m["attrs"]) for x in _PART.findall("".join(n).lower())) if m["attrs"] else frozenset()
                 stack.append((tag, names))
         elif m["close"]:
             tag = m["close"].lower()
-            if tag in BLOCK_TAGS:
+            bar = max(0, last(END_BARS, quiet)) if quiet >= 0 else 0
+            k = next((k for k in range(len(stack) - 1, bar - 1, -1) if stack[k][0] == tag), None)
+            inside = quiet >= 0 and (k is None or k >= quiet)
+            if tag in BLOCK_TAGS and not inside:
                 flush()
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if at is not None:
-                del stack[at:]
+            if k is not None:
+                del stack[k:]
+                quiet = quiet if quiet < len(stack) else -1
     flush()
     return out
 

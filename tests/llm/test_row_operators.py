@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 import sentencepiece
 
-from fieldloom.llm import licenses, quality, secrets, sharding
+from fieldloom.llm import html_text, licenses, quality, secrets, sharding
 from fieldloom.llm.pieces import PieceCodec, encode_decode, model_bytes
 
 from .hard_cases import HARD, frame, prose
@@ -200,3 +200,26 @@ def test_shards_of_hard_cases(spark):
     assert sharding.assign_shards(frame(spark, [])).count() == 0
     rows = sharding.assign_shards(frame(spark, HARD, [None, None, *range(len(HARD) - 2)])).collect()
     assert len(rows) == len(HARD) and {r.law for r in rows} == {"bytes"}
+
+
+@pytest.mark.parametrize(
+    ("page", "shown"),
+    [
+        ("<html><head><title>t</title><body><article><p>Hello", ["Hello"]),
+        ("<head><title>t</title><style>s</style><p>Hello", ["Hello"]),
+        ("<head><title>t</title><script>s</script></head>x", ["x"]),
+        ("<p>a</p><svg/><p>b</p>", ["a", "b"]),
+        ('<p>a</p><math x="1" /><p>b</p>', ["a", "b"]),
+        ("<p>a<svg w=1/><text>no</text></svg>b", ["ab"]),
+        ("<svg><g>no<p>yes", ["yes"]),
+        ("<svg><foreignObject><p>no</p></foreignObject></svg>yes", ["yes"]),
+        ("<div>a<canvas>no</div><p>b", ["a", "b"]),
+        ("<div>a<button>no</div><p>b", ["a", "b"]),
+        ("<div>a<video><p>no</p></video>b</div>", ["ab"]),
+        ("<object>no<p>no</div>no</object>yes", ["yes"]),
+        ("<select><option>no<input>yes", ["yes"]),
+        ("<p>a<script>no</p>", ["a"]),
+    ],
+)
+def test_silent_elements_end_where_the_parser_ends_them(page, shown):
+    assert [b.text for b in html_text.blocks(page)] == shown
