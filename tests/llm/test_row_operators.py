@@ -43,6 +43,15 @@ def test_quality_statistics_match_brute_force(spark):
         assert r.base_failed == (n < 20 or 100 * rep > 30 * n)
 
 
+def test_quality_counts_all_digits_and_capitals(spark):
+    texts = [*corpus(spark), "0123456789 BCDFGHJKLMNPQRSTVWXYZ", "x1 ÀÉ ９ Ab"]
+    assert {"digit_share", "shout_share"} <= set(quality.FEATURES)
+    for r in quality.text_statistics(frame(spark, texts)).collect():
+        t, chars = texts[r.doc_id] or "", max(1, r.word_chars)
+        assert r.digit_share == sum(c in "0123456789" for c in t) / chars
+        assert r.shout_share == sum("A" <= c <= "Z" for c in t) / chars
+
+
 def test_quality_rules_learn_what_the_labels_say(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.quality_verdicts(docs, labels).join(labels, "doc_id").select("quality", "kept", "base_failed").collect()
