@@ -29,7 +29,7 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.apply_matrix(_fields(spark, sf_dir), "x", L.dct_basis(MODES, 64).T, "s", ["day_idx", "population", "x"])
 
 
-@query(ask("i j | value:6", DENSE_SQL, "SELECT CAST(a.day_idx AS INTEGER) AS i, CAST(b.day_idx AS INTEGER) AS j, sum(a.val * b.val) AS value FROM cells a JOIN cells b USING (p) WHERE a.day_idx < 60 AND b.day_idx < 60 GROUP BY ALL"))
+@query(ask("i j | value:6", DENSE_SQL, "SELECT CAST(a.day_idx AS INTEGER) AS i, CAST(b.day_idx AS INTEGER) AS j, sum(a.val * b.val) AS value FROM cells a JOIN cells b USING (p) GROUP BY ALL"))
 def temporal_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LA1, LA2: the Gram matrix of all days, in blocks of days that are written as rows."""
     g = L.gram_blocks(_fields(spark, sf_dir).withColumn("day_idx", F.col("day_idx").cast("long")), "day_idx", "x")
@@ -62,7 +62,10 @@ def mode_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(out, "k | norm:5 relative:6 cumulative:6")
 
 
-@query(ask("i j | value:8", MATRIX_SQL, "SELECT x.k AS i, y.k AS j, covar_samp(x.val, y.val) AS value FROM x JOIN y USING (day_idx) WHERE x.split = 'train' AND x.k < 8 AND y.k < 8 GROUP BY ALL"))
+_BLOCKS = " UNION ALL ".join(f"SELECT '{a}{b}' AS block, a.k AS i, b.k AS j, covar_samp(a.val, b.val) AS value FROM {a} a JOIN {b} b USING (day_idx) WHERE a.split = 'train' GROUP BY ALL" for a, b in ("xx", "xy", "yy"))
+
+
+@query(ask("block i j | value:8", MATRIX_SQL, _BLOCKS))
 def score_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LA9: all of Sxx, Sxy and Syy with 1 / (n - 1), from a 64 by 64 matrix summed over partitions."""
     m = A.matrices(spark, sf_dir).where("split = 'train'").select(F.concat("x", "y").alias("xy"))
@@ -235,7 +238,7 @@ def top_mode_increases(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- bootstrap of vector quantities by counts
 
 
-_VEC = f"{_SPLIT}, v AS (SELECT population, day_idx, dense_rank() OVER (PARTITION BY population ORDER BY day_idx) - 1 AS pos, j, a_in FROM h WHERE population < 3), sizes AS (SELECT population, count(DISTINCT day_idx) AS n FROM v GROUP BY population), starts AS ({starts_sql('sizes', '10', 100)}), counts AS ({_COUNTS.format(by='population', starts='starts')}), rj AS (SELECT population, rep, j, sum(times * a_in) / sum(times) AS mu, sum(times * a_in * a_in) / sum(times) AS m2 FROM counts JOIN v ON v.population = counts.population AND v.pos = counts.day_idx GROUP BY ALL), rb AS (SELECT population, rep, sum(mu * mu) AS b, sum(m2) AS m FROM rj GROUP BY ALL)".replace("SELECT population, rep, j, sum", "SELECT counts.population, rep, j, sum")
+_VEC = f"{_SPLIT}, v AS (SELECT population, day_idx, dense_rank() OVER (PARTITION BY population ORDER BY day_idx) - 1 AS pos, j, a_in FROM h), sizes AS (SELECT population, count(DISTINCT day_idx) AS n FROM v GROUP BY population), starts AS ({starts_sql('sizes', '10', 100)}), counts AS ({_COUNTS.format(by='population', starts='starts')}), rj AS (SELECT population, rep, j, sum(times * a_in) / sum(times) AS mu, sum(times * a_in * a_in) / sum(times) AS m2 FROM counts JOIN v ON v.population = counts.population AND v.pos = counts.day_idx GROUP BY ALL), rb AS (SELECT population, rep, sum(mu * mu) AS b, sum(m2) AS m FROM rj GROUP BY ALL)".replace("SELECT population, rep, j, sum", "SELECT counts.population, rep, j, sum")
 
 
 def _bias_replicates(spark: SparkSession, sf_dir: str, populations: str = "true") -> tuple[DataFrame, DataFrame]:

@@ -176,7 +176,7 @@ def _points(spark: SparkSession, sf_dir: str, label: int) -> DataFrame:
     return A.table(spark, sf_dir, "embeddings").where(F.col("label") == label).select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
 
 
-_PAIRS = f"{DENSE_SQL}, pairs AS (SELECT a.day_idx AS i, b.day_idx AS j, a.population AS gi, b.population AS gj, sum((a.val - b.val) * (a.val - b.val)) AS d2 FROM cells a JOIN cells b ON a.p = b.p AND a.population < 2 AND b.population < 2 AND a.day_idx < 200 AND b.day_idx < 200 GROUP BY ALL)"
+_PAIRS = f"{DENSE_SQL}, pairs AS (SELECT a.day_idx AS i, b.day_idx AS j, a.population AS gi, b.population AS gj, sum((a.val - b.val) * (a.val - b.val)) AS d2 FROM cells a JOIN cells b ON a.p = b.p AND a.population < 2 AND b.population < 2 GROUP BY ALL)"
 
 
 @query(ask("id k | distance:6", f"{DENSE_SQL}, d AS (SELECT a.day_idx AS id, sqrt(sum((a.val - b.val) * (a.val - b.val))) AS d FROM cells a JOIN cells b ON a.p = b.p AND a.population = 0 AND b.population = 1 GROUP BY a.day_idx, b.day_idx)", "SELECT id, CAST(k AS INTEGER) AS k, d AS distance FROM (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d) AS k FROM d) WHERE k IN (1, 5, 20)"))

@@ -147,7 +147,7 @@ def thirteen_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(means, _THIRTEEN_SPEC.replace(":-2", ":0"))
 
 
-@query(ask("year season cell n | t_sum:2 e_sum:2 e_sq:0", ERRORS_SQL, "SELECT CAST(year(day) AS INTEGER) AS year, season, cell, count(*) AS n, sum(w * target) AS t_sum, sum(w * err_a) AS e_sum, sum(w * err_a * err_a) AS e_sq FROM errors WHERE cell < 24 GROUP BY ALL"))
+@query(ask("year season cell n | t_sum:2 e_sum:2 e_sq:0", ERRORS_SQL, "SELECT CAST(year(day) AS INTEGER) AS year, season, cell, count(*) AS n, sum(w * target) AS t_sum, sum(w * err_a) AS e_sum, sum(w * err_a * err_a) AS e_sq FROM errors GROUP BY ALL"))
 def season_cell_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG24, AG25: additive sums a year, season and cell, of every cell."""
     e = A.errors(spark, sf_dir).withColumn("year", F.year("day"))

@@ -1,45 +1,10 @@
-"""Queries over whole tables: their SQL twins still hold a cut, so each is held against its twin without it, or NumPy."""
+"""Score covariances of whole tables against NumPy."""
 
-import duckdb
 import numpy as np
-import pytest
 
 from fieldloom.plans import registry
 
-from .test_queries import DATA, TABLES, plain
-
-ORACLES = registry.oracle_sql()
-#: The predicates of the twins that leave rows out.
-CUTS = {
-    "energy_distance": [" AND a.day_idx < 200 AND b.day_idx < 200"],
-    "block_permutation_p_value": [" AND a.day_idx < 200 AND b.day_idx < 200"],
-    "temporal_gram": [" WHERE a.day_idx < 60 AND b.day_idx < 60"],
-    "bias_variance_replicates": [" WHERE population < 3"],
-    "bias_noise_floor": [" WHERE population < 3"],
-    "season_cell_sums": [" WHERE cell < 24"],
-}
-
-
-def rows(columns, found):
-    order = sorted(columns)
-    return sorted((tuple(plain(r[columns.index(c)]) for c in order) for r in found), key=lambda r: tuple((x is None, str(x)) for x in r))
-
-
-def whole(name):
-    c = duckdb.connect()
-    for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    sql = ORACLES[name]
-    for cut in CUTS[name]:
-        sql = sql.replace(cut, "")
-    cursor = c.execute(sql)
-    return rows([d[0] for d in cursor.description], cursor.fetchall())
-
-
-@pytest.mark.parametrize("name", sorted(CUTS))
-def test_query_equals_its_sql_without_the_cut(spark, name):
-    got = registry.queries()[name](spark, DATA)
-    assert rows(got.columns, [tuple(r) for r in got.collect()]) == whole(name)
+from .test_queries import DATA
 
 
 def test_score_covariance_has_all_blocks(spark):
