@@ -57,7 +57,7 @@ class Scratch:
         self.stages.clear()
 
 
-def join_summary(rows: DataFrame, summary: DataFrame, key: str) -> DataFrame:
+def join_summary(rows: DataFrame, summary: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """rows joined with an aggregate that has one row a key.
 
     The wrapped key makes Spark exchange the aggregate anew instead of joining where it was made: adaptive execution
@@ -65,7 +65,7 @@ def join_summary(rows: DataFrame, summary: DataFrame, key: str) -> DataFrame:
     """
     other = summary.withColumnRenamed(key, "_key")
     wrapped = lambda c: F.struct(F.col(c).alias("k"))
-    return rows.join(other, wrapped(key) == wrapped("_key")).drop("_key")
+    return rows.join(other, wrapped(key) == wrapped("_key"), how).drop("_key")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

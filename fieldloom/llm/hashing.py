@@ -1,4 +1,8 @@
-"""Vectorised 64-bit hashes of words, word windows and byte windows over flat arrays."""
+"""Vectorised hashes of words, word windows and byte windows over flat arrays.
+
+Ranges are hashed by polynomials modulo the prime 2**61 - 1. Modulo a power of two, words that follow the Thue-Morse
+sequence would all collide, whatever the base. Two bases give two hashes that are independent of one another.
+"""
 
 from __future__ import annotations
 
@@ -10,13 +14,17 @@ import pyarrow as pa
 import pyarrow.compute
 
 U64 = np.uint64
+PRIME = (1 << 61) - 1
+_P, _BITS, _HALF, _LOW = U64(PRIME), U64(61), U64(31), U64((1 << 31) - 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RANDOM = np.random.default_rng(20240607)
-_BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_BASE = int(_RANDOM.integers(1, 1 << 62)) * 2 + 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASES = [int(b) for b in _RANDOM.integers(1 << 40, PRIME - 1, 2)]
+#: Positions whose ranges are hashed together: what they need stays in a processor's cache.
+STRETCH = 1 << 16
+#: Ranges of more bytes are hashed by a digest.
+LONG = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,32 +38,74 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime."""
+    x = (x & _P) + (x >> _BITS)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """a * b modulo the prime, both below it, from products of their halves."""
+    ah, al, bh, bl = a >> _HALF, a & _LOW, b >> _HALF, b & _LOW
+    middle = ah * bl + al * bh
+    return _fold(((ah * bh) << U64(1)) + (middle >> U64(30)) + ((middle & U64((1 << 30) - 1)) << _HALF) + al * bl)
+
+
 def _powers(base: int, n: int, kept: dict = {}) -> np.ndarray:  # noqa: B006
-    """base**0 ... base**(n - 1) modulo 2**64, kept for the next call."""
+    """base**0 ... base**(n - 1) modulo the prime, kept for the next call."""
     have = kept.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = np.cumprod(have, dtype=np.uint64)
-        if size <= 1 << 23:
-            kept[base] = have
+        have = np.ones(1, np.uint64)
+        while len(have) < n:
+            have = np.concatenate((have, _times(have, U64(pow(base, len(have), PRIME)))))
+        kept[base] = have
     return have[:n]
 
 
-class RollingHash:
-    """Hashes of any ranges of a sequence of 64-bit values: equal ranges have equal hashes."""
-
-    def __init__(self, values: np.ndarray):
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * _powers(_BASE, len(values)), dtype=np.uint64, out=self.sums[1:])
-        self.back = _powers(_INVERSE, len(values) + 1)
-
-    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.back[start]
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix(self.raw(start, end) ^ (end - start).astype(np.uint64))
+def _stretch_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    power = _powers(base, len(values))
+    if values.dtype == np.uint8:
+        v = values.astype(np.uint64) + U64(1)
+        high, low = v * (power >> _HALF), v * (power & _LOW)
+    else:
+        t = _times(_fold(values), power)
+        high, low = t >> _HALF, t & _LOW
+    sums = np.zeros(len(values) + 1, np.uint64)
+    top = _fold(np.cumsum(high, dtype=np.uint64))
+    sums[1:] = _fold((top >> U64(30)) + ((top & U64((1 << 30) - 1)) << _HALF) + np.cumsum(low, dtype=np.uint64))
+    part = _fold(sums[end] + (_P - sums[start]))
+    size = (end - start).astype(np.uint64)
+    return mix(_times(part, _powers(pow(base, -1, PRIME), len(values) + 1)[start]) + size * U64(0x9E3779B97F4A7C15))
+
+
+def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of the ranges start to end of a sequence of bytes or 64-bit values: equal ranges have equal hashes.
+
+    Starts must not descend. which chooses one of two independent hashes. Work goes stretch by stretch, so memory
+    beyond the result doesn't follow the sequence's length.
+    """
+    out = np.empty(len(start), np.uint64)
+    a = 0
+    while a < len(start):
+        b = int(np.searchsorted(start, start[a] + STRETCH, "left"))
+        long = np.flatnonzero(end[a:b] - start[a:b] > LONG)
+        if len(long):
+            for k in (long + a).tolist():
+                out[k] = int.from_bytes(digest16(values[start[k] : end[k]].tobytes())[8 * which : 8 * which + 8], "little")
+        some = np.setdiff1d(np.arange(a, b), long + a) if len(long) else slice(a, b)
+        if b - a > len(long):
+            lo = int(start[a])
+            out[some] = _stretch_hashes(values[lo : int(end[some].max())], start[some] - lo, end[some] - lo, _BASES[which])
+        a = b
+    return out
+
+
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in bytes whose last is a space."""
+    space = _SPACE[data]
+    before = np.empty(len(data), bool)
+    before[:1], before[1:] = True, space[:-1]
+    return np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
 
 
 class Words:
@@ -67,33 +117,23 @@ class Words:
         self.data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
         self.text_start = np.r_[0, np.cumsum(sizes)]
-        space = _SPACE[self.data]
-        word = ~space
-        self.start = np.flatnonzero(word & np.r_[True, space[:-1]])
+        self.start, self.end = word_bounds(self.data)
         #: First word of each text, and one more.
         self.first = np.searchsorted(self.start, self.text_start)
-        if len(self.start):
-            index = np.cumsum(np.bincount(self.start, minlength=len(self.data)))
-            at = np.flatnonzero(word)
-            inside = at - self.start[index[at] - 1]
-            terms = np.zeros(len(self.data), np.uint64)
-            terms[at] = _BYTE[self.data[at]] * _powers(_BASE, int(inside.max()) + 1)[inside]
-            self.hash = mix(np.add.reduceat(terms, self.start))
-        else:
-            self.hash = np.zeros(0, np.uint64)
+        self.hash = range_hashes(self.data, self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)
 
+    def second_hash(self) -> np.ndarray:
+        """Hashes of the words that are independent of hash."""
+        return range_hashes(self.data, self.start, self.end, 1)
+
     def owner(self) -> np.ndarray:
         """The text of each word."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def byte_values(data: np.ndarray) -> np.ndarray:
-    return _BYTE[data]
-
-
 def digest16(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 

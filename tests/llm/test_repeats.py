@@ -5,7 +5,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from fieldloom.llm.byte_repeats import SuffixArrays, SuffixFamily
+from fieldloom.llm.byte_repeats import SuffixArrays, SuffixFamily, SuffixIndex
+from fieldloom.llm.common import shared_dir
+from fieldloom.llm.hashing import PRIME, Words, range_hashes
 from fieldloom.llm.minhash import drop_near_duplicates, near_duplicates
 from fieldloom.llm.repeats import remove_repeats
 from fieldloom.llm.tiling import contaminated, tile_matches, tiles
@@ -86,6 +88,81 @@ def test_family_keeps_few_levels_and_finds_all():
         assert len(family.levels) <= 6
 
 
+def test_index_finds_what_batches_share_and_reads_none_again(spark, tmp_path):
+    texts = [t for t in sample(spark) if t] * 2
+    order = np.random.default_rng(4).permutation(len(texts))
+    batches = np.array_split(order, 7)
+    index, seen, most = SuffixIndex(spark, f"{shared_dir(spark)}/index-{tmp_path.name}", 4), Counter(), 0
+    for number, batch in enumerate(batches):
+        path = f"{tmp_path}/batch-{number}"
+        frame(spark, [texts[k] for k in batch], [int(k) for k in batch]).write.parquet(path)
+        rows = {r.doc_id: r for r in index.add(spark.read.parquet(path)).collect()}
+        for f in (tmp_path / f"batch-{number}").iterdir():  # no later batch can read this one
+            f.unlink()
+        units = {int(k): texts[k].encode() for k in batch}
+        seen.update(u[i : i + 400] for u in units.values() for i in range(len(u) - 399))
+        assert set(rows) == set(units)
+        for k, u in units.items():
+            gone = np.zeros(len(u), bool)
+            for i in range(len(u) - 399):
+                if seen[u[i : i + 400]] > 1:
+                    gone[i : i + 400] = True
+            kept = np.frombuffer(u, np.uint8)[~gone].tobytes()
+            assert (rows[k].n_removed, rows[k].kept_sha256) == (gone.sum(), hashlib.sha256(kept).hexdigest()), (number, k)
+        most = max(most, len(index.levels()))
+    assert most <= 3 and [rank for _, rank in index.levels()] == [2, 1, 0]
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s[:n]
+
+
+def test_ranges_hash_as_polynomials_modulo_a_prime():
+    rng = np.random.default_rng(2)
+    for values in (rng.integers(0, 256, 500).astype(np.uint8), rng.integers(0, 1 << 63, 500).astype(np.uint64)):
+        start = np.sort(rng.integers(0, 400, 200))
+        end = start + rng.integers(0, 90, 200)
+        for which in (0, 1):
+            h = range_hashes(values, start, end, which)
+            ranges = [values[a:b].tobytes() for a, b in zip(start, end, strict=True)]
+            assert len(set(h.tolist())) == len(set(ranges))
+            assert len(set(zip(ranges, h.tolist(), strict=True))) == len(set(ranges))
+    big = np.tile(rng.integers(0, 256, 200_000).astype(np.uint8), 13)
+    at = np.arange(0, 150_000, 37)
+    assert (range_hashes(big, at, at + 400) == range_hashes(big[1_000_000:], at + 200_000, at + 200_400)).all()
+    assert (range_hashes(big, np.array([0, 200_000]), np.array([2_100_000, 2_300_000])) == range_hashes(big, np.array([0, 0]), np.array([2_100_000] * 2))).all()
+    assert PRIME == 2**61 - 1
+
+
+def test_words_of_the_thue_morse_sequence_are_told_apart(spark):
+    x = thue_morse(1024)
+    y = x.translate(str.maketrans("ab", "ba"))
+    w = Words([x.encode(), y.encode()])
+    assert w.hash[0] != w.hash[1] and w.second_hash()[0] != w.second_hash()[1]
+    assert {r.component_id for r in near_duplicates(frame(spark, [x, y])).collect()} == {0, 1}
+    more = prose(70, 34)
+    got = remove_repeats(frame(spark, [f"{x} {more}", f"{y} {more}"]), DifferenceCover()).collect()
+    assert {r.n_removed for r in got} == {0}
+    got = remove_repeats(frame(spark, [x[:512], y[:512], "z" + x[:400], y[:450] + "z"]), SuffixArrays()).collect()
+    gone = brute([t.encode() for t in (x[:512], y[:512], "z" + x[:400], y[:450] + "z")], 400)
+    assert {(r.doc_id, r.n_removed) for r in got} == {(k, g.sum()) for k, g in enumerate(gone)}
+    item = spark.createDataFrame([(0, x)], "item_id long, text string")
+    assert contaminated(frame(spark, [y]), item).count() == 0
+
+
+@pytest.mark.parametrize("method", [SuffixArrays, DifferenceCover])
+def test_long_texts(spark, method):
+    long = " ".join(f"w{k}" for k in range(400_000))
+    part = long[1_000_000:1_003_000]
+    rows = {r.doc_id: r.n_removed for r in remove_repeats(frame(spark, [long, "x " + part + " y", "q" * 2_000_000]), method()).collect()}
+    bytes_ = method is SuffixArrays
+    assert rows[0] == rows[1] == (3000 if bytes_ else len(part.split()) - 2)
+    assert rows[2] == (2_000_000 if bytes_ else 0)
+
+
 # --- 5: near duplicates
 
 
