@@ -57,6 +57,19 @@ class Scratch:
         self.stages.clear()
 
 
+def fresh(df: DataFrame, *names: str) -> str | list[str]:
+    """Names that no column of df has, whatever its case: the given ones with as many underscores as it takes."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        n = f"_{n}"
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out[0] if len(out) == 1 else out
+
+
 def join_summary(rows: DataFrame, summary: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """rows joined with an aggregate that has one row a key.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blob_key, join_summary, texts
+from .common import blob_key, fresh, join_summary, texts
 from .hashing import U64, mix, text_slices
 
 SLICE = 1 << 20
@@ -313,9 +313,7 @@ def blobs_of(docs: DataFrame) -> DataFrame:
 
 def spread(docs: DataFrame, done: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Every row of docs (columns, doc_id unless given) with what done(blob, ...) says of its text."""
-    address = "_address"
-    while address in docs.columns:
-        address += "_"
+    address = fresh(docs, "address")
     paths = docs.select(*(columns or ["doc_id"]), blob_key(F.coalesce("text", F.lit(""))).alias(address))
     return join_summary(paths, done.withColumnRenamed("blob", address), address).drop(address)
 

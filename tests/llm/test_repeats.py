@@ -1,10 +1,13 @@
 import hashlib
 import re
+import resource
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
+from fieldloom.llm import tiling
 from fieldloom.llm.byte_repeats import SuffixArrays, SuffixFamily, SuffixIndex
 from fieldloom.llm.common import shared_dir
 from fieldloom.llm.hashing import PRIME, Words, range_hashes
@@ -251,12 +254,36 @@ def test_tiles_equal_plain_greedy_tiling():
         assert tiles(doc, item) == plain_tiling(doc.tolist(), item.tolist())
 
 
-def test_contamination(spark):
-    item = [prose(31, 40, 5000), prose(32, 40, 5000), "too short item", None, ""]
+@pytest.mark.parametrize("bytes_", [8 << 20, 1])
+def test_contamination(spark, monkeypatch, bytes_):
+    monkeypatch.setattr(tiling, "BLOCK_BYTES", bytes_)  # sent to the tasks, or joined
+    item = [prose(31, 40, 5000), prose(32, 40, 5000), "too short item", None, "", "one", "u v", "q w e r", "x1 x2 x3 x4 x5"]
     benchmark = spark.createDataFrame(list(enumerate(item)), "item_id long, text string")
     a, b = item[0].split(), item[1].split()
-    texts = [" ".join(a[20:] + ["x"] * 9 + a[:20]), " ".join(a[:15]).upper(), prose(33, 300, 5000), " ".join(a + b), None, "", "too short item"]
-    got = sorted((r.doc_id, r.item_id, r.n_tiles, r.n_covered) for r in contaminated(frame(spark, texts), benchmark).collect())
-    assert got == [(0, 0, 2, 40), (3, 0, 1, 40), (3, 1, 1, 40)]
-    assert {(r.doc_id, r.n_covered) for r in tile_matches(frame(spark, texts), benchmark).collect()} >= {(1, 15)}
-    assert contaminated(frame(spark, texts), benchmark.where("false")).count() == 0
+    texts = [" ".join(a[20:] + ["x"] * 9 + a[:20]), " ".join(a[:15]).upper(), prose(33, 300, 5000), " ".join(a + b), None, "", "too short item", "it is One", "u x v", "q w e\nr", "x1 x2 x3 x4", "x5 x1 x2 x3 x4 x5"]
+    texts.append(" ".join(a + a))
+    want = []
+    for d, t in enumerate(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        for k, x in enumerate(item):
+            x = (x or "").split()
+            found = plain_tiling(w, x, min(5, len(x))) if x else []
+            if x and 2 * sum(n for *_, n in found) >= len(x):
+                want.append((d, k, len(found), sum(n for *_, n in found)))
+    docs = frame(spark, texts)
+    got = sorted((r.doc_id, r.item_id, r.n_tiles, r.n_covered) for r in contaminated(docs, benchmark).collect())
+    assert got == want and {(0, 0, 2, 40), (6, 2, 1, 3), (7, 5, 1, 1), (9, 7, 1, 4)} <= set(want)
+    assert {(r.doc_id, r.n_covered) for r in tile_matches(docs, benchmark).collect()} >= {(1, 15)}
+    assert contaminated(docs, benchmark.where("false")).count() == 0
+    left = tiling.drop_contaminated(docs.withColumn("_row", docs.doc_id), benchmark)
+    assert sorted(r.doc_id for r in left.collect()) == sorted(set(range(len(texts))) - {d for d, *_ in want}) and left.columns == [*docs.columns, "_row"]
+
+
+def test_tiles_of_equal_words_need_no_pairs():
+    began, before = time.perf_counter(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = tiles(np.zeros(20_000, np.int64), np.zeros(1000, np.int64))
+    assert found == [(0, 0, 1000)]
+    item = np.arange(1000) % 2
+    assert tiles(np.zeros(20_000, np.int64), item) == []
+    assert sum(n for *_, n in tiles(np.arange(20_000) % 3 % 2, np.arange(999) % 3 % 2)) == 999
+    assert time.perf_counter() - began < 20 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20
