@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="fieldloom-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -76,9 +78,10 @@ def join_summary(rows: DataFrame, summary: DataFrame, key: str, how: str = "inne
     The wrapped key makes Spark exchange the aggregate anew instead of joining where it was made: adaptive execution
     can then split the rows of a hot key over several tasks.
     """
-    other = summary.withColumnRenamed(key, "_key")
+    mine = fresh(rows, "key")
+    other = summary.withColumnRenamed(key, mine)
     wrapped = lambda c: F.struct(F.col(c).alias("k"))
-    return rows.join(other, wrapped(key) == wrapped("_key"), how).drop("_key")
+    return rows.join(other, wrapped(key) == wrapped(mine), how).drop(mine)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

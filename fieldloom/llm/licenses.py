@@ -7,8 +7,9 @@ the original text and evaluated with AND, OR and WITH.
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,11 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 _EXPRESSION = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.I)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.:-]+\+?")
 _BINDS = {"OR": 1, "AND": 2, "WITH": 3}
+# Families of licence identifiers, in lower case.
+_PERMISSIVE = re.compile(r"(mit|apache|bsd|isc|zlib|unlicense|cc0|cc-by-[0-9]|0bsd|boost|bsl-1|python|postgresql)")
+_KNOWN = re.compile(_PERMISSIVE.pattern + "|a?l?gpl|mpl|epl|eupl|cddl|cc-by|ofl|artistic|odbl")
+#: How sure an identifier of no known family makes us.
+UNKNOWN_SURE = 0.7
 
 
 def normalise(text: str) -> bytes:
@@ -84,26 +90,42 @@ def postfix(expression: str) -> list[str]:
     return out + ops[::-1]
 
 
-def choices(expression: str) -> list[frozenset[str]]:
-    """The sets of licences that each satisfy the expression: OR gives a choice, AND joins, WITH adds an exception.
-
-    More than 64 choices are not listed one by one: the expression then counts as all of its licences.
-    """
-    stack: list[list[frozenset[str]]] = []
-    rpn = postfix(expression)
+def evaluate(rpn: list[str], leaf: Callable, either: Callable, both: Callable, exception: Callable):
+    """The value of a postfix expression: leaf(name), and what OR, AND and WITH make of two values."""
+    stack, make = [], {"OR": either, "AND": both, "WITH": exception}
     for t in rpn:
-        if t not in _BINDS:
-            stack.append([frozenset((t.lower(),))])
-            continue
-        b, a = stack.pop(), stack.pop()
-        if t == "OR":
-            made = a + b
-        elif t == "WITH":
-            made = [frozenset(f"{x} with {y}" for x in sorted(p) for y in sorted(q)) for p in a for q in b]
+        if t in _BINDS:
+            b = stack.pop()
+            stack[-1] = make[t](stack[-1], b)
         else:
-            made = [p | q for p in a for q in b] if len(a) * len(b) <= 64 else [frozenset().union(*a, *b)]
-        stack.append(list(dict.fromkeys(made)))
-    return stack[0] if stack else []
+            stack.append(leaf(t.lower()))
+    return stack[0] if stack else None
+
+
+def choices(expression: str) -> Iterator[frozenset[str]]:
+    """The sets of licences that each satisfy the expression, one after another: OR gives a choice, AND joins, WITH adds
+    an exception. There may be exponentially many; none is made before it is asked for."""
+    either = lambda a, b: lambda: itertools.chain(a(), b())
+    both = lambda a, b: lambda: (p | q for p in a() for q in b())
+    exception = lambda a, b: lambda: (frozenset(f"{x} with {y}" for x in sorted(p) for y in sorted(q)) for p in a() for q in b())
+    made = evaluate(postfix(expression), lambda x: lambda: iter((frozenset((x,)),)), either, both, exception)
+    return made() if made else iter(())
+
+
+def licences(rpn: list[str]) -> frozenset[str]:
+    """All licences named, whether one must or may follow them; an exception stands with its licence."""
+    join = lambda a, b: a | b
+    return evaluate(rpn, lambda x: frozenset((x,)), join, join, lambda a, b: frozenset(f"{x} with {y}" for x in a for y in b)) or frozenset()
+
+
+def certainty(rpn: list[str]) -> float:
+    """How sure the expression makes us: it is as sure as the best of its alternatives, of which the weakest part counts."""
+    return evaluate(rpn, lambda x: 1.0 if _KNOWN.match(x) else UNKNOWN_SURE, max, min, lambda a, b: a) or 0.0
+
+
+def permissive(rpn: list[str]) -> bool | None:
+    """Whether one may choose permissive licences alone."""
+    return evaluate(rpn, lambda x: bool(_PERMISSIVE.match(x)), lambda a, b: a or b, lambda a, b: a and b, lambda a, b: a)
 
 
 class LicenseScanner:
@@ -122,7 +144,7 @@ class LicenseScanner:
         self.phrases.make_automaton()
 
     def scan(self, text: str) -> tuple:
-        """n_words, n_base, first_word, last_word, base_labels, labels, score, expression."""
+        """n_words, n_base, first_word, last_word, base_labels, labels, score, expression, permissive."""
         body = normalise(text)
         spaced = f" {body.decode('latin-1')} "
         places: list[int] = []
@@ -136,27 +158,30 @@ class LicenseScanner:
                     labels.add(label)
                     doubt *= 1 - sure
                 tagged |= not label
-        expression = None
+        expression = free = None
         if tagged:
             for m in _EXPRESSION.finditer(text):
                 if rpn := postfix(m[1]):
                     expression = " ".join(rpn)
-                    labels.update(x.replace(",", "") for c in choices(m[1]) for x in c)
-                    doubt = 0.0
+                    labels.update(x.replace(",", "") for x in licences(rpn))
+                    doubt *= 1 - certainty(rpn)
+                    free = permissive(rpn) if free is None else free and permissive(rpn)  # all tags hold
         first = last = None
         if places:
             first, last = (spaced.count(" ", 1, p + 1) for p in (min(places), max(places)))
         words = body.count(b" ") + 1 if body else 0
-        return words, len(places), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 - doubt, expression
+        return words, len(places), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 - doubt, expression, free
 
 
-FIELDS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expression string"
+FIELDS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expression string, permissive boolean"
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id with what was found. Null and empty texts have no words, no labels and a score of 0.
 
-    Rows are kept one to one (repeated rows and null ids too); other columns are left behind.
+    Rows are kept one to one (repeated rows and null ids too); long texts are scanned whole; other columns are left behind.
+    An identifier tag's expression decides its labels (all licences named), how much it adds to the score, and permissive
+    (whether one may choose permissive licences alone; null without an expression). expression is the last, in postfix.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +189,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids, column = batch.column("doc_id"), batch.column("text")
             rows = [scanner.scan(t.as_py() or "") for t in column]
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 4 + (pa.string(), pa.string(), pa.float64(), pa.string()), strict=True)] if rows else []
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 4 + (pa.string(), pa.string(), pa.float64(), pa.string(), pa.bool_()), strict=True)] if rows else []
             if rows:
                 yield pa.RecordBatch.from_arrays([ids, *cols], ["doc_id", *(f.split()[0] for f in FIELDS.split(", "))])
 
@@ -173,4 +198,5 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its labels, as scan_licenses defines them."""
     return scan_licenses(documents(spark, sf_dir))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, Stage, blob_key, documents, join_summary, texts
+from .common import Scratch, Stage, blob_key, documents, fresh, join_summary, texts
 from .components import connected_components
 from .hashing import U64, Words, digest16, mix, text_slices
 
@@ -139,7 +139,7 @@ def _prefixes(apart: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
     shared = shingles.groupBy("shingle").agg(F.count("*").alias("held"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("held", "shingle"))
     first = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
-    return scratch.write(shingles.join(shared, "shingle").withColumn("place", place).where(F.col("place") <= first), "minhash-prefixes")
+    return scratch.write(join_summary(shingles, shared, "shingle").withColumn("place", place).where(F.col("place") <= first), "minhash-prefixes")
 
 
 def _central_pairs(apart: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -223,13 +223,16 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns; of rows equal in id and text, one."""
-    gone = near_duplicates(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("blob").alias("_gone")).distinct()
-    rows = docs.withColumn("_blob", blob_key(F.coalesce("text", F.lit(""))))
-    rows = rows.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_blob") == F.col("_gone")), "left_anti")
-    return rows.dropDuplicates(["doc_id", "_blob"]).drop("_blob")
+    blob, id_, gone = fresh(docs, "blob", "id", "gone")
+    out = near_duplicates(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias(id_), F.col("blob").alias(gone)).distinct()
+    rows = docs.withColumn(blob, blob_key(F.coalesce("text", F.lit(""))))
+    rows = rows.join(out, (F.col("doc_id") == F.col(id_)) & (F.col(blob) == F.col(gone)), "left_anti")
+    return rows.dropDuplicates(["doc_id", blob]).drop(blob)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component and whether it stays, as near_duplicates defines them. Long texts are sketched
+    whole, extra columns are left behind."""
     return near_duplicates(documents(spark, sf_dir)).drop("blob")
 
 

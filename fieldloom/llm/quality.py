@@ -145,15 +145,37 @@ def _choices(counts: dict, feature: int, thresholds: list[float]):
         yield True, t, [x - y for x, y in zip(total, below, strict=True)]
 
 
+def candidate_thresholds(rows: DataFrame, features: tuple[str, ...], bins: int = BINS) -> list[list[float]]:
+    """For each feature the values at its k / bins quantiles, to a 128th of their size. Without rows: nothing.
+
+    Values are counted exactly in cells of their leading eight binary digits, so the driver sees some thousand counts
+    however many rows there are, and the answer doesn't depend on how they are partitioned. A threshold is the greatest
+    value of its cell.
+    """
+    two = lambda v: F.pow(F.lit(2.0), F.floor(F.log2(v)))
+    one = lambda v: F.when(v > 0, F.floor(v / two(v) * 128) * two(v)).otherwise(F.lit(0.0))
+    values = rows.select(F.posexplode(F.array(*[F.col(f).cast("double") for f in features])).alias("f", "v"))
+    cells = values.groupBy("f", one(F.col("v")).alias("cell")).agg(F.count("*").alias("n"), F.max("v").alias("top")).collect()
+    out = []
+    for k in range(len(features)):
+        mine = sorted((c.cell, c.top, c.n) for c in cells if c.f == k)
+        total, upto, found = sum(n for *_, n in mine), 0, set()
+        for _, top, n in mine:
+            if any(upto * bins < total * q <= (upto + n) * bins for q in range(1, bins)):
+                found.add(top)
+            upto += n
+        out.append(sorted(found))
+    return out if cells else []
+
+
 def learn_rules(labelled: DataFrame, features: tuple[str, ...] = FEATURES) -> list[Rule]:
     """Rules that cover bad rows of labelled(features..., bad 0/1, held boolean), in the order learned.
 
     All labelled rows count; none are collected. Without rows of both labels there are no rules.
     """
-    grid = labelled.agg(*[F.percentile_approx(f, F.array(*[F.lit(k / BINS) for k in range(1, BINS)]), 1000).alias(f) for f in features]).first()
-    if any(grid[f] is None for f in features):
+    thresholds = candidate_thresholds(labelled, features)
+    if not thresholds:
         return []
-    thresholds = [sorted(set(grid[f])) for f in features]
     # counting the thresholds below a value gives its bin
     bins = [sum((F.col(f) > F.lit(t)).cast("int") for t in ts) for f, ts in zip(features, thresholds, strict=True)]
     table = Stage(labelled.select("bad", "held", *features, F.array(*bins).alias("bins")), "quality-labelled").df
@@ -210,5 +232,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its counts and verdict. Null and empty texts have no words and fail; repeated rows each have
+    their own; long texts are counted whole; extra columns are left behind."""
     verdicts = quality_verdicts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")

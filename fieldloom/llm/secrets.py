@@ -12,12 +12,14 @@ sum over their lengths gives each match's start in code points.
 from __future__ import annotations
 
 import hashlib
+import time
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, blob_key, documents, texts
+from .common import Stage, blob_key, documents, fresh, join_summary, texts
 
 
 @dataclass(frozen=True)
@@ -51,7 +53,6 @@ MORE = (
     Rule("url_login", r"[a-z]{3,10}://[A-Za-z0-9._-]+:[^\x20\x09-\x0D@/]{6,}@", ("://",)),
 )
 RULES = BASE + MORE
-FINDING = "kind string, rank int, start long, end long"
 
 
 def _hit(rule: Rule, text: Column, lower: Column) -> Column:
@@ -64,7 +65,7 @@ def _hit(rule: Rule, text: Column, lower: Column) -> Column:
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(blob, kind, rank, start, end) of each match in blobs(blob, text, todo); rank is the rule's place."""
+    """(blob, rule_version, kind, rank, start, end) of each match in blobs(blob, text, todo); rank is the rule's place."""
     text, lower = F.col("text"), F.lower("text")
     runs = [
         F.when(
@@ -82,26 +83,45 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     matches = runs.select("blob", F.col("run.rank").alias("rank"), F.posexplode(F.arrays_zip("run.gaps", "run.sizes", "run.bodies")).alias("k", "m"))
     upto = Window.partitionBy("blob", "rank").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("m.gaps").cast("long") + F.coalesce("m.sizes", F.lit(0))).over(upto)
-    least = F.element_at(F.array(*[F.lit(r.least) for r in rules]), F.col("rank") + 1)
-    kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("rank") + 1)
+    least, kind, version = (F.element_at(F.array(*[F.lit(getattr(r, name)) for r in rules]), F.col("rank") + 1) for name in ("least", "kind", "version"))
     found = matches.select("blob", "rank", "m", end.alias("end")).where(F.col("m.sizes").isNotNull() & (F.col("m.bodies") >= least))
-    return found.select("blob", kind.alias("kind"), "rank", (F.col("end") - F.col("m.sizes")).alias("start"), "end")
+    return found.select("blob", version.alias("rule_version"), kind.alias("kind"), "rank", (F.col("end") - F.col("m.sizes")).alias("start"), "end")
+
+
+SEEN = "blob binary, rule_version string"
+FINDINGS = "blob binary, rule_version string, kind string, rank int, start long, end long"
 
 
 @dataclass
 class Ledger:
-    """What was scanned and what was found: seen(blob, rule_version) and findings(blob, kind, rank, start, end)."""
+    """What was scanned and what was found: seen(blob, rule_version) and findings(blob, rule_version, kind, rank, start, end)."""
 
     seen: DataFrame | None = None
     findings: DataFrame | None = None
 
-
-def scan(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES) -> Ledger:
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Ledger:
+        """The ledger kept in a folder; an empty one where nothing was kept yet."""
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            return cls()
+        kept = sorted(s.getPath().getName() for s in files.listStatus(folder))
+        kept = [k for k in kept if files.exists(jvm.org.apache.hadoop.fs.Path(folder, f"{k}/seen/_SUCCESS"))]  # written last
+        if not kept:
+            return cls()
+        return cls(*(spark.read.schema(kind).parquet(*[f"{path}/{k}/{name}" for k in kept]) for name, kind in (("seen", SEEN), ("findings", FINDINGS))))
+
+
+def scan(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES, keep: str | None = None) -> Ledger:
     """Scan the contents of docs that the ledger has not seen under the rules' present versions.
 
     Null texts count as empty. Repeated rows, copies and hot contents cost one scan each. Returns the
     ledger with the new pairs and findings added; the findings are written to the shared folder, so
     later reads don't scan again. Findings of rule versions that are no longer in force stay out.
+
+    keep: a folder to which the new pairs and findings are added, from which Ledger.load reads all of them again.
     """
     spark = docs.sparkSession
     ledger = ledger or Ledger()
@@ -113,21 +133,35 @@ def scan(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...]
         seen = ledger.seen.groupBy("blob").agg(F.collect_set("rule_version").alias("had"))
         rest = F.array_except(F.array(*[F.lit(v) for v in versions]), F.coalesce("had", F.array().cast("array<string>")))
         blobs = blobs.join(seen, "blob", "left").withColumn("todo", rest).where(F.size("todo") > 0).drop("had")
+    new = blobs.select("blob", F.explode("todo").alias("rule_version"))
     found = scan_blobs(blobs, rules)
+    if keep:
+        part = f"{keep}/{time.time_ns():020d}-{uuid.uuid4().hex}"
+        found.write.parquet(f"{part}/findings")
+        new.write.parquet(f"{part}/seen")
+        found, new = spark.read.schema(FINDINGS).parquet(f"{part}/findings"), spark.read.schema(SEEN).parquet(f"{part}/seen")
     if ledger.findings is not None:
-        ranks = spark.createDataFrame([(r.kind, i) for i, r in enumerate(rules)], "kind string, rank int")
-        found = found.unionByName(ledger.findings.drop("rank").join(F.broadcast(ranks), "kind").select(found.columns))
-    new = blobs.select("blob", F.explode("todo").alias("rule_version"))
+        ranks = spark.createDataFrame([(r.version, i) for i, r in enumerate(rules)], "rule_version string, rank int")
+        found = found.unionByName(ledger.findings.drop("rank").join(F.broadcast(ranks), "rule_version").select(found.columns))
     seen = new if ledger.seen is None else ledger.seen.select("blob", "rule_version").unionByName(new)
-    return Ledger(seen, Stage(found, "secret-findings").df)
+    return Ledger(seen, found if keep else Stage(found, "secret-findings").df)
+
+
+def _by_blob(ledger: Ledger, blob: str, spans: str) -> DataFrame:
+    found = ledger.findings.groupBy(F.col("blob").alias(blob))
+    return found.agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias(spans))
 
 
 def spans_by_path(docs: DataFrame, ledger: Ledger, extra: list[str] | None = None) -> DataFrame:
-    """Every row of docs with the findings of its content as an array of (start, rank, end, kind), in that order."""
-    paths = docs.select(*(extra or ["doc_id"]), blob_key(F.coalesce("text", F.lit(""))).alias("blob"))
-    found = ledger.findings.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("spans"))
+    """Every row of docs with the findings of its content as an array of (start, rank, end, kind), in that order.
+
+    extra: columns that come along; those named blob or spans give way to the content address and the array.
+    """
+    kept = [c for c in extra or ["doc_id"] if c.lower() not in ("blob", "spans")]
+    paths = docs.select(*kept, blob_key(F.coalesce("text", F.lit(""))).alias("blob"))
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
-    return paths.join(Stage(found, "secret-blobs").df, "blob", "left").withColumn("spans", F.coalesce("spans", none))
+    found = Stage(_by_blob(ledger, "blob", "spans"), "secret-blobs").df
+    return paths.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", none))
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
@@ -135,9 +169,9 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
+        apart = x["start"] >= acc["at"]
         gap = F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        out = F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
+        out = F.when(apart, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
 
     done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
@@ -146,13 +180,12 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def redact_documents(docs: DataFrame, ledger: Ledger) -> DataFrame:
     """docs with every finding in text replaced by a mark, and n_chars made to fit where it changed."""
-    rows = docs.withColumn("_blob", blob_key(F.coalesce("text", F.lit(""))))
-    found = ledger.findings.groupBy(F.col("blob").alias("_blob")).agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("_spans"))
-    rows = rows.join(found, "_blob", "left")
-    rows = rows.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("_spans"))))
+    blob, spans = fresh(docs, "blob", "spans")
+    rows = join_summary(docs.withColumn(blob, blob_key(F.coalesce("text", F.lit("")))), _by_blob(ledger, blob, spans), blob, "left")
+    rows = rows.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col(spans))))
     if "n_chars" in docs.columns:
         size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        rows = rows.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(size))
+        rows = rows.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(size))
     return rows.select(docs.columns)
 
 
@@ -161,6 +194,8 @@ def _joined(spans: Column) -> Column:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its spans. Null and empty texts have none, repeated rows each have their own, long texts are
+    scanned whole, overlapping spans all count, extra columns are left behind."""
     docs = documents(spark, sf_dir)
     rows = spans_by_path(docs, scan(docs))
     of = lambda k: F.size(F.filter("spans", lambda x: x["rank"] == k)).cast("long")

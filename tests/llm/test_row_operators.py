@@ -1,12 +1,16 @@
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
-from fieldloom.llm import html_text, licenses, quality, secrets, sharding
+from fieldloom.llm import html_text, licenses, minhash, quality, secrets, sharding
+from fieldloom.llm.common import shared_dir
 from fieldloom.llm.pieces import PieceCodec, encode_decode, model_bytes
 
 from .hard_cases import HARD, frame, prose
@@ -61,6 +65,58 @@ def test_quality_rules_learn_what_the_labels_say(spark):
     assert sum(not r.kept for r in good) <= 0.02 * len(good)
 
 
+def test_rules_do_not_depend_on_partitioning(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.text_statistics(docs).join(labels, "doc_id").select(*quality.FEATURES, (1 - labels.quality).alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("held")).cache()
+    learned = [quality.learn_rules(rows.repartition(n)) for n in (1, 3, 17)]
+    assert learned[0] and learned[0] == learned[1] == learned[2]
+    assert learned[0] == brute_rules([r.asDict() for r in rows.collect()])
+    rows.unpersist()
+
+
+def cell(v):
+    return math.floor(v / 2.0 ** math.floor(math.log2(v)) * 128) * 2.0 ** math.floor(math.log2(v)) if v > 0 else 0.0
+
+
+def brute_rules(rows):
+    """Sequential covering over plain rows: the same thresholds, gain, precision and pruning."""
+    thresholds = {}
+    for f in quality.FEATURES:
+        values, tops = sorted(r[f] for r in rows), {}
+        for v in values:
+            tops[cell(v)] = max(v, tops.get(cell(v), v))
+        thresholds[f] = sorted({tops[cell(values[math.ceil(len(values) * q / 32) - 1])] for q in range(1, 32)})
+    left, rules = rows, []
+    while len(rules) < quality.MAX_RULES:
+        rule, heads, now = [], [], left
+        count = lambda rs, held, bad: sum(bool(r["held"]) == held and r["bad"] == bad for r in rs)
+        while len(rule) < quality.MAX_CONDITIONS:
+            p0, n0 = count(now, False, 1), count(now, False, 0)
+            best = None
+            for k, f in enumerate(quality.FEATURES):
+                for t in thresholds[f]:
+                    for up in (False, True):
+                        part = [r for r in now if (r[f] > t) == up]
+                        gain = quality._gain(count(part, False, 1), count(part, False, 0), p0, n0)
+                        counts_ = tuple(count(part, h, b) for h in (False, True) for b in (1, 0))
+                        if best is None or (gain, -k, up, t, counts_) > best[:5]:
+                            best = (gain, -k, up, t, counts_, part)
+            if best is None or best[0] <= 1e-9:
+                break
+            rule.append(quality.Condition(quality.FEATURES[-best[1]], best[2], best[3]))
+            heads.append(best[4])
+            now = best[5]
+            if best[4][1] == 0:
+                break
+        good = [k for k, (p, n, hp, hn) in enumerate(heads) if p >= quality.LEAST_COVER and p >= quality.PRECISION * (p + n) and hp and hp >= quality.PRECISION * (hp + hn)]
+        if not good:
+            break
+        head = max(good, key=lambda k: ((heads[k][2] - heads[k][3]) / (heads[k][2] + heads[k][3]), -k))
+        rules.append(tuple(rule[: head + 1]))
+        left = [r for r in left if not all((r[c.feature] > c.threshold) == c.above for c in rules[-1])]
+    return rules
+
+
 def test_quality_without_rows_or_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.quality_verdicts(frame(spark, []), none).count() == 0
@@ -130,6 +186,39 @@ def test_ledger_scans_only_what_is_new(spark):
     whole = secrets.spans_by_path(new, secrets.scan(new)).collect()
     assert sorted(map(str, secrets.spans_by_path(new, second).collect())) == sorted(map(str, whole))
     assert third.seen.where("rule_version like 'hex@%'").count() == 2 + len(SECRET)
+    assert {r.rule_version for r in third.findings.where("kind = 'hex'").collect()} <= {changed[2].version}
+
+
+def test_ledger_is_kept_and_reads_no_text_again(spark, tmp_path):
+    path, old = f"{shared_dir(spark)}/ledger-{tmp_path.name}", f"{tmp_path}/old"
+    frame(spark, SECRET[:3]).write.parquet(old)
+    assert secrets.Ledger.load(spark, path).seen is None
+    secrets.scan(spark.read.parquet(old), keep=path)
+    for f in (tmp_path / "old").iterdir():
+        f.unlink()
+    docs = frame(spark, [*SECRET, None])
+    ledger = secrets.scan(docs, secrets.Ledger.load(spark, path), keep=path)
+    whole = secrets.spans_by_path(docs, secrets.scan(docs)).collect()
+    assert sorted(map(str, secrets.spans_by_path(docs, ledger).collect())) == sorted(map(str, whole))
+    last = sorted(p.name for p in Path(path.removeprefix("file:")).iterdir())[-1]
+    assert spark.read.parquet(f"{path}/{last}/seen").count() == (len(SECRET) - 2) * len(secrets.RULES)  # two new texts and the empty one
+    again = secrets.scan(docs, secrets.Ledger.load(spark, path), keep=path)
+    assert again.seen.count() == (len(SECRET) + 1) * len(secrets.RULES) and again.findings.count() == ledger.findings.count()
+
+
+def test_rows_with_clashing_names(spark):
+    names = ["_blob", "_spans", "_id", "_gone", "_key", "_row", "blob", "shard_", "lane", "k1", "_key_"]
+    docs = frame(spark, [*SECRET, SECRET[0], None]).drop("blob")
+    for k, n in enumerate(names):
+        docs = docs.withColumn(n, F.lit(k))
+    for out in (secrets.redact_documents(docs, secrets.scan(docs)), minhash.drop_near_duplicates(docs)):
+        rows = out.collect()
+        assert out.columns == docs.columns and len(rows) >= len(SECRET) and all(r[n] == k for r in rows for k, n in enumerate(names))
+    assert secrets.spans_by_path(docs, secrets.scan(docs), docs.columns).count() == docs.count()
+    assert sharding.assign_shards(docs, 3).count() == docs.count()
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    more = frame(spark, [prose(1, 60)]).withColumn("_row", F.lit(7))
+    assert [r._row for r in quality.keep_good(more, none).collect()] == [7]
 
 
 def test_redaction(spark):
@@ -180,6 +269,22 @@ def test_license_expressions(said, want):
     assert [set(x) for x in licenses.choices(said)] == want
 
 
+def test_license_labels_and_score_follow_the_expression():
+    scan = licenses.LicenseScanner().scan
+    tag = "SPDX-License-Identifier: "
+    assert scan(tag + "MIT OR GPL-2.0")[4:] == ("", "gpl-2.0,mit", 1.0, "MIT GPL-2.0 OR", True)
+    assert scan(tag + "MIT AND GPL-2.0")[4:] == ("", "gpl-2.0,mit", 1.0, "MIT GPL-2.0 AND", False)
+    assert scan(tag + "MIT AND Odd-1")[5:8] == ("mit,odd-1", pytest.approx(0.7), "MIT Odd-1 AND")
+    assert scan(tag + "MIT OR Odd-1")[6] == 1.0
+    assert scan(tag + "GPL-2.0 WITH Classpath-exception-2.0")[5] == "gpl-2.0 with classpath-exception-2.0"
+    assert scan(tag + "(MIT")[5:] == ("", 0.0, None, None) and scan("")[:8] == (0, 0, None, None, "", "", 0.0, None)
+    assert scan("under the Mozilla Public License and the MIT License")[5:7] == ("mit,mpl", pytest.approx(0.99))
+    many = " AND ".join(f"(a{k} OR b{k})" for k in range(200))
+    words, *_, labels, score, _, free = scan(tag + many)
+    assert len(labels.split(",")) == 400 and score == pytest.approx(0.7) and free is False
+    assert len(next(licenses.choices(many))) == 200
+
+
 # --- 9: sharding
 
 
@@ -205,6 +310,38 @@ def test_equal_texts_share_a_shard(spark):
     assert all(len(x) == 1 for x in where.values())
 
 
+def test_equal_rows_are_cut_between_shards(spark):
+    texts = [prose(i, 40) for i in range(2000)] + [prose(1, 40)] * 4000
+    rows = sharding.assign_shards(frame(spark, texts, [*range(2000), *[None] * 4000]), 40).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r.shard] += r.size
+    assert len(rows) == 6000 and set(sizes) == set(range(40)) and max(sizes.values()) - min(sizes.values()) <= 2 * 400
+
+
+def test_shards_of_lanes(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 50)
+    texts = [prose(i % 700, 30) for i in range(1000)] + [prose(9, 30)] * 600
+    rows = sharding.assign_shards(frame(spark, texts, [*range(1000), *[3] * 600]), 4).collect()
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(rows) == 1600 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_written_shards_hold_all_rows(spark, tmp_path):
+    texts = [*HARD, *[prose(i % 90, 30) for i in range(300)], *[prose(5, 30)] * 300]
+    docs = frame(spark, texts, [None if k % 3 == 0 else k for k in range(len(texts))]).withColumn("_k1", F.lit(4))
+    sharding.write_shards(docs, f"{tmp_path}/out", 5)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    sizes = {r.shard: r.n for r in back.groupBy("shard").agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 16).alias("n")).collect()}
+    assert set(sizes) == set(range(5)) and max(sizes.values()) < 1.1 * min(sizes.values())
+    key = lambda r: tuple(map(str, r))
+    assert sorted(back.drop("shard").collect(), key=key) == sorted(docs.collect(), key=key)
+    with pytest.raises(ValueError, match="clash"):
+        sharding.write_shards(docs.withColumn("Shard", F.lit(1)), f"{tmp_path}/no")
+
+
 def test_shards_of_hard_cases(spark):
     assert sharding.assign_shards(frame(spark, [])).count() == 0
     rows = sharding.assign_shards(frame(spark, HARD, [None, None, *range(len(HARD) - 2)])).collect()
