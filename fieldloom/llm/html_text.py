@@ -24,40 +24,111 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is never shown as part of a page's prose.
-#: what is in the first holds no tags and ends at its end tag only, or with the page; the others hold elements.
+#: Elements whose text is no part of a page's prose: scripts, styles, form controls, graphics and what is never shown.
+#: What is in the first holds no tags and ends at its end tag only, or with the page; the others hold elements.
 RAW_TAGS = frozenset("script style noscript iframe title textarea".split())
-SILENT_TAGS = frozenset("template svg math object canvas select button datalist audio video".split())
+SILENT_TAGS = frozenset("template svg select button datalist annotation annotation-xml".split())
 #: No end tag within the first, and no start tag within the second, closes an element around them.
-END_BARS, START_BARS = frozenset("template object select".split()), frozenset("template object select button".split())
-#: Start tags that end an open svg or math, but not within those of its elements that hold HTML; tags that end a select.
-FOREIGN, HTML_WITHIN = frozenset(("svg", "math")), frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+END_BARS, START_BARS = ("template", "object", "select"), ("template", "object", "select", "button")
+#: Elements within a line whose end ends the blocks they hold.
+HOLDS_BLOCKS = frozenset("object audio video canvas".split())
+#: Start tags that end an open svg, but not within those of its elements that hold HTML; tags that end a select.
+HTML_WITHIN = ("foreignobject", "desc", "title")
 BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 ENDS_SELECT = frozenset("select input textarea".split())
 #: An open element of the key is closed by a tag of the values (or, for p, by any block).
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|</(?P<close>[a-zA-Z][^\s>/]*)[^>]*>|<(?P<open>[a-zA-Z][^\s>/]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<)""",
-    re.S | re.I,
-)
-_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW_TAGS}
-#: A slash that ends an unquoted value doesn't close the element.
-_SELF_CLOSED = re.compile(r"""(?:\A|[\s"'])[^\s"'=]*/\Z""")
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_CLOSES = {t: ("p", *(k for k, v in CLOSED_BY.items() if t in v)) for t in BLOCK_TAGS}
+_HOLDERS = ("table", "ul", "ol", "dl")
+#: Tags whose names are features.
+_TOLD_TAGS = BLOCK_TAGS | frozenset("a abbr b cite code em i label q s small span strong sub sup u math object audio video canvas".split())
+# No repetition below can be entered twice over the same text, so a tag is read in time in proportion to its length.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:\s++[^\s"'<>/=]++(?:=(?:"[^"]*+"|'[^']*+'|[^\s"'<>=]++))?+)*+)\s*+(/?)>""")
+_TAG_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_ATTRIBUTE = re.compile(r"""[\s/]*+(?:>|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+)""")
+_NAMED = re.compile(r"""\s(?:class|id|role)=(?:"([^"]*+)"|'([^']*+)'|([^\s"']++))""", re.I)
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW_TAGS}
 _PART = re.compile(r"[a-z]{2,}")
 ENDS = tuple(".!?…。！？")
 
 
-class Block:
-    __slots__ = ("text", "path", "names", "link_chars")
+class Context:
+    """Where a block is: what its innermost element adds to what the elements around it say."""
+
+    __slots__ = ("parent", "tags", "names", "last", "block")
+
+    def __init__(self, parent: Context | None, tag: str, tags: tuple[str, ...], names: tuple[str, ...]):
+        self.parent, self.tags, self.names, self.last = parent, tags, names, tag
+        self.block = tag if tag in BLOCK_TAGS else parent.block if parent else ""
+
+    def told(self) -> list[str]:
+        """Features of this element that none around it has."""
+        return [f"in:{t}" for t in self.tags] + [f"name:{x}" for x in self.names]
+
+
+class _Open:
+    """The open elements. Finding the innermost of a name takes the same time at any depth."""
 
-    def __init__(self, text: str, path: tuple[str, ...], names: frozenset[str], link_chars: int):
-        self.text, self.path, self.names, self.link_chars = text, path, names, link_chars
+    def __init__(self):
+        self.tags: list[str] = []
+        self.contexts: list[Context] = []
+        self.at: dict[str, list[int]] = {}
+        self.names: dict[str, int] = {}
+
+    def push(self, tag: str, names: set[str]) -> None:
+        tags = () if tag not in _TOLD_TAGS or self.at.get(tag) else (tag,)
+        new = tuple(sorted(x for x in names if x not in self.names))
+        depth = len(self.tags)
+        for x in new:
+            self.names[x] = depth
+        self.contexts.append(Context(self.contexts[-1] if depth else None, tag, tags, new))
+        self.at.setdefault(tag, []).append(depth)
+        self.tags.append(tag)
+
+    def cut(self, k: int) -> None:
+        """Close the k-th element and all within."""
+        while len(self.tags) > k:
+            self.at[self.tags.pop()].pop()
+            for x in self.contexts.pop().names:
+                del self.names[x]
+
+    def last(self, *tags: str) -> int:
+        return max((p[-1] for t in tags if (p := self.at.get(t))), default=-1)
+
+
+class Block:
+    __slots__ = ("text", "context", "link_chars")
+
+    def __init__(self, text: str, context: Context | None, link_chars: int):
+        self.text, self.context, self.link_chars = text, context, link_chars
+
+
+def _read_tag(page: str, at: int) -> tuple[str, bool, set[str], bool, int] | None:
+    """The tag at a '<' and a letter: name, whether an end tag, words of class, id and role, whether closed by itself,
+    and where it ends. None if the page ends within. A quote that is never closed is taken as any other character."""
+    m = _TAG.match(page, at)
+    if m:
+        said, end = m[3], m.end()
+        names = {x for n in _NAMED.findall(said) for x in _PART.findall("".join(n).lower())} if said else set()
+        return m[2].lower(), bool(m[1]), names, bool(m[4]), end
+    m = _TAG_NAME.match(page, at)
+    tag, close, names, end = m[1].lower(), page[at + 1] == "/", set(), m.end()
+    while a := _ATTRIBUTE.match(page, end):
+        name = a[1]
+        if name is None:
+            return tag, close, names, a[0].endswith("/>"), a.end()
+        if name.lower() in ("class", "id", "role"):
+            names.update(_PART.findall((a[2] or a[3] or a[4] or "").lower()))
+        end = a.end()
+    return None
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order. Unclosed, misnested and cut-off tags are taken as browsers mostly do."""
-    stack: list[tuple[str, frozenset[str]]] = []
+    """Leaf blocks in page order. Unclosed, misnested and cut-off tags are taken as browsers mostly do.
+
+    Time is in proportion to the page's length: each character is looked at a bounded number of times.
+    """
+    open_ = _Open()
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
@@ -67,91 +138,105 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                names = frozenset().union(*(n for _, n in stack)) if stack else frozenset()
-                out.append(Block(text, tuple(t for t, _ in stack), names, linked))
+                out.append(Block(text, open_.contexts[-1] if open_.contexts else None, linked))
             parts.clear()
         linked = 0
 
-    def last(tags: frozenset[str], least: int = 0) -> int:
-        return next((k for k in range(len(stack) - 1, least - 1, -1) if stack[k][0] in tags), -1)
+    quiet, at, size = -1, 0, len(page)  # place of the outermost silent element that is open; place in the page
 
-    quiet, at = -1, 0  # place of the outermost silent element that is open; place in the page
-    while m := _TOKEN.match(page, at):
-        at = m.end()
-        kind = m.lastgroup
-        if kind == "text":
+    def cut(k: int) -> None:
+        nonlocal quiet
+        open_.cut(k)
+        if quiet >= len(open_.tags):
+            quiet = -1
+
+    while at < size:
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = size if end < 0 else end
             if quiet < 0:
-                parts.append(m["text"])
-                if any(t == "a" for t, _ in stack):
-                    linked += len(m["text"])
-        elif m["open"]:
-            tag = m["open"].lower()
-            if tag == "head":  # what it may hold is silent or void, and anything else ends it
-                continue
-            foreign = quiet >= 0 and (root := last(FOREIGN, quiet)) >= 0 and last(HTML_WITHIN, root + 1) < 0
-            if foreign and tag in BREAKS_OUT:
-                while foreign:
-                    del stack[root:]
-                    foreign = quiet < len(stack) and (root := last(FOREIGN, quiet)) >= 0 and last(HTML_WITHIN, root + 1) < 0
-                quiet = quiet if quiet < len(stack) else -1
-            if tag in RAW_TAGS and not foreign:
-                if tag == "textarea" and quiet >= 0 and (k := last(frozenset(("select",)), quiet)) >= 0:
-                    del stack[k:]
-                    quiet = quiet if quiet < len(stack) else -1
-                end = _RAW_END[tag].search(page, at)
-                at = end.end() if end else len(page)
+                parts.append(page[at:end])
+                if open_.at.get("a"):
+                    linked += end - at
+            at = end
+            continue
+        after = page[at + 1 : at + 3]
+        if after[:1] in "!?/" and after and not (after[0] == "/" and (len(after) < 2 or after[1].isascii() and after[1].isalpha())):
+            mark = "-->" if page.startswith("<!--", at) else ">"
+            end = page.find(mark, at + (4 if mark == "-->" else 2))
+            at = size if end < 0 else end + len(mark)
+            continue
+        if not (after[:1].isascii() and after[:1].isalpha() or len(after) == 2 and after[0] == "/"):
+            if quiet < 0:
+                parts.append("<")
+            at += 1
+            continue
+        read = _read_tag(page, at)
+        if read is None:  # the page ends within a tag
+            break
+        tag, close, names, slash, at = read
+        if close:
+            k, bar = open_.last(tag), open_.last(*END_BARS)
+            if k < bar:
+                k = -1
+            inside = quiet >= 0 and (k < 0 or k >= quiet)
+            if not inside and (tag in BLOCK_TAGS and (k >= 0 or bar < 0) or tag in HOLDS_BLOCKS and k >= 0 and any(t in BLOCK_TAGS for t in open_.tags[k:])):
+                flush()
+            if k >= 0:
+                cut(k)
+            continue
+        if tag == "head":  # what it may hold is silent or void, and anything else ends it
+            continue
+        while (foreign := (root := open_.last("svg")) >= 0 and root > open_.last(*HTML_WITHIN)) and tag in BREAKS_OUT:
+            cut(root)
+        if tag in RAW_TAGS and not foreign:
+            if tag == "textarea" and (k := open_.last("select")) >= 0:
+                cut(k)
+            end = _RAW_END[tag].search(page, at)
+            end = page.find(">", end.end()) if end else -1
+            at = size if end < 0 else end + 1
+            continue
+        over = open_.last("select") if tag in ENDS_SELECT else open_.last("button") if tag == "button" else -1
+        if over >= 0:
+            cut(over)
+            if tag == "select":
                 continue
-            if quiet >= 0:
-                over = last(frozenset(("select",)), quiet) if tag in ENDS_SELECT else last(frozenset(("button",)), quiet) if tag == "button" else -1
-                if over >= 0:
-                    del stack[over:]
-                    quiet = quiet if quiet < len(stack) else -1
-                if over >= 0 and tag == "select":
-                    continue
-            block = tag in BLOCK_TAGS and not foreign
-            if block:
-                bar = last(START_BARS, quiet) if quiet >= 0 else -1
-                shut = next((k for k in range(len(stack) - 1, bar, -1) if tag in CLOSED_BY.get(stack[k][0], ()) or stack[k][0] == "p"), None)
-                if shut is not None and any(t in ("table", "ul", "ol", "dl") for t, _ in stack[shut + 1 :]):
-                    shut = None
-                if quiet < 0 or shut is not None and shut < quiet:
-                    flush()
-                    quiet = -1
-                if shut is not None:
-                    del stack[shut:]
-            elif tag == "br" and quiet < 0:
-                parts.append(" ")
-            closed = _SELF_CLOSED.search(m["attrs"]) if tag in FOREIGN else tag not in SILENT_TAGS and m["attrs"].endswith("/")
-            if tag not in VOID_TAGS and not closed:
-                if quiet < 0 and tag in SILENT_TAGS:
-                    quiet = len(stack)
-                names = frozenset(x for n in _NAMED.findall(m["attrs"]) for x in _PART.findall("".join(n).lower())) if m["attrs"] else frozenset()
-                stack.append((tag, names))
-        elif m["close"]:
-            tag = m["close"].lower()
-            bar = max(0, last(END_BARS, quiet)) if quiet >= 0 else 0
-            k = next((k for k in range(len(stack) - 1, bar - 1, -1) if stack[k][0] == tag), None)
-            inside = quiet >= 0 and (k is None or k >= quiet)
-            if tag in BLOCK_TAGS and not inside:
+        if tag in BLOCK_TAGS and not foreign:
+            shut = open_.last(*_CLOSES[tag])
+            if shut < open_.last(*START_BARS) or shut < open_.last(*_HOLDERS):
+                shut = -1
+            if quiet < 0 or 0 <= shut < quiet:
                 flush()
-            if k is not None:
-                del stack[k:]
-                quiet = quiet if quiet < len(stack) else -1
+            if shut >= 0:
+                cut(shut)
+        elif tag == "br" and quiet < 0:
+            parts.append(" ")
+        if tag not in VOID_TAGS and not (slash and (tag not in SILENT_TAGS or tag == "svg" or foreign)):
+            if quiet < 0 and tag in SILENT_TAGS:
+                quiet = len(open_.tags)
+            open_.push(tag, names)
     flush()
     return out
 
 
-def features(b: Block, k: int, n: int) -> list[str]:
+def _own_features(b: Block, k: int, n: int) -> list[str]:
     chars = len(b.text)
     words = b.text.count(" ") + 1
     out = ["any", f"len{min(9, int(math.log2(chars + 1)))}", f"words{min(8, int(math.log2(words)) if words else 0)}", f"link{min(4, 4 * b.link_chars // max(1, chars))}", f"place{min(4, 5 * k // max(1, n))}"]
     out.append("ends" if b.text.endswith(ENDS) else "open")
     if words > 3 and b.text[:1].isupper() and b.text.endswith(ENDS):
         out.append("sentence")
-    out += [f"in:{t}" for t in set(b.path)]
-    if b.path:
-        out.append(f"leaf:{next((t for t in reversed(b.path) if t in BLOCK_TAGS), b.path[-1])}")
-    out += [f"name:{x}" for x in b.names]
+    if b.context:
+        out.append(f"leaf:{b.context.block or b.context.last}")
+    return out
+
+
+def features(b: Block, k: int, n: int) -> list[str]:
+    """Features of the block itself and of all elements around it."""
+    out, c = _own_features(b, k, n), b.context
+    while c:
+        out += c.told()
+        c = c.parent
     return out
 
 
@@ -169,12 +254,23 @@ class FieldModel:
         (m00, m01), (m10, m11) = self.move
         get, back = self.state.get, []
         a, b = self.start
-        for k, x in enumerate(bs):
-            e0 = e1 = 0.0
-            for f in features(x, k, n):
+        around: dict[Context | None, tuple[float, float]] = {None: (0.0, 0.0)}  # what elements add, each once
+
+        def add(names: list[str], e0: float, e1: float) -> tuple[float, float]:
+            for f in names:
                 if (w := get(f)) is not None:
                     e0 += w[0]
                     e1 += w[1]
+            return e0, e1
+
+        for k, x in enumerate(bs):
+            chain, c = [], x.context
+            while c not in around:
+                chain.append(c)
+                c = c.parent
+            for c in reversed(chain):
+                around[c] = add(c.told(), *around[c.parent])
+            e0, e1 = add(_own_features(x, k, n), *around[x.context])
             if k:
                 from0, from1 = a + m00 >= b + m10, a + m01 >= b + m11
                 back.append((0 if from0 else 1, 0 if from1 else 1))
@@ -352,7 +448,12 @@ def main_text(page: str | None, model: FieldModel) -> str:
 
 
 def extract(pages: DataFrame, model: FieldModel | None = None) -> DataFrame:
-    """page_id, url, text and n_chars of every row of pages. Other columns are left behind; repeated rows stay."""
+    """page_id, url, text and n_chars of every row of pages, in time in proportion to the page's length.
+
+    Null and empty pages, and those without an article, have an empty text. Repeated rows and null ids stay, each with its
+    own result; of labels equally probable, "not article" holds. Long pages are read whole; a page that ends within a
+    tag ends before it. Other columns are left behind.
+    """
     model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,4 +469,5 @@ def extract(pages: DataFrame, model: FieldModel | None = None) -> DataFrame:
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, as extract defines it."""
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))

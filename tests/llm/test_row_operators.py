@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -359,13 +360,57 @@ def test_shards_of_hard_cases(spark):
         ("<p>a<svg w=1/><text>no</text></svg>b", ["ab"]),
         ("<svg><g>no<p>yes", ["yes"]),
         ("<svg><foreignObject><p>no</p></foreignObject></svg>yes", ["yes"]),
-        ("<div>a<canvas>no</div><p>b", ["a", "b"]),
+        ("<div>a<canvas>c</div><p>b", ["ac", "b"]),
+        ("Energy is <math><mi>E</mi><annotation>no</annotation></math> here", ["Energy is E here"]),
         ("<div>a<button>no</div><p>b", ["a", "b"]),
-        ("<div>a<video><p>no</p></video>b</div>", ["ab"]),
-        ("<object>no<p>no</div>no</object>yes", ["yes"]),
+        ("<div>a<video><p>c</p></video>b</div>", ["a", "c", "b"]),
+        ("<div><object>x<p>y</div>z</object>yes", ["x", "yz", "yes"]),
+        ("<p>a <audio>b</audio><object>c</object> d", ["a bc d"]),
         ("<select><option>no<input>yes", ["yes"]),
         ("<p>a<script>no</p>", ["a"]),
     ],
 )
 def test_silent_elements_end_where_the_parser_ends_them(page, shown):
     assert [b.text for b in html_text.blocks(page)] == shown
+
+
+@pytest.mark.parametrize(
+    ("page", "shown"),
+    [
+        ("a<p>b</ >c</>d", ["a", "bcd"]),
+        ("a < b <1> <!x> <?y>c</", ["a < b <1> c</"]),
+        ('a<b "x>b', ["ab"]),
+        ('<a title="x>y" class=\'k l\' href=/z>b</a>', ["b"]),
+        ('a<i x="never closed>b', ["ab"]),
+        ("a<p", ["a"]),
+        ('a<p x="y', ["a"]),
+        ("<script>x</script y>a</SCRIPT", ["a"]),
+        ("a<!-- no", ["a"]),
+        ("<div/class=x>a<br/>b", ["a b"]),
+    ],
+)
+def test_odd_tags(page, shown):
+    assert [b.text for b in html_text.blocks(page)] == shown
+
+
+def test_names_and_tags_of_a_block():
+    (b,) = html_text.blocks('<div class="Side-Bar x" id=top><p role=note><b>t')
+    assert set(html_text.features(b, 0, 1)) >= {"in:div", "in:p", "in:b", "name:side", "name:bar", "name:top", "name:note", "leaf:p"}
+    assert [set(x.context.names) for x in html_text.blocks("<div class=aa>1<div class='aa bb'>2</div><div class=bb>3")] == [{"aa"}, {"bb"}, {"bb"}]
+
+
+BROKEN = ["<script", "<script ", "<script>", '<a "', '<a x="', '<a x=">"', "<a x='", "<b>", "<b>x<p>", "</", "</a", "<!", "<!--", "<", "</script ", "<p>x", "<div class=aa>", "<li>", "<table>", "<svg>", "<svg><p>", "<select>", "<object>x</p>", "&", "&#", "<a b =", "< ", "<x y/"]
+
+
+@pytest.mark.parametrize("piece", BROKEN)
+@pytest.mark.parametrize("before", ["", "<script>", "<p>y "])
+def test_broken_pages_take_linear_time(piece, before):
+    page = before + piece * (1_000_000 // len(piece))
+    model = html_text.FieldModel({}, ((0.0, 0.0), (0.0, 0.0)), (0.0, 1.0))
+    began = time.process_time()
+    html_text.main_text(page, model)
+    assert time.process_time() - began < 4
+    unique = "".join(f"<t{k} class=n{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100 % 10]}{'efghijklmn'[k // 1000 % 10]}>" for k in range(20_000))
+    began = time.process_time()
+    html_text.main_text(unique + "x<p>" * 10_000, model)
+    assert time.process_time() - began < 4
