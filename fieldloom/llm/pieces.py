@@ -3,7 +3,8 @@
 Words of a batch are flat numpy symbol arrays. Each round finds every adjacent pair that the
 vocabulary can join, takes per word the pair of best rank (the leftmost of equals), merges these
 simultaneously over all words and compacts, until no pair is left. That is the order in which the
-library pops its agenda, so the ids are the same.
+library pops its agenda, so the ids are the same. A long word that can't be cut has rounds of its own, over linked
+symbols: each merges all places of the least rank that nothing comes between.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from .common import documents, texts
 
 SPACE = "▁"
 CACHED_WORDS = 300_000
+#: Longer words are cut where no piece can cross; what is longer even then has rounds of its own.
 LONG_WORD = 192
 NONE = np.int64(1 << 30)
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -32,7 +34,8 @@ class PieceCodec:
     """Encoder and decoder over the vocabulary of a SentencePiece BPE model with byte fallback.
 
     Only models with the identity normalizer, a dummy prefix, no user-defined and no unused pieces
-    are taken. The library reads the vocabulary; encoding and decoding are done here.
+    are taken; check() tells by what the library does with each piece. The library reads the vocabulary; encoding and
+    decoding are done here.
     """
 
     def __init__(self, model: bytes):
@@ -52,7 +55,6 @@ class PieceCodec:
         self.symbols = {**piece, **{c: size + k for k, c in enumerate(lone)}}
         self.width = size + len(lone) + 1  # the last symbol stands for any other character
         keys, merged, ranks = [], [], []
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for p, i in piece.items():
             for k in range(1, len(p)):
                 a, b = self.symbols.get(p[:k]), self.symbols.get(p[k:])
@@ -60,7 +62,6 @@ class PieceCodec:
                     keys.append(a * self.width + b)
                     merged.append(i)
                     ranks.append(order[sp.get_score(i)])
-                    self.pairs[a, b] = (ranks[-1], i)
         at = np.argsort(np.array(keys, np.int64))
         self.keys = np.array(keys, np.int64)[at]
         self.merged, self.ranks = np.array(merged, np.int64)[at], np.array(ranks, np.int64)[at]
@@ -128,34 +129,68 @@ class PieceCodec:
     def _ids(self, symbol: int, cp: int) -> list[int]:
         return [symbol] if symbol < self.size else [self.byte_ids[b] for b in chr(cp).encode()]
 
-    def _agenda(self, word: str) -> list[int]:
-        """The same merges for one very long word, in O(n log n)."""
-        sym, cp = (x.tolist() for x in self._symbols(word))
+    def _linked_rounds(self, word: str) -> list[int]:
+        """Merge rounds for one long word, whose symbols are linked instead of compacted.
+
+        A round takes the places of the least rank and merges them all, from the left, up to the first whose product
+        makes a pair that comes before the next place. The places of each rank wait until their round, so a round
+        touches no others.
+        """
+        sym, cp = self._symbols(word)
         n = len(sym)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def offer(i: int, j: int) -> None:
-            if i >= 0 and j < n and (hit := self.pairs.get((sym[i], sym[j]))):
-                heapq.heappush(heap, (hit[0], i, j, sym[i], sym[j]))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
-        while heap:
-            _, i, j, a, b = heapq.heappop(heap)
-            if not (alive[i] and j < n and alive[j] and after[i] == j and sym[i] == a and sym[j] == b):
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        alive = np.ones(n + 1, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        order: list[int] = []
+
+        def wait(rank: int, at: np.ndarray) -> None:
+            if rank not in waiting:
+                waiting[rank] = []
+                heapq.heappush(order, rank)
+            waiting[rank].append(at)
+
+        def offer(at: np.ndarray) -> None:
+            rank, _ = self._pair(sym[at], sym[after[at]])
+            at, rank = at[rank != NONE], rank[rank != NONE]
+            by = np.argsort(rank, kind="stable")
+            cut = np.flatnonzero(np.r_[True, rank[by][1:] != rank[by][:-1], True][: len(by) + 1]) if len(by) else by
+            for x, y in zip(cut[:-1], cut[1:], strict=True):
+                wait(int(rank[by[x]]), at[by[x:y]])
+
+        offer(np.arange(n - 1))
+        while order:
+            r = heapq.heappop(order)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[alive[at] & (after[at] < n)]
+            rank, product = self._pair(sym[at], sym[after[at]])
+            at, product = at[rank == r], product[rank == r]
+            if not len(at):
                 continue
-            sym[i], alive[j] = self.pairs[a, b][1], False
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            offer(before[i], i)
-            offer(i, after[i])
-        out: list[int] = []
-        for i in range(n):
-            if alive[i]:
-                out.extend(self._ids(sym[i], cp[i]))
-        return out
+            tied = np.r_[False, after[at[:-1]] == at[1:]]  # shares a symbol with the place before
+            begin = np.maximum.accumulate(np.where(tied, 0, np.arange(len(at))))
+            chosen = (np.arange(len(at)) - begin) % 2 == 0
+            pick, made = at[chosen], product[chosen]
+            right = after[after[pick]]
+            left = before[pick]
+            next_to = np.r_[False, right[:-1] == pick[1:]]
+            left_sym = np.where(next_to, np.r_[made[:1], made[:-1]], sym[left])
+            first_left = np.where(left >= 0, self._pair(left_sym, made)[0], NONE)
+            first_right = np.where(right < n, self._pair(made, sym[np.minimum(right, n - 1)])[0], NONE)
+            early = np.flatnonzero((first_left <= r) | (first_right <= r))
+            if len(early) and early[0] + 1 < len(pick):
+                end = early[0] + 1
+                wait(r, at[at >= pick[end]])
+                pick, made, right = pick[:end], made[:end], right[:end]
+            sym[pick] = made
+            alive[after[pick]] = False
+            after[pick] = right
+            inner = right < n
+            before[right[inner]] = pick[inner]
+            fresh = np.unique(np.concatenate((before[pick], pick)))
+            fresh = fresh[fresh >= 0]
+            offer(fresh[after[fresh] < n])
+        left = np.flatnonzero(alive[:n])
+        return [i for s, c in zip(sym[left].tolist(), cp[left].tolist(), strict=True) for i in self._ids(s, c)]
 
     def _pieces_of(self, word: str) -> list[str]:
         """Cuts of a long word where no piece holds both neighbours, so that no merge can cross."""
@@ -177,7 +212,7 @@ class PieceCodec:
             else:
                 found = {k: [i for j in range(a, b) for i in self._ids(sym[j], cp[j])] for k, a, b in zip(short, start, start[1:], strict=False)}
         for k, x in enumerate(parts):
-            ids = found[k] if k in found else self._agenda(x)
+            ids = found[k] if k in found else self._linked_rounds(x)
             out[owner[k]] = out[owner[k]] + ids if out[owner[k]] else ids
         return out
 
@@ -234,6 +269,21 @@ class PieceCodec:
             for w, ids in zip(part, self.encode_words(part), strict=True):
                 self.cache[w] = (",".join([text[i] for i in ids]), b"".join([raw[i] for i in ids]))
 
+    def check(self, model: bytes) -> None:
+        """Raise ValueError for a model whose ids would differ: it normalizes, or holds pieces that no merge makes."""
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        said = [b.decode("utf-8", "replace") for b in self.bytes_of if b]
+        probes = ["", "a", " a  b ", "\ufb01 \uff21 \u0301e\u00a0x\u200b\t\r\n", "A a \u00c9", *said, *(f"x{p}x" for p in said)]
+        mine = self.encode_words([w for p in probes for w in self.split(p)])
+        at = 0
+        for p, want in zip(probes, sp.encode(probes), strict=True):
+            n = len(self.split(p))
+            if [i for ids in mine[at : at + n] for i in ids] != want:
+                raise ValueError(f"the model encodes {p!r} in a way that merge rounds over its vocabulary don't")
+            at += n
+
     def forget(self) -> None:
         """Empty the caches: a worker that waits for other work holds no words."""
         self.cache, self.old = {}, {}
@@ -262,6 +312,8 @@ class PieceCodec:
 
 
 _CODECS: dict[bytes, PieceCodec] = {}
+#: Models that check() has passed.
+_CHECKED: set[bytes] = set()
 
 
 def codec(model: bytes) -> PieceCodec:
@@ -303,13 +355,23 @@ def encode_decode(docs: DataFrame, model: str | None = None, ids: bool = False)
     """doc_id with the token count and digests of the ids and the decoded text; with ids=True also the ids.
 
     Null and empty texts have no tokens; their digests are those of the empty string. Rows are kept
-    one to one, repeated rows and null doc_ids included; other columns are left behind.
+    one to one, repeated rows and null doc_ids included; long texts are encoded whole; other columns are left behind.
     """
     blob = model_bytes(model)
+    if (digest := hashlib.sha256(blob).digest()) not in _CHECKED:
+        codec(blob).check(blob)
+        _CHECKED.add(digest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # millions of cached strings and no cycles: collections would only walk them
         c = codec(blob)
+        gc.disable()  # millions of cached strings and no cycles: collections would only walk them
+        try:
+            yield from encoded(c, batches)
+        finally:
+            c.forget()
+            gc.enable()
+
+    def encoded(c: PieceCodec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, ts in slices(batch, "text", 2_000_000):
                 rows = c.digest(ts)
@@ -324,13 +386,11 @@ def encode_decode(docs: DataFrame, model: str | None = None, ids: bool = False)
                     columns.append(pa.array([[int(x) for x in s.split(",")] if s else [] for s, _ in rows], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
-        codec(blob).forget()
-        gc.enable()
-
     docs = texts(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, {DIGEST_FIELDS}" + ", ids array<int>" * ids)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its tokens' number and digests, as encode_decode defines them."""
     return encode_decode(documents(spark, sf_dir))

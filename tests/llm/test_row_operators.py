@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import time
 import zlib
@@ -144,6 +145,32 @@ def test_pieces_equal_the_library(spark):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), digest(",".join(map(str, ids)).encode()), digest(sp.decode(ids).encode()))
 
 
+def test_long_words_equal_the_library():
+    model = model_bytes()
+    sp, codec = sentencepiece.SentencePieceProcessor(model_proto=model), PieceCodec(model)
+    r = random.Random(8)
+    syllables = ["the", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "a", "s", "ing", "ation"]
+    texts = ["".join(r.choices(syllables, k=n)) for n in (90, 300, 900, 3000)] + ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for n in (200, 2000, 9000)]
+    texts += ["a" * 5001, "ab" * 2500, "aab" * 900, "é" * 700, "in" * 5000 + "🙂" * 300, " " * 3001, "=" * 4000, "-" * 1027 + "a", "".join(r.choices("ab", k=4000)), "".join(r.choices("eat", k=4000))]
+    for t in texts:
+        assert codec.encode(t) == sp.encode(t), t[:30]
+    long = "".join(r.choices(syllables, k=100_000))
+    began = time.process_time()
+    assert codec.encode(long) == sp.encode(long)
+    assert time.process_time() - began < 30
+
+
+def test_ids_come_along_and_other_models_are_refused(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model_bytes())
+    for r in encode_decode(frame(spark, HARD), ids=True).collect():
+        assert r.ids == sp.encode(HARD[r.doc_id] or "") and r.n_tokens == len(r.ids)
+    codec = PieceCodec(model_bytes())
+    codec.check(model_bytes())
+    codec.split = lambda text: PieceCodec.split(codec, text.lower())
+    with pytest.raises(ValueError, match="encodes"):
+        codec.check(model_bytes())
+
+
 # --- 3: secrets
 
 
