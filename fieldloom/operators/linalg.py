@@ -6,6 +6,7 @@ Wide data meet in small matrices: partitions reduce their rows to partial produc
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def _rows(batch: pa.RecordBatch, column: str) -> np.ndarray:
@@ -42,31 +44,87 @@ def _summed(partial: DataFrame) -> DataFrame:
     return cells.groupBy("i", "j").agg(F.sum("v").alias("value"))
 
 
-def gram(df: DataFrame, column: str) -> DataFrame:
-    """(i, j, value): sum over rows of column[i] * column[j]. With a row a pixel holding all days, the temporal Gram matrix."""
-    return _summed(df.select(column).mapInArrow(_partial_products(column, False), "i int, row array<double>"))
+def tiles(df: DataFrame, key: str, column: str, days: int, pixels: int) -> DataFrame:
+    """(d, p, keys, x) of df(key, column): the values of so many keys (0 or more) and pixels as one matrix, row by row.
 
+    A field of any width becomes matrices of bounded size; only its own slices are shuffled.
+    """
+    starts = F.sequence(F.lit(0), F.floor((F.size(column) - 1) / pixels).cast("int"))
+    parts = df.where(F.size(column) > 0).select(F.col(key).alias("k"), F.col(column).alias("x"), F.explode(starts).alias("p"))
+    parts = parts.select(F.floor(F.col("k") / days).alias("d"), "p", F.struct("k", F.slice("x", F.col("p") * pixels + 1, F.lit(pixels)).alias("x")).alias("r"))
+    rows = parts.groupBy("d", "p").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    return rows.select("d", "p", F.col("r.k").alias("keys"), F.flatten("r.x").alias("x"))
+
+
+def _matrix(batch: pa.RecordBatch, at: int, keys: str, values: str) -> tuple[np.ndarray, np.ndarray]:
+    k, x = (batch.column(c).slice(at, 1).flatten().to_numpy(zero_copy_only=False) for c in (keys, values))
+    return k, x.astype(np.float64).reshape(len(k), -1)
 
-def gram_blocks(df: DataFrame, key: str, column: str, size: int = 256) -> DataFrame:
-    """(i, j, value) of the Gram matrix of all rows of df(key, column), i and j being keys of 0 or more.
 
-    Rows with keys in the same run of size numbers are a block. A task multiplies one block with another and writes the
-    product as rows, so that no task or driver holds the matrix.
+def gram_tiles(t: DataFrame) -> DataFrame:
+    """(i, j, value) of the Gram matrix of all keys of tiles(): products over one range of pixels, then summed.
+
+    Each pair of tiles of a range is one product, whose size is that of a tile's keys; the other triangle is mirrored.
     """
-    blocks = df.groupBy(F.floor(F.col(key) / size).alias("block")).agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(column).alias("x"))).alias("rows"))
-    pairs = blocks.select(F.col("rows").alias("a")).crossJoin(blocks.select(F.col("rows").alias("b")))
+    left, right = (t.select(F.col("d").alias(f"{n}d"), "p", F.col("keys").alias(f"{n}k"), F.col("x").alias(f"{n}x")) for n in "ab")
+    pairs = left.join(right, "p").where("ad <= bd").select("ad", "bd", "ak", "ax", "bk", "bx")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(len(batch)):
-                (i, x), (j, y) = ((r.field("k").to_numpy(), np.stack(r.field("x").to_numpy(zero_copy_only=False))) for r in (batch.column(c).slice(n, 1).flatten() for c in ("a", "b")))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i, len(j)), pa.int64()), pa.array(np.tile(j, len(i)), pa.int64()), pa.array((x @ y.T).ravel())], ["i", "j", "value"])
+                (i, x), (j, y) = _matrix(batch, n, "ak", "ax"), _matrix(batch, n, "bk", "bx")
+                one = batch.slice(n, 1)
+                yield pa.RecordBatch.from_arrays([one.column("ad"), one.column("bd"), *(pa.array([v.tolist()]) for v in (i, j, (x @ y.T).ravel()))], ["ad", "bd", "i", "j", "v"])
+
+    def add(table: pa.Table) -> pa.Table:
+        i, j = (np.array(table.column(c)[0].as_py(), np.int64) for c in "ij")
+        total = sum(np.array(v.as_py()) for v in table.column("v"))
+        i, j, v = np.repeat(i, len(j)), np.tile(j, len(i)), total
+        if table.column("ad")[0] != table.column("bd")[0]:
+            i, j, v = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((v, v))
+        return pa.table([pa.array(i), pa.array(j), pa.array(v)], ["i", "j", "value"])
+
+    products = pairs.mapInArrow(multiply, "ad long, bd long, i array<long>, j array<long>, v array<double>")
+    return products.groupBy("ad", "bd").applyInArrow(add, "i long, j long, value double")
+
+
+def rotated(t: DataFrame, keys: list[int], weights: np.ndarray, pixels: int) -> DataFrame:
+    """(mode, pixel, value): weights (a column a mode, a row a key) applied to tiles(), summed over keys."""
+    if weights.nbytes > MOST_BYTES:
+        raise ValueError("rotate fewer modes at a time: the weights are sent to each task")
+    place = {k: n for n, k in enumerate(keys)}
+    shared = t.sparkSession.sparkContext.broadcast((place, weights))
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, w = shared.value
+        for batch in batches:
+            for n in range(len(batch)):
+                k, x = _matrix(batch, n, "keys", "x")
+                part = w[[place[v] for v in k.tolist()]].T @ x
+                yield pa.RecordBatch.from_arrays([batch.column("p").slice(n, 1), pa.array([part.shape[1]], pa.int32()), pa.array([part.ravel().tolist()])], ["p", "width", "v"])
+
+    def add(table: pa.Table) -> pa.Table:
+        width, first = table.column("width")[0].as_py(), table.column("p")[0].as_py() * pixels
+        total = sum(np.array(v.as_py()) for v in table.column("v")).reshape(-1, width)
+        mode, pixel = np.indices(total.shape)
+        return pa.table([pa.array(mode.ravel().astype(np.int32)), pa.array(pixel.ravel() + first), pa.array(total.ravel())], ["mode", "pixel", "value"])
+
+    return t.mapInArrow(multiply, "p int, width int, v array<double>").groupBy("p").applyInArrow(add, "mode int, pixel long, value double")
 
-    return pairs.mapInArrow(run, "i long, j long, value double")
+
+#: Bytes of a matrix that may come to the driver or be sent to the tasks.
+MOST_BYTES = 1 << 28
+
+
+def _checked(size: int) -> None:
+    if size * size * 8 > MOST_BYTES:
+        raise ValueError(f"a matrix of {size} by {size} is too large for one place; use gram_tiles")
 
 
 def moments(df: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of rows, mean and covariance (n - 1) of an array column, from one pass. The matrix goes to the driver."""
+    """Number of rows, mean and covariance (n - 1) of an array column, from one pass. The matrix, of checked size, goes to
+    the driver."""
+    _checked(df.agg(F.max(F.size(column))).first()[0] or 0)
     cells = _summed(df.select(column).mapInArrow(_partial_products(column, True), "i int, row array<double>")).collect()
     size = max((c.i for c in cells), default=-1) + 1
     if not size:
@@ -79,6 +137,35 @@ def moments(df: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
     return n, mean, (s[1:, 1:] - n * np.outer(mean, mean)) / max(1, n - 1)
 
 
+def moments_by(df: DataFrame, by: str, column: str) -> dict:
+    """For each of a few groups: number of rows, mean and mean of the outer products of an array column."""
+    _checked(df.agg(F.max(F.size(column))).first()[0] or 0)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for b in batches:
+            x = _rows(b, column)
+            groups = np.array(b.column(by).to_pylist())
+            for g in np.unique(groups).tolist():
+                part = np.hstack((np.ones((int((groups == g).sum()), 1)), x[groups == g]))
+                total[g] = total[g] + part.T @ part if g in total else part.T @ part
+        for g, m in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(m), arrow), pa.array(np.arange(len(m)), pa.int32()), pa.array(list(m), pa.list_(pa.float64()))], [by, "i", "row"])
+
+    kind, arrow = df.schema[by].dataType.simpleString(), to_arrow_type(df.schema[by].dataType)
+    sums = df.select(by, column).mapInArrow(multiply, f"{by} {kind}, i int, row array<double>")
+    cells = sums.select(by, "i", F.posexplode("row").alias("j", "v")).groupBy(by, "i", "j").agg(F.sum("v").alias("value")).collect()
+    out: dict = {}
+    for g in sorted({c[by] for c in cells}):
+        mine = [c for c in cells if c[by] == g]
+        size = max(c.i for c in mine) + 1
+        m = np.zeros((size, size))
+        for c in mine:
+            m[c.i, c.j] = c.value
+        out[g] = int(round(m[0, 0])), m[0, 1:] / m[0, 0], m[1:, 1:] / m[0, 0]
+    return out
+
+
 @dataclass
 class Eigen:
     values: np.ndarray
@@ -101,7 +188,7 @@ def rotation(e: Eigen) -> np.ndarray:
 
 def apply_matrix(df: DataFrame, column: str, matrix: np.ndarray, out: str, keep: list[str], offset: np.ndarray | None = None) -> DataFrame:
     """keep and out = (column - offset) @ matrix, batch by batch. The matrix (of checked size) goes to the tasks."""
-    if matrix.nbytes > 1 << 28:
+    if matrix.nbytes > MOST_BYTES:
         raise ValueError("split the matrix by columns: more than 256 MB would be sent to each task")
     shared = df.sparkSession.sparkContext.broadcast((np.ascontiguousarray(matrix, np.float64), offset))
 
@@ -131,33 +218,82 @@ class Basis:
 
 
 def fit_basis(fields: DataFrame, column: str, sqrt_w: np.ndarray, most: int) -> Basis:
-    """Weighted modes of fields (a row a day): by days or by pixels, whichever are fewer.
+    """Weighted modes of fields (a row a day) of few pixels, from the pixel covariance summed over partitions.
 
-    Here pixels are the fewer, so the pixel covariance is summed over partitions; for few days and many pixels, gram()
-    over pixel rows and rotation() give the same modes.
+    Where pixels outnumber days, fit_wide_basis gives the same modes without a matrix of pixels.
     """
     n, mean, cov = moments(fields, column)
     e = temporal_modes(cov * (n - 1) * np.outer(sqrt_w, sqrt_w), most)
     return Basis(e.vectors.T, mean, e)
 
 
-def inverse_and_root(s: np.ndarray, ridge: float = 0.0, floor: float = 1e-12) -> tuple[np.ndarray, np.ndarray, int]:
-    """Symmetric inverse root and root over eigenvalues above floor times the largest, and how many were dropped."""
-    values, vectors = np.linalg.eigh((s + s.T) / 2 + ridge * np.eye(len(s)))
-    if not np.isfinite(values[-1]) or values[-1] <= 0:
-        raise ValueError("a covariance block has no positive eigenvalue")
-    kept = values > values[-1] * floor
-    v, r = vectors[:, kept], np.sqrt(values[kept])
-    return (v / r) @ v.T, (v * r) @ v.T, int((~kept).sum())
+def fit_wide_basis(anomalies: DataFrame, key: str, column: str, most: int, days: int = 256, pixels: int = 8192) -> tuple[Eigen, DataFrame]:
+    """Eigenvalues and modes (mode, pixel, value) of weighted anomalies by the Gram matrix of days.
+
+    Only that matrix, of checked size, comes to the driver; the modes stay distributed by ranges of pixels.
+    """
+    keys = [r[0] for r in anomalies.select(key).distinct().orderBy(key).collect()]
+    _checked(len(keys))
+    t = tiles(anomalies, key, column, days, pixels)
+    place, g = {k: n for n, k in enumerate(keys)}, np.zeros((len(keys), len(keys)))
+    for r in gram_tiles(t).toLocalIterator():
+        g[place[r.i], place[r.j]] = r.value
+    e = temporal_modes(g, most)
+    return e, rotated(t, keys, rotation(e), pixels)
+
+
+def mode_products(modes: DataFrame) -> DataFrame:
+    """(a, b, value): inner products of modes(mode, pixel, value), one partial matrix a partition. An orthonormal set has ones
+    and zeros."""
+    count = modes.agg(F.max("mode")).first()[0]
+    count = 0 if count is None else count + 1
+    rows = modes.groupBy("pixel").agg(F.sort_array(F.collect_list(F.struct("mode", "value"))).alias("m")).select(F.col("m.value").alias("v"))
+    return _summed(rows.where(F.size("v") == count).mapInArrow(_partial_products("v", False), "i int, row array<double>")).select(F.col("i").alias("a"), F.col("j").alias("b"), "value")
+
+
+@dataclass
+class Factor:
+    """A covariance as axes and the deviation along each, so that whitening and its reverse are two thin matrices."""
+
+    axes: np.ndarray  # a column an axis
+    deviation: np.ndarray
+    lost: int  # axes without enough variance
+
+    @classmethod
+    def of(cls, covariance: np.ndarray, ridge: float = 0.0, floor: float = 1e-12) -> Factor:
+        """The axes whose variance is over floor times the largest. Raises ValueError if none has any."""
+        left, variance, _ = np.linalg.svd((covariance + covariance.T) / 2, hermitian=True)
+        sign = np.sign(np.einsum("ij,ij->j", left, (covariance + covariance.T) / 2 @ left))  # singular values have lost theirs
+        variance = variance * sign + ridge
+        top = variance.max(initial=0.0)
+        if not 0 < top < np.inf:
+            raise ValueError("a covariance without variance")
+        enough = variance > floor * top
+        return cls(left[:, enough], variance[enough] ** 0.5, len(variance) - int(enough.sum()))
+
+    def whitening(self) -> np.ndarray:
+        return self.axes / self.deviation
+
+    def colouring(self) -> np.ndarray:
+        return (self.axes * self.deviation).T
 
 
 @dataclass
 class Canonical:
-    b: np.ndarray
+    """A truncated regression as its factors: x to canonical variates, their correlations, and variates to y."""
+
+    into: np.ndarray
     rho: np.ndarray
+    out: np.ndarray
+    rank: int
     x_mean: np.ndarray
     y_mean: np.ndarray
 
+    @property
+    def b(self) -> np.ndarray:
+        r = self.rank
+        return self.into[:, :r] @ np.diag(self.rho[:r].clip(0)) @ self.out[:r]
+
     def predict(self, df: DataFrame, keep: list[str]) -> DataFrame:
         """keep and y_hat = (x - mean) @ b + mean."""
         out = apply_matrix(df, "x", self.b, "y_hat", keep, self.x_mean)
@@ -165,20 +301,24 @@ class Canonical:
         return out.withColumn("y_hat", F.zip_with("y_hat", mean, lambda a, m: a + m))
 
 
-def fit_canonical(z: DataFrame, kx: int, ky: int, rank: int, width: int = 32, ridge: float = 0.0, cache: dict | None = None) -> Canonical:
-    """Canonical-correlation regression between the first kx and ky scores of z(xy: x then y), truncated at rank."""
-    cache = {} if cache is None else cache
-    if "moments" not in cache:
-        cache["moments"] = moments(z, "xy")
-    _, mean, s = cache["moments"]
-    x, y = slice(0, kx), slice(width, width + ky)
-    for name, part in (("x", x), ("y", y)):
-        if (name, part.stop, ridge) not in cache:
-            cache[name, part.stop, ridge] = inverse_and_root(s[part, part], ridge)
-    ix, (iy, ry, _) = cache["x", x.stop, ridge][0], cache["y", y.stop, ridge]
-    u, rho, vt = np.linalg.svd(ix @ s[x, y] @ iy, full_matrices=False)
-    keep = np.clip(rho[:rank], 0.0, None)
-    return Canonical((ix @ u[:, :rank]) @ (keep[:, None] * (vt[:rank] @ ry)), rho, mean[x], mean[y])
+class ScoreMoments:
+    """Moments of scores (x then y), from which regressions of any size are fitted without another pass."""
+
+    def __init__(self, z: DataFrame, width: int = 32):
+        _, self.mean, self.cov = moments(z, "xy")
+        self.width = width
+        self._factor = functools.lru_cache(maxsize=None)(lambda begin, size, ridge: Factor.of(self.cov[begin : begin + size, begin : begin + size], ridge))
+        self._pair = functools.lru_cache(maxsize=None)(self._variates)
+
+    def _variates(self, kx: int, ky: int, ridge: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, y = self._factor(0, kx, ridge), self._factor(self.width, ky, ridge)
+        across = x.whitening().T @ self.cov[:kx, self.width : self.width + ky] @ y.whitening()
+        left, rho, right = np.linalg.svd(across, full_matrices=False)
+        return x.whitening() @ left, rho, right @ y.colouring()
+
+    def canonical(self, kx: int, ky: int, rank: int, ridge: float = 0.0) -> Canonical:
+        """The regression of the first ky scores of y on the first kx of x, over the leading canonical pairs."""
+        return Canonical(*self._pair(kx, ky, ridge), rank, self.mean[:kx], self.mean[self.width : self.width + ky])
 
 
 def grid_search(z: DataFrame, val: DataFrame, settings: list[tuple[int, int, int]], width: int = 32) -> list[dict]:
@@ -186,14 +326,14 @@ def grid_search(z: DataFrame, val: DataFrame, settings: list[tuple[int, int, int
 
     A setting that fails keeps its row, with the failure as its status.
     """
-    cache: dict = {}
+    fit = ScoreMoments(z, width)
     n, mean, cov = moments(val, "xy")
     second = cov * (n - 1) + n * np.outer(mean, mean)
     rows = []
     for kx, ky, rank in settings:
         row = {"kx": kx, "ky": ky, "rank": rank, "mse": None, "status": "ok"}
         try:
-            m = fit_canonical(z, kx, ky, rank, width, cache=cache)
+            m = fit.canonical(kx, ky, rank)
             b = np.zeros((width, width))
             b[:kx, :ky] = m.b
             a = np.zeros(width)
@@ -209,14 +349,18 @@ def grid_search(z: DataFrame, val: DataFrame, settings: list[tuple[int, int, int
     return rows
 
 
-def shrunk_covariance(n: int, cov: np.ndarray, fourth: float) -> tuple[float, np.ndarray]:
-    """Shrinkage towards a multiple of the identity; fourth is the sum over rows of |z|**4 of the centred rows."""
-    p = len(cov)
-    mu = np.trace(cov) / p
-    d2 = float(((cov - mu * np.eye(p)) ** 2).sum() / p)
-    spread = max((fourth - (n - 2) * float((cov**2).sum())) / (n * n * p), 0.0)
-    share = float(min(1.0, max(0.0, spread / d2))) if d2 > 0 else 1.0
-    return share, (1 - share) * cov + share * mu * np.eye(p)
+def shrunk_factor(n: int, covariance: np.ndarray, fourth: float, floor: float = 1e-12) -> tuple[float, Factor]:
+    """Share and factor of the covariance shrunk towards a multiple of the identity (Ledoit and Wolf).
+
+    Shrinking moves the variances along the axes towards their mean, so the share follows from these alone and from
+    fourth, the sum over rows of |z|**4. Variances under floor times the largest are raised to that.
+    """
+    variance, axes = np.linalg.eigh(covariance)
+    spread = float(np.var(variance) * len(variance))
+    noise = (fourth - (n - 2) * float(variance @ variance)) / n**2
+    share = float(np.clip(noise / spread, 0.0, 1.0)) if spread else 1.0
+    variance = variance + share * (variance.mean() - variance)
+    return share, Factor(axes, np.sqrt(variance.clip(floor * variance.max())), 0)
 
 
 def dct_basis(k: int, p: int) -> np.ndarray:

@@ -118,7 +118,7 @@ def weighted_correlation(df: DataFrame, by: list[str], x: str, y: str, centred:
     """
     if centred:
         means = df.groupBy(*by).agg((wsum(x) / F.sum("w")).alias("_mx"), (wsum(y) / F.sum("w")).alias("_my"))
-        df = df.join(F.broadcast(means), by) if by else df.crossJoin(F.broadcast(means))
+        df = df.join(means, by) if by else df.crossJoin(F.broadcast(means))
         a, b = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my")
     else:
         a, b = F.col(x), F.col(y)

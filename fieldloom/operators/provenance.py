@@ -91,6 +91,16 @@ def guard_path(path: str, denied: tuple[str, ...], read_only: tuple[str, ...] =
     return path
 
 
-def cell_format(x: Column) -> Column:
-    """Ten significant digits in exponent form, for presentation only."""
-    return F.format_string("%.9e", x)
+def cell_format(x: Column, digits: int = 10) -> Column:
+    """At most so many significant digits without trailing zeros, as C's %.10g: in exponent form below 1e-4 and from 1e10 on."""
+    said = F.format_string(f"%.{digits - 1}e", x.cast("double"))
+    sign = F.when(said.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    figures = F.regexp_replace(F.substring_index(said, "e", 1), "[-.]", "")
+    power = F.substring_index(said, "e", -1).try_cast("int")
+    strip = lambda c: F.regexp_replace(c, r"\.?0*$", "")
+    whole = F.concat(F.substring(figures, F.lit(1), power + 1), F.lit("."), F.substring(figures, power + 2, F.lit(digits)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), figures)
+    far = F.concat(strip(F.concat(F.substring(figures, 1, 1), F.lit("."), F.substring(figures, 2, digits))), F.lit("e"), F.substring_index(said, "e", -1))
+    out = F.when(power.isNull(), F.lower(said)).when((power < -4) | (power >= digits), far).when(power >= 0, strip(whole)).otherwise(strip(small))
+    odd = F.when(F.isnan(x), F.lit("nan")).when(F.abs(x) == float("inf"), F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), F.lit("inf")))
+    return F.coalesce(odd, F.concat(sign, out))

@@ -12,7 +12,7 @@ def shard_bounds(df: DataFrame, by: list[str], index: str, shards: int) -> DataF
     In closed form from the group's size (a small aggregate), so that no group is sorted in one task.
     """
     n = df.groupBy(*by).agg(F.count("*").alias("_n"))
-    out = df.join(F.broadcast(n), by) if by else df.crossJoin(F.broadcast(n))
+    out = df.join(n, by) if by else df.crossJoin(F.broadcast(n))
     base, rest = F.floor(F.col("_n") / shards), F.col("_n") % shards
     long = rest * (base + 1)
     i = F.col(index)

@@ -17,6 +17,8 @@ from .resampling import _COUNTS, starts_sql
 
 _PI = "3.141592653589793::DOUBLE"
 MODES = 6
+#: Tiles of the Gram matrix: small ones, as these fields are small.
+DAYS, PIXELS = 256, 24
 _BASIS = f"basis AS (SELECT CAST(k AS INTEGER) AS k, CAST(p AS INTEGER) AS p, CASE WHEN k = 0 THEN sqrt(1 / 64.0::DOUBLE) ELSE sqrt(2 / 64.0::DOUBLE) * cos({_PI} * k * (p + 0.5::DOUBLE) / 64) END AS e FROM range({MODES}) a(k), range(64) b(p))"
 _SCORES = f"{DENSE_SQL}, {_BASIS}, scores AS (SELECT day_idx, population, k, sum(val * e) AS s FROM cells JOIN basis USING (p) GROUP BY ALL)"
 
@@ -32,7 +34,7 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ask("i j | value:6", DENSE_SQL, "SELECT CAST(a.day_idx AS INTEGER) AS i, CAST(b.day_idx AS INTEGER) AS j, sum(a.val * b.val) AS value FROM cells a JOIN cells b USING (p) GROUP BY ALL"))
 def temporal_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LA1, LA2: the Gram matrix of all days, in blocks of days that are written as rows."""
-    g = L.gram_blocks(_fields(spark, sf_dir).withColumn("day_idx", F.col("day_idx").cast("long")), "day_idx", "x")
+    g = L.gram_tiles(L.tiles(_fields(spark, sf_dir).withColumn("day_idx", F.col("day_idx").cast("long")), "day_idx", "x", DAYS, PIXELS))
     return pick(g.withColumns({c: F.col(c).cast("int") for c in ("i", "j")}), "i j | value:6")
 
 
@@ -81,7 +83,7 @@ def score_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _canonical(spark: SparkSession, sf_dir: str, rank: int = 8):
     m = A.matrices(spark, sf_dir)
-    return m, L.fit_canonical(m.where("split = 'train'").select(F.concat("x", "y").alias("xy")), 32, 32, rank)
+    return m, L.ScoreMoments(m.where("split = 'train'").select(F.concat("x", "y").alias("xy"))).canonical(32, 32, rank)
 
 
 @query()
@@ -119,6 +121,94 @@ def fitted_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(spark.range(1).select(F.inline(F.array(*rows))), "k orthonormal | share:8")
 
 
+_ANOMALY = f"""{DENSE_SQL}, lat AS (SELECT r AS row, cos(radians(-90 + (r + 0.5::DOUBLE) * 45)) AS c FROM range(4) t(r)), sw AS (SELECT CAST(row AS INTEGER) AS row, sqrt(c / (SELECT avg(c) FROM lat)) AS sw FROM lat),
+an AS (SELECT day_idx, p, (val - avg(val) OVER (PARTITION BY p)) * sw AS a FROM cells JOIN sw ON cells.p // 16 = sw.row)"""
+
+
+def _sqrt_weights() -> np.ndarray:
+    """Roots of the mean-one cosine weights of the dense grid's pixels."""
+    c = np.cos(np.radians(-90 + (np.arange(A.DENSE_ROWS) + 0.5) * 180 / A.DENSE_ROWS))
+    return np.repeat(np.sqrt(c / c.mean()), A.DENSE_COLUMNS)
+
+
+def _lits(values) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
+def _pixel_means(fields: DataFrame) -> np.ndarray:
+    """The mean field: as many sums as there are pixels."""
+    rows = fields.select(F.posexplode("x").alias("p", "v")).groupBy("p").agg(F.avg("v").alias("m")).orderBy("p").collect()
+    return np.array([r.m for r in rows])
+
+
+def _anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PR18: (x - mean) * sqrt(w), a row a day."""
+    f = _fields(spark, sf_dir).withColumn("day_idx", F.col("day_idx").cast("long"))
+    centred = F.zip_with("x", _lits(_pixel_means(f)), lambda a, b: a - b)
+    return f.withColumn("a", F.zip_with(centred, _lits(_sqrt_weights()), lambda a, b: a * b))
+
+
+@query(ask("i j | value:6", _ANOMALY, "SELECT CAST(a.day_idx AS INTEGER) AS i, CAST(b.day_idx AS INTEGER) AS j, sum(a.a * b.a) AS value FROM an a JOIN an b USING (p) GROUP BY ALL"))
+def anomaly_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LA1, LA2, PR18: the Gram matrix of weighted anomalies of all days, from products of tiles of days and pixels."""
+    g = L.gram_tiles(L.tiles(_anomalies(spark, sf_dir), "day_idx", "a", DAYS, PIXELS))
+    return pick(g.withColumns({c: F.col(c).cast("int") for c in ("i", "j")}), "i j | value:6")
+
+
+@query()
+def spatial_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LA3, LA4, LA5: modes of the weighted anomalies by the eigenpairs of their Gram matrix, with each mode's share of the
+    variance and how far the set is from orthonormal. No matrix of pixels by pixels is made."""
+    e, modes = L.fit_wide_basis(_anomalies(spark, sf_dir), "day_idx", "a", 10, DAYS, PIXELS)
+    share = F.get(_lits(e.values / e.trace), F.col("mode")).alias("share")
+    off = F.max(F.abs(F.col("value") - (F.col("a") == F.col("b")).cast("double")))
+    check = L.mode_products(modes).groupBy(F.col("a").alias("mode")).agg((off < 1e-8).alias("orthonormal"))
+    norm = modes.groupBy("mode").agg(F.max(F.abs("value")).alias("largest"))
+    return pick(check.join(norm, "mode").withColumn("share", share), "mode orthonormal | share:8 largest:8")
+
+
+@query(ask("day_idx | error:5 total:5", f"{_ANOMALY}, {_BASIS}, sc AS (SELECT day_idx, k, sum(a * e) AS s FROM an JOIN basis USING (p) GROUP BY ALL), rc AS (SELECT day_idx, p, sum(s * e) AS v FROM sc JOIN basis USING (k) GROUP BY ALL), mf AS (SELECT p, avg(val) AS m FROM cells GROUP BY p), fl AS (SELECT day_idx, p, m + v / sw AS f FROM rc JOIN mf USING (p) JOIN sw ON rc.p // 16 = sw.row)", "SELECT day_idx, sum((f - val) * (f - val)) AS error, sum(f * f) AS total FROM fl JOIN cells USING (day_idx, p) GROUP BY day_idx"))
+def field_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LA7, LA18: fields from scores, mean + (s @ E) / sqrt(w), a block of rows at a time, against the fields themselves."""
+    basis, mean, sw = L.dct_basis(MODES, 64), _pixel_means(_fields(spark, sf_dir)), _sqrt_weights()
+    s = L.apply_matrix(_anomalies(spark, sf_dir), "a", basis.T, "s", ["day_idx", "x"])
+    r = L.apply_matrix(s, "s", basis / sw, "f", ["day_idx", "x"])
+    r = r.withColumn("f", F.zip_with("f", _lits(mean), lambda a, b: a + b)).withColumn("e", subtract(F.col("f"), F.col("x")))
+    return pick(r.select("day_idx", dot(F.col("e"), F.col("e")).alias("error"), dot(F.col("f"), F.col("f")).alias("total")), "day_idx | error:5 total:5")
+
+
+def sweep(fit: L.ScoreMoments, groups: dict, sizes: tuple[int, ...], ky: int, rank: int, shift: np.ndarray) -> list[tuple]:
+    """(kx, group, n, retention, response, mse, bias, variance, cosine, delta) for each truncation and group, from moments alone."""
+    out = []
+    for kx in sizes:
+        m = fit.canonical(kx, ky, rank)
+        answer = shift[:kx] @ m.b
+        for g, (n, mean, second) in groups.items():
+            w = fit.width
+            # the residual is z @ c + d, with z = (x, y)
+            c = np.zeros((2 * w, ky))
+            c[:kx], c[w : w + ky] = m.b, -np.eye(ky)
+            d = m.y_mean - m.x_mean @ m.b
+            bias = mean @ c + d
+            mse = float(np.einsum("ij,ik,kj->", c, second, c) + 2 * (mean @ c) @ d + d @ d)
+            length, along = float(np.linalg.norm(answer)), float(bias @ answer)
+            cosine = along / (length * float(np.linalg.norm(bias))) if length and bias.any() else None
+            out.append((kx, g, n, float(shift[:kx] @ shift[:kx] / (shift @ shift)), length / ky**0.5, mse / ky, float(bias @ bias) / ky, (mse - float(bias @ bias)) / ky, cosine, along / length**2 if length else None))
+    return out
+
+
+@query()
+def truncation_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SE4: the regression refitted at each number of input scores: its answer to a uniform shift of the inputs by one, the
+    share of the shift that the truncation keeps, and, by population, persistent and varying error, the cosine between the
+    persistent error and the answer, and the shift that would explain it best. Two passes over the data in all."""
+    z = A.matrices(spark, sf_dir).select("split", F.col("population").cast("int").alias("population"), F.concat("x", "y").alias("xy"))
+    fit = L.ScoreMoments(z.where("split = 'train'"))
+    rows = sweep(fit, L.moments_by(z.where("split = 'val'"), "population", "xy"), (4, 8, 16, 24, 32), 32, 8, np.ones(32))
+    names = "kx int, population int, n long, retention double, response double, mse double, bias double, variance double, cosine double, delta double"
+    return pick(spark.createDataFrame(rows, names), "kx population n | retention:6 response:8 mse:6 bias:6 variance:6 cosine:6 delta:6")
+
+
 @query(ask("n | constant:4 crossed:4 sse:4 mse:8", MATRIX_SQL, "SELECT count(DISTINCT day_idx) AS n, sum(y.val * y.val) AS constant, sum(x.val * y.val) AS crossed, sum(y.val * y.val) + sum(x.val * x.val) - 2 * sum(x.val * y.val) AS sse, (sum(y.val * y.val) + sum(x.val * x.val) - 2 * sum(x.val * y.val)) / (count(DISTINCT day_idx) * 32) AS mse FROM x JOIN y USING (day_idx, k)"))
 def score_space_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LA13, LA15: the squared error from two sums, never from fields."""
@@ -304,6 +394,10 @@ def displacement_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(m.groupBy("population").agg(F.sqrt(i2 + o2).alias("total_rms"), F.sqrt(i2).alias("inside_rms"), (o2 / (i2 + o2)).alias("outside_fraction"), F.percentile(F.abs("o"), F.lit(0.95)).alias("p95")), "population | total_rms:6 inside_rms:6 outside_fraction:7 p95:5")
 
 
+#: What a step along a pixel without variance counts.
+FLAT = 1e15
+
+
 @query()
 def shrinkage_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QU6, QU7: Mahalanobis and diagonal distances to population 0 under a shrunk covariance."""
@@ -312,8 +406,9 @@ def shrinkage_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, mean, cov = L.moments(own, "x")
     z = F.zip_with("x", F.array(*[F.lit(float(v)) for v in mean]), lambda a, b: a - b)
     fourth = own.agg(F.coalesce(F.sum(dot(z, z) ** 2), F.lit(0.0))).first()[0]
-    share, shrunk = L.shrunk_covariance(n, cov, fourth)
-    white = L.inverse_and_root(shrunk)[0]
-    d = L.apply_matrix(f, "x", white, "z", ["day_idx", "population", "x"], mean)
-    diag = F.zip_with(F.zip_with("x", F.array(*[F.lit(float(v)) for v in mean]), lambda a, b: a - b), F.array(*[F.lit(float(v)) for v in np.sqrt(np.maximum(np.diag(cov), 1e-30))]), lambda a, s: a / s)
+    _, factor = L.shrunk_factor(n, cov, fourth)
+    d = L.apply_matrix(f, "x", factor.whitening(), "z", ["day_idx", "population", "x"], mean)
+    variance = np.diag(cov)
+    per = np.divide(1.0, np.sqrt(variance), out=np.full(len(variance), FLAT), where=variance > 0)
+    diag = F.zip_with(z, F.array(*[F.lit(float(v)) for v in per]), lambda a, s: a * s)
     return pick(d.select("day_idx", "population", F.sqrt(dot(F.col("z"), F.col("z"))).alias("mahalanobis"), F.sqrt(dot(diag, diag)).alias("diagonal")), "day_idx population | mahalanobis:6 diagonal:6")

@@ -80,7 +80,7 @@ def hard_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = rmse_map(spark, sf_dir)
     t = D.weighted_quantiles(m.where("climate = 'pd'"), ["climate"], "rmse", "cell", 0.9).select(quantize("quantile", 2).alias("threshold"))
     hard = m.where("climate = 'pd'").crossJoin(F.broadcast(t)).where("rmse >= threshold").select("cell", "threshold")
-    found = m.join(F.broadcast(hard), "cell").groupBy("climate")
+    found = m.join(hard, "cell").groupBy("climate")
     out = found.agg(F.count("*").alias("n_cells"), F.first("threshold").alias("threshold"), (F.sum("w") / A.CELLS).alias("area"), F.sqrt(metrics.wsum(F.col("rmse_b") ** 2) / F.sum("w")).alias("b_rmse"))
     return pick(out, "climate n_cells | threshold:2 area:6 b_rmse:2")
 
@@ -166,7 +166,8 @@ def finite_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id") % 10
     x = A.table(spark, sf_dir, "events").select(F.when(k == 0, F.lit(float("nan"))).when(k == 1, F.lit(float("inf"))).otherwise(F.col("value")).alias("v"))
     ok = F.when(~F.isnan("v") & (F.abs("v") < float("inf")), F.col("v"))
-    return pick(x.agg(F.count("*").alias("n"), F.count(ok).alias("n_finite"), F.percentile(ok, F.lit(0.5)).alias("p50"), F.avg(ok).alias("mean")), "n n_finite | p50:4 mean:4")
+    p50 = D.exact_quantile(x.select(ok.alias("v")), "v", 0.5)
+    return pick(x.agg(F.count("*").alias("n"), F.count(ok).alias("n_finite"), F.avg(ok).alias("mean")).withColumn("p50", F.lit(p50).cast("double")), "n n_finite | p50:4 mean:4")
 
 
 # --- distances between samples

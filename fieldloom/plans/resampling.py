@@ -1,4 +1,4 @@
-"""Bootstrap, transfer and sensitivity queries. 200 replicates; the operators take any number."""
+"""Bootstrap, transfer and sensitivity queries of 10,000 replicates."""
 
 from __future__ import annotations
 
@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from fieldloom.operators import adapters as A
 from fieldloom.operators import bootstrap as B
 from fieldloom.operators import distributions as D
-from fieldloom.operators import metrics
+from fieldloom.operators import masks, metrics
 from fieldloom.operators.adapters import DAILY_SQL, ERRORS_SQL
 
 from .distributions import _MAP_SQL, quantile_sql, rmse_map
 from .registry import ask, pick, query
 
-REPS = 200
+REPS = 10_000
 _STARTS = """SELECT *, (x * x % 2147483647) % n AS start FROM (SELECT *, ((y * y % 2147483647) * 16807) % 2147483647 + 1 AS x FROM (SELECT *, ((rep * 19 + blk + 20260715) * 48271) % 2147483647 AS y FROM
  (SELECT *, unnest(range(CAST(ceil(n * 1.0 / len) AS BIGINT))) AS blk FROM (SELECT *, unnest(range({reps})) AS rep FROM (SELECT *, least({block}, n) AS len FROM {sizes})))))"""
 _COUNTS = "SELECT {by}, rep, (start + o) % n AS day_idx, count(*) AS times FROM (SELECT *, unnest(range(len)) AS o FROM {starts}) WHERE blk * len + o < n GROUP BY ALL"
@@ -24,7 +24,19 @@ def starts_sql(sizes: str, block: str = "60", reps: int = REPS) -> str:
     return _STARTS.format(sizes=sizes, block=block, reps=reps)
 
 
-_PLAIN = f"{DAILY_SQL}, sizes AS (SELECT climate, count(*) AS n FROM daily GROUP BY climate), starts AS ({starts_sql('sizes')}), counts AS ({_COUNTS.format(by='climate', starts='starts')}), sums AS (SELECT climate, rep, {', '.join(f'sum(times * {c}) AS {c}' for c in ('w', 'base_e2', 'a_e2', 'b_e2'))} FROM counts JOIN daily USING (climate, day_idx) GROUP BY ALL)"
+def sums_sql(columns: list[str], by: str = "climate", daily: str = "daily", starts: str = "starts", extra: str = "") -> str:
+    """The SQL twin of block_sums: tables twice, pre and sums."""
+    names, keys = ", ".join(columns), by.split(", ")
+    lo = ", ".join(f"coalesce(sum({c}) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS {c}_lo, sum({c}) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}_hi" for c in columns)
+    on = lambda t: " AND ".join(f"{t}.{k} = s.{k}" for k in keys)
+    total = ", ".join(f"sum(z.{c}_hi - a.{c}_lo) AS {c}" for c in columns)
+    groups = ", ".join(f"s.{k}" for k in [*keys, *(extra.split(", ") if extra else [])])
+    return f"""twice AS (SELECT {by}, day_idx AS k, {names} FROM {daily} UNION ALL SELECT {by}, day_idx + count(*) OVER (PARTITION BY {by}), {names} FROM {daily}),
+pre AS (SELECT {by}, k, {lo.replace("(w ROWS", f"(PARTITION BY {by} ORDER BY k ROWS")} FROM twice),
+sums AS (SELECT {groups}, s.rep, {total} FROM {starts} s JOIN pre a ON {on("a")} AND a.k = s.start JOIN pre z ON {on("z")} AND z.k = s.start + least(s.len, s.n - s.blk * s.len) - 1 GROUP BY ALL)"""
+
+
+_PLAIN = f"{DAILY_SQL}, sizes AS (SELECT climate, count(*) AS n FROM daily GROUP BY climate), starts AS ({starts_sql('sizes')}), {sums_sql(['w', 'base_e2', 'a_e2', 'b_e2'])}"
 _PAIRED = "*, sqrt(base_e2 / w) AS base_rmse, sqrt(a_e2 / w) AS a_rmse, sqrt(b_e2 / w) AS b_rmse, sqrt(a_e2 / w) - sqrt(b_e2 / w) AS delta_rmse, 1 - a_e2 / base_e2 AS a_skill_mse, 1 - b_e2 / base_e2 AS b_skill_mse, 1 - sqrt(a_e2 / w) / sqrt(base_e2 / w) AS a_skill, 1 - sqrt(b_e2 / w) / sqrt(base_e2 / w) AS b_skill, 1 - b_e2 / a_e2 AS b_vs_a_mse, 1 - sqrt(b_e2 / w) / sqrt(a_e2 / w) AS b_vs_a"
 _QUANTITIES = ("base_rmse", "a_rmse", "b_rmse", "delta_rmse", "a_skill_mse", "b_skill_mse", "a_skill", "b_skill", "b_vs_a_mse", "b_vs_a")
 _DIGITS = {n: 2 if n.endswith("rmse") else 6 for n in _QUANTITIES}
@@ -37,8 +49,7 @@ def _sizes(d: DataFrame, by: list[str]) -> DataFrame:
 
 def _replicates(spark: SparkSession, sf_dir: str, block: int = B.BLOCK) -> DataFrame:
     d = A.daily(spark, sf_dir)
-    counts = B.day_counts(B.block_starts(_sizes(d, ["climate"]), REPS, block), ["climate"])
-    return B.paired_metrics(B.resampled_sums(d, counts, ["climate"], SUMS))
+    return B.paired_metrics(B.block_sums(d, B.block_starts(_sizes(d, ["climate"]), REPS, block), ["climate"], SUMS))
 
 
 @query(f"WITH {DAILY_SQL}, sizes AS (SELECT climate, count(*) AS n FROM daily GROUP BY climate) SELECT climate, rep, blk, start FROM ({starts_sql('sizes')})")
@@ -66,41 +77,40 @@ def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(_replicates(spark, sf_dir).groupBy("climate").agg(*[c for n in _QUANTITIES for c in B.interval(n)]), _CI)
 
 
-@query(ask("climate block | delta_rmse_lo:2 delta_rmse_hi:2", f"{DAILY_SQL}, sizes AS (SELECT climate, count(*) AS n, unnest([30, 45, 60, 90]) AS block FROM daily GROUP BY climate), starts AS ({starts_sql('sizes', 'block')}), counts AS ({_COUNTS.format(by='climate, block', starts='starts')}), r AS (SELECT climate, block, rep, sqrt(sum(times * a_e2) / sum(times * w)) - sqrt(sum(times * b_e2) / sum(times * w)) AS d FROM counts JOIN daily USING (climate, day_idx) GROUP BY ALL)", "SELECT climate, block, quantile_cont(d, 0.025) AS delta_rmse_lo, quantile_cont(d, 0.975) AS delta_rmse_hi FROM r GROUP BY ALL"))
+@query(ask("climate block | delta_rmse_lo:2 delta_rmse_hi:2", f"{DAILY_SQL}, sizes AS (SELECT climate, count(*) AS n, unnest([30, 45, 60, 90]) AS block FROM daily GROUP BY climate), starts AS ({starts_sql('sizes', 'block')}), {sums_sql(['w', 'a_e2', 'b_e2'], extra='block')}, r AS (SELECT climate, block, rep, sqrt(a_e2 / w) - sqrt(b_e2 / w) AS d FROM sums)", "SELECT climate, block, quantile_cont(d, 0.025) AS delta_rmse_lo, quantile_cont(d, 0.975) AS delta_rmse_hi FROM r GROUP BY ALL"))
 def block_length_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BO7: four block lengths in one job."""
     d = A.daily(spark, sf_dir)
     sizes = _sizes(d, ["climate"]).withColumn("block", F.explode(F.array(*[F.lit(b) for b in (30, 45, 60, 90)])))
-    counts = B.day_counts(B.block_starts(sizes, REPS, F.col("block")), ["climate", "block"])
-    sums = B.resampled_sums(d, counts, ["climate"], SUMS, ["block"])
+    sums = B.block_sums(d, B.block_starts(sizes, REPS, F.col("block")), ["climate"], SUMS, ["block"])
     return pick(B.paired_metrics(sums).groupBy("climate", "block").agg(*B.interval("delta_rmse")), "climate block | delta_rmse_lo:2 delta_rmse_hi:2")
 
 
-_SEASONAL = f"{DAILY_SQL}, sd AS (SELECT * REPLACE (row_number() OVER (PARTITION BY climate, season ORDER BY day) - 1 AS day_idx) FROM daily), sizes AS (SELECT climate, season, count(*) AS n FROM sd GROUP BY ALL), starts AS ({starts_sql('sizes')}), counts AS ({_COUNTS.format(by='climate, season', starts='starts')})"
+_SEASONAL = f"{DAILY_SQL}, sd AS (SELECT * REPLACE (row_number() OVER (PARTITION BY climate, season ORDER BY day) - 1 AS day_idx) FROM daily), sizes AS (SELECT climate, season, count(*) AS n FROM sd GROUP BY ALL), starts AS ({starts_sql('sizes')}), {sums_sql(['w', 'b_e2'], 'climate, season', 'sd')}"
 
 
-@query(ask("climate | b_rmse_lo:2 b_rmse_hi:2", _SEASONAL, "SELECT climate, quantile_cont(x, 0.025) AS b_rmse_lo, quantile_cont(x, 0.975) AS b_rmse_hi FROM (SELECT climate, rep, sqrt(sum(times * b_e2) / sum(times * w)) AS x FROM counts JOIN sd USING (climate, season, day_idx) GROUP BY ALL) GROUP BY climate"))
+@query(ask("climate | b_rmse_lo:2 b_rmse_hi:2", _SEASONAL, "SELECT climate, quantile_cont(x, 0.025) AS b_rmse_lo, quantile_cont(x, 0.975) AS b_rmse_hi FROM (SELECT climate, rep, sqrt(sum(b_e2) / sum(w)) AS x FROM sums GROUP BY ALL) GROUP BY climate"))
 def seasonal_block_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BO5: blocks within each season, whose day counts stay as observed."""
     from pyspark.sql import Window
 
     d = A.daily(spark, sf_dir)
     d = d.withColumn("day_idx", F.row_number().over(Window.partitionBy("climate", "season").orderBy("day")) - 1)
-    counts = B.day_counts(B.block_starts(_sizes(d, ["climate", "season"]), REPS), ["climate", "season"])
-    s = counts.join(d, ["climate", "season", "day_idx"]).groupBy("climate", "rep").agg(F.sqrt(F.sum(F.col("times") * F.col("b_e2")) / F.sum(F.col("times") * F.col("w"))).alias("b_rmse"))
+    s = B.block_sums(d, B.block_starts(_sizes(d, ["climate", "season"]), REPS), ["climate", "season"], ["w", "b_e2"])
+    s = s.groupBy("climate", "rep").agg(F.sqrt(F.sum("b_e2") / F.sum("w")).alias("b_rmse"))
     return pick(s.groupBy("climate").agg(*B.interval("b_rmse")), "climate | b_rmse_lo:2 b_rmse_hi:2")
 
 
 _ALIGNED = f"""{DAILY_SQL}, sizes AS (SELECT climate, count(*) AS n FROM daily GROUP BY climate), drawn AS ({starts_sql('sizes')}), m AS (SELECT climate, day_idx, month(day) AS month, row_number() OVER (PARTITION BY climate, month(day) ORDER BY day_idx) - 1 AS place, count(*) OVER (PARTITION BY climate, month(day)) AS held FROM daily),
-starts AS (SELECT d.climate, d.n, d.len, d.rep, d.blk, h.day_idx AS start FROM drawn d JOIN m o ON o.climate = d.climate AND o.day_idx = (d.blk * 60) % d.n JOIN m h ON h.climate = d.climate AND h.month = o.month AND h.place = (d.x * d.x % 2147483647) % o.held), counts AS ({_COUNTS.format(by='climate', starts='starts')})"""
+starts AS (SELECT d.climate, d.n, d.len, d.rep, d.blk, h.day_idx AS start FROM drawn d JOIN m o ON o.climate = d.climate AND o.day_idx = (d.blk * 60) % d.n JOIN m h ON h.climate = d.climate AND h.month = o.month AND h.place = (d.x * d.x % 2147483647) % o.held), {sums_sql(['w', 'b_e2'])}"""
 
 
-@query(ask("climate | b_rmse_lo:2 b_rmse_hi:2", _ALIGNED, "SELECT climate, quantile_cont(x, 0.025) AS b_rmse_lo, quantile_cont(x, 0.975) AS b_rmse_hi FROM (SELECT climate, rep, sqrt(sum(times * b_e2) / sum(times * w)) AS x FROM counts JOIN daily USING (climate, day_idx) GROUP BY ALL) GROUP BY climate"))
+@query(ask("climate | b_rmse_lo:2 b_rmse_hi:2", _ALIGNED, "SELECT climate, quantile_cont(x, 0.025) AS b_rmse_lo, quantile_cont(x, 0.975) AS b_rmse_hi FROM (SELECT climate, rep, sqrt(b_e2 / w) AS x FROM sums) GROUP BY climate"))
 def season_aligned_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BO6: each block begins on a day of the month that its place has."""
     d = A.daily(spark, sf_dir)
     starts = B.season_aligned_starts(d.select("climate", "day_idx", F.month("day").alias("month")), REPS)
-    s = B.paired_metrics(B.resampled_sums(d, B.day_counts(starts, ["climate"]), ["climate"], SUMS))
+    s = B.paired_metrics(B.block_sums(d, starts, ["climate"], SUMS))
     return pick(s.groupBy("climate").agg(*B.interval("b_rmse")), "climate | b_rmse_lo:2 b_rmse_hi:2")
 
 
@@ -199,14 +209,13 @@ def uniform_shift_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(s.withColumn("rmse", F.sqrt(F.greatest((F.col("dd") + 2 * d * F.col("du") + d * d * F.col("uu")) / F.col("w"), F.lit(0.0)))), "climate delta | rmse:2")
 
 
-@query(ask("climate delta | rmse_lo:2 rmse_hi:2", f"{_QUAD}, qd AS (SELECT *, row_number() OVER (PARTITION BY climate ORDER BY day) - 1 AS day_idx FROM quad), sizes AS (SELECT climate, count(*) AS n FROM qd GROUP BY climate), starts AS ({starts_sql('sizes', reps=100)}), counts AS ({_COUNTS.format(by='climate', starts='starts')}), s AS (SELECT climate, rep, sum(times * w) AS w, sum(times * dd) AS dd, sum(times * du) AS du, sum(times * uu) AS uu FROM counts JOIN qd USING (climate, day_idx) GROUP BY ALL), r AS (SELECT climate, delta, sqrt(greatest((dd + 2 * delta * du + delta * delta * uu) / w, 0)) AS x FROM s, shift)", "SELECT climate, delta, quantile_cont(x, 0.025) AS rmse_lo, quantile_cont(x, 0.975) AS rmse_hi FROM r GROUP BY ALL"))
+@query(ask("climate delta | rmse_lo:2 rmse_hi:2", f"{_QUAD}, qd AS (SELECT *, row_number() OVER (PARTITION BY climate ORDER BY day) - 1 AS day_idx FROM quad), sizes AS (SELECT climate, count(*) AS n FROM qd GROUP BY climate), starts AS ({starts_sql('sizes')}), {sums_sql(['w', 'dd', 'du', 'uu'], daily='qd')}, r AS (SELECT climate, delta, sqrt(greatest((dd + 2 * delta * du + delta * delta * uu) / w, 0)) AS x FROM sums, shift)", "SELECT climate, delta, quantile_cont(x, 0.025) AS rmse_lo, quantile_cont(x, 0.975) AS rmse_hi FROM r GROUP BY ALL"))
 def uniform_shift_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SE3: all shifts share one set of replicates."""
     from pyspark.sql import Window
 
     quad = _quadratic(spark, sf_dir).withColumn("day_idx", F.row_number().over(Window.partitionBy("climate").orderBy("day")) - 1)
-    counts = B.day_counts(B.block_starts(_sizes(quad, ["climate"]), 100), ["climate"])
-    s = B.resampled_sums(quad, counts, ["climate"], ["w", "dd", "du", "uu"])
+    s = B.block_sums(quad, B.block_starts(_sizes(quad, ["climate"]), REPS), ["climate"], ["w", "dd", "du", "uu"])
     d = F.col("delta")
     r = s.select("*", F.explode(F.array(*[F.lit(k * 0.5) for k in range(-12, 13)])).alias("delta")).withColumn("rmse", F.sqrt(F.greatest((F.col("dd") + 2 * d * F.col("du") + d * d * F.col("uu")) / F.col("w"), F.lit(0.0))))
     return pick(r.groupBy("climate", "delta").agg(*B.interval("rmse")), "climate delta | rmse_lo:2 rmse_hi:2")
@@ -223,3 +232,81 @@ def template_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = rows.groupBy("climate", "method").agg(*[F.sum(c).alias(c) for c in ("wet", "wtt", "wee", "ws")], F.sum(per).alias("per"))
     alpha = F.when(F.col("wtt") > 0, F.col("wet") / F.col("wtt")).otherwise(0.0)
     return pick(s.withColumns({"alpha": alpha, "aligned_mse": alpha * alpha * F.col("wtt") / F.col("ws"), "row_aligned_mse": F.col("per") / F.col("ws"), "stationary_mse": F.col("wee") / F.col("ws")}), "climate method | alpha:8 aligned_mse:0 row_aligned_mse:0 stationary_mse:0")
+
+
+# --- SE5: what is left of the errors when a template is taken out of their mean
+
+
+_PERIOD_SQL = "SELECT *, 'annual' AS period FROM errors UNION ALL SELECT *, season AS period FROM errors"
+_ADJUST_SQL = f"""{ERRORS_SQL}, pe AS ({_PERIOD_SQL}), ce AS (SELECT climate, period, cell, count(*) AS n, avg(err_a) AS ea, avg(err_b) AS eb, sum(err_a * err_a) AS sa, sum(err_b * err_b) AS sb FROM pe GROUP BY ALL),
+cg AS (SELECT ce.*, row, lat, lsm, oro_m, w FROM ce JOIN grid USING (cell)), cr AS ({masks.regions_sql("cg", masks.REGIONS + masks.DERIVED)}),
+cm AS (SELECT *, 'a' AS method, ea AS e, sa AS s2 FROM cr UNION ALL SELECT *, 'b', eb, sb FROM cr),
+rw AS (SELECT climate, period, region, method, row, any_value(w) AS wr, sum(e * oro_m) AS et, sum(oro_m * oro_m) AS tt, sum(w * e * oro_m) AS wet, sum(w * oro_m * oro_m) AS wtt, sum(w * e * e) AS wee, sum(w) AS ws, sum(w * s2) AS total, sum(w * n) AS wn FROM cm GROUP BY ALL),
+rg AS (SELECT climate, period, region, method, sum(wet) / sum(wtt) AS alpha, sum(wet) * sum(wet) / sum(wtt) / sum(ws) AS rigid, sum(wr * et * et / tt) / sum(ws) AS by_row, sum(wee) / sum(ws) AS stationary, sum(total) / sum(wn) AS mse FROM rw GROUP BY ALL)"""
+_ADJUST = "climate period region method | alpha:8 stationary_rms:2 rigid_rms:2 row_rms:2 rmse:2 rmse_rigid:2 rmse_row:2 skill:6 skill_rigid:6 skill_row:6"
+
+
+@query(ask(_ADJUST, _ADJUST_SQL, "SELECT g.climate, g.period, g.region, g.method, g.alpha, sqrt(g.stationary) AS stationary_rms, sqrt(g.rigid) AS rigid_rms, sqrt(g.by_row) AS row_rms, sqrt(g.mse) AS rmse, sqrt(greatest(g.mse - g.rigid, 0)) AS rmse_rigid, sqrt(greatest(g.mse - g.by_row, 0)) AS rmse_row, 1 - g.mse / a.mse AS skill, 1 - greatest(g.mse - g.rigid, 0) / greatest(a.mse - a.rigid, 0) AS skill_rigid, 1 - greatest(g.mse - g.by_row, 0) / greatest(a.mse - a.by_row, 0) AS skill_row FROM rg g JOIN rg a ON a.method = 'a' AND a.climate = g.climate AND a.period = g.period AND a.region = g.region"))
+def template_adjustment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SE5: by climate, period, region and method: a template's coefficient in the mean error, rigid and by latitude row, and
+    rmse and skill (against method a) with and without what it explains. Cells are summed once; regions roll up."""
+    e = A.errors(spark, sf_dir).withColumn("period", F.explode(F.array(F.lit("annual"), "season")))
+    sums = {f"{k}{m}": f(m) for m in "ab" for k, f in (("e", lambda m: F.avg(f"err_{m}")), ("s", lambda m: F.sum(F.col(f"err_{m}") ** 2)))}
+    cells = e.groupBy("climate", "period", "cell").agg(F.count("*").alias("n"), *[v.alias(k) for k, v in sums.items()])
+    cells = masks.by_region(cells.join(F.broadcast(A.grid(spark)), "cell"), masks.REGIONS + masks.DERIVED)
+    methods = F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"e{m}").alias("e"), F.col(f"s{m}").alias("s2")) for m in "ab"])
+    x, t, w = F.col("e"), F.col("oro_m"), F.col("w")
+    by = ["climate", "period", "region", "method"]
+    rows = cells.select("*", F.inline(methods)).groupBy(*by, "row").agg(F.first("w").alias("wr"), F.sum(x * t).alias("et"), F.sum(t * t).alias("tt"), F.sum(w * x * t).alias("wet"), F.sum(w * t * t).alias("wtt"), F.sum(w * x * x).alias("wee"), F.sum("w").alias("ws"), F.sum(w * F.col("s2")).alias("total"), F.sum(w * F.col("n")).alias("wn"))
+    area = F.sum("ws")
+    g = rows.groupBy(*by).agg((F.sum("wet") / F.sum("wtt")).alias("alpha"), (F.sum("wet") * F.sum("wet") / F.sum("wtt") / area).alias("rigid"), (F.sum(F.col("wr") * F.col("et") * F.col("et") / F.col("tt")) / area).alias("row"), (F.sum("wee") / area).alias("stationary"), (F.sum("total") / F.sum("wn")).alias("mse"))
+    left = lambda c: F.greatest(F.col("mse") - F.col(c), F.lit(0.0))
+    g = g.withColumns({"left_rigid": left("rigid"), "left_row": left("row")})
+    ref = g.where("method = 'a'").select(*by[:3], *[F.col(c).alias(f"ref_{c}") for c in ("mse", "left_rigid", "left_row")])
+    skills = {n: 1 - F.col(c) / F.col(f"ref_{c}") for n, c in (("skill", "mse"), ("skill_rigid", "left_rigid"), ("skill_row", "left_row"))}
+    roots = {n: F.sqrt(c) for n, c in (("stationary_rms", "stationary"), ("rigid_rms", "rigid"), ("row_rms", "row"), ("rmse", "mse"), ("rmse_rigid", "left_rigid"), ("rmse_row", "left_row"))}
+    return pick(g.join(ref, by[:3]).withColumns(roots | skills), _ADJUST)
+
+
+_ADJUSTED_SQL = f"""{ERRORS_SQL}, st AS (SELECT climate, cell, any_value(row) AS row, any_value(w) AS w, any_value(oro_m) AS t, avg(err_a) AS ea, avg(err_b) AS eb FROM errors GROUP BY climate, cell),
+rigid AS (SELECT climate, sum(w * ea * t) / sum(w * t * t) AS ra, sum(w * eb * t) / sum(w * t * t) AS rb FROM st GROUP BY climate),
+prof AS (SELECT climate, row, sum(ea * t) / sum(t * t) AS pa, sum(eb * t) / sum(t * t) AS pb FROM st GROUP BY climate, row),
+dr AS (SELECT climate, day, row, sum(w) AS w, sum(w * err_a * err_a) AS a2, sum(w * err_b * err_b) AS b2, sum(w * err_a * oro_m) AS a_t, sum(w * err_b * oro_m) AS b_t, sum(w * oro_m * oro_m) AS tt FROM errors GROUP BY ALL),
+adj AS (SELECT climate, day, row_number() OVER (PARTITION BY climate ORDER BY day) - 1 AS day_idx, sum(w) AS w, sum(a2) AS a_e2, sum(b2) AS b_e2, sum(a2 - 2 * ra * a_t + ra * ra * tt) AS a_rigid, sum(b2 - 2 * rb * b_t + rb * rb * tt) AS b_rigid,
+ sum(a2 - 2 * pa * a_t + pa * pa * tt) AS a_row, sum(b2 - 2 * pb * b_t + pb * pb * tt) AS b_row FROM dr JOIN rigid USING (climate) JOIN prof USING (climate, row) GROUP BY climate, day)"""
+_SERIES = ("a_e2", "b_e2", "a_rigid", "b_rigid", "a_row", "b_row")
+
+
+def adjusted_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily sums of squares, as they are and with the template taken out: d - 2 alpha (e.T) + alpha**2 (T.T)."""
+    e = A.errors(spark, sf_dir)
+    t = F.col("oro_m")
+    cells = e.groupBy("climate", "cell").agg(F.first("row").alias("row"), F.first("w").alias("w"), F.first("oro_m").alias("oro_m"), F.avg("err_a").alias("ea"), F.avg("err_b").alias("eb"))
+    rigid = cells.groupBy("climate").agg(*[(metrics.wsum(F.col(f"e{m}") * t) / metrics.wsum(t * t)).alias(f"rigid_{m}") for m in "ab"])
+    profile = cells.groupBy("climate", "row").agg(*[(F.sum(F.col(f"e{m}") * t) / F.sum(t * t)).alias(f"row_{m}") for m in "ab"])
+    dots = [c for m in "ab" for c in (metrics.wsum(F.col(f"err_{m}") ** 2).alias(f"{m}2"), metrics.wsum(F.col(f"err_{m}") * t).alias(f"{m}t"))]
+    rows = e.groupBy("climate", "day", "row").agg(F.sum("w").alias("w"), *dots, metrics.wsum(t * t).alias("tt")).join(rigid, "climate").join(profile, ["climate", "row"])
+    out = lambda m, kind: F.sum(F.col(f"{m}2") - 2 * F.col(f"{kind}_{m}") * F.col(f"{m}t") + F.col(f"{kind}_{m}") ** 2 * F.col("tt")).alias(f"{m}_{kind}")
+    return rows.groupBy("climate", "day").agg(F.sum("w").alias("w"), *[F.sum(f"{m}2").alias(f"{m}_e2") for m in "ab"], *[out(m, k) for k in ("rigid", "row") for m in "ab"])
+
+
+@query(ask("climate day | " + " ".join(f"{c}:0" for c in _SERIES), _ADJUSTED_SQL, "SELECT * FROM adj"))
+def template_adjusted_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SE5: the adjusted daily series."""
+    return pick(adjusted_daily(spark, sf_dir), "climate day | " + " ".join(f"{c}:0" for c in _SERIES))
+
+
+_KINDS = ("e2", "rigid", "row")
+_ADJ_CI = "climate kind | delta_rmse_lo:2 delta_rmse_hi:2 skill_lo:6 skill_hi:6"
+_KIND_SQL = " UNION ALL ".join(f"SELECT climate, rep, '{k}' AS kind, sqrt(a_{k} / w) - sqrt(b_{k} / w) AS d, 1 - b_{k} / a_{k} AS s FROM sums" for k in _KINDS)
+
+
+@query(ask(_ADJ_CI, f"{_ADJUSTED_SQL}, sizes AS (SELECT climate, count(*) AS n FROM adj GROUP BY climate), starts AS ({starts_sql('sizes')}), {sums_sql(['w', *_SERIES], daily='adj')}, r AS ({_KIND_SQL})", "SELECT climate, kind, quantile_cont(d, 0.025) AS delta_rmse_lo, quantile_cont(d, 0.975) AS delta_rmse_hi, quantile_cont(s, 0.025) AS skill_lo, quantile_cont(s, 0.975) AS skill_hi FROM r GROUP BY ALL"))
+def template_adjusted_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SE5: intervals of the rmse difference and of the skill of b against a, as they are and adjusted, from one set of starts."""
+    from pyspark.sql import Window
+
+    d = adjusted_daily(spark, sf_dir).withColumn("day_idx", F.row_number().over(Window.partitionBy("climate").orderBy("day")).cast("long") - 1)
+    s = B.block_sums(d, B.block_starts(_sizes(d, ["climate"]), REPS), ["climate"], ["w", *_SERIES])
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), (F.sqrt(F.col(f"a_{k}") / F.col("w")) - F.sqrt(F.col(f"b_{k}") / F.col("w"))).alias("delta_rmse"), (1 - F.col(f"b_{k}") / F.col(f"a_{k}")).alias("skill")) for k in _KINDS])
+    return pick(s.select("climate", F.inline(kinds)).groupBy("climate", "kind").agg(*B.interval("delta_rmse"), *B.interval("skill")), _ADJ_CI)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from fieldloom.operators import bootstrap, distributions, linalg, masks, provenance, spectra
 from fieldloom.operators import adapters as A
+from fieldloom.plans import algebra, registry
 from fieldloom.sources import arrays, tables
 from fieldloom.streaming.accumulate import accumulated, stream_error_sums
 from pyspark.sql import functions as F
@@ -55,7 +56,8 @@ def test_moments_and_basis(spark):
 def test_canonical_regression(spark):
     m = A.matrices(spark, DATA)
     z = m.select(F.concat("x", "y").alias("xy"))
-    full = linalg.fit_canonical(z, 32, 32, 32)
+    fit = linalg.ScoreMoments(z)
+    full = fit.canonical(32, 32, 32)
     v = vectors(spark)
     xc, yc = v[:, :32] - v[:, :32].mean(0), v[:, 32:] - v[:, 32:].mean(0)
     assert np.allclose(full.b, np.linalg.lstsq(xc, yc, rcond=None)[0], atol=1e-8)
@@ -64,8 +66,93 @@ def test_canonical_regression(spark):
     assert abs(rows[0]["mse"] - ((yc - xc @ full.b) ** 2).mean()) < 1e-9 and rows[0]["mse"] <= rows[1]["mse"] <= rows[2]["mse"]
     out = {r.day_idx: r.y_hat for r in full.predict(m, ["day_idx"]).collect()}
     assert np.allclose(np.array([out[k] for k in sorted(out)]), xc @ full.b + v[:, 32:].mean(0))
-    with pytest.raises(ValueError):
-        linalg.inverse_and_root(np.zeros((3, 3)))
+    c = np.cov(np.vstack((xc.T, yc.T)))
+    root = lambda m, p: (lambda w, q: (q * w**p) @ q.T)(*np.linalg.eigh(m))
+    u, rho, vt = np.linalg.svd(root(c[:8, :8], -0.5) @ c[:8, 32:48] @ root(c[32:48, 32:48], -0.5))
+    want = root(c[:8, :8], -0.5) @ u[:, :3] @ np.diag(rho[:3]) @ vt[:3] @ root(c[32:48, 32:48], 0.5)
+    assert np.allclose(fit.canonical(8, 16, 3).b, want, atol=1e-9) and np.allclose(fit.canonical(8, 16, 3).rho, rho)
+    with pytest.raises(ValueError, match="variance"):
+        linalg.Factor.of(np.zeros((3, 3)))
+
+
+def test_factor_of_a_singular_covariance():
+    x = np.random.default_rng(3).normal(size=(50, 3)) @ np.random.default_rng(4).normal(size=(3, 5))
+    c = np.cov(x.T)
+    f = linalg.Factor.of(c)
+    assert f.lost == 2 and np.allclose(f.whitening().T @ c @ f.whitening(), np.eye(3)) and np.allclose(f.colouring().T @ f.colouring(), c)
+    assert np.allclose(linalg.Factor.of(c, ridge=0.5).colouring().T @ linalg.Factor.of(c, ridge=0.5).colouring(), c + 0.5 * np.eye(5))
+
+
+def test_shrinkage_equals_its_definition():
+    x = np.random.default_rng(5).normal(size=(40, 6)) * np.arange(1, 7)
+    z = x - x.mean(0)
+    c = np.cov(x.T)
+    m = np.trace(c) / 6
+    apart = ((c - m * np.eye(6)) ** 2).sum() / 6
+    noise = sum(((np.outer(v, v) - c) ** 2).sum() for v in z) / 40**2 / 6
+    share, f = linalg.shrunk_factor(40, c, (z**2).sum(1) @ (z**2).sum(1))
+    assert np.isclose(share, min(1, noise / apart))
+    assert np.allclose(f.colouring().T @ f.colouring(), (1 - share) * c + share * m * np.eye(6))
+
+
+def test_modes_by_the_gram_matrix_equal_the_svd(spark):
+    x = vectors(spark)
+    sw = algebra._sqrt_weights()
+    a = (x - x.mean(0)) * sw
+    u, s, vt = np.linalg.svd(a, full_matrices=False)
+    e, modes = linalg.fit_wide_basis(algebra._anomalies(spark, DATA), "day_idx", "a", 7, days=60, pixels=20)
+    got = np.zeros((7, 64))
+    for r in modes.collect():
+        got[r.mode, r.pixel] = r.value
+    assert np.allclose(np.sqrt(e.values), s[:7]) and np.allclose(np.abs((got * vt[:7]).sum(1)), 1) and np.isclose(e.trace, (s**2).sum())
+    products = {(r.a, r.b): r.value for r in linalg.mode_products(modes).collect()}
+    assert all(abs(v - (i == j)) < 1e-9 for (i, j), v in products.items()) and len(products) == 49
+    rows = sorted(registry.queries()["spatial_modes"](spark, DATA).collect())
+    assert [r.mode for r in rows] == list(range(10)) and all(r.orthonormal for r in rows)
+    assert np.allclose([r.share for r in rows], (s**2 / (s**2).sum())[:10], atol=1e-7)
+
+
+def test_truncation_sweep_equals_plain_fits(spark):
+    v = vectors(spark)
+    ids = np.array(sorted(r.vec_id for r in A.table(spark, DATA, "embeddings").select("vec_id").collect()))
+    pop = np.array([r.label for r in A.table(spark, DATA, "embeddings").select("vec_id", "label").orderBy("vec_id").collect()])
+    train, val = ids % 5 != 0, ids % 5 == 0
+    fit = linalg.ScoreMoments(A.matrices(spark, DATA).where("split = 'train'").select(F.concat("x", "y").alias("xy")))
+    rows = registry.queries()["truncation_sweep"](spark, DATA).collect()
+    assert len(rows) == 5 * len(set(pop[val]))
+    for r in rows:
+        m = fit.canonical(r.kx, 32, 8)
+        at = val & (pop == r.population)
+        e = (v[at, : r.kx] - v[train, : r.kx].mean(0)) @ m.b + v[train, 32:].mean(0) - v[at, 32:]
+        answer, bias = np.ones(r.kx) @ m.b, e.mean(0)
+        want = [at.sum(), r.kx / 32, np.linalg.norm(answer) / 32**0.5, (e**2).sum() / at.sum() / 32, bias @ bias / 32, ((e - bias) ** 2).sum() / at.sum() / 32, answer @ bias / np.linalg.norm(answer) / np.linalg.norm(bias), answer @ bias / (answer @ answer)]
+        assert np.allclose([r.n, r.retention, r.response, r.mse, r.bias, r.variance, r.cosine, r.delta], want, atol=2e-6)
+
+
+def test_matrices_too_large_for_one_place_are_refused(spark):
+    wide = spark.range(2).select(F.transform(F.sequence(F.lit(1), F.lit(7000)), lambda v: v.cast("double")).alias("x"))
+    with pytest.raises(ValueError, match="too large"):
+        linalg.moments(wide, "x")
+
+
+def test_exact_quantiles_of_many_values(spark, monkeypatch):
+    monkeypatch.setattr(distributions, "ROUND_CELLS", 8)
+    monkeypatch.setattr(distributions, "LAST_VALUES", 20)
+    x = np.round(np.random.default_rng(6).normal(size=5000) ** 3, 2)
+    x[:900] = 0.25
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").repartition(7)
+    for q in (0.0, 0.1, 0.5, 0.503, 0.999, 1.0):
+        assert np.isclose(distributions.exact_quantile(df, "x", q), np.quantile(x, q), rtol=1e-12)
+    assert distributions.exact_quantile(df.where("x is null"), "x", 0.5) is None
+
+
+def test_cells_are_written_as_c_does(spark):
+    rng = np.random.default_rng(9)
+    x = [0.0, 1.0, -1.0, 10.0, 123456789.0, 1234567890.0, 12345678901.0, -0.0001234, 0.00001234, 1e-300, 1e300, 0.1, 2 / 3, -1e10, 99999999999.0, 9999999999.6, float("inf"), float("-inf"), float("nan")]
+    x += [float(v) for v in rng.normal(size=300) * 10.0 ** rng.integers(-12, 14, 300)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x)], "k int, v double")
+    got = {r.k: r.s for r in df.select("k", provenance.cell_format(F.col("v")).alias("s")).collect()}
+    assert [got[k] for k in range(len(x))] == [f"{v:.10g}" for v in x]
 
 
 def test_bootstrap_equals_gathering(spark):
@@ -77,6 +164,8 @@ def test_bootstrap_equals_gathering(spark):
     drawn = np.random.default_rng(bootstrap.SEED).integers(0, n, size=(reps, 5), dtype=np.int64)
     index = ((drawn[:, :, None] + np.arange(block)) % n).reshape(reps, -1)[:, :n]
     assert np.allclose([got[r] for r in range(reps)], x[index].sum(1))
+    got = {r.rep: r.x for r in bootstrap.block_sums(daily, starts, ["climate"], ["x"]).collect()}
+    assert np.allclose([got[r] for r in range(reps)], x[index].sum(1))
 
 
 def test_starts_are_spread(spark):
