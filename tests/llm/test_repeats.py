@@ -169,6 +169,14 @@ def test_long_texts(spark, method):
 # --- 5: near duplicates
 
 
+def test_near_duplicates_of_long_texts(spark):
+    long = [f"w{k}" for k in range(400_000)]
+    other = [w if k % 40 else "x" for k, w in enumerate(long)]  # two of 40 shingles differ
+    far = [w if k % 8 else "y" for k, w in enumerate(long)]
+    rows = near_duplicates(frame(spark, [" ".join(t) for t in (long, other, far)])).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == {(0, 0), (1, 0), (2, 2)} and all(r.n_shingles == 399_999 for r in rows)
+
+
 def sets(t, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return set() if not w else {tuple(w)} if len(w) < k else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
