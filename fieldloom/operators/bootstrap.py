@@ -7,6 +7,7 @@ aggregate, and any additive series then takes one join and one sum a replicate.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +34,15 @@ def block_starts(sizes: DataFrame, reps: int, block: Column | int = BLOCK, seed:
 
 def generator_starts(spark: SparkSession, sizes: dict[str, int], reps: int, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """The starts of one NumPy generator drawn climate after climate, as a table of ceil(n / block) numbers a replicate."""
-    rng, rows = np.random.default_rng(seed), []
+    rng, parts = np.random.default_rng(seed), []
     for climate, n in sizes.items():
-        drawn = rng.integers(0, n, size=(reps, -(-n // block)), dtype=np.int64)
-        rows += [(climate, n, block, r, b, int(s)) for r, x in enumerate(drawn) for b, s in enumerate(x)]
-    return spark.createDataFrame(rows, "climate string, n long, len long, rep long, blk long, start long")
+        blocks = -(-n // block)
+        drawn = rng.integers(0, n, size=(reps, blocks), dtype=np.int64)
+        count = reps * blocks
+        columns = [pa.array([climate] * count), *(pa.array(np.full(count, v, np.int64)) for v in (n, block))]
+        columns += [pa.array(v) for v in (np.repeat(np.arange(reps), blocks), np.tile(np.arange(blocks), reps), drawn.ravel())]
+        parts.append(pa.table(columns, ["climate", "n", "len", "rep", "blk", "start"]))
+    return spark.createDataFrame(pa.concat_tables(parts)) if parts else spark.createDataFrame([], "climate string, n long, len long, rep long, blk long, start long")
 
 
 def day_counts(starts: DataFrame, by: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def uniform_bin(x: Column, lo: float, hi: float, bins: int) -> Column:
@@ -84,35 +85,61 @@ def percentile_of(value: Column, sample: str) -> list[Column]:
     return F.lit(100.0) * F.avg((s < value).cast("double")) + F.lit(50.0) / F.greatest(F.count(s), F.lit(1)) * F.avg((s == value).cast("double")) * 2
 
 
+def _blocks(df: DataFrame, rows: int) -> DataFrame:
+    """(b, ids, x): about so many rows of df(id, x) as one matrix, row by row."""
+    count = max(1, -(-df.count() // rows))
+    packed = df.groupBy(F.pmod(F.xxhash64("id"), F.lit(count)).alias("b")).agg(F.collect_list(F.struct("id", "x")).alias("r"))
+    return packed.select("b", F.col("r.id").alias("ids"), F.flatten("r.x").alias("x"))
+
+
 def nearest_distances(queries: DataFrame, refs: DataFrame, ks: tuple[int, ...], most_queries: int = 4096) -> DataFrame:
-    """(id, k, distance) to the k-th nearest of refs(id, x) for every query(id, x).
+    """(id, k, distance) to the k-th nearest of refs(id, x) for every query(id, x); ids may be of any type.
 
-    Queries go to the tasks in blocks of most_queries; each task keeps the nearest max(ks) of its rows, and only these
-    are shuffled.
+    Blocks of queries meet blocks of references in matrix products on the executors. A task keeps the nearest max(ks)
+    of the references that a block of queries has met there, and only these are shuffled. Distances kept are computed
+    from differences, so that near ones lose no digits.
     """
-    keep, out = max(ks), None
-    n = queries.count()
-    for block in range(max(1, -(-n // most_queries))):
-        part = queries if n <= most_queries else queries.where(F.pmod(F.xxhash64("id"), F.lit(-(-n // most_queries))) == block)
-        rows = part.select("id", "x").collect()
-        if not rows:
-            continue
-        ids, q = [r.id for r in rows], np.array([r.x for r in rows], float)
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
-            best = np.full((len(ids), keep), np.inf)
-            for b in batches:
-                r = np.array(b.column("x").to_pylist(), float)
-                if len(r):
-                    d2 = np.stack([((q - x) ** 2).sum(1) for x in r], 1)
-                    best = np.sort(np.concatenate((best, d2), 1), 1)[:, :keep]
+    keep = max(ks)
+    kind = queries.schema["id"].dataType
+    arrow = to_arrow_type(kind)
+    left = _blocks(queries, most_queries).select("b", "ids", F.col("x").alias("q"))
+    right = _blocks(refs, most_queries).select(F.col("x").alias("r"), F.size("ids").alias("n"))
+
+    def matrix(batch: pa.RecordBatch, name: str, at: int, rows: int) -> np.ndarray:
+        return batch.column(name).slice(at, 1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
+
+    def nearer(best: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+        about = (q**2).sum(1)[:, None] + (r**2).sum(1) - 2 * q @ r.T
+        n = min(keep, len(r))
+        at = np.argpartition(about, n - 1, 1)[:, :n]
+        exact = np.stack([((q - r[at[:, k]]) ** 2).sum(1) for k in range(n)], 1)
+        return np.sort(np.concatenate((best, exact), 1), 1)[:, :keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = ids = q = best = None
+
+        def done() -> pa.RecordBatch:
             at = np.argwhere(np.isfinite(best))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in at], pa.int64()), pa.array(np.sqrt(best[at[:, 0], at[:, 1]]))], ["id", "d"])
-
-        found = refs.select("x").mapInArrow(run, "id long, d double")
-        out = found if out is None else out.union(found)
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(at[:, 0])), pa.array(np.sqrt(best[at[:, 0], at[:, 1]]))], ["id", "d"])
+
+        for batch in batches:
+            for n in range(len(batch)):
+                b = batch.column("b")[n].as_py()
+                if b != block:
+                    if block is not None:
+                        yield done()
+                    block, ids = b, pa.array(batch.column("ids")[n].as_py(), arrow)
+                    q = matrix(batch, "q", n, len(ids))
+                    best = np.full((len(ids), keep), np.inf)
+                r = matrix(batch, "r", n, batch.column("n")[n].as_py())
+                for a in range(0, len(r), 1024):
+                    best = nearer(best, q, r[a : a + 1024])
+        if block is not None:
+            yield done()
+
+    found = left.crossJoin(right).mapInArrow(run, f"id {kind.simpleString()}, d double")
     place = F.row_number().over(Window.partitionBy("id").orderBy("d"))
-    return out.withColumn("k", place).where(F.col("k").isin(*ks)).select("id", "k", F.col("d").alias("distance"))
+    return found.withColumn("k", place).where(F.col("k").isin(*ks)).select("id", "k", F.col("d").alias("distance"))
 
 
 def _over_pairs(sample: DataFrame, visit: Callable, most_queries: int = 2048) -> dict[int, float]:

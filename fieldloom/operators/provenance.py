@@ -103,4 +103,4 @@ def cell_format(x: Column, digits: int = 10) -> Column:
     far = F.concat(strip(F.concat(F.substring(figures, 1, 1), F.lit("."), F.substring(figures, 2, digits))), F.lit("e"), F.substring_index(said, "e", -1))
     out = F.when(power.isNull(), F.lower(said)).when((power < -4) | (power >= digits), far).when(power >= 0, strip(whole)).otherwise(strip(small))
     odd = F.when(F.isnan(x), F.lit("nan")).when(F.abs(x) == float("inf"), F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), F.lit("inf")))
-    return F.coalesce(odd, F.concat(sign, out))
+    return F.when(x.isNotNull(), F.coalesce(odd, F.concat(sign, out)))

@@ -67,6 +67,16 @@ def paired_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(_replicates(spark, sf_dir), _SPEC)
 
 
+@query()
+def generator_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BO3, BO4: intervals from the starts of one NumPy generator, drawn for pd, mh and ssp in that order."""
+    d = A.daily(spark, sf_dir)
+    held = {r.climate: r.n for r in _sizes(d, ["climate"]).collect()}
+    starts = B.generator_starts(spark, {c: held[c] for c in A.CLIMATES if c in held}, REPS)
+    s = B.paired_metrics(B.block_sums(d, starts, ["climate"], SUMS))
+    return pick(s.groupBy("climate").agg(*[c for n in _QUANTITIES for c in B.interval(n)]), _CI)
+
+
 _CI = "climate | " + " ".join(f"{n}_lo:{d} {n}_hi:{d}" for n, d in _DIGITS.items())
 _CI_SQL = ", ".join(f"quantile_cont({n}, 0.025) AS {n}_lo, quantile_cont({n}, 0.975) AS {n}_hi" for n in _QUANTITIES)
 

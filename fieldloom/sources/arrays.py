@@ -1,6 +1,7 @@
 """Array files as DataFrames: .npy and .npz through Spark's own binary reader, and chunked array stores.
 
-Only Spark opens files, so any store that the cluster can read will do.
+Whole files are opened by Spark only, so any store that the cluster can read will do. Slices of files too large for that
+are read by ranges of bytes through Arrow's file systems (local and shared folders, hdfs, s3, gs).
 """
 
 from __future__ import annotations
@@ -8,11 +9,13 @@ from __future__ import annotations
 import io
 import json
 import re
+import zipfile
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,32 +70,112 @@ def read_npy(spark: SparkSession, path: str, member: str | None = None, most_byt
     return _binary(spark, path).mapInArrow(run, "file string, i long, vals array<double>")
 
 
+def member_offset(file, member: str) -> int:
+    """Where the bytes of an uncompressed member begin in a zip archive that is open for reading."""
+    with zipfile.ZipFile(file) as archive:
+        info = archive.getinfo(member)
+    if info.compress_type != zipfile.ZIP_STORED:
+        raise ValueError(f"{member} is compressed; only whole archives of such members can be read")
+    file.seek(info.header_offset)
+    local = file.read(30)
+    return info.header_offset + 30 + int.from_bytes(local[26:28], "little") + int.from_bytes(local[28:30], "little")
+
+
+def _open(uri: str):
+    files, path = pyarrow.fs.FileSystem.from_uri(uri)
+    return files.open_input_file(path)
+
+
+def slice_npy(spark: SparkSession, uri: str, start: int = 0, stop: int | None = None, member: str | None = None, task_bytes: int = 64 << 20) -> DataFrame:
+    """(i, vals): rows start to stop of an .npy file's first axis, or of an uncompressed member of an .npz archive.
+
+    Only the header is read on the driver. Each task reads ranges of at most task_bytes (one row at least), so a file may
+    be of any size, and nothing outside the slice is touched. Floats keep their width; other types become doubles.
+    """
+    with _open(uri) as f:
+        at = 0
+        if member:
+            at = member_offset(f, member if member.endswith(".npy") else f"{member}.npy")
+        f.seek(at)
+        first = f.read(12)
+        size = 10 + int.from_bytes(first[8:10], "little") if first[6] == 1 else 12 + int.from_bytes(first[8:12], "little")
+        f.seek(at)
+        shape, dtype, fortran = npy_header(f.read(size))
+    if fortran and len(shape) > 1:
+        raise ValueError(f"{uri} isn't in C order")
+    if not shape:
+        raise ValueError(f"{uri} holds a single value")
+    stop = shape[0] if stop is None else min(stop, shape[0])
+    width = int(np.prod(shape[1:]))
+    row, begin = width * dtype.itemsize, at + size
+    rows = max(1, task_bytes // max(1, row))
+    kind, arrow = ("float", pa.float32()) if dtype.kind == "f" and dtype.itemsize == 4 else ("double", pa.float64())
+    parts = max(0, -(-(stop - start) // rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in b.column("id").to_pylist():
+                lo = start + part * rows
+                hi = min(stop, lo + rows)
+                with _open(uri) as f:
+                    f.seek(begin + lo * row)
+                    x = np.frombuffer(f.read((hi - lo) * row), dtype).reshape(hi - lo, width).astype(arrow.to_pandas_dtype())
+                offsets = pa.array(np.arange(0, (hi - lo) * width + 1, width), pa.int32()) if width else pa.array([0] * (hi - lo + 1), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, hi), pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(x.ravel(), arrow))], ["i", "vals"])
+
+    return spark.range(0, parts, 1, max(1, parts)).mapInArrow(run, f"i long, vals array<{kind}>")
+
+
+def _unpacked(compressor: str | None, data: bytes) -> bytes:
+    if compressor is None:
+        return data
+    if compressor == "zstd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+    return zlib.decompress(data, 47)  # zlib or gzip
+
+
 def read_chunked(spark: SparkSession, path: str, array: str) -> DataFrame:
-    """(i, vals) of a chunked store's array whose chunks are whole along all but the first axis.
+    """(i, vals) of a chunked store's array, its first axis as rows and the others flattened in C order to doubles.
 
-    The metadata (.zarray) is read on the driver; each chunk is one task's file. Chunks may be raw or zlib; missing
-    chunks are the fill value.
+    The metadata (.zarray) is read on the driver; each chunk is one task's file. Chunks may be cut along any axis, raw or
+    packed by zlib, gzip or zstd; missing chunks are the fill value.
     """
     meta = json.loads(_small_file(spark, f"{path}/{array}/.zarray"))
     shape, chunks, order = meta["shape"], meta["chunks"], meta.get("order", "C")
-    if order != "C" or shape[1:] != chunks[1:]:
-        raise ValueError("chunks must be in C order and span all axes but the first")
+    if order != "C":
+        raise ValueError("chunks must be in C order")
     compressor = (meta.get("compressor") or {}).get("id")
-    if compressor not in (None, "zlib") or meta.get("filters"):
+    if compressor not in (None, "zlib", "gzip", "zstd") or meta.get("filters"):
         raise ValueError(f"chunks compressed by {compressor} can't be read")
-    dtype, n, step = np.dtype(meta["dtype"]), shape[0], chunks[0]
+    dtype, n, step, rest = np.dtype(meta["dtype"]), shape[0], chunks[0], tuple(shape[1:])
+    fill_value = float(meta.get("fill_value") or 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                start = int(re.split(r"[./]", name.rsplit("/", 1)[1])[0]) * step
-                x = np.frombuffer(zlib.decompress(data) if compressor else data, dtype).reshape(chunks)
-                x = x[: max(0, n - start)].reshape(min(step, n - start), -1).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(start, start + len(x)), pa.int64()), pa.array(list(x), pa.list_(pa.float64()))], ["i", "vals"])
-
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*").load(f"{path}/{array}").select("path", "content").mapInArrow(run, "i long, vals array<double>")
-    width = int(np.prod(shape[1:]))
-    fill = F.array_repeat(F.lit(float(meta.get("fill_value") or 0.0)), width)
+                name = name.rstrip("/")
+                place = [int(v) for v in re.split(r"[./]", re.search(r"[0-9]+(?:[./][0-9]+)*$", name)[0])[-len(shape) :]]
+                begin = [k * c for k, c in zip(place, chunks, strict=True)]
+                held = tuple(slice(0, min(c, s - a)) for a, c, s in zip(begin, chunks, shape, strict=True))
+                x = np.frombuffer(_unpacked(compressor, data), dtype).reshape(chunks)[held].astype(np.float64)
+                rows = len(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(begin[0], begin[0] + rows), pa.int64()), pa.array([begin[1:]] * rows, pa.list_(pa.int32())), pa.array([list(x.shape[1:])] * rows, pa.list_(pa.int32())), pa.array(list(x.reshape(rows, -1)), pa.list_(pa.float64()))], ["i", "at", "size", "vals"])
+
+    def whole(table: pa.Table) -> pa.Table:
+        out = np.full(rest, fill_value)
+        for at, size, vals in zip(*(table.column(c).to_pylist() for c in ("at", "size", "vals")), strict=True):
+            out[tuple(slice(a, a + s) for a, s in zip(at, size, strict=True))] = np.reshape(vals, size)
+        return pa.table([table.column("i").slice(0, 1).combine_chunks(), pa.array([out.ravel()], pa.list_(pa.float64()))], ["i", "vals"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*").option("recursiveFileLookup", "true").load(f"{path}/{array}")
+    found = files.select("path", "content").mapInArrow(run, "i long, at array<int>, size array<int>, vals array<double>")
+    if list(rest) == chunks[1:]:
+        found = found.select("i", "vals")
+    else:  # a row's parts meet by its number
+        found = found.groupBy("i").applyInArrow(whole, "i long, vals array<double>")
+    fill = F.array_repeat(F.lit(fill_value), int(np.prod(rest)))
     return spark.range(n).select(F.col("id").alias("i")).join(found, "i", "left").withColumn("vals", F.coalesce("vals", fill))
 
 

@@ -168,6 +168,19 @@ def test_bootstrap_equals_gathering(spark):
     assert np.allclose([got[r] for r in range(reps)], x[index].sum(1))
 
 
+def test_generator_intervals_equal_numpy(spark):
+    daily = sorted(A.daily(spark, DATA).collect(), key=lambda r: r.day_idx)
+    rng, got = np.random.default_rng(bootstrap.SEED), {r.climate: r for r in registry.queries()["generator_intervals"](spark, DATA).collect()}
+    for climate in A.CLIMATES:
+        rows = [r for r in daily if r.climate == climate]
+        n = len(rows)
+        starts = rng.integers(0, n, size=(10_000, -(-n // 60)), dtype=np.int64)
+        index = ((starts[:, :, None] + np.arange(60)) % n).reshape(10_000, -1)[:, :n]
+        w, a, b = (np.array([r[c] for r in rows])[index].sum(1) for c in ("w", "a_e2", "b_e2"))
+        want = np.percentile(np.sqrt(a / w) - np.sqrt(b / w), [2.5, 97.5])
+        assert np.allclose([got[climate].delta_rmse_lo, got[climate].delta_rmse_hi], want, atol=0.006)
+
+
 def test_starts_are_spread(spark):
     sizes = spark.createDataFrame([("c", 1096)], "climate string, n long")
     rows = bootstrap.block_starts(sizes, 500).collect()
@@ -239,6 +252,62 @@ def test_gates_and_identity(spark, tmp_path):
     assert provenance.guard_path("/data/train/x", ("test",)) == "/data/train/x"
 
 
+def test_slices_of_array_files(spark, tmp_path):
+    x = np.random.default_rng(1).normal(size=(23, 2, 3))
+    np.save(tmp_path / "a.npy", x)
+    np.savez(tmp_path / "b.npz", other=np.arange(3), x=x.astype(np.float32))
+    np.savez_compressed(tmp_path / "c.npz", x=x)
+    for lo, hi in ((0, None), (5, 17), (22, 99), (7, 7)):
+        got = sorted((r.i, r.vals) for r in arrays.slice_npy(spark, f"file://{tmp_path}/a.npy", lo, hi, task_bytes=100).collect())
+        assert [i for i, _ in got] == list(range(23))[lo:hi] and np.array_equal([v for _, v in got], x[lo:hi].reshape(-1, 6)) or lo == hi and not got
+    df = arrays.slice_npy(spark, f"file://{tmp_path}/b.npz", 3, 9, "x")
+    assert df.schema["vals"].dataType.simpleString() == "array<float>"
+    assert np.array_equal([r.vals for r in df.orderBy("i").collect()], x[3:9].reshape(6, 6).astype(np.float32))
+    with pytest.raises(ValueError, match="compressed"):
+        arrays.slice_npy(spark, f"file://{tmp_path}/c.npz", member="x")
+    np.save(tmp_path / "f.npy", np.asfortranarray(x))
+    with pytest.raises(ValueError, match="C order"):
+        arrays.slice_npy(spark, f"file://{tmp_path}/f.npy")
+
+
+@pytest.mark.parametrize("pack", ["raw", "zlib", "gzip", "zstd"])
+def test_chunks_cut_along_all_axes(spark, tmp_path, pack):
+    import gzip
+
+    import zstandard
+
+    x = np.random.default_rng(2).normal(size=(7, 5, 4))
+    packed = {"raw": bytes, "zlib": zlib.compress, "gzip": gzip.compress, "zstd": zstandard.ZstdCompressor().compress}[pack]
+    folder = tmp_path / "z" / "t"
+    folder.mkdir(parents=True)
+    meta = {"shape": [7, 5, 4], "chunks": [3, 2, 4], "dtype": "<f8", "order": "C", "fill_value": -1.5, "filters": None, "compressor": None if pack == "raw" else {"id": pack}}
+    (folder / ".zarray").write_text(json.dumps(meta))
+    want = x.copy()
+    for a in range(3):
+        for b in range(3):
+            part = np.full((3, 2, 4), 9.0)
+            block = x[3 * a : 3 * a + 3, 2 * b : 2 * b + 2]
+            part[: block.shape[0], : block.shape[1]] = block
+            if (a, b) == (1, 2):
+                want[3:6, 4:5] = -1.5  # a missing chunk
+                continue
+            (folder / f"{a}.{b}.0").write_bytes(packed(part.tobytes()))
+    got = [r.vals for r in arrays.read_chunked(spark, f"file://{tmp_path}/z", "t").orderBy("i").collect()]
+    assert np.array_equal(got, want.reshape(7, 20))
+
+
+def test_written_texts_and_tables(spark, tmp_path):
+    path = f"file://{tmp_path}/a.json"
+    for value in ({"b": 1, "a": [2.5]}, {"a": "é"}):
+        tables.write_json(spark, path, value)
+        assert json.loads((tmp_path / "a.json").read_text()) == value
+    assert [p.name for p in tmp_path.iterdir() if p.name.endswith(".tmp")] == []
+    df = spark.createDataFrame([(1, 2 / 3, 0.5, "x"), (2, None, None, None)], "k int, v double, w double, s string")
+    tables.write_csv(df, f"file://{tmp_path}/t", {"w": "%.3f"})
+    rows = sorted(tuple(r) for r in spark.read.csv(f"file://{tmp_path}/t", header=True).collect())
+    assert rows == [("1", "0.6666666667", "0.500", "x"), ("2", None, None, None)]
+
+
 def test_array_files(spark, tmp_path):
     x = np.arange(24.0).reshape(4, 2, 3)
     np.save(tmp_path / "a.npy", x)
