@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldloom.functions import scalars as S
 from fieldloom.functions.arrays import dot, subtract
 from fieldloom.operators import adapters as A
 from fieldloom.operators import bootstrap as B
@@ -226,6 +227,19 @@ def linear_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(p.select("day_idx", F.posexplode("s").alias("k", "score")), "day_idx k | score:6")
 
 
+_SCALE, _OFFSET = S.INPUT_STD / S.TARGET_STD, (S.INPUT_MEAN - S.TARGET_MEAN) / S.TARGET_STD
+
+
+@query(ask("day_idx | error:4 correction:4", f"{MATRIX_SQL}, b AS (SELECT CAST(i AS INTEGER) AS kx, CAST(j AS INTEGER) AS ky, ((i * 7 + j * 3) % 11 - 5) / 10.0::DOUBLE AS b FROM range(32) r(i), range(32) s(j)), r AS (SELECT day_idx, ky AS k, sum(x.val * b) AS r FROM x JOIN b ON kx = k WHERE split = 'val' GROUP BY ALL)", f"SELECT day_idx, sum((x.val * {_SCALE!r}::DOUBLE + {_OFFSET!r}::DOUBLE + r - y.val) * (x.val * {_SCALE!r}::DOUBLE + {_OFFSET!r}::DOUBLE + r - y.val)) AS error, sum(r * r) AS correction FROM x JOIN y USING (day_idx, k) JOIN r USING (day_idx, k) GROUP BY day_idx"))
+def shard_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LA19: predictions of held-out days as the baseline in target units plus a regressed residual, batch by batch."""
+    b = np.array([[((i * 7 + j * 3) % 11 - 5) / 10 for j in range(32)] for i in range(32)])
+    r = L.apply_matrix(A.matrices(spark, sf_dir).where("split = 'val'"), "x", b, "r", ["day_idx", "x", "y"])
+    p = F.zip_with(F.transform("x", lambda v: S.baseline_in_target_units(v)), "r", lambda a, c: a + c)
+    r = r.withColumn("e", F.zip_with(p, "y", lambda a, c: a - c))
+    return pick(r.select("day_idx", dot(F.col("e"), F.col("e")).alias("error"), dot(F.col("r"), F.col("r")).alias("correction")), "day_idx | error:4 correction:4")
+
+
 @query(ask("population kx | response:6", f"{MATRIX_SQL}, m AS (SELECT population, k, avg(val) AS m FROM x GROUP BY ALL)", "SELECT population, k + 1 AS kx, sum(m * m) OVER (PARTITION BY population ORDER BY k) AS response FROM m"))
 def nested_partial_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WI3: the response of the first k scores, for every k at once."""

@@ -138,14 +138,17 @@ def unsupported_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.distinct().join(s.where("nationkey % 3 <> 0").distinct(), "nationkey", "left_anti")
 
 
-@query(f"WITH {DAILY_SQL} SELECT climate, count(*) AS n_pool, count(*) FILTER (day_idx % 7 <> 0) AS n_train, bool_and(day_idx >= 0) AS contained FROM daily GROUP BY climate")
+@query(f"WITH {DAILY_SQL}, m AS (SELECT climate, day_idx FROM daily WHERE day_idx % 7 = 0 UNION ALL SELECT 'mh', -1), lost AS (SELECT DISTINCT climate FROM (SELECT climate, day_idx FROM m EXCEPT SELECT climate, day_idx FROM daily)) SELECT climate, count(*) AS n_pool, count(*) FILTER (day_idx NOT IN (SELECT m.day_idx FROM m WHERE m.climate = daily.climate)) AS n_train, climate NOT IN (SELECT climate FROM lost) AS contained FROM daily GROUP BY climate")
 def pool_minus_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The training pool without the monitored days, and the containment check."""
+    """The training pool without the monitored days, and whether the pool contains all of these. One climate is asked for a day
+    that it lacks."""
     d = A.daily(spark, sf_dir)
     monitor = d.where("day_idx % 7 = 0").select("climate", "day_idx")
+    monitor = monitor.union(spark.range(1).select(F.lit("mh"), F.lit(-1).cast("long")))
     left = d.join(monitor, ["climate", "day_idx"], "left_anti").groupBy("climate").agg(F.count("*").alias("n_train"))
-    all_ = d.groupBy("climate").agg(F.count("*").alias("n_pool"), F.bool_and(F.col("day_idx") >= 0).alias("contained"))
-    return all_.join(left, "climate").select("climate", "n_pool", "n_train", "contained")
+    lost = monitor.join(d.select("climate", "day_idx"), ["climate", "day_idx"], "left_anti").groupBy("climate").agg(F.count("*").alias("lost"))
+    pool = d.groupBy("climate").agg(F.count("*").alias("n_pool"))
+    return pool.join(left, "climate").join(lost, "climate", "left").select("climate", "n_pool", "n_train", (F.coalesce("lost", F.lit(0)) == 0).alias("contained"))
 
 
 _OTHER = "other AS (SELECT CAST(i AS INTEGER) AS cell, -90.0::DOUBLE + (i // 24) * 11.25::DOUBLE / 2 + (i // 24 + 1) * 11.25::DOUBLE / 2 + CASE WHEN i % 97 = 5 THEN 0.5 ELSE 0 END AS lat FROM range(4, 390) t(i))"
