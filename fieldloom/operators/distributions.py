@@ -247,29 +247,36 @@ def swapped_energies(sample: DataFrame, swaps: Callable[[np.ndarray], np.ndarray
 ROUND_CELLS, LAST_VALUES = 4096, 4096
 
 
-def order_statistics(df: DataFrame, x: str, ranks: list[int]) -> dict[int, float]:
-    """The values of the given ranks (from 0) among the non-null values of a double column, exact, for any number of rows.
+def order_statistics(df: DataFrame, x: str, ranks: Callable[[int], list[int]]) -> dict[int, float]:
+    """The values of some ranks (from 0) among the values of a double column but null and NaN, exact, for any number of rows.
+    ranks(n) names them when the number of values is known; those that no value has are left out.
 
     Each round counts values in cells of equal width between two bounds and goes on in the cell that holds the rank; the
-    driver sees a few thousand counts a round, and no task holds more than these.
+    driver sees a few thousand counts a round, and no task holds more than these. What is fetched in the end settles
+    all ranks that lie within.
     """
-    values = df.select(F.col(x).cast("double").alias("v")).where("v is not null")
+    values = df.select(F.col(x).cast("double").alias("v")).where("v is not null and not isnan(v)")
     low, high, n = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
     out: dict[int, float] = {}
-    for rank in sorted({r for r in ranks if 0 <= r < n}):
+    open_ = sorted({r for r in ranks(n) if 0 <= r < n})
+
+    def settle(v: float, first: int, count: int) -> None:
+        out.update((r, v) for r in open_ if first <= r < first + count)
+
+    for rank in open_:
         lo, hi, below, held = low, high, 0, n
         while rank not in out:
             part = values.where((F.col("v") >= lo) & (F.col("v") <= hi))
-            if held <= LAST_VALUES or lo == hi or (hi - lo) / ROUND_CELLS == 0.0:
-                counts = part.groupBy("v").count()
-                upto = below
-                for v, c in sorted(map(tuple, counts.collect())):
-                    if upto <= rank < upto + c:
-                        out[rank] = v
-                    upto += c
+            if held <= LAST_VALUES or (hi - lo) / ROUND_CELLS == 0.0:
+                for v, c in sorted(map(tuple, part.groupBy("v").count().collect())):
+                    settle(v, below, c)
+                    below += c
                 break
             width = (hi - lo) / ROUND_CELLS
-            cell = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)), F.lit(ROUND_CELLS - 1))
+            if np.isfinite(width):
+                cell = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)), F.lit(ROUND_CELLS - 1))
+            else:  # infinite values, or a range beyond a double's: their signs first
+                cell = F.when(F.col("v") < 0, 0).otherwise(1) + F.when(F.abs("v") == np.inf, F.signum("v") * 2).otherwise(F.lit(0.0))
             cells = part.groupBy(cell.alias("cell")).agg(F.count("*").alias("c"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
             for r in sorted(cells, key=lambda r: r.cell):
                 if rank < below + r.c:
@@ -277,17 +284,22 @@ def order_statistics(df: DataFrame, x: str, ranks: list[int]) -> dict[int, float
                     break
                 below += r.c
             if lo == hi:
-                out[rank] = lo
+                settle(lo, below, held)
     return out
 
 
 def exact_quantile(df: DataFrame, x: str, q: float) -> float | None:
-    """The q-quantile by linear interpolation between order statistics; null values don't count, none gives None."""
-    n = df.agg(F.count(F.col(x))).first()[0]
-    if not n:
+    """The q-quantile by linear interpolation between order statistics; null and NaN don't count, without values: None."""
+    place = lambda n: q * (n - 1)
+    size = 0
+
+    def ranks(n: int) -> list[int]:
+        nonlocal size
+        size = n
+        return [int(place(n)), min(int(place(n)) + 1, n - 1)] if n else []
+
+    found = order_statistics(df, x, ranks)
+    if not size:
         return None
-    at = q * (n - 1)
-    k = int(at)
-    found = order_statistics(df, x, [k, min(k + 1, n - 1)])
-    a, b = found[k], found[min(k + 1, n - 1)]
-    return a + (at - k) * (b - a)
+    a, b = (found[k] for k in ranks(size))
+    return a if a == b else a + (place(size) - int(place(size))) * (b - a)

@@ -61,6 +61,16 @@ def _matrix(batch: pa.RecordBatch, at: int, keys: str, values: str) -> tuple[np.
     return k, x.astype(np.float64).reshape(len(k), -1)
 
 
+def _list(x: np.ndarray) -> pa.Array:
+    """One list item with the values of x."""
+    return pa.ListArray.from_arrays(pa.array([0, x.size], pa.int32()), pa.array(x.ravel()))
+
+
+def _total(column: pa.ChunkedArray) -> np.ndarray:
+    """The sum of lists of equal length."""
+    return sum(v.values.to_numpy() for v in column)
+
+
 def gram_tiles(t: DataFrame) -> DataFrame:
     """(i, j, value) of the Gram matrix of all keys of tiles(): products over one range of pixels, then summed.
 
@@ -74,12 +84,11 @@ def gram_tiles(t: DataFrame) -> DataFrame:
             for n in range(len(batch)):
                 (i, x), (j, y) = _matrix(batch, n, "ak", "ax"), _matrix(batch, n, "bk", "bx")
                 one = batch.slice(n, 1)
-                yield pa.RecordBatch.from_arrays([one.column("ad"), one.column("bd"), *(pa.array([v.tolist()]) for v in (i, j, (x @ y.T).ravel()))], ["ad", "bd", "i", "j", "v"])
+                yield pa.RecordBatch.from_arrays([one.column("ad"), one.column("bd"), *map(_list, (i, j, x @ y.T))], ["ad", "bd", "i", "j", "v"])
 
     def add(table: pa.Table) -> pa.Table:
-        i, j = (np.array(table.column(c)[0].as_py(), np.int64) for c in "ij")
-        total = sum(np.array(v.as_py()) for v in table.column("v"))
-        i, j, v = np.repeat(i, len(j)), np.tile(j, len(i)), total
+        i, j = (table.column(c)[0].values.to_numpy() for c in "ij")
+        i, j, v = np.repeat(i, len(j)), np.tile(j, len(i)), _total(table.column("v"))
         if table.column("ad")[0] != table.column("bd")[0]:
             i, j, v = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((v, v))
         return pa.table([pa.array(i), pa.array(j), pa.array(v)], ["i", "j", "value"])
@@ -101,11 +110,11 @@ def rotated(t: DataFrame, keys: list[int], weights: np.ndarray, pixels: int) ->
             for n in range(len(batch)):
                 k, x = _matrix(batch, n, "keys", "x")
                 part = w[[place[v] for v in k.tolist()]].T @ x
-                yield pa.RecordBatch.from_arrays([batch.column("p").slice(n, 1), pa.array([part.shape[1]], pa.int32()), pa.array([part.ravel().tolist()])], ["p", "width", "v"])
+                yield pa.RecordBatch.from_arrays([batch.column("p").slice(n, 1), pa.array([part.shape[1]], pa.int32()), _list(part)], ["p", "width", "v"])
 
     def add(table: pa.Table) -> pa.Table:
         width, first = table.column("width")[0].as_py(), table.column("p")[0].as_py() * pixels
-        total = sum(np.array(v.as_py()) for v in table.column("v")).reshape(-1, width)
+        total = _total(table.column("v")).reshape(-1, width)
         mode, pixel = np.indices(total.shape)
         return pa.table([pa.array(mode.ravel().astype(np.int32)), pa.array(pixel.ravel() + first), pa.array(total.ravel())], ["mode", "pixel", "value"])
 

@@ -144,6 +144,11 @@ def test_exact_quantiles_of_many_values(spark, monkeypatch):
     for q in (0.0, 0.1, 0.5, 0.503, 0.999, 1.0):
         assert np.isclose(distributions.exact_quantile(df, "x", q), np.quantile(x, q), rtol=1e-12)
     assert distributions.exact_quantile(df.where("x is null"), "x", 0.5) is None
+    odd = df.union(spark.createDataFrame([(float(v),) for v in [np.nan] * 40 + [np.inf] * 60 + [-np.inf] * 50 + [1e308, -1e308]], "x double"))
+    y = np.sort(np.r_[x, [np.inf] * 60, [-np.inf] * 50, 1e308, -1e308])
+    for k in (0, 49, 50, 51, 2000, len(y) - 61, len(y) - 60, len(y) - 1):
+        assert distributions.order_statistics(odd, "x", lambda n: [k]) == {k: y[k]}  # noqa: B023
+    assert distributions.exact_quantile(odd, "x", 0.0) == -np.inf
 
 
 def test_cells_are_written_as_c_does(spark):
