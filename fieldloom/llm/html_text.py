@@ -282,9 +282,31 @@ class FieldModel:
         return out[::-1]
 
 
-def _log_add(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
+def _chain_sums(emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> tuple[list, list]:
+    """Probability of each label at each block, and expected moves, by forward and backward sums scaled at each step."""
+    p = np.exp(emit - emit.max(1, keepdims=True)).tolist()
+    t00, t01, t10, t11 = np.exp(move - move.max()).ravel().tolist()
+    a, b = np.exp(start - start.max()).tolist()
+    ahead = []
+    for k, (p0, p1) in enumerate(p):
+        if k:
+            a, b = a * t00 + b * t10, a * t01 + b * t11
+        a, b = a * p0, b * p1
+        a, b = a / (a + b), b / (a + b)
+        ahead.append((a, b))
+    moves = [0.0] * 4
+    sure = [ahead[-1]]
+    c, d = 1.0, 1.0  # sums over what follows
+    for k in range(len(p) - 1, 0, -1):
+        a, b = ahead[k - 1]
+        e0, e1 = p[k][0] * c, p[k][1] * d
+        x = (a * t00 * e0, a * t01 * e1, b * t10 * e0, b * t11 * e1)
+        z = sum(x)
+        moves = [m + y / z for m, y in zip(moves, x, strict=True)]
+        sure.append(((x[0] + x[1]) / z, (x[2] + x[3]) / z))
+        c, d = t00 * e0 + t01 * e1, t10 * e0 + t11 * e1
+        c, d = c / (c + d), d / (c + d)
+    return sure[::-1], moves
 
 
 def train(pages: list[tuple[str, list[int]]], epochs: int = 12, rate: float = 0.3, decay: float = 1e-4) -> FieldModel:
@@ -297,38 +319,27 @@ def train(pages: list[tuple[str, list[int]]], epochs: int = 12, rate: float = 0.
             raise ValueError("a page's labels don't match its blocks")
         if bs:
             rows = [[index.setdefault(f, len(index)) for f in features(b, k, len(bs))] for k, b in enumerate(bs)]
-            data.append((rows, np.array(labels)))
+            size = np.array([len(r) for r in rows])
+            used, place = np.unique([f for r in rows for f in r], return_inverse=True)
+            seen = np.zeros((2, 2))
+            np.add.at(seen, (labels[:-1], labels[1:]), 1)
+            data.append((used, place, size, np.eye(2)[labels], seen))
     w, move, start = np.zeros((len(index), 2)), np.zeros((2, 2)), np.zeros(2)
     gw, gm, gs = np.full_like(w, 1e-6), np.full_like(move, 1e-6), np.full_like(start, 1e-6)
     order = random.Random(5)
     for _ in range(epochs):
         order.shuffle(data)
-        for rows, y in data:
-            n = len(rows)
-            emit = np.array([w[r].sum(0) for r in rows])
-            ahead, behind = np.empty((n, 2)), np.zeros((n, 2))
-            ahead[0] = start + emit[0]
-            for k in range(1, n):
-                ahead[k] = _log_add(ahead[k - 1][:, None] + move, 0) + emit[k]
-            for k in range(n - 2, -1, -1):
-                behind[k] = _log_add(move + (emit[k + 1] + behind[k + 1])[None, :], 1)
-            z = _log_add(ahead[-1], 0)
-            want = np.eye(2)[y]
-            miss = want - np.exp(ahead + behind - z)
-            step = np.zeros((2, 2))
-            for k in range(1, n):
-                step[y[k - 1], y[k]] += 1
-                step -= np.exp(ahead[k - 1][:, None] + move + (emit[k] + behind[k])[None, :] - z)
-            for x, total, grad in ((move, gm, step - decay * move), (start, gs, miss[0] - decay * start)):
+        for used, place, size, want, seen in data:
+            mine = w[used]
+            sure, moves = _chain_sums(np.add.reduceat(mine[place], np.cumsum(size) - size), move, start)
+            miss = want - np.array(sure)
+            for x, total, grad in ((move, gm, seen - np.reshape(moves, (2, 2)) - decay * move), (start, gs, miss[0] - decay * start)):
                 total += grad**2
                 x += rate * grad / np.sqrt(total)
-            flat = np.array([f for r in rows for f in r])
-            grad = np.zeros_like(w)
-            np.add.at(grad, flat, np.repeat(miss, [len(r) for r in rows], axis=0))
-            used = np.unique(flat)
-            grad[used] -= decay * w[used]
-            gw[used] += grad[used] ** 2
-            w[used] += rate * grad[used] / np.sqrt(gw[used])
+            each = np.repeat(miss, size, axis=0)
+            grad = np.stack([np.bincount(place, each[:, y], len(used)) for y in range(2)], 1) - decay * mine
+            gw[used] += grad**2
+            w[used] = mine + rate * grad / np.sqrt(gw[used])
     return FieldModel({f: (float(w[k, 0]), float(w[k, 1])) for f, k in index.items()}, move.tolist(), start.tolist())
 
 
