@@ -84,6 +84,20 @@ def join_summary(rows: DataFrame, summary: DataFrame, key: str, how: str = "inne
     return rows.join(other, wrapped(key) == wrapped(mine), how).drop(mine)
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """df, dealt out to as many partitions as there are cores where its few files would keep most of them idle.
+
+    A file may be one row group, which one task reads. Only inputs of fewer files than cores and of fewer bytes than
+    the cores' scan partitions are dealt out, so a large table is never shuffled for it. Rows stay as they are.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= cores * split:
+        return df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

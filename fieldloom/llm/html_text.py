@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import widen
+
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -476,7 +478,7 @@ def extract(pages: DataFrame, model: FieldModel | None = None) -> DataFrame:
 
     pages = pages.select("page_id", "url", F.col("html"))
     id_kind, url_kind = (pages.schema[c].dataType.simpleString() for c in ("page_id", "url"))
-    return pages.mapInArrow(run, f"page_id {id_kind}, url {url_kind}, text string, n_chars long")
+    return widen(pages).mapInArrow(run, f"page_id {id_kind}, url {url_kind}, text string, n_chars long")
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, Stage, blob_key, documents, fresh, join_summary, texts
+from .common import Scratch, Stage, blob_key, documents, fresh, join_summary, texts, widen
 from .components import connected_components
 from .hashing import U64, Words, digest16, mix, text_slices
 
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     docs, scratch = texts(docs), Scratch()
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.withColumn("blob", blob_key(F.col("text")))
-    sketch = Stage(keyed.mapInArrow(_sketch(k, False), f"doc_id {kind}, blob binary, n_shingles long, set_key binary, bands array<long>"), "minhash-sketch")
+    sketch = Stage(widen(keyed).mapInArrow(_sketch(k, False), f"doc_id {kind}, blob binary, n_shingles long, set_key binary, bands array<long>"), "minhash-sketch")
     named = sketch.df.where("set_key is not null and doc_id is not null")
     classes = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "blob")).alias("lead"), F.first("bands").alias("bands"))
     classes = Stage(classes.withColumn("rep", F.monotonically_increasing_id()), "minhash-classes").df  # numbers hold once they are written

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, texts
+from .common import documents, texts, widen
 
 SPACE = "▁"
 CACHED_WORDS = 300_000
@@ -386,7 +386,8 @@ def encode_decode(docs: DataFrame, model: str | None = None, ids: bool = False)
                     columns.append(pa.array([[int(x) for x in s.split(",")] if s else [] for s, _ in rows], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
-    docs = texts(docs)
+
+    docs = widen(texts(docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, {DIGEST_FIELDS}" + ", ids array<int>" * ids)
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, Stage, documents
+from .common import SPACES, Stage, documents, join_summary, widen
 
 WINDOW = 8
 #: Candidate thresholds for each statistic, as quantiles of the labelled rows.
@@ -219,9 +219,9 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, carry: bool = False) ->
     A label counts if its quality is 0 or 1; of several labels of one id the worst holds. Rows with a null id
     have no label. Without labels the base rules alone decide.
     """
-    stats = Stage(text_statistics(docs, carry), "quality-statistics").df
+    stats = Stage(text_statistics(widen(docs), carry), "quality-statistics").df
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    labelled = stats.join(known, "doc_id").select(*FEATURES, (1 - F.col("quality")).cast("int").alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("held"))
+    labelled = join_summary(stats, known, "doc_id").select(*FEATURES, (1 - F.col("quality")).cast("int").alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("held"))
     stats = stats.withColumn("rule", decide(learn_rules(labelled)))
     return stats.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 

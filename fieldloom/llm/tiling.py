@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Stage, documents, fresh, join_summary, texts
+from .common import Stage, documents, fresh, join_summary, texts, widen
 from .hashing import U64, Words, mix, text_slices
 
 SEED = 5
@@ -283,7 +283,7 @@ def tile_matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.0) -> D
                     figures = [n, covered, [len(index.items[i].ids) for i in k], longest]
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(t)), pa.array([index.ids[i] for i in k], item_type), *(pa.array(x, pa.int32()) for x in figures)], ["doc_id", "item_id", *_FIGURES])
 
-    return docs.mapInArrow(run, f"doc_id {kind.simpleString()}, item_id {item_kind.simpleString()}, n_tiles int, n_covered int, n_item_words int, longest int")
+    return widen(docs).mapInArrow(run, f"doc_id {kind.simpleString()}, item_id {item_kind.simpleString()}, n_tiles int, n_covered int, n_item_words int, longest int")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -312,7 +312,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = C
                 bad = {t for t, k, _, covered, _ in index.matches(Words(ts, lower=True), coverage) if covered >= coverage * len(index.items[k].ids)}
                 yield part.filter(pa.array([t not in bad for t in range(len(ts))])) if bad else part
 
-    return docs.mapInArrow(run, docs.schema)
+    return widen(docs).mapInArrow(run, docs.schema)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
