@@ -95,7 +95,11 @@ class _Open:
                 del self.names[x]
 
     def last(self, *tags: str) -> int:
-        return max((p[-1] for t in tags if (p := self.at.get(t))), default=-1)
+        best, get = -1, self.at.get
+        for t in tags:
+            if (p := get(t)) and p[-1] > best:
+                best = p[-1]
+        return best
 
 
 class Block:
@@ -205,7 +209,7 @@ def blocks(page: str) -> list[Block]:
                 continue
         if tag in BLOCK_TAGS and not foreign:
             shut = open_.last(*_CLOSES[tag])
-            if shut < open_.last(*START_BARS) or shut < open_.last(*_HOLDERS):
+            if 0 <= shut < len(open_.tags) - 1 and (shut < open_.last(*START_BARS) or shut < open_.last(*_HOLDERS)):
                 shut = -1
             if quiet < 0 or 0 <= shut < quiet:
                 flush()
@@ -221,21 +225,23 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _own_features(b: Block, k: int, n: int) -> list[str]:
-    chars = len(b.text)
-    words = b.text.count(" ") + 1
-    out = ["any", f"len{min(9, int(math.log2(chars + 1)))}", f"words{min(8, int(math.log2(words)) if words else 0)}", f"link{min(4, 4 * b.link_chars // max(1, chars))}", f"place{min(4, 5 * k // max(1, n))}"]
-    out.append("ends" if b.text.endswith(ENDS) else "open")
-    if words > 3 and b.text[:1].isupper() and b.text.endswith(ENDS):
-        out.append("sentence")
-    if b.context:
-        out.append(f"leaf:{b.context.block or b.context.last}")
-    return out
+def _own(b: Block, k: int, n: int) -> tuple:
+    """What the block's own features tell: few different values, however many blocks there are."""
+    text, c = b.text, b.context
+    chars, words, ends = len(text), text.count(" ") + 1, text.endswith(ENDS)
+    sentence = ends and words > 3 and text[0].isupper()
+    return min(9, (chars + 1).bit_length() - 1), min(8, words.bit_length() - 1), min(4, 4 * b.link_chars // max(1, chars)), min(4, 5 * k // n), ends, sentence, c and (c.block or c.last)
+
+
+def _own_features(own: tuple) -> list[str]:
+    size, words, link, place, ends, sentence, leaf = own
+    out = ["any", f"len{size}", f"words{words}", f"link{link}", f"place{place}", "ends" if ends else "open"]
+    return out + ["sentence"] * sentence + ([f"leaf:{leaf}"] if leaf else [])
 
 
 def features(b: Block, k: int, n: int) -> list[str]:
     """Features of the block itself and of all elements around it."""
-    out, c = _own_features(b, k, n), b.context
+    out, c = _own_features(_own(b, k, n)), b.context
     while c:
         out += c.told()
         c = c.parent
@@ -257,6 +263,7 @@ class FieldModel:
         get, back = self.state.get, []
         a, b = self.start
         around: dict[Context | None, tuple[float, float]] = {None: (0.0, 0.0)}  # what elements add, each once
+        alone: dict[tuple, tuple[float, float]] = {}  # what a block's own features add
 
         def add(names: list[str], e0: float, e1: float) -> tuple[float, float]:
             for f in names:
@@ -272,7 +279,11 @@ class FieldModel:
                 c = c.parent
             for c in reversed(chain):
                 around[c] = add(c.told(), *around[c.parent])
-            e0, e1 = add(_own_features(x, k, n), *around[x.context])
+            own = _own(x, k, n)
+            if own not in alone:
+                alone[own] = add(_own_features(own), 0.0, 0.0)
+            (e0, e1), (f0, f1) = around[x.context], alone[own]
+            e0, e1 = e0 + f0, e1 + f1
             if k:
                 from0, from1 = a + m00 >= b + m10, a + m01 >= b + m11
                 back.append((0 if from0 else 1, 0 if from1 else 1))
