@@ -63,12 +63,13 @@ def block_sums(daily: DataFrame, starts: DataFrame, by: list[str], sums: list[st
     end to end so that blocks may wrap. A replicate costs two lookups a block and not one a day."""
     twice = daily.join(daily.groupBy(*by).agg(F.count("*").alias("_n")), by)
     twice = twice.withColumn("k", F.explode(F.array(F.col("day_idx"), F.col("day_idx") + F.col("_n")))).select(*by, "k", *sums)
-    w = Window.partitionBy(*by).orderBy("k")
-    before = twice.select(*by, F.col("k").alias("start"), *[F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias(f"{c}_lo") for c in sums])
-    upto = twice.select(*by, F.col("k").alias("last"), *[F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"{c}_hi") for c in sums])
-    last = F.col("start") + F.least(F.col("len"), F.col("n") - F.col("blk") * F.col("len")) - 1
-    rows = starts.withColumn("last", last).join(before, [*by, "start"]).join(upto, [*by, "last"])
-    return rows.groupBy(*by, *(extra or []), "rep").agg(*[F.sum(F.col(f"{c}_hi") - F.col(f"{c}_lo")).alias(c) for c in sums])
+    before = Window.partitionBy(*by).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    prefix = twice.select(*by, "k", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(c) for c in sums])  # one table for both ends
+    # the starts are the larger side, though Spark takes exploded rows for no more than their origins and would broadcast them
+    at = lambda end: prefix.select(*by, F.col("k").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in sums]).hint("shuffle_hash")
+    stop = F.col("start") + F.least(F.col("len"), F.col("n") - F.col("blk") * F.col("len"))
+    rows = starts.withColumn("stop", stop).join(at("start"), [*by, "start"]).join(at("stop"), [*by, "stop"])
+    return rows.groupBy(*by, *(extra or []), "rep").agg(*[F.sum(F.col(f"{c}_stop") - F.col(f"{c}_start")).alias(c) for c in sums])
 
 
 def paired_metrics(sums: DataFrame) -> DataFrame:
@@ -85,7 +86,8 @@ def paired_metrics(sums: DataFrame) -> DataFrame:
 
 def interval(x: str, low: float = 0.025, high: float = 0.975) -> list[Column]:
     """lo and hi of the percentile interval."""
-    return [F.percentile(x, F.lit(low)).alias(f"{x}_lo"), F.percentile(x, F.lit(high)).alias(f"{x}_hi")]
+    both = F.percentile(x, F.array(F.lit(low), F.lit(high)))  # one pass over the replicates for the two
+    return [F.get(both, F.lit(k)).alias(f"{x}_{n}") for k, n in enumerate(("lo", "hi"))]
 
 
 def comparison(df: DataFrame, by: list[str], x: str) -> DataFrame:
