@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_repeats, minhash, secrets, sharding, word_repeats
+from . import byte_repeats, filter_audit, minhash, secrets, sharding, word_repeats
 from .byte_repeats import op8_suffix_dedup
+from .filter_audit import op12_filter_audit
 from .html_text import op6_html_text
 from .licenses import op7_license_scan
 from .minhash import op5_minhash
@@ -20,7 +21,7 @@ from .word_repeats import op10_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_quality_rules, op2_sentencepiece, op3_secret_scan, op4_decontamination, op5_minhash, op6_html_text, op7_license_scan, op8_suffix_dedup, op9_sharding, op10_substring_dedup)
+    ops = (op1_quality_rules, op2_sentencepiece, op3_secret_scan, op4_decontamination, op5_minhash, op6_html_text, op7_license_scan, op8_suffix_dedup, op9_sharding, op10_substring_dedup, op12_filter_audit)
     return {f.__name__: f for f in ops}
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_suffix_dedup": byte_repeats.ORACLE,
         "op9_sharding": sharding.ORACLE,
         "op10_substring_dedup": word_repeats.ORACLE,
+        "op12_filter_audit": filter_audit.ORACLE,
     }
