@@ -16,24 +16,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .buffers import SPACE_BYTES, BufferWords, flat_texts, row_slices
 from .common import Stage, blob_key, documents, join_summary, widen
-from .hashing import digest16, mix
 
 FILTERS = "ABCDE"
 SYMBOLS = b"#$%&*|"
 LEAST_WORDS, LEAST_DISTINCT_PERCENT, MOST_CAPITALS_PERCENT = 200, 50, 3
 #: Bytes of text that are counted together, and bytes that one prefix sum covers.
 SLICE, STRETCH = 1 << 22, 1 << 20
-#: Longer words are hashed and compared one by one, shorter ones eight bytes at a time together.
-LONG_WORD = 64
 
 _SPACE, _CAPITAL, _SYMBOL, _POINT = 1, 2, 4, 8
 _CLASSES = np.zeros(256, np.uint8)
-_CLASSES[[0x20, *range(0x09, 0x0E)]] |= _SPACE
+_CLASSES[SPACE_BYTES] |= _SPACE
 _CLASSES[ord("A") : ord("Z") + 1] |= _CAPITAL
 _CLASSES[list(SYMBOLS)] |= _SYMBOL
 _CLASSES[[b for b in range(256) if b & 0xC0 != 0x80]] |= _POINT
-_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 @dataclass
@@ -57,66 +54,7 @@ class Statistics:
         return sum(t.astype(np.int32) << k for k, t in enumerate(tests))
 
 
-def flat_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a column's texts and where each begins, with one more: a view of its buffers."""
-    column = column.cast(pa.large_binary())
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
-    return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8))[at[0] : at[-1]], at - at[0]
-
-
-class _Words:
-    """Words of several texts with the text, hash and eight-byte parts of each."""
-
-    def __init__(self, data: np.ndarray, space: np.ndarray, at: np.ndarray):
-        inside, self.data = ~space, data
-        begins, ends = inside.copy(), inside.copy()
-        begins[1:] &= space[:-1]
-        ends[:-1] &= space[1:]
-        borders = at[:-1][np.diff(at) > 0]
-        begins[borders] = inside[borders]
-        ends[at[1:][np.diff(at) > 0] - 1] |= inside[at[1:][np.diff(at) > 0] - 1]
-        self.start = np.flatnonzero(begins)
-        self.size = np.flatnonzero(ends) + 1 - self.start
-        self.text = np.searchsorted(at, self.start, "right") - 1
-        padded = np.concatenate((data, np.zeros(8, np.uint8)))
-        self.eights = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
-        self.short = self.size <= LONG_WORD
-        self.hash = self._hashes()
-
-    def __len__(self) -> int:
-        return len(self.start)
-
-    def bytes(self, k: int) -> bytes:
-        return self.data[self.start[k] : self.start[k] + self.size[k]].tobytes()
-
-    def part(self, words: np.ndarray, k: int) -> np.ndarray:
-        """The k-th eight bytes of words that are longer than 8 * k."""
-        return self.eights[self.start[words] + 8 * k] & _LOW_BYTES[np.minimum(self.size[words] - 8 * k, 8)]
-
-    def _hashes(self) -> np.ndarray:
-        out = self.size.astype(np.uint64)
-        some = np.flatnonzero(self.short)
-        for k in range(LONG_WORD // 8):
-            some = some[self.size[some] > 8 * k]
-            out[some] = mix(out[some] ^ self.part(some, k))
-        for w in np.flatnonzero(~self.short).tolist():
-            out[w] = int.from_bytes(digest16(self.bytes(w))[:8], "little")
-        return out
-
-    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether the words a have the bytes of the words b."""
-        out = self.size[a] == self.size[b]
-        some = np.flatnonzero(out & self.short[a])
-        for k in range(LONG_WORD // 8):
-            some = some[self.size[a[some]] > 8 * k]
-            out[some] &= self.part(a[some], k) == self.part(b[some], k)
-        for n in np.flatnonzero(out & ~self.short[a]).tolist():
-            out[n] = self.bytes(a[n]) == self.bytes(b[n])
-        return out
-
-
-def _distinct(words: _Words, texts: int) -> np.ndarray:
+def _distinct(words: BufferWords, texts: int) -> np.ndarray:
     """Distinct words of each text. Where two words share a hash only, that text's words are compared themselves."""
     order = np.lexsort((words.hash, words.text))
     a, b = order[:-1], order[1:]
@@ -142,21 +80,15 @@ def statistics(column: pa.Array) -> Statistics:
         for c, total in counts.items():
             sums = np.concatenate((np.zeros(1, np.int64), np.cumsum((part & c) > 0)))
             total[first:last] += np.diff(sums[border])
-    words = _Words(data, (classes & _SPACE) > 0, at)
+    words = BufferWords(data, (classes & _SPACE) > 0, at)
     return Statistics(np.bincount(words.text, minlength=texts), _distinct(words, texts), counts[_CAPITAL], counts[_SYMBOL], counts[_POINT])
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of about SLICE bytes at a time, with the mask of what each text fails in place of the text."""
-    for batch in batches:
-        _, at = flat_texts(batch.column("text"))
-        first = 0
-        while first < len(batch):
-            last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE, "right")) - 1)
-            some = batch.slice(first, last - first)
-            fails = pa.array(statistics(some.column("text")).fails().astype(np.int32))
-            yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("part"), some.column("content"), fails], ["doc_id", "part", "content", "fails"])
-            first = last
+    for some in row_slices(batches, "text", SLICE):
+        fails = pa.array(statistics(some.column("text")).fails().astype(np.int32))
+        yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("part"), some.column("content"), fails], ["doc_id", "part", "content", "fails"])
 
 
 def mask_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:

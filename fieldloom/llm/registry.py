@@ -17,11 +17,12 @@ from .quality import op1_quality_rules
 from .secrets import op3_secret_scan
 from .sharding import op9_sharding
 from .tiling import op4_decontamination
+from .whitening import op13_embedding_whitening
 from .word_repeats import op10_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_quality_rules, op2_sentencepiece, op3_secret_scan, op4_decontamination, op5_minhash, op6_html_text, op7_license_scan, op8_suffix_dedup, op9_sharding, op10_substring_dedup, op12_filter_audit)
+    ops = (op1_quality_rules, op2_sentencepiece, op3_secret_scan, op4_decontamination, op5_minhash, op6_html_text, op7_license_scan, op8_suffix_dedup, op9_sharding, op10_substring_dedup, op12_filter_audit, op13_embedding_whitening)
     return {f.__name__: f for f in ops}
 
 
