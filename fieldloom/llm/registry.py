@@ -10,6 +10,7 @@ from . import byte_repeats, filter_audit, minhash, secrets, sharding, word_repea
 from .byte_repeats import op8_suffix_dedup
 from .filter_audit import op12_filter_audit
 from .html_text import op6_html_text
+from .language import op11_language_id
 from .licenses import op7_license_scan
 from .minhash import op5_minhash
 from .pieces import op2_sentencepiece
@@ -22,7 +23,7 @@ from .word_repeats import op10_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_quality_rules, op2_sentencepiece, op3_secret_scan, op4_decontamination, op5_minhash, op6_html_text, op7_license_scan, op8_suffix_dedup, op9_sharding, op10_substring_dedup, op12_filter_audit, op13_embedding_whitening)
+    ops = (op1_quality_rules, op2_sentencepiece, op3_secret_scan, op4_decontamination, op5_minhash, op6_html_text, op7_license_scan, op8_suffix_dedup, op9_sharding, op10_substring_dedup, op11_language_id, op12_filter_audit, op13_embedding_whitening)
     return {f.__name__: f for f in ops}
 
 

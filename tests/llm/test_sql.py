@@ -23,5 +23,5 @@ def test_text_query_equals_its_sql(spark, name):
 
 
 def test_all_queries_are_registered():
-    assert len([n for n in driver.queries() if n.startswith("op") and n[2].isdigit()]) == 10 and "pipeline" in driver.queries()
+    assert len([n for n in driver.queries() if n.startswith("op") and n[2].isdigit()]) == 13 and "pipeline" in driver.queries()
     assert all(f.__doc__ for f in registry.queries().values())
