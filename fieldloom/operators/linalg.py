@@ -39,9 +39,17 @@ def _partial_products(column: str, centre_free: bool):
     return run
 
 
+def _summed_rows(partial: DataFrame) -> DataFrame:
+    """(i, row) summed by i: a task gathers one row of every partition's matrix."""
+
+    def add(table: pa.Table) -> pa.Table:
+        return pa.table([table.column("i").slice(0, 1), _list(_total(table.column("row")))], ["i", "row"])
+
+    return partial.groupBy("i").applyInArrow(add, "i int, row array<double>")
+
+
 def _summed(partial: DataFrame) -> DataFrame:
-    cells = partial.select("i", F.posexplode("row").alias("j", "v"))
-    return cells.groupBy("i", "j").agg(F.sum("v").alias("value"))
+    return _summed_rows(partial).select("i", F.posexplode("row").alias("j", "value"))
 
 
 def tiles(df: DataFrame, key: str, column: str, days: int, pixels: int) -> DataFrame:
@@ -97,30 +105,6 @@ def gram_tiles(t: DataFrame) -> DataFrame:
     return products.groupBy("ad", "bd").applyInArrow(add, "i long, j long, value double")
 
 
-def rotated(t: DataFrame, keys: list[int], weights: np.ndarray, pixels: int) -> DataFrame:
-    """(mode, pixel, value): weights (a column a mode, a row a key) applied to tiles(), summed over keys."""
-    if weights.nbytes > MOST_BYTES:
-        raise ValueError("rotate fewer modes at a time: the weights are sent to each task")
-    place = {k: n for n, k in enumerate(keys)}
-    shared = t.sparkSession.sparkContext.broadcast((place, weights))
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, w = shared.value
-        for batch in batches:
-            for n in range(len(batch)):
-                k, x = _matrix(batch, n, "keys", "x")
-                part = w[[place[v] for v in k.tolist()]].T @ x
-                yield pa.RecordBatch.from_arrays([batch.column("p").slice(n, 1), pa.array([part.shape[1]], pa.int32()), _list(part)], ["p", "width", "v"])
-
-    def add(table: pa.Table) -> pa.Table:
-        width, first = table.column("width")[0].as_py(), table.column("p")[0].as_py() * pixels
-        total = _total(table.column("v")).reshape(-1, width)
-        mode, pixel = np.indices(total.shape)
-        return pa.table([pa.array(mode.ravel().astype(np.int32)), pa.array(pixel.ravel() + first), pa.array(total.ravel())], ["mode", "pixel", "value"])
-
-    return t.mapInArrow(multiply, "p int, width int, v array<double>").groupBy("p").applyInArrow(add, "mode int, pixel long, value double")
-
-
 #: Bytes of a matrix that may come to the driver or be sent to the tasks.
 MOST_BYTES = 1 << 28
 
@@ -134,18 +118,48 @@ def moments(df: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
     """Number of rows, mean and covariance (n - 1) of an array column, from one pass. The matrix, of checked size, goes to
     the driver."""
     _checked(df.agg(F.max(F.size(column))).first()[0] or 0)
-    cells = _summed(df.select(column).mapInArrow(_partial_products(column, True), "i int, row array<double>")).collect()
-    size = max((c.i for c in cells), default=-1) + 1
-    if not size:
+    rows = {r.i: np.array(r.row) for r in _summed_rows(df.select(column).mapInArrow(_partial_products(column, True), "i int, row array<double>")).toLocalIterator()}
+    if not rows:
         return 0, np.zeros(0), np.zeros((0, 0))
-    s = np.zeros((size, size))
-    for c in cells:
-        s[c.i, c.j] = c.value
+    s = np.stack([rows[i] for i in range(len(rows))])
     n = int(round(s[0, 0]))
     mean = s[0, 1:] / n
     return n, mean, (s[1:, 1:] - n * np.outer(mean, mean)) / max(1, n - 1)
 
 
+def covariance_cells(df: DataFrame, column: str, block: int = 1024) -> DataFrame:
+    """(i, j, value): the covariance (n - 1) of an array column, as a distributed table. Nothing of it comes to the driver.
+
+    Partitions multiply their centred rows a pair of blocks of columns at a time, so that a task holds its own sums of one
+    matrix at most, and each row of blocks is summed by itself.
+    """
+    size = df.agg(F.max(F.size(column))).first()[0] or 0
+    sums = df.select(F.posexplode(column).alias("j", "v")).groupBy("j").agg(F.avg("v").alias("m"), F.count("v").alias("n")).toArrow()
+    mean, n = np.zeros(size), max(sums.column("n").to_pylist(), default=0)
+    mean[sums.column("j").to_numpy()] = sums.column("m").to_numpy()
+    blocks = [(a, b) for a in range(0, size, block) for b in range(0, size, block)]
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = _rows(batch, column) - mean
+            for a, b in blocks:
+                part = x[:, a : a + block].T @ x[:, b : b + block]
+                total[a, b] = total[a, b] + part if (a, b) in total else part
+        for (a, b), part in total.items():
+            at = pa.array(np.arange(a, a + len(part)), pa.int32())
+            yield pa.RecordBatch.from_arrays([at, pa.array([b] * len(part), pa.int32()), pa.array(list(part), pa.list_(pa.float64()))], ["i", "b", "row"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = _total(table.column("row")) / max(1, n - 1)
+        i, first = table.column("i")[0].as_py(), table.column("b")[0].as_py()
+        return pa.table([pa.array(np.full(len(total), i, np.int32)), pa.array(np.arange(first, first + len(total), dtype=np.int32)), pa.array(total)], ["i", "j", "value"])
+
+    return df.select(column).mapInArrow(multiply, "i int, b int, row array<double>").groupBy("i", "b").applyInArrow(add, "i int, j int, value double")
+
+
 def moments_by(df: DataFrame, by: str, column: str) -> dict:
     """For each of a few groups: number of rows, mean and mean of the outer products of an array column."""
     _checked(df.agg(F.max(F.size(column))).first()[0] or 0)
@@ -163,14 +177,16 @@ def moments_by(df: DataFrame, by: str, column: str) -> dict:
 
     kind, arrow = df.schema[by].dataType.simpleString(), to_arrow_type(df.schema[by].dataType)
     sums = df.select(by, column).mapInArrow(multiply, f"{by} {kind}, i int, row array<double>")
-    cells = sums.select(by, "i", F.posexplode("row").alias("j", "v")).groupBy(by, "i", "j").agg(F.sum("v").alias("value")).collect()
+
+    def add(table: pa.Table) -> pa.Table:
+        return pa.table([table.column(by).slice(0, 1), table.column("i").slice(0, 1), _list(_total(table.column("row")))], [by, "i", "row"])
+
+    rows: dict = {}
+    for r in sums.groupBy(by, "i").applyInArrow(add, f"{by} {kind}, i int, row array<double>").toLocalIterator():
+        rows.setdefault(r[by], {})[r.i] = np.array(r.row)
     out: dict = {}
-    for g in sorted({c[by] for c in cells}):
-        mine = [c for c in cells if c[by] == g]
-        size = max(c.i for c in mine) + 1
-        m = np.zeros((size, size))
-        for c in mine:
-            m[c.i, c.j] = c.value
+    for g in sorted(rows):
+        m = np.stack([rows[g][i] for i in range(len(rows[g]))])
         out[g] = int(round(m[0, 0])), m[0, 1:] / m[0, 0], m[1:, 1:] / m[0, 0]
     return out
 
@@ -192,7 +208,7 @@ def temporal_modes(g: np.ndarray, most: int) -> Eigen:
 def rotation(e: Eigen) -> np.ndarray:
     """Weights that turn days into orthonormal modes: vectors over singular values, zero for null modes."""
     s = np.sqrt(e.values)
-    return np.where(s > 0, e.vectors / np.where(s > 0, s, 1.0), 0.0)
+    return np.where(s > 1e-10 * s.max(initial=0.0), e.vectors / np.where(s > 0, s, 1.0), 0.0)
 
 
 def apply_matrix(df: DataFrame, column: str, matrix: np.ndarray, out: str, keep: list[str], offset: np.ndarray | None = None) -> DataFrame:
@@ -229,28 +245,13 @@ class Basis:
 def fit_basis(fields: DataFrame, column: str, sqrt_w: np.ndarray, most: int) -> Basis:
     """Weighted modes of fields (a row a day) of few pixels, from the pixel covariance summed over partitions.
 
-    Where pixels outnumber days, fit_wide_basis gives the same modes without a matrix of pixels.
+    Where pixels are many, strips.fit_wide_basis gives the same modes without a matrix of pixels or of days.
     """
     n, mean, cov = moments(fields, column)
     e = temporal_modes(cov * (n - 1) * np.outer(sqrt_w, sqrt_w), most)
     return Basis(e.vectors.T, mean, e)
 
 
-def fit_wide_basis(anomalies: DataFrame, key: str, column: str, most: int, days: int = 256, pixels: int = 8192) -> tuple[Eigen, DataFrame]:
-    """Eigenvalues and modes (mode, pixel, value) of weighted anomalies by the Gram matrix of days.
-
-    Only that matrix, of checked size, comes to the driver; the modes stay distributed by ranges of pixels.
-    """
-    keys = [r[0] for r in anomalies.select(key).distinct().orderBy(key).collect()]
-    _checked(len(keys))
-    t = tiles(anomalies, key, column, days, pixels)
-    place, g = {k: n for n, k in enumerate(keys)}, np.zeros((len(keys), len(keys)))
-    for r in gram_tiles(t).toLocalIterator():
-        g[place[r.i], place[r.j]] = r.value
-    e = temporal_modes(g, most)
-    return e, rotated(t, keys, rotation(e), pixels)
-
-
 def mode_products(modes: DataFrame) -> DataFrame:
     """(a, b, value): inner products of modes(mode, pixel, value), one partial matrix a partition. An orthonormal set has ones
     and zeros."""

@@ -12,6 +12,8 @@ from fieldloom.operators import adapters as A
 from fieldloom.operators import bootstrap as B
 from fieldloom.operators import linalg as L
 from fieldloom.operators.adapters import DENSE_SQL, MATRIX_SQL
+from fieldloom.operators.strips import Strips, fit_wide_basis
+from fieldloom.operators.tall import TallCanonical, rank_errors
 
 from .registry import ask, pick, query
 from .resampling import _COUNTS, starts_sql
@@ -20,6 +22,8 @@ _PI = "3.141592653589793::DOUBLE"
 MODES = 6
 #: Tiles of the Gram matrix: small ones, as these fields are small.
 DAYS, PIXELS = 256, 24
+#: Columns that are orthonormalised together.
+BLOCK = 16
 _BASIS = f"basis AS (SELECT CAST(k AS INTEGER) AS k, CAST(p AS INTEGER) AS p, CASE WHEN k = 0 THEN sqrt(1 / 64.0::DOUBLE) ELSE sqrt(2 / 64.0::DOUBLE) * cos({_PI} * k * (p + 0.5::DOUBLE) / 64) END AS e FROM range({MODES}) a(k), range(64) b(p))"
 _SCORES = f"{DENSE_SQL}, {_BASIS}, scores AS (SELECT day_idx, population, k, sum(val * e) AS s FROM cells JOIN basis USING (p) GROUP BY ALL)"
 
@@ -70,48 +74,53 @@ _BLOCKS = " UNION ALL ".join(f"SELECT '{a}{b}' AS block, a.k AS i, b.k AS j, cov
 
 @query(ask("block i j | value:8", MATRIX_SQL, _BLOCKS))
 def score_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LA9: all of Sxx, Sxy and Syy with 1 / (n - 1), from a 64 by 64 matrix summed over partitions."""
+    """LA9: all of Sxx, Sxy and Syy with 1 / (n - 1), from partitions' products of blocks of columns."""
     m = A.matrices(spark, sf_dir).where("split = 'train'").select(F.concat("x", "y").alias("xy"))
-    _, _, cov = L.moments(m, "xy")
-    blocks = {"xx": cov[:32, :32], "xy": cov[:32, 32:], "yy": cov[32:, 32:]}
-    out = None
-    for name, block in blocks.items():
-        values = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in block])
-        part = spark.range(1).select(F.posexplode(values).alias("i", "r")).select(F.lit(name).alias("block"), "i", F.posexplode("r").alias("j", "value"))
-        out = part if out is None else out.union(part)
+    cells, i, j = L.covariance_cells(m, "xy"), F.col("i"), F.col("j")
+    block = F.concat(F.when(i < 32, "x").otherwise("y"), F.when(j < 32, "x").otherwise("y"))
+    out = cells.select(block.alias("block"), (i % 32).alias("i"), (j % 32).alias("j"), "value").where("block <> 'yx'")
     return pick(out, "block i j | value:8")
 
 
-def _canonical(spark: SparkSession, sf_dir: str, rank: int = 8):
+def _canonical(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, TallCanonical]:
     m = A.matrices(spark, sf_dir)
-    return m, L.ScoreMoments(m.where("split = 'train'").select(F.concat("x", "y").alias("xy"))).canonical(32, 32, rank)
+    return m, TallCanonical(m.where("split = 'train'"), block=BLOCK)
 
 
 @query()
 def canonical_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LA3, LA10, LA11, LA16: canonical correlations, solved on the driver."""
+    """LA3, LA9, LA10, LA11, LA16: canonical correlations from a tree of triangular factors; no covariance is made."""
     _, c = _canonical(spark, sf_dir)
-    rows = [F.struct(F.lit(k).alias("k"), F.lit(float(r)).alias("rho")) for k, r in enumerate(c.rho)]
-    return pick(spark.range(1).select(F.inline(F.array(*rows))), "k | rho:8")
+    rho = c.pair().rho
+    c.drop()
+    return pick(spark.createDataFrame([(k, float(r)) for k, r in enumerate(rho)], "k int, rho double"), "k | rho:8")
 
 
 @query()
 def canonical_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PR17, LA19: validation errors of the truncated regression by population."""
+    """PR17, LA19: validation errors of the regression on eight canonical pairs by population."""
     m, c = _canonical(spark, sf_dir)
-    p = c.predict(m.where("split = 'val'"), ["day_idx", "population", "y"]).withColumn("e", subtract(F.col("y_hat"), F.col("y")))
+    p = c.pair(rank=8).predict(m.where("split = 'val'"), ["day_idx", "population", "y"]).withColumn("e", subtract(F.col("y_hat"), F.col("y")))
+    c.drop()
     return pick(p.groupBy("population").agg(F.count("*").alias("n"), F.avg(dot(F.col("e"), F.col("e"))).alias("mse"), F.avg(dot(F.col("y"), F.col("y"))).alias("raw")), "population n | mse:6 raw:6")
 
 
+#: Leading scores of x and of y, canonical pairs and ridges that are compared.
+GRID_SCORES, GRID_RANKS, GRID_RIDGES = (4, 8, 12, 16, 20, 24, 28, 32), (1, 2, 4, 8, 12, 16, 24, 32), (0.0, 0.01)
+
+
 @query()
 def canonical_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LA12, LA14, SE4: validation error of 30 settings from two moment matrices."""
+    """LA12, LA14, SE4: validation errors of 768 settings. A ridge is one factorisation, a pair of sizes is read off its
+    panels, and one pass over the validation days gives the errors of all ranks of all pairs of sizes."""
     m = A.matrices(spark, sf_dir)
-    z, v = (m.where(f"split = '{s}'").select(F.concat("x", "y").alias("xy")) for s in ("train", "val"))
-    settings = [(kx, ky, r) for kx in (4, 8, 16, 32) for ky in (8, 32) for r in (1, 2, 4, 8) if r <= min(kx, ky)]
-    found = L.grid_search(z, v, settings)
-    rows = [F.struct(*[F.lit(r[c]).cast(t).alias(c) for c, t in (("kx", "int"), ("ky", "int"), ("rank", "int"), ("status", "string"), ("mse", "double"))]) for r in found]
-    return pick(spark.range(1).select(F.inline(F.array(*rows))), "kx ky rank status | mse:8")
+    sizes, rows = [(kx, ky, None) for kx in GRID_SCORES for ky in GRID_SCORES], []
+    for ridge in GRID_RIDGES:
+        c = TallCanonical(m.where("split = 'train'"), ridge, BLOCK)
+        errors = rank_errors(m.where("split = 'val'"), c.pairs(sizes))
+        c.drop()
+        rows += [(kx, ky, r, ridge, float(e[r - 1])) for (kx, ky, _), e in zip(sizes, errors, strict=True) for r in GRID_RANKS if r <= len(e)]
+    return pick(spark.createDataFrame(rows, "kx int, ky int, rank int, ridge double, mse double"), "kx ky rank ridge | mse:8")
 
 
 @query()
@@ -126,41 +135,41 @@ _ANOMALY = f"""{DENSE_SQL}, lat AS (SELECT r AS row, cos(radians(-90 + (r + 0.5:
 an AS (SELECT day_idx, p, (val - avg(val) OVER (PARTITION BY p)) * sw AS a FROM cells JOIN sw ON cells.p // 16 = sw.row)"""
 
 
-def _sqrt_weights() -> np.ndarray:
-    """Roots of the mean-one cosine weights of the dense grid's pixels."""
-    c = np.cos(np.radians(-90 + (np.arange(A.DENSE_ROWS) + 0.5) * 180 / A.DENSE_ROWS))
-    return np.repeat(np.sqrt(c / c.mean()), A.DENSE_COLUMNS)
-
-
 def _lits(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def _pixel_means(fields: DataFrame) -> np.ndarray:
-    """The mean field: as many sums as there are pixels."""
-    rows = fields.select(F.posexplode("x").alias("p", "v")).groupBy("p").agg(F.avg("v").alias("m")).orderBy("p").collect()
-    return np.array([r.m for r in rows])
+def _roots(spark: SparkSession) -> DataFrame:
+    """Roots of the mean-one cosine weights of the dense grid's pixels."""
+    row = F.floor(F.col("id") / A.DENSE_COLUMNS)
+    return spark.range(A.DENSE_ROWS * A.DENSE_COLUMNS).select(F.col("id").alias("pixel"), F.sqrt(S.grid_weight(S.row_latitude(row, A.DENSE_ROWS), A.DENSE_ROWS)).alias("root"))
+
+
+def _strips(spark: SparkSession, sf_dir: str) -> Strips:
+    """PR18: (x - mean) * sqrt(w) by ranges of pixels over all days."""
+    return Strips.of(_fields(spark, sf_dir), "day_idx", "x", _roots(spark))
 
 
-def _anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PR18: (x - mean) * sqrt(w), a row a day."""
-    f = _fields(spark, sf_dir).withColumn("day_idx", F.col("day_idx").cast("long"))
-    centred = F.zip_with("x", _lits(_pixel_means(f)), lambda a, b: a - b)
-    return f.withColumn("a", F.zip_with(centred, _lits(_sqrt_weights()), lambda a, b: a * b))
+def _cosines(spark: SparkSession) -> DataFrame:
+    """The cosine basis as (mode, pixel, value)."""
+    pixels = A.DENSE_ROWS * A.DENSE_COLUMNS
+    k, p = F.col("mode"), F.col("pixel")
+    cells = spark.range(MODES * pixels).select(F.floor(F.col("id") / pixels).cast("int").alias("mode"), (F.col("id") % pixels).alias("pixel"))
+    return cells.withColumn("value", F.when(k == 0, float(np.sqrt(1.0 / pixels))).otherwise(float(np.sqrt(2.0 / pixels)) * F.cos(F.lit(np.pi) * k * (p + 0.5) / pixels)))
 
 
 @query(ask("i j | value:6", _ANOMALY, "SELECT CAST(a.day_idx AS INTEGER) AS i, CAST(b.day_idx AS INTEGER) AS j, sum(a.a * b.a) AS value FROM an a JOIN an b USING (p) GROUP BY ALL"))
 def anomaly_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LA1, LA2, PR18: the Gram matrix of weighted anomalies of all days, from products of tiles of days and pixels."""
-    g = L.gram_tiles(L.tiles(_anomalies(spark, sf_dir), "day_idx", "a", DAYS, PIXELS))
+    g = L.gram_tiles(_strips(spark, sf_dir).tiles(DAYS))
     return pick(g.withColumns({c: F.col(c).cast("int") for c in ("i", "j")}), "i j | value:6")
 
 
 @query()
 def spatial_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LA3, LA4, LA5: modes of the weighted anomalies by the eigenpairs of their Gram matrix, with each mode's share of the
-    variance and how far the set is from orthonormal. No matrix of pixels by pixels is made."""
-    e, modes = L.fit_wide_basis(_anomalies(spark, sf_dir), "day_idx", "a", 10, DAYS, PIXELS)
+    variance and how far the set is from orthonormal. Neither that matrix nor one of pixels by pixels is made."""
+    e, modes = fit_wide_basis(_fields(spark, sf_dir), "day_idx", "x", 10, _roots(spark))
     share = F.get(_lits(e.values / e.trace), F.col("mode")).alias("share")
     off = F.max(F.abs(F.col("value") - (F.col("a") == F.col("b")).cast("double")))
     check = L.mode_products(modes).groupBy(F.col("a").alias("mode")).agg((off < 1e-8).alias("orthonormal"))
@@ -170,12 +179,10 @@ def spatial_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ask("day_idx | error:5 total:5", f"{_ANOMALY}, {_BASIS}, sc AS (SELECT day_idx, k, sum(a * e) AS s FROM an JOIN basis USING (p) GROUP BY ALL), rc AS (SELECT day_idx, p, sum(s * e) AS v FROM sc JOIN basis USING (k) GROUP BY ALL), mf AS (SELECT p, avg(val) AS m FROM cells GROUP BY p), fl AS (SELECT day_idx, p, m + v / sw AS f FROM rc JOIN mf USING (p) JOIN sw ON rc.p // 16 = sw.row)", "SELECT day_idx, sum((f - val) * (f - val)) AS error, sum(f * f) AS total FROM fl JOIN cells USING (day_idx, p) GROUP BY day_idx"))
 def field_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LA7, LA18: fields from scores, mean + (s @ E) / sqrt(w), a block of rows at a time, against the fields themselves."""
-    basis, mean, sw = L.dct_basis(MODES, 64), _pixel_means(_fields(spark, sf_dir)), _sqrt_weights()
-    s = L.apply_matrix(_anomalies(spark, sf_dir), "a", basis.T, "s", ["day_idx", "x"])
-    r = L.apply_matrix(s, "s", basis / sw, "f", ["day_idx", "x"])
-    r = r.withColumn("f", F.zip_with("f", _lits(mean), lambda a, b: a + b)).withColumn("e", subtract(F.col("f"), F.col("x")))
-    return pick(r.select("day_idx", dot(F.col("e"), F.col("e")).alias("error"), dot(F.col("f"), F.col("f")).alias("total")), "day_idx | error:5 total:5")
+    """LA7, LA18: fields from scores, mean + (s @ E) / sqrt(w), a range of pixels at a time, against the fields themselves."""
+    strips = _strips(spark, sf_dir)
+    sums = strips.reconstruction_sums(strips.scores(_cosines(spark), MODES), _cosines(spark), MODES)
+    return pick(sums.select(F.col("key").alias("day_idx"), F.get("s", F.lit(0)).alias("error"), F.get("s", F.lit(1)).alias("total")), "day_idx | error:5 total:5")
 
 
 def sweep(fit: L.ScoreMoments, groups: dict, sizes: tuple[int, ...], ky: int, rank: int, shift: np.ndarray) -> list[tuple]:

@@ -95,23 +95,6 @@ def test_shrinkage_equals_its_definition():
     assert np.allclose(f.colouring().T @ f.colouring(), (1 - share) * c + share * m * np.eye(6))
 
 
-def test_modes_by_the_gram_matrix_equal_the_svd(spark):
-    x = vectors(spark)
-    sw = algebra._sqrt_weights()
-    a = (x - x.mean(0)) * sw
-    u, s, vt = np.linalg.svd(a, full_matrices=False)
-    e, modes = linalg.fit_wide_basis(algebra._anomalies(spark, DATA), "day_idx", "a", 7, days=60, pixels=20)
-    got = np.zeros((7, 64))
-    for r in modes.collect():
-        got[r.mode, r.pixel] = r.value
-    assert np.allclose(np.sqrt(e.values), s[:7]) and np.allclose(np.abs((got * vt[:7]).sum(1)), 1) and np.isclose(e.trace, (s**2).sum())
-    products = {(r.a, r.b): r.value for r in linalg.mode_products(modes).collect()}
-    assert all(abs(v - (i == j)) < 1e-9 for (i, j), v in products.items()) and len(products) == 49
-    rows = sorted(registry.queries()["spatial_modes"](spark, DATA).collect())
-    assert [r.mode for r in rows] == list(range(10)) and all(r.orthonormal for r in rows)
-    assert np.allclose([r.share for r in rows], (s**2 / (s**2).sum())[:10], atol=1e-7)
-
-
 def test_truncation_sweep_equals_plain_fits(spark):
     v = vectors(spark)
     ids = np.array(sorted(r.vec_id for r in A.table(spark, DATA, "embeddings").select("vec_id").collect()))
