@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +12,15 @@ from fieldloom.operators import adapters as A
 from fieldloom.operators import masks, metrics
 from fieldloom.operators.adapters import DAILY_SQL, DENSE_SQL, ERRORS_SQL, FIELD_SQL, GRID_SQL
 from fieldloom.operators.shards import contiguous, shard_bounds, shard_bounds_rounded
+from fieldloom.operators.staging import shared_folder
+from fieldloom.sources.netcdf import write_netcdf
+from fieldloom.sources.stores import read_stores, write_store
 
 from .registry import ask, pick, query
 
+#: Where the second segment of stored vectors begins.
+BORDER = 256
+
 
 @query(f"WITH {DAILY_SQL}, n AS (SELECT climate, count(*) AS n FROM daily GROUP BY climate) SELECT climate, shard, day_idx FROM (SELECT climate, day_idx, ntile(20) OVER (PARTITION BY climate ORDER BY day_idx) - 1 AS shard FROM daily)")
 def even_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +58,35 @@ def day_range_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(A.dense_cells(spark, sf_dir).where("day_idx between 100 and 109"), "day_idx p | val:6")
 
 
+@query(ask("day_idx p | val:6", DENSE_SQL, "SELECT day_idx, p, val FROM cells WHERE day_idx BETWEEN 250 AND 259"))
+def stored_day_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC1, SC2, SC9, SC10, SK1: all vectors written as two segments of chunked stores; of these, ten days across the border are
+    read, and only their chunks opened. A store that is incomplete or of another shape is refused."""
+    folder = f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}"
+    vec = A.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vals"))
+    parts = {"early": (vec.where(f"vec_id < {BORDER}"), 0), "late": (vec.where(f"vec_id >= {BORDER}"), BORDER)}
+    for name, (rows, first) in parts.items():
+        write_store(rows.select((F.col("vec_id") - first).alias("day"), "vals"), f"{folder}/{name}", "field", (A.DENSE_ROWS, A.DENSE_COLUMNS))
+    want = {"arrays": {"field": {"shape": [A.DENSE_ROWS, A.DENSE_COLUMNS], "dtype": "float32"}}, "attributes": {"complete": True}}
+    days = read_stores(spark, [f"{folder}/{n}" for n in parts], ["field"], want=want, first=250, last=260)
+    cells = days.select(F.col("place").alias("day_idx"), F.posexplode("field").alias("p", "val"))
+    return pick(cells.withColumn("val", F.col("val").cast("double")), "day_idx p | val:6")
+
+
+@query(ask("day cell | target:6", FIELD_SQL, "SELECT day, cell, target FROM field WHERE day = DATE '1996-02-29'"))
+def netcdf_day_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC11, SC12, SK7: daily fields of all line items exported as NetCDF files of a month or so each, on the grid's rows and
+    columns; one date is found by the files' decoded times, and only its file's records are read."""
+    f = A.field(spark, sf_dir).groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct("cell", "target"))).alias("m"))  # at most a grid's cells
+    vals = F.transform(F.sequence(F.lit(0), F.lit(A.CELLS - 1)), lambda c: F.coalesce(F.try_element_at("m", c), F.lit(float("nan"))))
+    days = f.select(F.datediff("day", F.lit("1992-01-01").cast("date")).alias("day"), vals.alias("vals"))
+    folder = f"{shared_folder(spark)}/netcdf-{uuid.uuid4().hex}"
+    names = write_netcdf(days, folder, {"lat": A.ROWS, "lon": A.COLUMNS}, "target", start="1992-01-01", attributes={"long_name": "mean extended price"})
+    one = read_stores(spark, names, ["target"], "time", among=["1996-02-29"])
+    cells = one.select(F.col("date").cast("date").alias("day"), F.posexplode("target").alias("cell", "target")).where(~F.isnan("target"))
+    return pick(cells, "day cell | target:6")
+
+
 @query(ask("day cell | target:6 pred_b:6", FIELD_SQL, "SELECT day, cell, target, pred_b FROM field WHERE day = DATE '1996-02-29'"))
 def day_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC12, SC15: one day across all shards."""

@@ -126,7 +126,7 @@ def slice_npy(spark: SparkSession, uri: str, start: int = 0, stop: int | None =
     return spark.range(0, parts, 1, max(1, parts)).mapInArrow(run, f"i long, vals array<{kind}>")
 
 
-def _unpacked(compressor: str | None, data: bytes) -> bytes:
+def unpacked_chunk(compressor: str | None, data: bytes) -> bytes:
     if compressor is None:
         return data
     if compressor == "zstd":
@@ -159,7 +159,7 @@ def read_chunked(spark: SparkSession, path: str, array: str) -> DataFrame:
                 place = [int(v) for v in re.split(r"[./]", re.search(r"[0-9]+(?:[./][0-9]+)*$", name)[0])[-len(shape) :]]
                 begin = [k * c for k, c in zip(place, chunks, strict=True)]
                 held = tuple(slice(0, min(c, s - a)) for a, c, s in zip(begin, chunks, shape, strict=True))
-                x = np.frombuffer(_unpacked(compressor, data), dtype).reshape(chunks)[held].astype(np.float64)
+                x = np.frombuffer(unpacked_chunk(compressor, data), dtype).reshape(chunks)[held].astype(np.float64)
                 rows = len(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(begin[0], begin[0] + rows), pa.int64()), pa.array([begin[1:]] * rows, pa.list_(pa.int32())), pa.array([list(x.shape[1:])] * rows, pa.list_(pa.int32())), pa.array(list(x.reshape(rows, -1)), pa.list_(pa.float64()))], ["i", "at", "size", "vals"])
 
