@@ -51,6 +51,8 @@ _ATTRIBUTE = re.compile(r"""[\s/]*+(?:>|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]
 _NAMED = re.compile(r"""\s(?:class|id|role)=(?:"([^"]*+)"|'([^']*+)'|([^\s"']++))""", re.I)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW_TAGS}
 _PART = re.compile(r"[a-z]{2,}")
+_NO_NAMES: frozenset[str] = frozenset()
+_COMMENT_END = re.compile(r"--!?>")
 ENDS = tuple(".!?…。！？")
 
 
@@ -60,7 +62,10 @@ class Context:
     __slots__ = ("parent", "tags", "names", "last", "block")
 
     def __init__(self, parent: Context | None, tag: str, tags: tuple[str, ...], names: tuple[str, ...]):
-        self.parent, self.tags, self.names, self.last = parent, tags, names, tag
+        self.parent = parent
+        self.tags = tags
+        self.names = names
+        self.last = tag
         self.block = tag if tag in BLOCK_TAGS else parent.block if parent else ""
 
     def told(self) -> list[str]:
@@ -77,22 +82,28 @@ class _Open:
         self.at: dict[str, list[int]] = {}
         self.names: dict[str, int] = {}
 
-    def push(self, tag: str, names: set[str]) -> None:
+    def push(self, tag: str, names: set[str] | frozenset[str]) -> None:
         tags = () if tag not in _TOLD_TAGS or self.at.get(tag) else (tag,)
-        new = tuple(sorted(x for x in names if x not in self.names))
-        depth = len(self.tags)
-        for x in new:
-            self.names[x] = depth
+        depth, new = len(self.tags), ()
+        if names:
+            new = tuple(sorted(x for x in names if x not in self.names))
+            for x in new:
+                self.names[x] = depth
         self.contexts.append(Context(self.contexts[-1] if depth else None, tag, tags, new))
-        self.at.setdefault(tag, []).append(depth)
+        if (places := self.at.get(tag)) is None:
+            self.at[tag] = [depth]
+        else:
+            places.append(depth)
         self.tags.append(tag)
 
     def cut(self, k: int) -> None:
         """Close the k-th element and all within."""
-        while len(self.tags) > k:
-            self.at[self.tags.pop()].pop()
-            for x in self.contexts.pop().names:
-                del self.names[x]
+        tags, contexts, at = self.tags, self.contexts, self.at
+        while len(tags) > k:
+            at[tags.pop()].pop()
+            if names := contexts.pop().names:
+                for x in names:
+                    del self.names[x]
 
     def last(self, *tags: str) -> int:
         best, get = -1, self.at.get
@@ -109,13 +120,13 @@ class Block:
         self.text, self.context, self.link_chars = text, context, link_chars
 
 
-def _read_tag(page: str, at: int) -> tuple[str, bool, set[str], bool, int] | None:
+def _read_tag(page: str, at: int) -> tuple[str, bool, set[str] | frozenset[str], bool, int] | None:
     """The tag at a '<' and a letter: name, whether an end tag, words of class, id and role, whether closed by itself,
     and where it ends. None if the page ends within. A quote that is never closed is taken as any other character."""
     m = _TAG.match(page, at)
     if m:
         said, end = m[3], m.end()
-        names = {x for n in _NAMED.findall(said) for x in _PART.findall("".join(n).lower())} if said else set()
+        names = {x for n in _NAMED.findall(said) for x in _PART.findall("".join(n).lower())} if said else _NO_NAMES
         return m[2].lower(), bool(m[1]), names, bool(m[4]), end
     m = _TAG_NAME.match(page, at)
     tag, close, names, end = m[1].lower(), page[at + 1] == "/", set(), m.end()
@@ -168,9 +179,14 @@ def blocks(page: str) -> list[Block]:
             continue
         after = page[at + 1 : at + 3]
         if after[:1] in "!?/" and after and not (after[0] == "/" and (len(after) < 2 or after[1].isascii() and after[1].isalpha())):
-            mark = "-->" if page.startswith("<!--", at) else ">"
-            end = page.find(mark, at + (4 if mark == "-->" else 2))
-            at = size if end < 0 else end + len(mark)
+            if not page.startswith("<!--", at):
+                end = page.find(">", at + 2)
+                at = size if end < 0 else end + 1
+            elif page.startswith((">", "->"), at + 4):  # a comment that ends as soon as it begins
+                at = page.index(">", at) + 1
+            else:
+                ended = _COMMENT_END.search(page, at + 4)
+                at = ended.end() if ended else size
             continue
         if not (after[:1].isascii() and after[:1].isalpha() or len(after) == 2 and after[0] == "/"):
             if quiet < 0:
@@ -193,8 +209,10 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag == "head":  # what it may hold is silent or void, and anything else ends it
             continue
-        while (foreign := (root := open_.last("svg")) >= 0 and root > open_.last(*HTML_WITHIN)) and tag in BREAKS_OUT:
-            cut(root)
+        foreign = False
+        if open_.at.get("svg"):
+            while (foreign := (root := open_.last("svg")) >= 0 and root > open_.last(*HTML_WITHIN)) and tag in BREAKS_OUT:
+                cut(root)
         if tag in RAW_TAGS and not foreign:
             if tag == "textarea" and (k := open_.last("select")) >= 0:
                 cut(k)
@@ -357,7 +375,8 @@ def train(pages: list[tuple[str, list[int]]], epochs: int = 12, rate: float = 0.
 
 
 def labelled_page(seed: int) -> tuple[str, list[int]]:
-    """A page of a random layout with the label (1: article) of each of its leaf blocks."""
+    """A page of a random layout with the label (1: article) of each of its leaf blocks. A quarter of the pages name nothing:
+    menus and articles stand in the same plain elements, and only their text and links tell them apart."""
     r = random.Random(seed)
     labels: list[int] = []
 
@@ -416,6 +435,32 @@ def labelled_page(seed: int) -> tuple[str, list[int]]:
     def advert() -> str:
         return around(box(["ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner ad"]), r.choice([lambda: one(0, prose(3, 25)), lambda: paragraphs(0, 1, 2)])())
 
+    def neutral() -> tuple[str, str]:
+        """A wrap that says nothing of what is in it."""
+        return r.choice([("<div>", "</div>"), ("<section>", "</section>"), ("<table><tr><td>", "</td></tr></table>"), ("", "")])
+
+    def plain_links(most: int) -> str:
+        n, style = r.randint(2, most), r.random()
+        if style < 0.4:
+            return around(neutral(), links(0, n))
+        if style < 0.7:  # one line
+            return around(r.choice([("<p>", "</p>"), ("<center>", "</center>"), neutral()]), one(0, r.choice([" | ", " ", " - "]).join(f"<a href='/{k}'>{words(1, 3)}</a>" for k in range(n))))
+        tag = r.choice(["p", "div", "dd", "td"])
+        return around(neutral(), "".join(f"<{tag}><a href='/{k}'>{one(0, words(1, 3))}</a></{tag}>" for k in range(n)))
+
+    def plain_article() -> str:
+        tag, size = r.choice(["p", "div", "dd", "blockquote"]), r.choice([(4, 20), (20, 120), (20, 120)])
+        head = f"<h{r.randint(1, 3)}>{one(1, words(2, 12))}</h1>" if r.random() < 0.8 else ""
+        return head + "".join(f"<{tag}>{one(1, ' '.join(prose(*size) for _ in range(r.randint(1, 3))))}</{tag}>" for _ in range(r.randint(1, 8)))
+
+    def plain_top() -> str:
+        return plain_links(8) if r.random() < 0.9 else ""
+
+    def plain_bottom() -> str:
+        out = plain_links(6) if r.random() < 0.5 else ""
+        owner = r.choice(["&copy; ", "(c) ", "Copyright "]) + str(r.randint(1990, 2030)) + " " + words(1, 4)
+        return out + (around(r.choice([("<p>", "</p>"), ("<small>", "</small>"), ("<address>", "</address>"), neutral()]), one(0, owner)) if r.random() < 0.6 else "")
+
     def top() -> str:
         out = []
         if r.random() < 0.5:
@@ -447,13 +492,14 @@ def labelled_page(seed: int) -> tuple[str, list[int]]:
             out.append(around(wrap, r.choice([lambda: one(0, "&copy; " + words(1, 4) + " &middot; " + prose(3, 12)), lambda: paragraphs(0, 1, 2) + links(0, 3)])()))
         return "".join(out)
 
-    bare = r.random() < 0.2
-    body = "" if bare and r.random() < 0.7 else top()
+    plain, bare = r.random() < 0.25, r.random() < 0.2
+    head, tail = (plain_top, plain_bottom) if plain else (top, bottom)
+    body = "" if bare and r.random() < 0.7 else head()
     wraps = [("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), box(["content", "post", "entry", "story", "article-body", "main-content"]), ("<div>", "</div>"), ("", "")]
-    body += around(r.choice(wraps), article())
-    body += "" if bare and r.random() < 0.7 else bottom()
-    head = '<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>x</title><style>p{margin:0}</style></head><body>'
-    return head + body + r.choice(["</body></html>", ""]), labels
+    body += around(neutral(), r.choice([article, plain_article])()) if plain else around(r.choice(wraps), article())
+    body += "" if bare and r.random() < 0.7 else tail()
+    start = '<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>x</title><style>p{margin:0}</style></head><body>'
+    return start + body + r.choice(["</body></html>", ""]), labels
 
 
 #: Pages that the model is fitted on: a bound on the training sample.
