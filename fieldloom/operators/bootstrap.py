@@ -72,6 +72,55 @@ def block_sums(daily: DataFrame, starts: DataFrame, by: list[str], sums: list[st
     return rows.groupBy(*by, *(extra or []), "rep").agg(*[F.sum(F.col(f"{c}_stop") - F.col(f"{c}_start")).alias(c) for c in sums])
 
 
+def drawn_starts(n: int, first: int, last: int, block: int = BLOCK, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of block_starts() for replicates first to last (exclusive), a row each, by the same arithmetic."""
+    length = min(block, n)
+    rep, blk = np.arange(first, last, dtype=np.int64)[:, None], np.arange(-(-n // length), dtype=np.int64)
+    y = (rep * 19 + blk + seed) * 48271 % M
+    x = y * y % M * 16807 % M + 1
+    return x * x % M % n, np.minimum(length, n - blk * length)
+
+
+#: Bytes of one group's days by a range of a vector's entries, and replicates that are summed together.
+PANEL_BYTES, TOGETHER = 1 << 23, 256
+
+
+def vector_replicates(daily: DataFrame, by: str, x: str, reps: int, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """(by, rep, b, m): for each replicate the squared length of its mean vector and its mean squared length, of
+    daily(by, day_idx, x) with days 0 ... n - 1 of each group.
+
+    A task has all days of one group and one range of the vectors' entries, and their prefix sums; it draws the starts
+    itself and sends two numbers a replicate. Neither day counts nor replicates' vectors are shuffled.
+    """
+    most, size = daily.groupBy(by).agg(F.count("*").alias("n"), F.max(F.size(x)).alias("s")).agg(F.max("n"), F.max("s")).first()
+    width = max(1, PANEL_BYTES // (8 * (most or 1)))
+    ranges = F.transform(F.sequence(F.lit(0), F.lit(max(0, (size or 1) - 1) // width)), lambda k: F.slice(x, k * width + 1, F.lit(width)))
+    parts = daily.select(by, "day_idx", F.posexplode(ranges).alias("s", "v"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("day_idx").combine_chunks()
+        n = len(table)
+        if table.column("day_idx").to_pylist() != list(range(n)):
+            raise ValueError("the days of a group aren't 0, 1, 2, ...")
+        v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+        sums = np.concatenate((np.zeros((1, v.shape[1])), np.cumsum(np.concatenate((v, v)), axis=0)))
+        squares = np.einsum("ij,ij->i", v, v)
+        of_squares = np.concatenate(([0.0], np.cumsum(np.concatenate((squares, squares)))))
+        b, m = np.empty(reps), np.empty(reps)
+        for first in range(0, reps, TOGETHER):
+            start, length = drawn_starts(n, first, min(reps, first + TOGETHER), block, seed)
+            some = slice(first, first + len(start))
+            mean = sum(sums[start[:, k] + length[k]] - sums[start[:, k]] for k in range(start.shape[1])) / n
+            b[some] = np.einsum("ij,ij->i", mean, mean)
+            m[some] = (of_squares[start + length] - of_squares[start]).sum(axis=1) / n
+        group = pa.array([table.column(by)[0].as_py()] * reps, table.schema.field(by).type)
+        return pa.table([group, pa.array(np.arange(reps)), pa.array(b), pa.array(m)], [by, "rep", "b", "m"])
+
+    kind = daily.schema[by].dataType.simpleString()
+    found = parts.groupBy(by, "s").applyInArrow(run, f"{by} {kind}, rep long, b double, m double")
+    return found.groupBy(by, "rep").agg(F.sum("b").alias("b"), F.sum("m").alias("m"))
+
+
 def paired_metrics(sums: DataFrame) -> DataFrame:
     """rmse of baseline, a and b; their difference; skills of both forms. All from one set of days a replicate."""
     rms = {m: F.sqrt(F.col(f"{m}_e2") / F.col("w")) for m in ("base", "a", "b")}

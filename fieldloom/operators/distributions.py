@@ -142,35 +142,41 @@ def nearest_distances(queries: DataFrame, refs: DataFrame, ks: tuple[int, ...],
     return found.withColumn("k", place).where(F.col("k").isin(*ks)).select("id", "k", F.col("d").alias("distance"))
 
 
-def _over_pairs(sample: DataFrame, visit: Callable, most_queries: int = 2048) -> dict[int, float]:
-    """Sums by key over all ordered pairs of rows of sample(id, g, x), pairs of a row with itself among them.
+def _over_pairs(sample: DataFrame, visit: Callable, rows: int = 2048) -> dict[int, float]:
+    """Sums by key over all ordered pairs of rows of sample(id, g, x), pairs of a row with itself among them: one job.
 
-    visit(d2, i, gi, j, gj) gives keys and what to add to them for a block of squared distances. Rows go to the tasks in
-    blocks of about most_queries against all rows; a task adds up its pairs, and only its sums are shuffled.
+    visit(d2, i, gi, j, gj) gives keys and what to add to them for a block of squared distances. Rows are packed into
+    blocks of about so many. Block a meets block b >= a once, at a place of its own in a triangular schedule, and counts for
+    both orders. A task adds up its pairs of blocks, and only its sums are shuffled.
     """
-    parts = max(1, -(-sample.count() // most_queries))
-    total: dict[int, float] = {}
-    for part in range(parts):
-        rows = sample.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).collect()
-        if not rows:
-            continue
-        i, gi, q = np.array([r.id for r in rows]), np.array([r.g for r in rows]), np.array([r.x for r in rows], float)
-
-        def run(batches: Iterator[pa.RecordBatch], i=i, gi=gi, q=q) -> Iterator[pa.RecordBatch]:
-            keys, sums = np.zeros(0, np.int64), np.zeros(0)
-            for b in batches:
-                for at in range(0, len(b), 512):
-                    c = b.slice(at, 512)
-                    x = c.column("x").flatten().to_numpy().reshape(len(c), -1)
-                    d2 = np.stack([((q - v) ** 2).sum(1) for v in x], 1)
-                    k, v = visit(d2, i, gi, c.column("id").to_numpy(), c.column("g").to_numpy())
-                    keys, place = np.unique(np.concatenate((keys, k)), return_inverse=True)
-                    sums = np.bincount(place, np.concatenate((sums, v)), len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sums, pa.float64())], ["k", "v"])
-
-        for r in sample.select("id", "g", "x").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
-            total[r.k] = total.get(r.k, 0.0) + r.v
-    return total
+    count = max(1, -(-sample.count() // rows))
+    block = F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("b")
+    packed = sample.groupBy(block).agg(F.collect_list(F.struct("id", "g", "x")).alias("r")).select("b", F.col("r.id").alias("ids"), F.col("r.g").alias("gs"), F.flatten("r.x").alias("xs"))
+    last = F.lit(count - 1)
+    left, right = (packed.select(F.col("b").alias(mine), F.explode(partners).alias(other), *[F.col(c).alias(f"{c}_{mine}") for c in ("ids", "gs", "xs")]) for mine, other, partners in (("i", "j", F.sequence("b", last)), ("j", "i", F.sequence(F.lit(0), F.col("b")))))
+    pairs = left.join(right.hint("shuffle_merge"), ["i", "j"])
+
+    def side(batch: pa.RecordBatch, at: int, which: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, g, x = (batch.column(f"{c}_{which}").slice(at, 1).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "gs", "xs"))
+        return ids, g, x.reshape(len(ids), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sums = np.zeros(0, np.int64), np.zeros(0)
+        for batch in batches:
+            for at in range(len(batch)):
+                (i, gi, q), (j, gj, r) = side(batch, at, "i"), side(batch, at, "j")
+                for first in range(0, len(j), 512):
+                    part = slice(first, first + 512)
+                    d2 = np.stack([((q - v) ** 2).sum(1) for v in r[part]], 1)
+                    found = [visit(d2, i, gi, j[part], gj[part])]
+                    if batch.column("i")[at].as_py() != batch.column("j")[at].as_py():
+                        found.append(visit(d2.T, j[part], gj[part], i, gi))
+                    keys, place = np.unique(np.concatenate((keys, *(k for k, _ in found))), return_inverse=True)
+                    sums = np.bincount(place, np.concatenate((sums, *(v for _, v in found))), len(keys))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sums, pa.float64())], ["k", "v"])
+
+    sums = pairs.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    return dict(zip(sums.column("k").to_pylist(), sums.column("v").to_pylist(), strict=True))
 
 
 def median_distance(sample: DataFrame) -> float | None:
@@ -223,24 +229,28 @@ def energy_and_kernel(sample: DataFrame, bandwidth: float | None) -> tuple[float
     return 2 * d[1] - d[0] - d[3], (None if np.isnan(s2) else k[0] + k[3] - 2 * k[1])
 
 
-def swapped_energies(sample: DataFrame, swaps: Callable[[np.ndarray], np.ndarray]) -> list[float | None]:
-    """Energy distances of sample(id, g, x) under many labellings: swaps(ids) has a column of 0 and 1 a labelling.
+def relabelled_statistics(sample: DataFrame, bandwidth: float | None, labels: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Energy distances and squared kernel discrepancies of sample(id, g, x) under many labellings: one job.
 
-    A labelling's sums of distances are products of the block of distances with its labels.
+    labels(ids, g) has a column of 0 and 1 a labelling. Sums over a labelling's ones follow from one product of a block of
+    distances with the labels, those over the others from row sums; NaN where one side is empty or without a bandwidth.
     """
+    s2 = 2 * bandwidth * bandwidth if bandwidth else np.nan
 
     def visit(d2, i, gi, j, gj):
-        d = np.sqrt(d2)
-        one, two = (gi[:, None] + swaps(i)) % 2.0, (gj[:, None] + swaps(j)) % 2.0
-        right = d @ two, d @ (1 - two)
-        cells = [((1 - one) * right[1]).sum(0), ((1 - one) * right[0]).sum(0), (one * right[1]).sum(0), (one * right[0]).sum(0)]
-        sizes = [u.sum(0) * v.sum(0) for u in (1 - one, one) for v in (1 - two, two)]
-        flat = np.concatenate(cells + sizes)
+        one, two = labels(i, gi).astype(np.float64), labels(j, gj).astype(np.float64)
+        parts = []
+        for m in (np.sqrt(d2), np.exp(-d2 / s2), np.ones_like(d2)):
+            both = np.einsum("ij,ij->j", one, m @ two)
+            parts += [both, m.sum(axis=1) @ one, np.full(one.shape[1], m.sum())]
+        flat = np.concatenate(parts)
         return np.arange(len(flat)), flat
 
     at = _over_pairs(sample, visit)
-    s = np.array([at[k] for k in range(len(at))]).reshape(2, 4, -1) if at else np.zeros((2, 4, 0))
-    return [float(2 * d[1] / n[1] - d[0] / n[0] - d[3] / n[3]) if n.all() else None for d, n in zip(s[0].T, s[1].T, strict=True)]
+    sums = np.array([at[k] for k in range(len(at))]).reshape(3, 3, -1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        (dx, d_one, d_two), (kx, k_one, k_two), (nx, n_one, n_two) = ((x1 - x11, x11, x - 2 * x1 + x11) for x11, x1, x in sums)
+        return 2 * dx / nx - d_one / n_one - d_two / n_two, k_one / n_one + k_two / n_two - 2 * kx / nx
 
 
 #: Cells of one round, and how many distinct values may be fetched in the end.

@@ -16,7 +16,7 @@ from fieldloom.operators.strips import Strips, fit_wide_basis
 from fieldloom.operators.tall import TallCanonical, rank_errors
 
 from .registry import ask, pick, query
-from .resampling import _COUNTS, starts_sql
+from .resampling import REPS, starts_sql, sums_sql
 
 _PI = "3.141592653589793::DOUBLE"
 MODES = 6
@@ -349,32 +349,30 @@ def top_mode_increases(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- bootstrap of vector quantities by counts
 
 
-_VEC = f"{_SPLIT}, v AS (SELECT population, day_idx, dense_rank() OVER (PARTITION BY population ORDER BY day_idx) - 1 AS pos, j, a_in FROM h), sizes AS (SELECT population, count(DISTINCT day_idx) AS n FROM v GROUP BY population), starts AS ({starts_sql('sizes', '10', 100)}), counts AS ({_COUNTS.format(by='population', starts='starts')}), rj AS (SELECT population, rep, j, sum(times * a_in) / sum(times) AS mu, sum(times * a_in * a_in) / sum(times) AS m2 FROM counts JOIN v ON v.population = counts.population AND v.pos = counts.day_idx GROUP BY ALL), rb AS (SELECT population, rep, sum(mu * mu) AS b, sum(m2) AS m FROM rj GROUP BY ALL)".replace("SELECT population, rep, j, sum", "SELECT counts.population, rep, j, sum")
+_VEC = f"""{_SPLIT}, v AS (SELECT population, dense_rank() OVER (PARTITION BY population ORDER BY day_idx) - 1 AS day_idx, j, a_in, a_in * a_in AS a_sq FROM h), sizes AS (SELECT population, count(DISTINCT day_idx) AS n FROM v GROUP BY population),
+drawn AS ({starts_sql('sizes')}), starts AS (SELECT drawn.*, j FROM drawn, (SELECT DISTINCT j FROM v)), {sums_sql(['a_in', 'a_sq'], 'population, j', 'v')},
+rb AS (SELECT sums.population, rep, sum((a_in / n) * (a_in / n)) AS b, sum(a_sq / n) AS m FROM sums JOIN sizes USING (population) GROUP BY ALL)"""
 
 
 def _bias_replicates(spark: SparkSession, sf_dir: str, populations: str = "true") -> tuple[DataFrame, DataFrame]:
-    r = _residuals(spark, sf_dir).where(populations).withColumn("pos", F.row_number().over(Window.partitionBy("population").orderBy("day_idx")) - 1)
-    v = r.select("population", F.col("pos").alias("day_idx"), F.posexplode("a_in").alias("j", "a_in"))
-    counts = B.day_counts(B.block_starts(r.groupBy("population").agg(F.count("*").alias("n")), 100, 10), ["population"])
-    t = F.sum("times")
-    rj = counts.join(v, ["population", "day_idx"]).groupBy("population", "rep", "j").agg((F.sum(F.col("times") * F.col("a_in")) / t).alias("mu"), (F.sum(F.col("times") * F.col("a_in") ** 2) / t).alias("m2"))
-    return v, rj.groupBy("population", "rep").agg(F.sum(F.col("mu") ** 2).alias("b"), F.sum("m2").alias("m"))
+    r = _residuals(spark, sf_dir).where(populations).select("population", (F.row_number().over(Window.partitionBy("population").orderBy("day_idx")) - 1).alias("day_idx"), "a_in")
+    return r.select("population", "day_idx", F.posexplode("a_in").alias("j", "a_in")), B.vector_replicates(r, "population", "a_in", REPS)
 
 
 @query(ask("population rep | b:7 m:6 v:6", _VEC, "SELECT population, rep, b, m, m - b AS v FROM rb"))
 def bias_variance_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BO8: squared mean vectors of each replicate from day counts."""
+    """BO8: squared mean vectors of 10,000 replicates of 60-day blocks, from prefix sums of the vectors."""
     return pick(_bias_replicates(spark, sf_dir)[1].withColumn("v", F.col("m") - F.col("b")), "population rep | b:7 m:6 v:6")
 
 
-@query(ask("population | b:7 v:6 floor:7 shift:7 debiased:7 p_below:6", f"{_VEC}, pt AS (SELECT population, sum(mu * mu) AS b, sum(m2 - mu * mu) AS v, any_value(n) AS n FROM (SELECT population, j, avg(a_in) AS mu, avg(a_in * a_in) AS m2, count(*) AS n FROM v GROUP BY ALL) GROUP BY population)", "SELECT pt.population, any_value(pt.b) AS b, any_value(pt.v) AS v, any_value(pt.v / (pt.n / 10.0)) AS floor, avg(rb.b) - any_value(pt.b) AS shift, 2 * any_value(pt.b) - avg(rb.b) AS debiased, avg(CAST(floor(rb.b * 1e9) < floor(pt.b * 1e9) AS INTEGER)) AS p_below FROM pt JOIN rb USING (population) GROUP BY pt.population"))
+@query(ask("population | b:7 v:6 floor:7 shift:7 debiased:7 p_below:6", f"{_VEC}, pt AS (SELECT population, sum(mu * mu) AS b, sum(m2 - mu * mu) AS v, any_value(n) AS n FROM (SELECT population, j, avg(a_in) AS mu, avg(a_in * a_in) AS m2, count(*) AS n FROM v GROUP BY ALL) GROUP BY population)", "SELECT pt.population, any_value(pt.b) AS b, any_value(pt.v) AS v, any_value(pt.v / (pt.n / 60.0)) AS floor, avg(rb.b) - any_value(pt.b) AS shift, 2 * any_value(pt.b) - avg(rb.b) AS debiased, avg(CAST(floor(rb.b * 1e9) < floor(pt.b * 1e9) AS INTEGER)) AS p_below FROM pt JOIN rb USING (population) GROUP BY pt.population"))
 def bias_noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BO11: the persistent part against what resampling alone puts there."""
     v, rb = _bias_replicates(spark, sf_dir)
     j = v.groupBy("population", "j").agg(F.avg("a_in").alias("mu"), F.avg(F.col("a_in") ** 2).alias("m2"), F.count("*").alias("n"))
     pt = j.groupBy("population").agg(F.sum(F.col("mu") ** 2).alias("b0"), F.sum(F.col("m2") - F.col("mu") ** 2).alias("v0"), F.max("n").alias("n"))
     s = pt.join(rb, "population").groupBy("population", "b0", "v0", "n").agg(F.avg("b").alias("mean_b"), F.avg((F.floor(F.col("b") * 1e9) < F.floor(F.col("b0") * 1e9)).cast("double")).alias("p_below"))
-    return pick(s.select("population", F.col("b0").alias("b"), F.col("v0").alias("v"), (F.col("v0") / (F.col("n") / 10.0)).alias("floor"), (F.col("mean_b") - F.col("b0")).alias("shift"), (2 * F.col("b0") - F.col("mean_b")).alias("debiased"), "p_below"), "population | b:7 v:6 floor:7 shift:7 debiased:7 p_below:6")
+    return pick(s.select("population", F.col("b0").alias("b"), F.col("v0").alias("v"), (F.col("v0") / (F.col("n") / float(B.BLOCK))).alias("floor"), (F.col("mean_b") - F.col("b0")).alias("shift"), (2 * F.col("b0") - F.col("mean_b")).alias("debiased"), "p_below"), "population | b:7 v:6 floor:7 shift:7 debiased:7 p_below:6")
 
 
 @query(ask("n_used | median:3 p_lt_30:6 p_gt_90:6", f"{_VEC}, w AS (SELECT rep, max(CASE WHEN population = 0 THEN b END) AS b0, max(CASE WHEN population = 0 THEN m END) AS m0, max(CASE WHEN population = 1 THEN b END) AS b1, max(CASE WHEN population = 1 THEN m END) AS m1, max(CASE WHEN population = 2 THEN b END) AS b2, max(CASE WHEN population = 2 THEN m END) AS m2 FROM rb GROUP BY rep), g AS (SELECT floor(degrees(acos(greatest(-1, least(1, ((b1 - b0) * (b2 - b0) + (m1 - m0) * (m2 - m0)) / (sqrt((b1 - b0) * (b1 - b0) + (m1 - m0) * (m1 - m0)) * sqrt((b2 - b0) * (b2 - b0) + (m2 - m0) * (m2 - m0))))))) * 1e5 + 0.5) / 1e5 AS a FROM w)", "SELECT count(a) AS n_used, median(a) AS median, avg(CAST(a < 30 AS INTEGER)) AS p_lt_30, avg(CAST(a > 90 AS INTEGER)) AS p_gt_90 FROM g"))
@@ -390,15 +388,16 @@ def change_angle_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(g.agg(F.count("a").alias("n_used"), F.percentile("a", F.lit(0.5)).alias("median"), F.avg((F.col("a") < 30).cast("double")).alias("p_lt_30"), F.avg((F.col("a") > 90).cast("double")).alias("p_gt_90")), "n_used | median:3 p_lt_30:6 p_gt_90:6")
 
 
-_SHARE = f"{_SPLIT}, v AS (SELECT population, row_number() OVER (PARTITION BY population ORDER BY day_idx) - 1 AS day_idx, a2, ain, aout FROM d WHERE population < 2), sizes AS (SELECT population, count(*) AS n FROM v GROUP BY population), starts AS ({starts_sql('sizes', '10', 100)}), counts AS ({_COUNTS.format(by='population', starts='starts')}), m AS (SELECT population, rep, sum(times * a2) / sum(times) AS a2, sum(times * ain) / sum(times) AS ain FROM counts JOIN v USING (population, day_idx) GROUP BY ALL), s AS (SELECT o.rep, o.a2 - b.a2 AS dc, (o.ain - b.ain) / nullif(o.a2 - b.a2, 0) AS share FROM m o JOIN m b ON o.rep = b.rep AND o.population = 1 AND b.population = 0)"
+_SHARE = f"""{_SPLIT}, v AS (SELECT population, row_number() OVER (PARTITION BY population ORDER BY day_idx) - 1 AS day_idx, a2, ain FROM d WHERE population < 2), sizes AS (SELECT population, count(*) AS n FROM v GROUP BY population), starts AS ({starts_sql('sizes')}), {sums_sql(['a2', 'ain'], 'population', 'v')},
+m AS (SELECT population, rep, a2 / n AS a2, ain / n AS ain FROM sums JOIN sizes USING (population)), s AS (SELECT o.rep, o.a2 - b.a2 AS dc, (o.ain - b.ain) / nullif(o.a2 - b.a2, 0) AS share FROM m o JOIN m b ON o.rep = b.rep AND o.population = 1 AND b.population = 0)"""
 
 
 @query(ask("n n_valid | lo:4 hi:4", _SHARE, "SELECT count(*) AS n, count(*) FILTER (dc > 0) AS n_valid, quantile_cont(share, 0.025) FILTER (dc > 0) AS lo, quantile_cont(share, 0.975) FILTER (dc > 0) AS hi FROM s"))
 def attribution_share_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BO13: shares only from replicates whose denominator is positive."""
+    """BO13: shares of the change from population 0 to 1, only from replicates whose denominator is positive."""
     v = _daily_parts(spark, sf_dir).where("population < 2").withColumn("day_idx", F.row_number().over(Window.partitionBy("population").orderBy("day_idx")) - 1)
-    counts = B.day_counts(B.block_starts(v.groupBy("population").agg(F.count("*").alias("n")), 100, 10), ["population"])
-    s = B.resampled_sums(v.withColumn("one", F.lit(1.0)), counts, ["population"], ["a2", "ain", "one"])
+    sizes = v.groupBy("population").agg(F.count("*").alias("n"))
+    s = B.block_sums(v.withColumn("one", F.lit(1.0)), B.block_starts(sizes, REPS), ["population"], ["a2", "ain", "one"])
     m = s.select("population", "rep", (F.col("a2") / F.col("one")).alias("a2"), (F.col("ain") / F.col("one")).alias("ain"))
     b = m.where("population = 0").select("rep", F.col("a2").alias("a20"), F.col("ain").alias("ain0"))
     x = m.where("population = 1").join(b, "rep").select((F.col("a2") - F.col("a20")).alias("dc"), (F.col("ain") - F.col("ain0")).alias("di"))

@@ -200,17 +200,29 @@ def energy_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(spark.range(1).select(*[F.lit(v).cast("double").alias(k) for k, v in values.items()]), "| bandwidth:6 energy:6 mmd2:6")
 
 
-@query(ask("n_perm | observed:6 p_value:6", f"{_PAIRS}, r AS (SELECT unnest(range(50)) AS r), f AS (SELECT r, i, j, ((gi + ((r * 7919 + i // 10 * 104729 + 31) * 48271) % 2147483647 % 2) % 2) AS gi, ((gj + ((r * 7919 + j // 10 * 104729 + 31) * 48271) % 2147483647 % 2) % 2) AS gj, sqrt(d2) AS d FROM pairs, r), e AS (SELECT r, 2 * avg(d) FILTER (gi = 0 AND gj = 1) - avg(d) FILTER (gi = 0 AND gj = 0) - avg(d) FILTER (gi = 1 AND gj = 1) AS e FROM f GROUP BY r), o AS (SELECT 2 * avg(sqrt(d2)) FILTER (gi = 0 AND gj = 1) - avg(sqrt(d2)) FILTER (gi = 0 AND gj = 0) - avg(sqrt(d2)) FILTER (gi = 1 AND gj = 1) AS o FROM pairs)", "SELECT count(*) AS n_perm, any_value(o) AS observed, (1 + count(*) FILTER (floor(e * 1e8) >= floor(o * 1e8))) / (1.0 + count(*)) AS p_value FROM e, o"))
+#: Permutations, and days of a block whose labels are swapped together.
+PERMUTATIONS, PERMUTED_DAYS = 4000, 60
+_PERMUTED = f"""{_PAIRS}, sg AS (SELECT median(sqrt(d2)) AS s FROM pairs WHERE i < j),
+bl AS (SELECT i // {PERMUTED_DAYS} AS bi, j // {PERMUTED_DAYS} AS bj, gi, gj, count(*) AS n, sum(sqrt(d2)) AS d, sum(exp(-d2 / (2 * s * s))) AS k FROM pairs, sg GROUP BY ALL),
+sw AS (SELECT r, b, CASE WHEN r < 0 THEN 0 ELSE ((r * 7919 + b * 104729 + 31) * 48271) % 2147483647 % 2 END AS s FROM range(-1, {PERMUTATIONS}) t(r), (SELECT DISTINCT bi AS b FROM bl)),
+e AS (SELECT u.r, (bl.gi + u.s) % 2 AS gi, (bl.gj + v.s) % 2 AS gj, sum(d) / sum(n) AS d, sum(k) / sum(n) AS k FROM bl JOIN sw u ON u.b = bl.bi JOIN sw v ON v.b = bl.bj AND v.r = u.r GROUP BY ALL),
+st AS (SELECT r, 2 * max(d) FILTER (gi = 0 AND gj = 1) - sum(d) FILTER (gi = gj) AS energy, sum(k) FILTER (gi = gj) - 2 * max(k) FILTER (gi = 0 AND gj = 1) AS mmd2, count(*) = 4 AS whole FROM e GROUP BY r),
+ob AS (SELECT energy AS e0, mmd2 AS k0 FROM st WHERE r = -1)"""
+
+
+@query(ask("n_perm | energy:6 mmd2:6 p_energy:6 p_mmd2:6", _PERMUTED, f"SELECT CAST({PERMUTATIONS} AS BIGINT) AS n_perm, any_value(e0) AS energy, any_value(k0) AS mmd2, (1 + count(*) FILTER (whole AND floor(energy * 1e8) >= floor(e0 * 1e8))) / {PERMUTATIONS + 1}.0::DOUBLE AS p_energy, (1 + count(*) FILTER (whole AND floor(mmd2 * 1e8) >= floor(k0 * 1e8))) / {PERMUTATIONS + 1}.0::DOUBLE AS p_mmd2 FROM st, ob WHERE r >= 0"))
 def block_permutation_p_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """QU10: the labels of whole blocks of ten are swapped or not. All vectors of both populations."""
-
-    def swaps(ids: np.ndarray) -> np.ndarray:
-        m, r = 2147483647, np.arange(50, dtype=np.int64)
-        block = ids.astype(np.int64)[:, None] // 10 % m
-        drawn = (r * 7919 + block * 104729 + 31) % m * 48271 % m % 2
-        return np.hstack((np.zeros((len(ids), 1), np.int64), drawn))
-
-    observed, *energies = D.swapped_energies(_two_samples(spark, sf_dir), swaps) or [None]
-    rows = spark.range(len(energies)).select(F.get(F.array(*[F.lit(e).cast("double") for e in energies]), F.col("id").cast("int")).alias("energy"), F.lit(observed).cast("double").alias("observed"))
-    above = F.count_if(F.floor(F.col("energy") * 1e8) >= F.floor(F.col("observed") * 1e8))
-    return pick(rows.groupBy("observed").agg(F.count("*").alias("n_perm"), ((1 + above) / (1.0 + F.count("*"))).alias("p_value")), "n_perm | observed:6 p_value:6")
+    """QU10: both p-values from 4,000 permutations that swap the labels of whole blocks of 60 days or leave them. The
+    statistics of all permutations are one job over pairs of blocks of days. All vectors of both populations."""
+
+    def labels(ids: np.ndarray, g: np.ndarray) -> np.ndarray:
+        m, r = 2147483647, np.arange(PERMUTATIONS, dtype=np.int64)
+        block, place = np.unique(ids.astype(np.int64) // PERMUTED_DAYS, return_inverse=True)
+        drawn = ((r * 7919 + block[:, None] * 104729 + 31) * 48271) % m % 2
+        return (g[:, None] + np.hstack((np.zeros((len(block), 1), np.int64), drawn))[place]) % 2
+
+    sample = _two_samples(spark, sf_dir)
+    both = D.relabelled_statistics(sample, D.median_distance(sample), labels)
+    p = [float((1 + (np.floor(x[1:] * 1e8) >= np.floor(x[0] * 1e8)).sum()) / (1 + PERMUTATIONS)) for x in both]
+    row = [(PERMUTATIONS, *(float(x[0]) for x in both), *p)]
+    return pick(spark.createDataFrame(row, "n_perm long, energy double, mmd2 double, p_energy double, p_mmd2 double"), "n_perm | energy:6 mmd2:6 p_energy:6 p_mmd2:6")
