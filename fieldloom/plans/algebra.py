@@ -23,7 +23,7 @@ MODES = 6
 #: Tiles of the Gram matrix: small ones, as these fields are small.
 DAYS, PIXELS = 256, 24
 #: Columns that are orthonormalised together.
-BLOCK = 16
+BLOCK = 32
 _BASIS = f"basis AS (SELECT CAST(k AS INTEGER) AS k, CAST(p AS INTEGER) AS p, CASE WHEN k = 0 THEN sqrt(1 / 64.0::DOUBLE) ELSE sqrt(2 / 64.0::DOUBLE) * cos({_PI} * k * (p + 0.5::DOUBLE) / 64) END AS e FROM range({MODES}) a(k), range(64) b(p))"
 _SCORES = f"{DENSE_SQL}, {_BASIS}, scores AS (SELECT day_idx, population, k, sum(val * e) AS s FROM cells JOIN basis USING (p) GROUP BY ALL)"
 
@@ -111,7 +111,7 @@ GRID_SCORES, GRID_RANKS, GRID_RIDGES = (4, 8, 12, 16, 20, 24, 28, 32), (1, 2, 4,
 
 @query()
 def canonical_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LA12, LA14, SE4: validation errors of 768 settings. A ridge is one factorisation, a pair of sizes is read off its
+    """LA12, LA14, SE4: validation errors of 624 settings. A ridge is one factorisation, a pair of sizes is read off its
     panels, and one pass over the validation days gives the errors of all ranks of all pairs of sizes."""
     m = A.matrices(spark, sf_dir)
     sizes, rows = [(kx, ky, None) for kx in GRID_SCORES for ky in GRID_SCORES], []
