@@ -6,7 +6,7 @@ No bucket is expanded into all its pairs:
 
 1. every member is compared with its bucket's least member, and what is linked is put in components;
 2. members of buckets that still hold several components are compared with the bucket's most central member;
-3. in buckets that even then hold several components, pairs across components are found by prefix and place filtering:
+3. in buckets that even then hold several components, pairs across components are found by prefix, place and size filtering:
    two sets as alike as the threshold share one of the rarest shingles of each, with enough shingles after it.
 
 So a large group of near copies costs a few comparisons a member, and no link between bucket mates is lost.
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, Stage, blob_key, documents, fresh, join_summary, texts, widen
@@ -30,6 +30,8 @@ BANDS, ROWS = 32, 5
 #: A pair whose signatures agree less than the threshold by this much is not confirmed on full sets (8 deviations).
 MARGIN = 0.25
 SLICE = 1 << 20
+#: Sizes of one class of sets are within this factor.
+SIZE_STEP = 1.04
 _R = np.random.default_rng(19970101)
 _A = _R.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * U64(2) + U64(1)
 _B = _R.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -151,21 +153,38 @@ def _central_pairs(apart: DataFrame, prefixes: DataFrame) -> DataFrame:
     return mates.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
 
 
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / float(np.log(SIZE_STEP))).cast("int")
+
+
+def _met(rows: DataFrame, percent: int) -> DataFrame:
+    """rows(n, place, ...) once for each class of sizes (mine, other) that a partner may have for which the place isn't too late:
+    even the least partner of the class asks for more shingles from there on than are left."""
+    n, share = F.col("n"), percent / 100
+    # a class beyond both ends, as logarithms are rounded
+    classes = F.sequence(_size_class(F.floor(n * share)) - 1, _size_class(F.ceil(n / share)) + 1)
+    out = rows.withColumn("mine", _size_class(n)).withColumn("other", F.explode(classes))
+    least = F.greatest(F.floor(F.exp(F.col("other") * float(np.log(SIZE_STEP)))) - 1, F.ceil(n * share) - 1)
+    return out.where((100 + percent) * (1 + n - F.col("place")) >= percent * (n + least))
+
+
 def _prefix_pairs(apart: DataFrame, prefixes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) across components among the members of apart(band, rep, comp) that can reach percent.
 
     Sets that reach it have a first common shingle within both prefixes, and from there on as many shingles left as
-    they must share. One side is enough to come from outside a bucket's largest component, so that a large group isn't
-    held against itself.
+    they must share. Members meet by shingle and classes of their sizes, and each only at places that leave enough for the
+    other's class, so that pages of one template which share too little don't meet at all. One side is enough to come
+    from outside a bucket's largest component, so that a large group isn't held against itself.
     """
     apart = scratch.write(apart, "minhash-apart")
     main = apart.groupBy("band", "comp").count().groupBy("band").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
     outer = join_summary(apart, main, "band").where("comp <> main").select("rep").distinct()
-    rows = prefixes.where("held > 1").join(apart.select("rep", "comp").distinct(), "rep")
+    rows = scratch.write(_met(prefixes.where("held > 1").join(apart.select("rep", "comp").distinct(), "rep"), percent), "minhash-met")
     x, y = rows.join(outer, "rep").alias("x"), rows.alias("y")
     left = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     enough = (100 + percent) * left >= percent * (F.col("x.n") + F.col("y.n"))
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.comp") != F.col("y.comp")) & enough)
+    met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.mine") == F.col("y.other")) & (F.col("x.other") == F.col("y.mine"))
+    pairs = x.join(y, met & (F.col("x.comp") != F.col("y.comp")) & enough)
     return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
@@ -177,27 +196,29 @@ def _joined(comps: Stage, confirmed: DataFrame) -> Stage:
 
 
 def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
-    """doc_id, blob (content address), n_shingles, component_id and kept of every row of docs.
+    """doc_id, blob (content address), n_shingles, component_id, kept and first of every row of docs.
 
     Two texts are linked if they share percent of their distinct k-word shingles or more (words are lower-cased
-    in A-Z). Null and empty texts and texts without words are linked with nothing. Rows with a null id are left
-    unlinked, as their own component (component_id null, kept true). Rows that repeat an id with the same text are
-    one document, so all are kept or none. An id may stand for several texts: each is linked on its own, a component
-    is named by its least id, and of that id's texts in it the one of the least content address is kept.
+    in A-Z). Null and empty texts and texts without words are linked with nothing. A component is named by its least
+    id; kept says that a row has that id. Rows with a null id are linked like others and take their component's name,
+    which is null where no row of it has an id; then they are kept. An id may stand for several texts: each is linked on
+    its own. first says that a row has the text that stands for its component, which is that of the least id (of several
+    texts of this id, the one of the least content address), so that one text of each component is first.
     """
     docs, scratch = texts(docs), Scratch()
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.withColumn("blob", blob_key(F.col("text")))
     sketch = Stage(widen(keyed).mapInArrow(_sketch(k, False), f"doc_id {kind}, blob binary, n_shingles long, set_key binary, bands array<long>"), "minhash-sketch")
-    named = sketch.df.where("set_key is not null and doc_id is not null")
-    classes = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "blob")).alias("lead"), F.first("bands").alias("bands"))
+    lead = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "blob")
+    classes = sketch.df.where("set_key is not null").groupBy("set_key").agg(F.min(lead).alias("lead"), F.first("bands").alias("bands"))
     classes = Stage(classes.withColumn("rep", F.monotonically_increasing_id()), "minhash-classes").df  # numbers hold once they are written
     rows = classes.select("rep", F.explode("bands").alias("band"))
     hubs = rows.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
     members = scratch.write(join_summary(rows, hubs, "band"), "minhash-buckets")
 
-    wanted = members.select("rep").distinct().join(classes.select("rep", "lead.*"), "rep")
-    sets = keyed.join(wanted, ["doc_id", "blob"]).mapInArrow(_sketch(k, True), "rep long, sig array<int>, shingles array<long>").dropDuplicates(["rep"])
+    wanted = members.select("rep").distinct().join(classes.select("rep", F.col("lead.doc_id").alias("_id"), F.col("lead.blob").alias("_blob")), "rep")
+    found = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("blob") == F.col("_blob")))
+    sets = found.select("rep", "text").mapInArrow(_sketch(k, True), "rep long, sig array<int>, shingles array<long>").dropDuplicates(["rep"])
     sets = scratch.write(sets, "minhash-sets")
 
     first = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
@@ -205,35 +226,39 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
 
     buckets = members.select("band", "rep")
     apart = scratch.write(_labelled(buckets, comps.df, scratch).select("band", "rep", "comp"), "minhash-apart")
-    prefixes = _prefixes(apart, sets, percent, scratch)
-    comps = _joined(comps, _confirm(_central_pairs(apart, prefixes), sets, percent))
-    third = _prefix_pairs(_labelled(buckets, comps.df, scratch).select("band", "rep", "comp"), prefixes, percent, scratch)
-    comps = _joined(comps, _confirm(third, sets, percent))
+    if not apart.isEmpty():
+        prefixes = _prefixes(apart, sets, percent, scratch)
+        comps = _joined(comps, _confirm(_central_pairs(apart, prefixes), sets, percent))
+        apart = scratch.write(_labelled(buckets, comps.df, scratch).select("band", "rep", "comp"), "minhash-apart")
+        if not apart.isEmpty():
+            comps = _joined(comps, _confirm(_prefix_pairs(apart, prefixes, percent, scratch), sets, percent))
     scratch.clear()
 
     label = classes.join(comps.df.select(F.col("a").alias("rep"), F.col("b").alias("comp")), "rep", "left").select("set_key", "lead", F.coalesce("comp", "rep").alias("comp"))
-    leads = label.groupBy("comp").agg(F.min("lead").alias("first"))
-    label = join_summary(label, leads, "comp").select("set_key", "first")
+    leads = label.groupBy("comp").agg(F.min("lead").alias("head"))
+    label = join_summary(label, leads, "comp").select("set_key", "head")
     rows = sketch.df.select("doc_id", "blob", "n_shingles", "set_key").join(label, "set_key", "left")
-    named = F.col("doc_id").isNotNull()
-    component = F.when(named, F.coalesce("first.doc_id", "doc_id"))
-    kept = F.when(named, (F.col("doc_id") == F.col("first.doc_id")) & (F.col("blob") == F.col("first.blob")))
-    return rows.select("doc_id", "blob", "n_shingles", component.alias("component_id"), F.coalesce(kept, F.lit(True)).alias("kept"))
+    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id"))
+    stands = F.col("set_key").isNull() | (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("blob") == F.col("head.blob")))
+    rows = rows.select("doc_id", "blob", "n_shingles", component.alias("component_id"), F.coalesce(stands, F.lit(True)).alias("first"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return rows.select("doc_id", "blob", "n_shingles", "component_id", kept.alias("kept"), "first")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with all their columns; of rows equal in id and text, one."""
+    """The rows of docs whose text stands for its component in near_duplicates(), with all their columns; of rows equal in id
+    and text, one. Null and empty texts stay."""
     blob, id_, gone = fresh(docs, "blob", "id", "gone")
-    out = near_duplicates(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias(id_), F.col("blob").alias(gone)).distinct()
+    out = near_duplicates(docs, k, percent).where(~F.col("first")).select(F.col("doc_id").alias(id_), F.col("blob").alias(gone)).distinct()
     rows = docs.withColumn(blob, blob_key(F.coalesce("text", F.lit(""))))
-    rows = rows.join(out, (F.col("doc_id") == F.col(id_)) & (F.col(blob) == F.col(gone)), "left_anti")
+    rows = rows.join(out, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(blob) == F.col(gone)), "left_anti")
     return rows.dropDuplicates(["doc_id", blob]).drop(blob)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its component and whether it stays, as near_duplicates defines them. Long texts are sketched
     whole, extra columns are left behind."""
-    return near_duplicates(documents(spark, sf_dir)).drop("blob")
+    return near_duplicates(documents(spark, sf_dir)).drop("blob", "first")
 
 
 ORACLE = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

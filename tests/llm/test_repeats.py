@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import resource
 import time
@@ -7,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from fieldloom.llm import tiling
+from fieldloom.llm import minhash, tiling
 from fieldloom.llm.byte_repeats import SuffixArrays, SuffixFamily, SuffixIndex
 from fieldloom.llm.common import shared_dir
 from fieldloom.llm.hashing import PRIME, Words, range_hashes
@@ -212,7 +213,35 @@ def test_near_duplicates_equal_brute_force(spark, k):
 def test_near_duplicates_of_odd_rows(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
     rows = near_duplicates(frame(spark, ["a b c", "a b c", "a b c", None], [None, 5, 5, 6])).collect()
-    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in rows) == [("5", "5", True), ("5", "5", True), ("6", "6", True), ("None", "None", True)]
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in rows) == [("5", "5", True), ("5", "5", True), ("6", "6", True), ("None", "5", False)]
+    rows = near_duplicates(frame(spark, ["a b c", "a b c", "x y", None], [None, None, None, None])).collect()
+    assert [(r.component_id, r.kept) for r in rows] == [(None, True)] * 4
+    kept = drop_near_duplicates(frame(spark, ["a b c", "a b c", "x y", None, "a b c"], [None, None, None, None, 9])).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == [("9", "a b c"), ("None", "None"), ("None", "x y")]
+
+
+def test_a_row_without_an_id_links_others(spark):
+    words = prose(9, 100).split()
+    texts = [" ".join(words[k : k + 92]) for k in (0, 4, 8)]  # neighbours share 88 of 96 words, the ends 84 of 100
+    one, two, three = ({tuple(t.split()[k : k + 2]) for k in range(91)} for t in texts)
+    assert all(100 * len(a & b) >= 85 * len(a | b) for a, b in ((one, two), (two, three))) and 100 * len(one & three) < 85 * len(one | three)
+    rows = near_duplicates(frame(spark, texts, [4, None, 2]), percent=85).collect()
+    assert sorted((str(r.doc_id), r.component_id, r.kept, r.first) for r in rows) == [("2", 2, True, True), ("4", 2, False, False), ("None", 2, False, False)]
+    assert {r.component_id for r in near_duplicates(frame(spark, [texts[0], texts[2]], [4, 2]), percent=85).collect()} == {2, 4}
+
+
+def test_pages_of_one_template_do_not_meet(spark, monkeypatch):
+    shared = prose(1, 120, 10_000).split()
+    texts = []
+    for k in range(300):
+        r, page = random.Random(k), list(shared)
+        for n in range(20):
+            page.insert(r.randrange(len(page)), f"own{k}x{n}")
+        texts.append(" ".join(page))
+    counts, confirm = [], minhash._confirm
+    monkeypatch.setattr(minhash, "_confirm", lambda pairs, *more: (counts.append(pairs.count()), confirm(pairs, *more))[1])
+    rows = near_duplicates(frame(spark, [*texts, texts[7] + " end"])).collect()
+    assert sorted(r.component_id for r in rows) == sorted([*range(300), 7]) and counts[-1] < 300
 
 
 def test_near_duplicates_under_an_id_of_many_texts(spark):
@@ -223,7 +252,8 @@ def test_near_duplicates_under_an_id_of_many_texts(spark):
     assert sorted((r.doc_id, r.component_id, r.kept) for r in rows) == sorted((i, 0, i == 0) for i in ids)
     rows = near_duplicates(frame(spark, [made[0], near[0], made[0], made[1], made[0]], [3, 3, 3, 4, None])).collect()
     first = min((hashlib.sha256(t.encode()).digest(), t) for t in (made[0], near[0]))[1]
-    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in rows) == sorted([(3, 3, first == made[0])] * 2 + [(3, 3, first == near[0]), (4, 4, True), (0, 0, True)])
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in rows) == sorted([(3, 3, True)] * 3 + [(4, 4, True), (0, 3, False)])
+    assert sorted(r.first for r in rows) == sorted([first == made[0]] * 2 + [first == near[0], True, False])
     kept = drop_near_duplicates(frame(spark, made + made + near, ids)).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == sorted((0, t) for t in made)
 
