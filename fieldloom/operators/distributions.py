@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .staging import Staged
+
 
 def uniform_bin(x: Column, lo: float, hi: float, bins: int) -> Column:
     """floor((x - lo) / width), with x = hi in the last bin; -1 below the range and bins above it."""
@@ -37,22 +40,64 @@ def density(hist: DataFrame, by: list[str], bins: int, width: float, coarse: int
     return out.withColumns({"density": F.col("weight") / (F.col("inside") * (width * coarse)), "fraction": F.col("weight") / F.col("inside"), "under_share": F.col("under") / F.col("whole"), "over_share": F.col("over") / F.col("whole")})
 
 
-def weighted_quantiles(df: DataFrame, by: list[str], x: str, tie: str, q: float, weight: str = "w") -> DataFrame:
-    """The q-quantile of x by interpolation on the cumulative weight share; below the first share, the least value.
+#: Rows of a range of values that one task puts in order, about.
+RANGE_ROWS = 200_000
+
+
+def _ranged(df: DataFrame, x: str, rows: int) -> DataFrame:
+    """df, whose values of x are distinct within a group, with _b: ranges of values in order, of about so many rows. The rows are
+    written to the shared folder first, as they are counted, split, summed and ordered: what they come from is read once."""
+    df = Staged(df, "ranged").df
+    ranges = -(-df.count() // rows)
+    if ranges < 2:
+        return df.withColumn("_b", F.lit(0))
+    splits = np.unique(df.approxQuantile(x, [k / ranges for k in range(1, ranges)], 0.25 / ranges))
+
+    @F.pandas_udf("int")
+    def place(values: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(splits, values.to_numpy(), "right").astype(np.int32))
+
+    return df.withColumn("_b", place(F.col(x).cast("double")))
 
-    A group is one map of at most as many rows as the grid has cells, so a window partition holds a map.
-    """
-    run = Window.partitionBy(*by).orderBy(x, tie)
-    share = F.sum(weight).over(run.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(weight).over(Window.partitionBy(*by))
-    rows = df.withColumn("_c", share).withColumns({"_pc": F.lag("_c").over(run), "_px": F.lag(x).over(run)})
-    at = F.when(F.col("_pc").isNull(), F.col(x)).otherwise(F.col("_px") + (F.lit(q) - F.col("_pc")) / (F.col("_c") - F.col("_pc")) * (F.col(x) - F.col("_px")))
-    hit = rows.where((F.col("_c") >= q - 1e-15) & (F.col("_pc").isNull() | (F.col("_pc") < q - 1e-15)))
-    return hit.select(*by, at.alias("quantile"))
 
+def _before(df: DataFrame, by: list[str], x: str, total: Column) -> DataFrame:
+    """(by, _b, _t, _p, _x, _all) of _ranged() rows: each range's total, that of the ranges before it, the largest value before
+    it (null before the first), and the group's total. A window here holds one row a range."""
+    ranges = df.groupBy(*by, "_b").agg(total.alias("_t"), F.max(x).alias("_m"))
+    run = Window.partitionBy(*by).orderBy("_b")
+    return ranges.select(*by, "_b", "_t", (F.sum("_t").over(run) - F.col("_t")).alias("_p"), F.lag("_m").over(run).alias("_x"), F.sum("_t").over(Window.partitionBy(*by)).alias("_all"))
 
-def average_rank(by: list[str], x: str) -> Column:
-    """Rank with ties sharing their mean."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2
+
+def weighted_quantiles(df: DataFrame, by: list[str], x: str, tie: str, q: float, weight: str = "w", rows: int = RANGE_ROWS) -> DataFrame:
+    """The q-quantile of x by interpolation on the cumulative weight share; below the first share, the least value.
+
+    Of any number of rows: equal values are one, ranges of values are summed, and only the range that holds the share is
+    put in order. Of equal values the one of least tie comes first, which decides where interpolation ends.
+    """
+    g = _ranged(df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.sum(weight).alias("_w"), F.min_by(weight, tie).alias("_f")), x, rows)
+    reach = F.lit(q - 1e-15)
+    sums = _before(g, by, x, F.sum("_w"))
+    hit = sums.where(((F.col("_p") + F.col("_t")) / F.col("_all") >= reach) & (F.col("_x").isNull() | (F.col("_p") / F.col("_all") < reach)))
+    first = hit.groupBy(*by).agg(F.min(F.struct("_b", "_p", "_x", "_all")).alias("h")).select(*by, "h.*")
+    run = Window.partitionBy(*by).orderBy(x)
+    ordered = g.join(first, [*by, "_b"]).withColumn("_c", (F.col("_p") + F.sum("_w").over(run.rowsBetween(Window.unboundedPreceding, 0))) / F.col("_all"))
+    ordered = ordered.withColumns({"_px": F.coalesce(F.lag(x).over(run), F.col("_x")), "_pc": F.coalesce(F.lag("_c").over(run), F.when(F.col("_x").isNotNull(), F.col("_p") / F.col("_all")))})
+    until = F.col("_pc") + F.col("_f") / F.col("_all")
+    at = F.when(F.col("_pc").isNull() | (until < reach), F.col(x)).otherwise(F.col("_px") + (F.lit(q) - F.col("_pc")) / (until - F.col("_pc")) * (F.col(x) - F.col("_px")))
+    found = ordered.where((F.col("_c") >= reach) & (F.col("_pc").isNull() | (F.col("_pc") < reach)))
+    return found.select(*by, at.alias("quantile"))
+
+
+def average_ranks(df: DataFrame, by: list[str], x: str, name: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """df with the rank of x within by, from 1, ties sharing their mean; null where x is null.
+
+    Equal values are counted once, ranges of values are put in order side by side, and what lies before a range is added.
+    """
+    g = _ranged(df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_n")), x, rows)
+    run = Window.partitionBy(*by, "_b").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    placed = g.join(_before(g, by, x, F.sum("_n")).select(*by, "_b", "_p"), [*by, "_b"])
+    ranks = placed.select(*by, x, (F.col("_p") + F.sum("_n").over(run) - (F.col("_n") - 1) / 2).alias(name))
+    return df.join(ranks, [*by, x], "left")
 
 
 def boxcar(by: list[str], order: str, x: Column, width: int) -> Column:
@@ -62,21 +107,53 @@ def boxcar(by: list[str], order: str, x: Column, width: int) -> Column:
     return F.when(F.count("*").over(w) == width, F.avg(x).over(w))
 
 
-def autocorrelation(df: DataFrame, by: list[str], order: str, x: str, lags: int) -> DataFrame:
-    """Biased autocorrelation (by, lag, acf) for lags 0 to lags: each row meets its followers by an equi-join on place."""
-    mean = F.avg(x).over(Window.partitionBy(*by))
-    y = df.select(*by, F.col(order).alias("t"), (F.col(x) - mean).alias("y"))
-    ahead = y.select(*by, "t", F.col("y").alias("y0"), F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag")).withColumn("t", F.col("t") + F.col("lag"))
-    sums = ahead.join(y, [*by, "t"]).groupBy(*by, "lag").agg(F.sum(F.col("y0") * F.col("y")).alias("c"))
-    return sums.withColumn("acf", F.col("c") / F.max(F.when(F.col("lag") == 0, F.col("c"))).over(Window.partitionBy(*by))).drop("c")
-
+def autocorrelation(df: DataFrame, by: list[str], order: str, x: str, segment: int = 4096) -> DataFrame:
+    """Biased autocorrelation (by, lag, acf) for all lags from 0 to the last place minus the first, by power spectra.
 
-def integrated_time(acf: DataFrame, by: list[str], factor: float = 5.0) -> DataFrame:
-    """1 + 2 * sum of the autocorrelation up to the first lag that is at least factor times the sum so far."""
-    run = Window.partitionBy(*by).orderBy("lag").rowsBetween(Window.unboundedPreceding, 0)
-    rows = acf.where("lag >= 1").withColumns({"tau": 1 + 2 * F.sum("acf").over(run), "last": F.max("lag").over(Window.partitionBy(*by))})
-    ends = rows.where((F.col("lag") >= factor * F.col("tau")) | (F.col("lag") == F.col("last")))
-    return ends.groupBy(*by).agg(F.min(F.struct("lag", "tau")).alias("e")).select(*by, F.col("e.tau").alias("tau"), F.col("e.lag").alias("window"))
+    Places are whole numbers; those without a row count for nothing. A series is cut into segments; segments that are d
+    apart are multiplied as spectra, summed over all such pairs, and turned back once for each d. A task holds two
+    spectra, however long the series is.
+    """
+    mean = df.groupBy(*by).agg(F.avg(x).alias("_mean"), F.min(order).alias("_first"), F.max(order).alias("_last"))
+    rows = df.join(F.broadcast(mean), by).select(*by, F.floor((F.col(order) - F.col("_first")) / segment).cast("int").alias("a"), ((F.col(order) - F.col("_first")) % segment).cast("int").alias("o"), (F.col(x) - F.col("_mean")).alias("y"), (F.col("_last") - F.col("_first")).cast("long").alias("end"))
+    keys = [f"{c} {df.schema[c].dataType.simpleString()}" for c in by]
+
+    def spectrum(table: pa.Table) -> pa.Table:
+        y = np.zeros(2 * segment)
+        y[table.column("o").to_numpy()] = table.column("y").to_numpy()
+        f = np.fft.rfft(y)
+        return pa.table([*(table.column(c).slice(0, 1) for c in (*by, "a", "end")), *(pa.array([v], pa.list_(pa.float64())) for v in (f.real, f.imag))], [*by, "a", "end", "re", "im"])
+
+    s = rows.groupBy(*by, "a").applyInArrow(spectrum, ", ".join([*keys, "a int", "end long", "re array<double>", "im array<double>"]))
+    left = s.select(*by, "end", F.col("re").alias("r0"), F.col("im").alias("i0"), F.col("a").alias("a0"), F.explode(F.sequence(F.col("a"), F.floor(F.col("end") / segment).cast("int"))).alias("a"))
+    pairs = left.join(s.drop("end"), [*by, "a"]).withColumn("d", F.col("a") - F.col("a0"))
+
+    def summed(table: pa.Table) -> pa.Table:
+        total = np.zeros(segment + 1, complex)
+        for r0, i0, re, im in zip(*(table.column(c) for c in ("r0", "i0", "re", "im")), strict=True):
+            total += (r0.values.to_numpy() - 1j * i0.values.to_numpy()) * (re.values.to_numpy() + 1j * im.values.to_numpy())
+        c, d, end = np.fft.irfft(total), table.column("d")[0].as_py(), table.column("end")[0].as_py()
+        lag = np.concatenate((np.arange(segment), np.arange(-segment, 0))) + d * segment
+        keep = (lag >= 0) & (lag <= end)
+        one = lambda k: pa.array([table.column(k)[0].as_py()] * int(keep.sum()), table.schema.field(k).type)
+        return pa.table([*map(one, by), pa.array(lag[keep]), pa.array(c[keep])], [*by, "lag", "c"])
+
+    sums = pairs.select(*by, "d", "end", "r0", "i0", "re", "im").groupBy(*by, "d").applyInArrow(summed, ", ".join([*keys, "lag long", "c double"]))
+    c = sums.groupBy(*by, "lag").agg(F.sum("c").alias("c"))
+    return c.join(F.broadcast(c.where("lag = 0").select(*by, F.col("c").alias("_c0"))), by).select(*by, "lag", (F.col("c") / F.col("_c0")).alias("acf"))
+
+
+def integrated_time(acf: DataFrame, by: list[str], factor: float = 5.0, fixed: int = 60, rows: int = RANGE_ROWS) -> DataFrame:
+    """(by, tau, window, fixed): 1 + 2 * the sum of the autocorrelation up to the first lag that is at least factor times it so
+    far (the last lag if none is), and the same sum up to a fixed lag. Ranges of lags are summed side by side."""
+    g = acf.where("lag >= 1").withColumn("_b", F.floor(F.col("lag") / rows).cast("int"))
+    run = Window.partitionBy(*by, "_b").orderBy("lag").rowsBetween(Window.unboundedPreceding, 0)
+    sums = _before(g, by, "lag", F.sum("acf")).select(*by, "_b", "_p")
+    last = g.groupBy(*by).agg(F.max("lag").alias("last"), F.sum(F.when(F.col("lag") <= fixed, F.col("acf"))).alias("_fixed"))
+    tau = g.join(F.broadcast(sums), [*by, "_b"]).withColumn("tau", 1 + 2 * (F.col("_p") + F.sum("acf").over(run))).join(F.broadcast(last), by)
+    ends = tau.where((F.col("lag") >= factor * F.col("tau")) | (F.col("lag") == F.col("last")))
+    first = ends.groupBy(*by, "_fixed").agg(F.min(F.struct("lag", "tau")).alias("e"))
+    return first.select(*by, F.col("e.tau").alias("tau"), F.col("e.lag").alias("window"), (1 + 2 * F.col("_fixed")).alias("fixed"))
 
 
 def percentile_of(value: Column, sample: str) -> list[Column]:
@@ -250,7 +327,8 @@ def relabelled_statistics(sample: DataFrame, bandwidth: float | None, labels: Ca
     sums = np.array([at[k] for k in range(len(at))]).reshape(3, 3, -1)
     with np.errstate(divide="ignore", invalid="ignore"):
         (dx, d_one, d_two), (kx, k_one, k_two), (nx, n_one, n_two) = ((x1 - x11, x11, x - 2 * x1 + x11) for x11, x1, x in sums)
-        return 2 * dx / nx - d_one / n_one - d_two / n_two, k_one / n_one + k_two / n_two - 2 * kx / nx
+        both = (n_one > 0.5) & (n_two > 0.5)
+        return tuple(np.where(both, s, np.nan) for s in (2 * dx / nx - d_one / n_one - d_two / n_two, k_one / n_one + k_two / n_two - 2 * kx / nx))
 
 
 #: Cells of one round, and how many distinct values may be fetched in the end.

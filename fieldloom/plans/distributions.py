@@ -74,13 +74,27 @@ def weighted_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(D.weighted_quantiles(rmse_map(spark, sf_dir), ["climate"], "rmse", "cell", 0.9), "climate | quantile:2")
 
 
-@query(ask("climate n_cells | threshold:2 area:6 b_rmse:2", f"{ERRORS_SQL}, {_MAP_SQL}, t AS (SELECT floor(quantile * 100 + 0.5) / 100 AS th FROM ({quantile_sql("(SELECT * FROM map WHERE climate = 'pd')", "climate", "rmse", 0.9)})), hard AS (SELECT cell, w, th FROM map, t WHERE climate = 'pd' AND rmse >= th)", "SELECT m.climate, count(*) AS n_cells, any_value(th) AS threshold, sum(m.w) / 384 AS area, sqrt(sum(m.w * m.rmse_b * m.rmse_b) / sum(m.w)) AS b_rmse FROM map m JOIN hard USING (cell) GROUP BY m.climate"))
+_FROZEN = f"""frozen AS (SELECT e.cell, any_value(e.w) AS w, floor(sqrt(avg(err_base * err_base)) * 1e4 + 0.5) / 1e4 AS rmse FROM errors e JOIN daily d ON d.climate = 'pd' AND d.day = e.day AND d.day_idx % {{step}} = 0 GROUP BY e.cell),
+t AS (SELECT floor(quantile * 100 + 0.5) / 100 AS th FROM ({quantile_sql("(SELECT *, 0 AS one FROM frozen)", "one", "rmse", 0.99)})), hard AS (SELECT cell, th FROM frozen, t WHERE rmse >= th)"""
+#: The validation days: every so manyth of the present-day climate.
+VALIDATION_STEP = 5
+
+
+def frozen_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cell, w and the baseline's rmse over the validation days."""
+    days = A.daily(spark, sf_dir).where((F.col("climate") == "pd") & (F.col("day_idx") % VALIDATION_STEP == 0)).select("day")
+    e = A.errors(spark, sf_dir).join(days, "day").groupBy("cell").agg(F.first("w").alias("w"), F.sqrt(F.avg(F.col("err_base") ** 2)).alias("rmse"))
+    return e.select("cell", "w", quantize("rmse", 4).alias("rmse"))
+
+
+@query(ask("climate n_cells | threshold:2 area:6 b_rmse:2", f"{DAILY_SQL}, {_MAP_SQL}, {_FROZEN.format(step=5)}", "SELECT m.climate, count(*) AS n_cells, any_value(th) AS threshold, sum(m.w) / 384 AS area, sqrt(sum(m.w * m.rmse_b * m.rmse_b) / sum(m.w)) AS b_rmse FROM map m JOIN hard USING (cell) GROUP BY m.climate"))
 def hard_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FI11, TR5: the cells at or over the pd map's own 90th percentile, frozen and used for every climate."""
-    m = rmse_map(spark, sf_dir)
-    t = D.weighted_quantiles(m.where("climate = 'pd'"), ["climate"], "rmse", "cell", 0.9).select(quantize("quantile", 2).alias("threshold"))
-    hard = m.where("climate = 'pd'").crossJoin(F.broadcast(t)).where("rmse >= threshold").select("cell", "threshold")
-    found = m.join(hard, "cell").groupBy("climate")
+    """FI11, TR5: the cells at or over the 99th percentile (by area) of the validation days' own map, frozen and used for every
+    climate."""
+    f = frozen_map(spark, sf_dir)
+    t = D.weighted_quantiles(f.withColumn("one", F.lit(0)), ["one"], "rmse", "cell", 0.99).select(quantize("quantile", 2).alias("threshold"))
+    hard = f.crossJoin(F.broadcast(t)).where("rmse >= threshold").select("cell", "threshold")
+    found = rmse_map(spark, sf_dir).join(hard, "cell").groupBy("climate")
     out = found.agg(F.count("*").alias("n_cells"), F.first("threshold").alias("threshold"), (F.sum("w") / A.CELLS).alias("area"), F.sqrt(metrics.wsum(F.col("rmse_b") ** 2) / F.sum("w")).alias("b_rmse"))
     return pick(out, "climate n_cells | threshold:2 area:6 b_rmse:2")
 
@@ -97,7 +111,7 @@ def quantile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ask("climate | spearman:7 weighted:7", f"{ERRORS_SQL}, {_MAP_SQL}, r AS (SELECT climate, w, rank() OVER (PARTITION BY climate ORDER BY rmse_a) + (count(*) OVER (PARTITION BY climate, rmse_a) - 1) / 2.0 AS x, rank() OVER (PARTITION BY climate ORDER BY rmse_b) + (count(*) OVER (PARTITION BY climate, rmse_b) - 1) / 2.0 AS y FROM map), m AS (SELECT climate AS c, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM r GROUP BY 1)", "SELECT climate, corr(x, y) AS spearman, sum(w * (x - mx) * (y - my)) / sqrt(sum(w * (x - mx) * (x - mx)) * sum(w * (y - my) * (y - my))) AS weighted FROM r JOIN m ON c = climate GROUP BY climate"))
 def rank_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG17, WI8: Spearman by average ranks, plain and weighted."""
-    r = rmse_map(spark, sf_dir).select("climate", "w", D.average_rank(["climate"], "rmse_a").alias("x"), D.average_rank(["climate"], "rmse_b").alias("y"))
+    r = D.average_ranks(D.average_ranks(rmse_map(spark, sf_dir), ["climate"], "rmse_a", "x"), ["climate"], "rmse_b", "y")
     plain = r.groupBy("climate").agg(F.corr("x", "y").alias("spearman"))
     weighted = metrics.weighted_correlation(r, ["climate"], "x", "y").select("climate", F.col("corr").alias("weighted"))
     return pick(plain.join(weighted, "climate"), "climate | spearman:7 weighted:7")
@@ -117,20 +131,22 @@ def boxcar_31_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(s.where("smooth is not null"), "climate day | smooth:4")
 
 
-_ACF = "y AS (SELECT climate, day_idx AS t, x - avg(x) OVER (PARTITION BY climate) AS y FROM series), acf AS (SELECT climate, lag, c / max(CASE WHEN lag = 0 THEN c END) OVER (PARTITION BY climate) AS acf FROM (SELECT a.climate, lag, sum(a.y * b.y) AS c FROM (SELECT *, unnest(range(61)) AS lag FROM y) a JOIN y b ON a.climate = b.climate AND b.t = a.t + a.lag GROUP BY ALL))"
+_ACF = "y AS (SELECT climate, day_idx AS t, x - avg(x) OVER (PARTITION BY climate) AS y FROM series), acf AS (SELECT climate, lag, c / max(CASE WHEN lag = 0 THEN c END) OVER (PARTITION BY climate) AS acf FROM (SELECT a.climate, b.t - a.t AS lag, sum(a.y * b.y) AS c FROM y a JOIN y b ON a.climate = b.climate AND b.t >= a.t GROUP BY ALL))"
 
 
-@query(ask("climate lag | acf:8", f"{DAILY_SQL}, {_SERIES}, {_ACF}", "SELECT climate, CAST(lag AS INTEGER) AS lag, acf FROM acf WHERE lag IN (1, 5, 10, 30, 60)"))
+@query(ask("climate lag | acf:8", f"{DAILY_SQL}, {_SERIES}, {_ACF}", "SELECT climate, lag, acf FROM acf"))
 def series_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WI6."""
-    return pick(D.autocorrelation(_series(spark, sf_dir), ["climate"], "day_idx", "x", 60).where("lag in (1, 5, 10, 30, 60)"), "climate lag | acf:8")
+    """WI6: all lags from 0 to n - 1."""
+    return pick(D.autocorrelation(_series(spark, sf_dir), ["climate"], "day_idx", "x"), "climate lag | acf:8")
 
 
-@query(ask("climate lags | tau:7", f"{DAILY_SQL}, {_SERIES}, {_ACF}, t AS (SELECT climate, lag, 1 + 2 * sum(acf) OVER (PARTITION BY climate ORDER BY lag) AS tau FROM acf WHERE lag >= 1)", 'SELECT climate, CAST(min(lag) AS INTEGER) AS lags, min_by(tau, lag) AS tau FROM t WHERE lag >= 5 * tau OR lag = 60 GROUP BY climate'))
+@query(ask("climate lags | tau:7 tau_60:7 n_over_tau:6", f"{DAILY_SQL}, {_SERIES}, {_ACF}, t AS (SELECT climate, lag, 1 + 2 * sum(acf) OVER (PARTITION BY climate ORDER BY lag) AS tau, max(lag) OVER (PARTITION BY climate) AS last FROM acf WHERE lag >= 1)", "SELECT climate, min(lag) FILTER (lag >= 5 * tau OR lag = last) AS lags, min_by(tau, lag) FILTER (lag >= 5 * tau OR lag = last) AS tau, max(tau) FILTER (lag = least(60, last)) AS tau_60, (max(last) + 1) / min_by(tau, lag) FILTER (lag >= 5 * tau OR lag = last) AS n_over_tau FROM t GROUP BY climate"))
 def integrated_autocorrelation_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WI7: the self-consistent window."""
-    acf = D.autocorrelation(_series(spark, sf_dir), ["climate"], "day_idx", "x", 60)
-    return pick(D.integrated_time(acf, ["climate"]).withColumnRenamed("window", "lags"), "climate lags | tau:7")
+    """WI7: the self-consistent window over all lags, the sum over 60 lags, and the number of independent days."""
+    s = _series(spark, sf_dir)
+    n = s.groupBy("climate").agg(F.count("*").alias("n"))
+    t = D.integrated_time(D.autocorrelation(s, ["climate"], "day_idx", "x"), ["climate"]).join(n, "climate")
+    return pick(t.select("climate", F.col("window").alias("lags"), "tau", F.col("fixed").alias("tau_60"), (F.col("n") / F.col("tau")).alias("n_over_tau")), "climate lags | tau:7 tau_60:7 n_over_tau:6")
 
 
 @query("WITH y AS (SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS year FROM lineitem), n AS (SELECT *, row_number() OVER (ORDER BY year) - 1 AS k FROM y) SELECT a.year AS first_year, a.year + 2 AS last_year, k % 3 = 0 AS separate FROM n a WHERE EXISTS (SELECT 1 FROM y WHERE year = a.year + 2)")

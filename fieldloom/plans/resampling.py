@@ -163,14 +163,10 @@ def cell_transfer_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(s, "climate n_cells n_used n_worse n_negative | min:6 max:6")
 
 
-@query(ask("climate cell | stat:6", _STAT, "SELECT climate, cell, stat FROM (SELECT *, row_number() OVER (PARTITION BY climate ORDER BY floor(stat * 1e6 + 0.5), cell) AS k FROM st WHERE stat <= 0) WHERE k <= 10"))
+@query(ask("climate cell | stat:6", _STAT, "SELECT climate, cell, stat FROM st WHERE stat <= 0"))
 def negative_transfer_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SO11: the cells of worst transfer."""
-    from pyspark.sql import Window
-
-    s = _stat(spark, sf_dir).where("stat <= 0")
-    k = F.row_number().over(Window.partitionBy("climate").orderBy(F.floor(F.col("stat") * 1e6 + 0.5), "cell"))
-    return pick(s.withColumn("k", k).where("k <= 10"), "climate cell | stat:6")
+    """SO11: all cells whose transfer isn't positive, the worst first."""
+    return pick(_stat(spark, sf_dir).where("stat <= 0"), "climate cell | stat:6").orderBy("stat", "climate", "cell")
 
 
 @query(ask("climate | quantile:6", f"{_STAT}, ab AS (SELECT climate, cell, w, floor(abs(stat) * 1e8 + 0.5) / 1e8 AS v FROM st WHERE stat IS NOT NULL)", quantile_sql("ab", "climate", "v", 0.99)))
@@ -188,13 +184,25 @@ def skill_change_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(s.where("climate <> 'pd'").join(p, "season").withColumn("change", F.col("s") - F.col("p")), "climate season | change:7")
 
 
-@query(ask("climate | pearson:7 weighted:7", f"{ERRORS_SQL}, {_MAP_SQL}, j AS (SELECT c.climate, c.w, c.rmse_b AS x, p.rmse_b AS y FROM map c JOIN map p ON p.climate = 'pd' AND p.cell = c.cell AND c.climate <> 'pd'), m AS (SELECT climate AS k, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM j GROUP BY 1)", "SELECT climate, corr(x, y) AS pearson, sum(w * (x - mx) * (y - my)) / sqrt(sum(w * (x - mx) * (x - mx)) * sum(w * (y - my) * (y - my))) AS weighted FROM j JOIN m ON k = climate GROUP BY climate"))
+def _weighted_sql(name: str, x: str, y: str) -> str:
+    m = f"(SELECT climate AS k, sum(w * {x}) / sum(w) AS mx, sum(w * {y}) / sum(w) AS my FROM j GROUP BY 1)"
+    return f"{name} AS (SELECT climate, corr({x}, {y}) AS plain, sum(w * ({x} - mx) * ({y} - my)) / sqrt(sum(w * ({x} - mx) * ({x} - mx)) * sum(w * ({y} - my) * ({y} - my))) AS weighted FROM j JOIN {m} ON k = climate GROUP BY climate)"
+
+
+_BOTH = f"""{ERRORS_SQL}, {_MAP_SQL}, j AS (SELECT *, rank() OVER (PARTITION BY climate ORDER BY x) + (count(*) OVER (PARTITION BY climate, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY climate ORDER BY y) + (count(*) OVER (PARTITION BY climate, y) - 1) / 2.0 AS ry
+ FROM (SELECT c.climate, c.w, c.rmse_b AS x, p.rmse_b AS y FROM map c JOIN map p ON p.climate = 'pd' AND p.cell = c.cell AND c.climate <> 'pd')), {_weighted_sql("p", "x", "y")}, {_weighted_sql("s", "rx", "ry")}"""
+
+
+@query(ask("climate | pearson:7 weighted:7 spearman:7 weighted_spearman:7", _BOTH, "SELECT climate, p.plain AS pearson, p.weighted, s.plain AS spearman, s.weighted AS weighted_spearman FROM p JOIN s USING (climate)"))
 def map_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TR6."""
+    """TR6: Pearson and Spearman, each plain and weighted by area, of each climate's map with the pd map."""
     m = rmse_map(spark, sf_dir)
     j = m.where("climate <> 'pd'").select("climate", "cell", "w", F.col("rmse_b").alias("x")).join(m.where("climate = 'pd'").select("cell", F.col("rmse_b").alias("y")), "cell")
-    weighted = metrics.weighted_correlation(j, ["climate"], "x", "y").select("climate", F.col("corr").alias("weighted"))
-    return pick(j.groupBy("climate").agg(F.corr("x", "y").alias("pearson")).join(weighted, "climate"), "climate | pearson:7 weighted:7")
+    j = D.average_ranks(D.average_ranks(j, ["climate"], "x", "rx"), ["climate"], "y", "ry")
+    out = j.groupBy("climate").agg(F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"))
+    for x, y, name in (("x", "y", "weighted"), ("rx", "ry", "weighted_spearman")):
+        out = out.join(metrics.weighted_correlation(j, ["climate"], x, y).select("climate", F.col("corr").alias(name)), "climate")
+    return pick(out, "climate | pearson:7 weighted:7 spearman:7 weighted_spearman:7")
 
 
 # --- sensitivity to a uniform shift: the error of d + delta * u is a quadratic in delta

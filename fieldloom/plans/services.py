@@ -1,7 +1,9 @@
-"""Check tables: tolerance gates, closures and reproduction of one path by another."""
+"""Check tables: tolerance gates, closures and reproduction of one path by another; runs that resume by shard."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,11 @@ from fieldloom.functions.arrays import dot
 from fieldloom.functions.scalars import quantize
 from fieldloom.operators.adapters import DAILY_SQL, MATRIX_SQL, q
 from fieldloom.operators.provenance import tolerance
+from fieldloom.operators.resume import ShardRun
+from fieldloom.operators.shards import shard_bounds
+from fieldloom.operators.staging import shared_folder
 
-from .registry import query
+from .registry import ask, pick, query
 
 
 _BY_CELL = "mc AS (SELECT climate, sum(x) AS maps FROM (SELECT climate, cell, sum(w * err_b * err_b) AS x FROM errors GROUP BY ALL) GROUP BY climate), md AS (SELECT climate, sum(b_e2) AS days FROM daily GROUP BY climate)"
@@ -52,3 +57,23 @@ def reproduction_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     gates = gates.union(days.join(maps, "climate").select(F.concat(F.lit("rmse_"), "climate"), F.col("b"), F.col("want")))
     gates = gates.union(days.select(F.concat(F.lit("rmse_"), "climate", F.lit("_of_a")), F.col("b"), F.col("a")))
     return gates.select("name", quantize("got", 4).alias("got"), quantize("want", 4).alias("want"), (F.abs(F.col("got") - F.col("want")) <= 1e-9 * F.abs("want")).alias("pass"))
+
+
+#: Shards of a climate's days, and how many of them the first, unfinished run makes.
+SHARDS, MADE_FIRST = 20, 9
+
+
+@query(ask("climate shard n_days resumed | w:6 a_e2:0 b_e2:0", f"{DAILY_SQL}, s AS (SELECT *, ntile({SHARDS}) OVER (PARTITION BY climate ORDER BY day_idx) - 1 AS shard FROM daily)", f"SELECT climate, shard, count(*) AS n_days, shard >= {MADE_FIRST} AS resumed, sum(w) AS w, sum(a_e2) AS a_e2, sum(b_e2) AS b_e2 FROM s GROUP BY ALL"))
+def resumed_error_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG5, PV4, PV5, PV6: additive partials of 20 shards of days. A run makes the first nine; one of the same settings finds
+    their records, makes the other eleven only, and reads all."""
+
+    def make(numbers: list[int]) -> DataFrame:
+        d = shard_bounds(A.daily(spark, sf_dir), ["climate"], "day_idx", SHARDS).where(F.col("shard").isin(numbers))
+        return d.groupBy("climate", "shard").agg(F.count("*").alias("n_days"), *[F.sum(c).alias(c) for c in ("w", "a_e2", "b_e2")])
+
+    path, settings = f"{shared_folder(spark)}/error-sums-{uuid.uuid4().hex}", {"table": f"{sf_dir}/lineitem.parquet", "shards": SHARDS}
+    ShardRun(spark, path, settings, MADE_FIRST, make).complete(MADE_FIRST)
+    run = ShardRun(spark, path, settings, SHARDS, make)
+    made = run.complete(SHARDS)
+    return pick(run.read().withColumn("resumed", F.col("shard").isin(made)), "climate shard n_days resumed | w:6 a_e2:0 b_e2:0")
