@@ -135,6 +135,11 @@ def spherical_degree_max(dlat: float, dlon: float) -> int:
     return int(math.floor(360.0 / (6.0 * max(dlat, dlon))))
 
 
+def resolved_degree(dlat: Column, dlon: Column) -> Column:
+    """spherical_degree_max of columns."""
+    return F.floor(F.lit(360.0) / (6.0 * F.greatest(dlat, dlon))).cast("int")
+
+
 def unit_columns(names: list[str], std: float = TARGET_STD) -> dict[str, Column]:
     """Physical twins of normalised columns by suffix: _norm2 to _K2 (times std squared), _norm to _K (times std)."""
     out = {}

@@ -188,20 +188,23 @@ def pool_minus_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.join(left, "climate").join(lost, "climate", "left").select("climate", "n_pool", "n_train", (F.coalesce("lost", F.lit(0)) == 0).alias("contained"))
 
 
-_OTHER = "other AS (SELECT CAST(i AS INTEGER) AS cell, -90.0::DOUBLE + (i // 24) * 11.25::DOUBLE / 2 + (i // 24 + 1) * 11.25::DOUBLE / 2 + CASE WHEN i % 97 = 5 THEN 0.5 ELSE 0 END AS lat FROM range(4, 390) t(i))"
+_MAPS = f"""{ERRORS_SQL}, one AS (SELECT cell, any_value(lat) AS lat, count(*) AS n FROM errors WHERE climate = 'pd' AND month(day) < 7 GROUP BY cell),
+other AS (SELECT cell, -90.0::DOUBLE + row * 11.25::DOUBLE / 2 + (row + 1) * 11.25::DOUBLE / 2 + CASE WHEN cell % 97 = 5 THEN 0.5 ELSE 0 END AS lat, count(*) AS n FROM errors WHERE climate = 'ssp' AND month(day) = 3 GROUP BY cell, row)"""
 
 
-@query(f"WITH {GRID_SQL}, {_OTHER} SELECT count(g.lat) FILTER (o.lat = g.lat) AS n_common, count(*) FILTER (g.lat IS NULL OR o.lat IS NULL) AS n_lone, count(*) FILTER (g.lat <> o.lat) AS n_unlike FROM grid g FULL JOIN other o USING (cell)")
+@query(f"WITH {_MAPS} SELECT count(*) FILTER (o.lat = g.lat) AS n_common, count(*) FILTER (g.lat IS NULL OR o.lat IS NULL) AS n_lone, count(*) FILTER (g.lat <> o.lat) AS n_unlike, CAST(sum(coalesce(g.n, 0) + coalesce(o.n, 0)) AS BIGINT) AS n_values FROM one g FULL JOIN other o USING (cell)")
 def grid_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JO16: the cells of two maps compared. The other has its latitudes from cell edges, some cells more and fewer, and some
-    that are off by half a degree."""
-    i = F.col("id")
-    row = F.floor(i / A.COLUMNS)
-    off = F.when(i % 97 == 5, 0.5).otherwise(0.0)
-    other = spark.range(4, 390).select(i.cast("int").alias("cell"), (F.lit(-90.0) + row * 11.25 / 2 + (row + 1) * 11.25 / 2 + off).alias("lat2"))
-    both = A.grid(spark).select("cell", "lat").join(other, "cell", "full_outer")
+    """JO16: the cells of two maps of daily values compared: one of the present-day half years, one of the later climate's Marches,
+    which has its latitudes from cell edges and some that are off by half a degree."""
+    e = A.errors(spark, sf_dir)
+    one = e.where("climate = 'pd' AND month(day) < 7").groupBy("cell").agg(F.first("lat").alias("lat"), F.count("*").alias("n"))
+    off = F.when(F.col("cell") % 97 == 5, 0.5).otherwise(0.0)
+    other = e.where("climate = 'ssp' AND month(day) = 3").groupBy("cell", "row").agg(F.count("*").alias("n2"))
+    other = other.select("cell", "n2", (F.lit(-90.0) + F.col("row") * 11.25 / 2 + (F.col("row") + 1) * 11.25 / 2 + off).alias("lat2"))
+    both = one.join(other, "cell", "full_outer")
     lone = F.col("lat").isNull() | F.col("lat2").isNull()
-    return both.agg(F.count_if(F.col("lat") == F.col("lat2")).alias("n_common"), F.count_if(lone).alias("n_lone"), F.count_if(F.col("lat") != F.col("lat2")).alias("n_unlike"))
+    counts = {"n_common": F.col("lat") == F.col("lat2"), "n_lone": lone, "n_unlike": F.col("lat") != F.col("lat2")}
+    return both.agg(*[F.count_if(v).alias(k) for k, v in counts.items()], F.sum(F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n_values"))
 
 
 @query("SELECT event_type AS kind, count(*) AS n, count(DISTINCT user_id) AS n_users, floor(sum(value) * 1e4 + 0.5) / 1e4 AS total FROM events GROUP BY event_type")

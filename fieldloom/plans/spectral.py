@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import arrays
-from fieldloom.functions.scalars import grid_weight, row_latitude, spherical_degree_max
+from fieldloom.functions.scalars import grid_weight, resolved_degree, row_latitude
 from fieldloom.operators import adapters as A
 from fieldloom.operators import spectra as S
-from fieldloom.operators.adapters import DENSE_SQL
+from fieldloom.operators.adapters import DENSE_SQL, ERRORS_SQL
 
 from .registry import ask, pick, query
 
@@ -55,10 +55,14 @@ def spectral_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(b.agg(F.max_by("k", F.floor(r * 1e9)).alias("worst_k"), F.max(r).alias("worst"), (F.sum(F.col("model") - F.col("base")) / F.sum("base")).alias("total_change")), "worst_k | worst:7 total_change:7")
 
 
-@query(f"SELECT CAST({spherical_degree_max(11.25, 15.0)} AS INTEGER) AS field_grid, CAST({spherical_degree_max(45.0, 22.5)} AS INTEGER) AS dense_grid")
+@query(f"WITH {ERRORS_SQL}, f AS (SELECT climate AS name, count(DISTINCT row) AS n_rows, count(DISTINCT col) AS n_cols, count(*) AS n FROM errors GROUP BY climate UNION ALL SELECT CAST(label AS VARCHAR), max(len(embedding)) // 16, 16, count(*) FROM embeddings GROUP BY label) SELECT name, n, CAST(floor(360.0 / (6.0 * greatest(180.0 / n_rows, 360.0 / n_cols))) AS INTEGER) AS degree FROM f")
 def spherical_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SP10."""
-    return spark.range(1).select(F.lit(spherical_degree_max(180 / A.ROWS, 360 / A.COLUMNS)).alias("field_grid"), F.lit(spherical_degree_max(180 / A.DENSE_ROWS, 360 / A.DENSE_COLUMNS)).alias("dense_grid"))
+    """SP10: the largest degree that the rows and columns with values resolve, of each climate's fields and each population of
+    dense ones."""
+    fields = A.errors(spark, sf_dir).groupBy(F.col("climate").alias("name")).agg(F.count_distinct("row").alias("n_rows"), F.count_distinct("col").alias("n_cols"), F.count("*").alias("n"))
+    dense = A.table(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("string").alias("name"))
+    dense = dense.agg(F.floor(F.max(F.size("embedding")) / A.DENSE_COLUMNS).alias("n_rows"), F.lit(A.DENSE_COLUMNS).cast("long").alias("n_cols"), F.count("*").alias("n"))
+    return fields.union(dense).select("name", "n", resolved_degree(180.0 / F.col("n_rows"), 360.0 / F.col("n_cols")).alias("degree"))
 
 
 @query()

@@ -43,10 +43,10 @@ _CLASS_SQL = """class AS (SELECT *, (CASE WHEN abs(lat) < 23.5 THEN 0 WHEN lat >
  WHEN lat >= 80 THEN 5 ELSE 6 END * 4 + CASE WHEN lsm <= 0.05 THEN 0 WHEN lsm < 0.5 THEN 1 WHEN lsm < 0.95 THEN 2 ELSE 3 END) * 3 + CASE WHEN oro_m > 2000 THEN 2 WHEN oro_m > 1000 THEN 1 ELSE 0 END AS cell_class FROM grid)"""
 
 
-@query(f"WITH {GRID_SQL}, {_CLASS_SQL} SELECT cell, CAST(cell_class AS INTEGER) AS cell_class FROM class")
+@query(f"WITH {ERRORS_SQL}, {_CLASS_SQL} SELECT cell, CAST(cell_class AS INTEGER) AS cell_class, count(*) AS n_values FROM class JOIN errors USING (cell) GROUP BY ALL")
 def cell_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FI3, D15: the 84-class partition; every cell has a class."""
-    return A.grid(spark).select("cell", masks.cell_class().alias("cell_class"))
+    """FI3, D15: the 84-class partition of all daily values: the class of every cell that has any, and how many it has."""
+    return A.errors(spark, sf_dir).withColumn("cell_class", masks.cell_class()).groupBy("cell", "cell_class").agg(F.count("*").alias("n_values"))
 
 
 @query(ask("region | a_rmse:3 b_rmse:3", ERRORS_SQL, f"SELECT region, sqrt(sum(w * err_a * err_a) / sum(w)) AS a_rmse, sqrt(sum(w * err_b * err_b) / sum(w)) AS b_rmse FROM ({masks.regions_sql('errors', masks.REGIONS + masks.DERIVED)}) GROUP BY region"))
@@ -58,10 +58,11 @@ def class_rollup_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(totals.select("region", F.sqrt(F.col("a_e2") / F.col("w")).alias("a_rmse"), F.sqrt(F.col("b_e2") / F.col("w")).alias("b_rmse")), "region | a_rmse:3 b_rmse:3")
 
 
-@query(f"WITH {GRID_SQL} SELECT region, count(*) AS n_cells FROM ({masks.regions_sql('grid', masks.REGIONS + masks.DERIVED)}) GROUP BY region")
+@query(ask("region n_cells n_values | area:6", ERRORS_SQL, f"SELECT region, count(DISTINCT cell) AS n_cells, count(*) AS n_values, sum(w) / 384 AS area FROM ({masks.regions_sql('errors', masks.REGIONS + masks.DERIVED)}) GROUP BY region"))
 def region_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FI1, FI2, D14: cells of each of the 14 regions."""
-    return masks.by_region(A.grid(spark), masks.REGIONS + masks.DERIVED).groupBy("region").agg(F.count("*").alias("n_cells"))
+    """FI1, FI2, D14: cells, daily values and their summed area in each of the 14 regions."""
+    rows = masks.by_region(A.errors(spark, sf_dir), masks.REGIONS + masks.DERIVED).groupBy("region")
+    return pick(rows.agg(F.count_distinct("cell").alias("n_cells"), F.count("*").alias("n_values"), (F.sum("w") / A.CELLS).alias("area")), "region n_cells n_values | area:6")
 
 
 @query(ask("climate day season | w:6 base_e2:1 a_e2:1 b_e2:1 base_rmse:2 a_rmse:2 b_rmse:2", DAILY_SQL, "SELECT *, sqrt(base_e2 / w) AS base_rmse, sqrt(a_e2 / w) AS a_rmse, sqrt(b_e2 / w) AS b_rmse FROM daily"))
@@ -222,11 +223,20 @@ def calendar_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("day", S.season_name("day").alias("season"), S.is_leap_day("day").alias("leap_day"), F.year("day").alias("year"))
 
 
-@query(ask("row | lat:6 lon_first:6 w_cos:9 w_single:5 w_area:9", "r AS (SELECT CAST(i AS INTEGER) AS row, -90.0::DOUBLE + (i + 0.5::DOUBLE) * 11.25::DOUBLE AS lat FROM range(16) t(i))", "SELECT row, lat, 7.5::DOUBLE AS lon_first, cos(radians(lat)) / avg(cos(radians(lat))) OVER () AS w_cos, cos(radians(lat)) / avg(cos(radians(lat))) OVER () AS w_single, sin(radians(-90 + (row + 1) * 11.25::DOUBLE)) - sin(radians(-90 + row * 11.25::DOUBLE)) AS w_area FROM r"))
+_ROWS_SQL = f"{ERRORS_SQL}, r AS (SELECT row, any_value(lat) AS lat, count(*) AS n, avg(target) AS target FROM errors GROUP BY row)"
+
+
+def _field_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """row, lat, n and the mean target of the latitude rows that have values (at most a grid's)."""
+    return A.errors(spark, sf_dir).groupBy("row").agg(F.first("lat").alias("lat"), F.count("*").alias("n"), F.avg("target").alias("target"))
+
+
+@query(ask("row n | lat:6 lon_first:6 w_cos:9 w_single:5 w_area:9 target:2", _ROWS_SQL, "SELECT row, n, lat, 7.5::DOUBLE AS lon_first, cos(radians(lat)) / avg(cos(radians(lat))) OVER () AS w_cos, cos(radians(lat)) / avg(cos(radians(lat))) OVER () AS w_single, sin(radians(-90 + (row + 1) * 11.25::DOUBLE)) - sin(radians(-90 + row * 11.25::DOUBLE)) AS w_area, target FROM r"))
 def row_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PR2, PR3, PR4, PR8: the three weight conventions over latitude rows; the single one agrees to five digits."""
-    rows = spark.range(A.ROWS).select(F.col("id").cast("int").alias("row"), S.row_latitude("id", A.ROWS).alias("lat"))
-    return pick(rows.select("row", "lat", S.column_longitude(F.lit(0), A.COLUMNS).alias("lon_first"), S.cosine_weight("lat").alias("w_cos"), S.cosine_weight_single("lat").alias("w_single"), S.cell_area_weight("row", A.ROWS).alias("w_area")), "row | lat:6 lon_first:6 w_cos:9 w_single:5 w_area:9")
+    """PR2, PR3, PR4, PR8: the three weight conventions over the latitude rows of the daily values; the single one agrees to five
+    digits."""
+    rows = _field_rows(spark, sf_dir)
+    return pick(rows.select("row", "n", "lat", S.column_longitude(F.lit(0), A.COLUMNS).alias("lon_first"), S.cosine_weight("lat").alias("w_cos"), S.cosine_weight_single("lat").alias("w_single"), S.cell_area_weight("row", A.ROWS).alias("w_area"), "target"), "row n | lat:6 lon_first:6 w_cos:9 w_single:5 w_area:9 target:2")
 
 
 _SCALE = S.INPUT_STD / S.TARGET_STD
@@ -248,22 +258,26 @@ def baseline_single_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(o.select("o_orderkey", S.baseline_in_target_units(F.col("o_totalprice") / 1000, single=True).cast("double").alias("baseline")), "o_orderkey | baseline:4")
 
 
-@query("SELECT col, floor(((((lon + 180) % 360) + 360) % 360 - 180) * 1e6 + 0.5) / 1e6 AS lon, CAST(row_number() OVER (ORDER BY (((lon + 180) % 360) + 360) % 360) - 1 AS INTEGER) AS place FROM (SELECT CAST(i AS INTEGER) AS col, (i + 0.5::DOUBLE) * 15 AS lon FROM range(24) t(i))")
+@query(f"WITH {ERRORS_SQL} SELECT col, n, floor(((((lon + 180) % 360) + 360) % 360 - 180) * 1e6 + 0.5) / 1e6 AS lon, CAST(row_number() OVER (ORDER BY (((lon + 180) % 360) + 360) % 360) - 1 AS INTEGER) AS place FROM (SELECT col, count(*) AS n, (col + 0.5::DOUBLE) * 15 AS lon FROM errors GROUP BY col)")
 def longitude_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PR7, SO8: longitudes in [-180, 180) and the order of columns by them (24 rows of a fixed grid)."""
-    c = spark.range(A.COLUMNS).select(F.col("id").cast("int").alias("col"), S.lon180(S.column_longitude("id", A.COLUMNS)).alias("lon"))
-    return c.select("col", S.quantize("lon").alias("lon"), (F.row_number().over(Window.orderBy("lon")) - 1).alias("place"))
+    """PR7, SO8: longitudes in [-180, 180) of the daily values' columns, their order by them, and how many values each has (at
+    most a grid's columns meet in the window)."""
+    c = A.errors(spark, sf_dir).groupBy("col").agg(F.count("*").alias("n")).withColumn("lon", S.lon180(S.column_longitude("col", A.COLUMNS)))
+    return c.select("col", "n", S.quantize("lon").alias("lon"), (F.row_number().over(Window.orderBy("lon")) - 1).alias("place"))
 
 
-@query(ask("k | edge:9", "r AS (SELECT i, -90 + (i + 0.5::DOUBLE) * 11.25::DOUBLE AS lat FROM range(16) t(i))", "SELECT CAST(i AS INTEGER) AS k, CASE WHEN i = 0 THEN lat - (lead(lat) OVER (ORDER BY i) - lat) / 2 ELSE (lag(lat) OVER (ORDER BY i) + lat) / 2 END AS edge FROM r UNION ALL SELECT 16, max(lat) + (max(lat) - max(CASE WHEN i = 14 THEN lat END)) / 2 FROM r"))
+@query(ask("k below | edge:9", _ROWS_SQL, "SELECT row AS k, CAST(coalesce(sum(n) OVER (ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS below, CASE WHEN lag(lat) OVER (ORDER BY row) IS NULL THEN lat - (lead(lat) OVER (ORDER BY row) - lat) / 2 ELSE (lag(lat) OVER (ORDER BY row) + lat) / 2 END AS edge FROM r UNION ALL SELECT max(row) + 1, CAST(sum(n) AS BIGINT), max(lat) + (max(lat) - max(CASE WHEN row = (SELECT max(row) FROM r WHERE row < (SELECT max(row) FROM r)) THEN lat END)) / 2 FROM r"))
 def edges_from_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PR9: midpoints between centres, mirrored at both ends (17 rows of a fixed grid)."""
+    """PR9: midpoints between the centres of the rows that have values, mirrored at both ends, and how many values lie below each
+    (at most a grid's rows meet in the window)."""
     w = Window.orderBy("k")
-    rows = spark.range(A.ROWS).select(F.col("id").cast("int").alias("k"), S.row_latitude("id", A.ROWS).alias("lat"))
-    low = F.when(F.col("k") == 0, F.col("lat") - (F.lead("lat").over(w) - F.col("lat")) / 2).otherwise((F.lag("lat").over(w) + F.col("lat")) / 2)
-    inner = rows.select("k", low.alias("edge"), "lat", F.lag("lat").over(w).alias("before"))
-    top = inner.where(F.col("k") == A.ROWS - 1).select(F.lit(A.ROWS).alias("k"), (F.col("lat") + (F.col("lat") - F.col("before")) / 2).alias("edge"))
-    return pick(inner.select("k", "edge").union(top), "k | edge:9")
+    rows = _field_rows(spark, sf_dir).select(F.col("row").alias("k"), "lat", "n")
+    before = F.lag("lat").over(w)
+    low = F.when(before.isNull(), F.col("lat") - (F.lead("lat").over(w) - F.col("lat")) / 2).otherwise((before + F.col("lat")) / 2)
+    inner = rows.select("k", (F.sum("n").over(w) - F.col("n")).alias("below"), low.alias("edge"), "lat", before.alias("before"), "n")
+    last = F.max_by(F.struct("lat", "before"), "k")
+    top = inner.agg((F.max("k") + 1).alias("k"), F.sum("n").alias("below"), (last["lat"] + (last["lat"] - last["before"]) / 2).alias("edge"))
+    return pick(inner.select("k", "below", "edge").union(top), "k below | edge:9")
 
 
 @query(ask("climate cell | ratio:7", ERRORS_SQL, "SELECT climate, cell, CASE WHEN sum(err_a * err_a) > 0 THEN sqrt(sum(err_b * err_b)) / sqrt(sum(err_a * err_a)) ELSE -1 END AS ratio FROM errors GROUP BY climate, cell"))
@@ -317,13 +331,14 @@ def belt_and_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(e.groupBy("inside").agg(F.count("*").alias("n"), F.sqrt(metrics.wsum(F.col("err_a") ** 2) / F.sum("w")).alias("a_rmse")), "inside n | a_rmse:3")
 
 
-@query(f"WITH {GRID_SQL}, e AS (SELECT CAST(i AS INTEGER) AS k, -90 + i * 11.25::DOUBLE AS edge FROM range(17) t(i)), lo AS (SELECT min_by(edge, (abs(edge + 31), k)) AS x FROM e), hi AS (SELECT min_by(edge, (abs(edge - 47), k)) AS x FROM e) SELECT cell, row, col FROM grid, lo, hi WHERE lat > lo.x AND lat < hi.x AND col BETWEEN 3 AND 9")
+@query(ask("cell row col n | target:2", f"{ERRORS_SQL}, e AS (SELECT CAST(i AS INTEGER) AS k, -90 + i * 11.25::DOUBLE AS edge FROM range(17) t(i)), lo AS (SELECT min_by(edge, (abs(edge + 31), k)) AS x FROM e), hi AS (SELECT min_by(edge, (abs(edge - 47), k)) AS x FROM e)", "SELECT cell, row, col, count(*) AS n, avg(target) AS target FROM errors, lo, hi WHERE lat > lo.x AND lat < hi.x AND col BETWEEN 3 AND 9 GROUP BY cell, row, col"))
 def window_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FI7, FI8: a latitude window snapped to the nearest cell edges."""
+    """FI7, FI8: all daily values in a latitude window snapped to the nearest cell edges, cell by cell."""
     e = spark.range(A.ROWS + 1).select(F.col("id").alias("k"), (F.lit(-90.0) + F.col("id") * 11.25).alias("edge"))
     snap = e.agg(*[F.min_by("edge", F.struct(F.abs(F.col("edge") - v).alias("d"), "k")).alias(n) for n, v in (("lo", -31.0), ("hi", 47.0))])
-    g = A.grid(spark).crossJoin(F.broadcast(snap))
-    return g.where((F.col("lat") > F.col("lo")) & (F.col("lat") < F.col("hi")) & F.col("col").between(3, 9)).select("cell", "row", "col")
+    g = A.errors(spark, sf_dir).where(F.col("col").between(3, 9)).crossJoin(F.broadcast(snap))  # one row
+    inside = g.where((F.col("lat") > F.col("lo")) & (F.col("lat") < F.col("hi")))
+    return pick(inside.groupBy("cell", "row", "col").agg(F.count("*").alias("n"), F.avg("target").alias("target")), "cell row col n | target:2")
 
 
 # --- JO: joins that the aggregates above don't show
@@ -364,13 +379,15 @@ def bracketing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "part").select("p_partkey", F.least(F.greatest(below - 2, F.lit(0)), F.lit(12)).cast("int").alias("base"))
 
 
-@query("SELECT CAST(kx AS INTEGER) AS kx, CAST(ky AS INTEGER) AS ky, CAST(r AS INTEGER) AS r FROM (SELECT unnest([1, 2, 4, 8, 16, 32]) AS kx), (SELECT unnest([2, 8, 32]) AS ky), (SELECT unnest([1, 2, 8, 16, 32]) AS r) WHERE r <= least(kx, ky)")
+@query("SELECT label AS population, n, CAST(kx AS INTEGER) AS kx, CAST(ky AS INTEGER) AS ky, CAST(r AS INTEGER) AS r FROM (SELECT label, count(*) AS n, max(len(embedding)) // 2 AS width FROM embeddings WHERE vec_id % 5 <> 0 GROUP BY label), (SELECT unnest([1, 2, 4, 8, 16, 32, 64]) AS kx), (SELECT unnest([2, 8, 32]) AS ky), (SELECT unnest([1, 2, 8, 16, 32]) AS r) WHERE r <= least(kx, ky) AND kx <= least(width, n - 1)")
 def grid_row_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FI13: a grid of settings without those of too high a rank."""
-    x = spark.range(1)
-    for n, v in (("kx", (1, 2, 4, 8, 16, 32)), ("ky", (2, 8, 32)), ("r", (1, 2, 8, 16, 32))):
+    """FI13: for each population, the settings that its training days allow: no more scores than there are, fewer than days, and
+    no rank above the scores."""
+    x = A.table(spark, sf_dir, "embeddings").where("vec_id % 5 <> 0").groupBy(F.col("label").alias("population"))
+    x = x.agg(F.count("*").alias("n"), F.floor(F.max(F.size("embedding")) / 2).alias("width"))
+    for n, v in (("kx", (1, 2, 4, 8, 16, 32, 64)), ("ky", (2, 8, 32)), ("r", (1, 2, 8, 16, 32))):
         x = x.withColumn(n, F.explode(F.array(*[F.lit(k) for k in v])))
-    return x.where(F.col("r") <= F.least("kx", "ky")).select("kx", "ky", "r")
+    return x.where((F.col("r") <= F.least("kx", "ky")) & (F.col("kx") <= F.least("width", F.col("n") - 1))).select("population", "n", "kx", "ky", "r")
 
 
 @query(f"WITH {DAILY_SQL} SELECT climate, day, year(day) % 2 = 0 AS even_year FROM (SELECT climate, day, row_number() OVER (PARTITION BY climate, year(day) ORDER BY day) AS k FROM daily) WHERE k % 2 = 1")
