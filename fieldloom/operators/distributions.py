@@ -339,40 +339,42 @@ def order_statistics(df: DataFrame, x: str, ranks: Callable[[int], list[int]]) -
     """The values of some ranks (from 0) among the values of a double column but null and NaN, exact, for any number of rows.
     ranks(n) names them when the number of values is known; those that no value has are left out.
 
-    Each round counts values in cells of equal width between two bounds and goes on in the cell that holds the rank; the
-    driver sees a few thousand counts a round, and no task holds more than these. What is fetched in the end settles
-    all ranks that lie within.
+    The values are written once. A round is one aggregate for all ranks: it counts values in cells of equal width between
+    the bounds of each rank, or by value where few are left, and goes on in the cells that hold the ranks. The driver sees
+    a few thousand counts a rank and round, and no task holds more than these.
     """
-    values = df.select(F.col(x).cast("double").alias("v")).where("v is not null and not isnan(v)")
-    low, high, n = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
-    out: dict[int, float] = {}
-    open_ = sorted({r for r in ranks(n) if 0 <= r < n})
-
-    def settle(v: float, first: int, count: int) -> None:
-        out.update((r, v) for r in open_ if first <= r < first + count)
-
-    for rank in open_:
-        lo, hi, below, held = low, high, 0, n
-        while rank not in out:
-            part = values.where((F.col("v") >= lo) & (F.col("v") <= hi))
-            if held <= LAST_VALUES or (hi - lo) / ROUND_CELLS == 0.0:
-                for v, c in sorted(map(tuple, part.groupBy("v").count().collect())):
-                    settle(v, below, c)
-                    below += c
-                break
-            width = (hi - lo) / ROUND_CELLS
-            if np.isfinite(width):
-                cell = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)), F.lit(ROUND_CELLS - 1))
-            else:  # infinite values, or a range beyond a double's: their signs first
-                cell = F.when(F.col("v") < 0, 0).otherwise(1) + F.when(F.abs("v") == np.inf, F.signum("v") * 2).otherwise(F.lit(0.0))
-            cells = part.groupBy(cell.alias("cell")).agg(F.count("*").alias("c"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
-            for r in sorted(cells, key=lambda r: r.cell):
-                if rank < below + r.c:
-                    lo, hi, held = r.a, r.b, r.c
-                    break
-                below += r.c
-            if lo == hi:
-                settle(lo, below, held)
+    with Staged(df.select(F.col(x).cast("double").alias("v")).where("v is not null and not isnan(v)"), "values") as staged:
+        v = F.col("v")
+        low, high, n = staged.df.agg(F.min("v"), F.max("v"), F.count("*")).first()
+        open_, out = {r: (low, high, 0, n) for r in ranks(n) if 0 <= r < n}, {}
+        while open_:
+            bounds = sorted(set(open_.values()))
+            which, cell = F.lit(None).cast("int"), F.lit(None).cast("double")
+            for k, (lo, hi, _, held) in enumerate(bounds):
+                width = (hi - lo) / ROUND_CELLS
+                if held <= LAST_VALUES or width == 0.0:
+                    place = v
+                elif np.isfinite(width):
+                    place = F.least(F.floor((v - F.lit(lo)) / F.lit(width)), F.lit(ROUND_CELLS - 1)).cast("double")
+                else:  # infinite values, or a range beyond a double's: their signs first
+                    place = F.when(v < 0, 0).otherwise(1) + F.when(F.abs(v) == np.inf, F.signum(v) * 2).otherwise(F.lit(0.0))
+                inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
+                which, cell = F.when(inside, k).otherwise(which), F.when(inside, place).otherwise(cell)
+            found = staged.df.select("v", which.alias("k"), cell.alias("cell")).where("k is not null").groupBy("k", "cell").agg(F.count("*").alias("c"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
+            cells: dict[int, list] = {}
+            for r in sorted(found, key=lambda r: r.cell):
+                cells.setdefault(r.k, []).append(r)
+            for rank, held_in in list(open_.items()):
+                below = held_in[2]
+                for r in cells[bounds.index(held_in)]:
+                    if rank < below + r.c:
+                        break
+                    below += r.c
+                if r.a == r.b:
+                    out[rank] = r.a
+                    del open_[rank]
+                else:
+                    open_[rank] = (r.a, r.b, below, r.c)
     return out
 
 

@@ -388,6 +388,27 @@ def change_angle_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(g.agg(F.count("a").alias("n_used"), F.percentile("a", F.lit(0.5)).alias("median"), F.avg((F.col("a") < 30).cast("double")).alias("p_lt_30"), F.avg((F.col("a") > 90).cast("double")).alias("p_gt_90")), "n_used | median:3 p_lt_30:6 p_gt_90:6")
 
 
+_RATIOS = f"""{_VEC}, w AS (SELECT rep, max(b) FILTER (population = 0) AS b0, max(m) FILTER (population = 0) AS m0, max(b) FILTER (population = 1) AS b1, max(m) FILTER (population = 1) AS m1, max(b) FILTER (population = 2) AS b2, max(m) FILTER (population = 2) AS m2 FROM rb WHERE population < 3 GROUP BY rep),
+c AS (SELECT 'persistent_share_of_change' AS name, CASE WHEN m2 <> m0 THEN (b2 - b0) / (m2 - m0) END AS x FROM w UNION ALL SELECT 'difference_of_changes', (m1 - m0) - (m2 - m0) FROM w UNION ALL SELECT 'persistent_share', CASE WHEN m0 <> 0 THEN b0 / m0 END FROM w)"""
+
+
+@query(ask("name excludes_zero n_bad | lo:6 hi:6 median:6 sd:6 p_above:6", _RATIOS, "SELECT name, lo > 0 OR hi < 0 AS excludes_zero, n_bad, lo, hi, median, sd, p_above FROM (SELECT name, count(*) - count(x) AS n_bad, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi, median(x) AS median, stddev_samp(x) AS sd, avg(CAST(x > 0 AS INTEGER)) AS p_above FROM c GROUP BY name)"))
+def ratio_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BO10: the comparison record of heavy-tailed ratios. The persistent share of a change (populations 0 and 2, whose replicates are
+    unpaired, so its denominator may come near zero), the difference of two changes that share population 0's replicate, and a
+    paired ratio. Replicates without a finite value are counted and left out. It compares three populations by design."""
+    rb = _bias_replicates(spark, sf_dir, "population < 3")[1]
+    w = rb.groupBy("rep").pivot("population", [0, 1, 2]).agg(F.first("b").alias("b"), F.first("m").alias("m"))
+    v = {n: F.col(f"{n[1]}_{n[0]}") for n in ("b0", "m0", "b1", "m1", "b2", "m2")}
+    values = {
+        "persistent_share_of_change": F.when(v["m2"] != v["m0"], (v["b2"] - v["b0"]) / (v["m2"] - v["m0"])),
+        "difference_of_changes": (v["m1"] - v["m0"]) - (v["m2"] - v["m0"]),
+        "persistent_share": F.when(v["m0"] != 0, v["b0"] / v["m0"]),
+    }
+    rows = w.select(F.inline(F.array(*[F.struct(F.lit(k).alias("name"), x.alias("x")) for k, x in values.items()])))
+    return pick(B.comparison(rows, ["name"], "x"), "name excludes_zero n_bad | lo:6 hi:6 median:6 sd:6 p_above:6")
+
+
 _SHARE = f"""{_SPLIT}, v AS (SELECT population, row_number() OVER (PARTITION BY population ORDER BY day_idx) - 1 AS day_idx, a2, ain FROM d WHERE population < 2), sizes AS (SELECT population, count(*) AS n FROM v GROUP BY population), starts AS ({starts_sql('sizes')}), {sums_sql(['a2', 'ain'], 'population', 'v')},
 m AS (SELECT population, rep, a2 / n AS a2, ain / n AS ain FROM sums JOIN sizes USING (population)), s AS (SELECT o.rep, o.a2 - b.a2 AS dc, (o.ain - b.ain) / nullif(o.a2 - b.a2, 0) AS share FROM m o JOIN m b ON o.rep = b.rep AND o.population = 1 AND b.population = 0)"""
 
