@@ -96,14 +96,14 @@ def mask_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A null text is an empty one. A text that some row of a smaller id has too fails E; a row without an id fails it
     never and makes no other row fail it. Equal texts are told by 128 bits of SHA-256. An id that labels hold more than
-    once is good or toxic if one of its rows says so. Extra columns are left behind; empty tables give no rows.
+    once is good or toxic if one of its rows says so; rows without an id are neither. Extra columns are left behind; empty tables give no rows.
     """
     text = F.coalesce("text", F.lit(""))
     rows = widen(docs).select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), blob_key(text).alias("content"), text.alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     marks = Stage(rows.mapInArrow(_marked, f"doc_id {kind}, part string, content binary, fails int"), "filter-marks")
     copies = marks.df.groupBy("content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("content", "first")
-    judged = labels.groupBy("doc_id").agg(F.max(F.expr("int(quality = 1)")).alias("good"), F.max(F.expr("int(toxic = 1)")).alias("toxic")).where("good = 1 OR toxic = 1")
+    judged = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.expr("int(quality = 1)")).alias("good"), F.max(F.expr("int(toxic = 1)")).alias("toxic")).where("good = 1 OR toxic = 1")
     late = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
     rows = join_summary(marks.df, copies, "content", "left").select("doc_id", "part", F.when(late, F.col("fails") + 16).otherwise(F.col("fails")).alias("fails"))
     rows = join_summary(rows, judged, "doc_id", "left")

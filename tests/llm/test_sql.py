@@ -12,7 +12,8 @@ DATA = "/root/testdata/sf0.001"
 def test_text_query_equals_its_sql(spark, name):
     assert driver.oracle_sql()[name] == registry.oracle_sql()[name]
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for table in ("documents", "labels"):
+        c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     cursor = c.execute(registry.oracle_sql()[name])
     columns = sorted(d[0] for d in cursor.description)
     at = [[d[0] for d in cursor.description].index(x) for x in columns]

@@ -42,8 +42,9 @@ def test_whitening_equals_the_plain_one(spark, size):
     many = min(32, size)
     assert len(got) == len(ids) * many and {g.n for g in got} == {len(ids)} and sorted({g.component for g in got}) == list(range(1, many + 1))
     key = lambda i: (i is None, i)
-    got.sort(key=lambda g: (key(g.vec_id), g.deviation, g.component))
     order = sorted(range(len(ids)), key=lambda k: (key(ids[k]), deviation[k]))
+    of = [sorted((g for g in got if g.component == c), key=lambda g: (key(g.vec_id), g.deviation)) for c in range(1, many + 1)]
+    got = [g for row in zip(*of, strict=True) for g in row]  # equal rows follow one another whole
     white = np.array([g.whitened for g in got]).reshape(-1, many)
     want = (along[:, :many] / np.sqrt(values[:many]))[order]
     assert np.abs(white * np.sign((white * want).sum(axis=0)) - want).max() < 1e-7
