@@ -17,7 +17,6 @@ from .registry import ask, pick, query
 REPS = 10_000
 _STARTS = """SELECT *, (x * x % 2147483647) % n AS start FROM (SELECT *, ((y * y % 2147483647) * 16807) % 2147483647 + 1 AS x FROM (SELECT *, ((rep * 19 + blk + 20260715) * 48271) % 2147483647 AS y FROM
  (SELECT *, unnest(range(CAST(ceil(n * 1.0 / len) AS BIGINT))) AS blk FROM (SELECT *, unnest(range({reps})) AS rep FROM (SELECT *, least({block}, n) AS len FROM {sizes})))))"""
-_COUNTS = "SELECT {by}, rep, (start + o) % n AS day_idx, count(*) AS times FROM (SELECT *, unnest(range(len)) AS o FROM {starts}) WHERE blk * len + o < n GROUP BY ALL"
 
 
 def starts_sql(sizes: str, block: str = "60", reps: int = REPS) -> str:

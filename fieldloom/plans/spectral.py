@@ -67,7 +67,7 @@ def spherical_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def spherical_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SP6, SP7, SP8, SP9, PR25: power by spherical degree, a day a group."""
+    """SP6, SP7, SP8, SP9, PR25: power by spherical degree, a day and a range of orders a group."""
     return pick(S.spherical_spectrum(A.dense(spark, sf_dir), A.DENSE_ROWS, 1, 16), "day_idx ell | power:8")
 
 
