@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, Stage, blob_key, documents, fresh, join_summary, texts, widen
+from .common import Scratch, Stage, blob_key, documents, fresh, join_rows, join_summary, texts, widen
 from .components import connected_components
 from .hashing import U64, Words, digest16, mix, text_slices
 
@@ -115,7 +115,7 @@ def _sketch(k: int, with_sets: bool):
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have percent of their union in common or more. Signatures are compared first."""
     of = lambda side: sets.select(F.col("rep").alias(side), F.col("sig").alias(f"s{side}"), F.col("shingles").alias(f"x{side}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    both = join_rows(join_rows(pairs, of("a"), "a"), of("b"), "b")
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
     inter = F.size(F.array_intersect("xa", "xb"))
     alike = both.where(agree >= (percent / 100 - MARGIN) * BANDS * ROWS)
@@ -126,7 +126,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _labelled(rows: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
     """rows(band, rep, ...) with comp, where the band still holds several components."""
     known = comps.select(F.col("a").alias("rep"), F.col("b").alias("comp"))
-    rows = scratch.write(rows.join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "minhash-labelled")
+    rows = scratch.write(join_rows(rows, known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "minhash-labelled")
     mixed = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
     return join_summary(rows, mixed, "band")
 
@@ -136,7 +136,7 @@ def _prefixes(apart: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
 
     Shingles are ordered by how many of these members hold them, then by hash.
     """
-    owned = apart.select("rep").distinct().join(sets.select("rep", "shingles"), "rep")
+    owned = join_rows(apart.select("rep").distinct(), sets.select("rep", "shingles"), "rep")
     shingles = owned.select("rep", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     shared = shingles.groupBy("shingle").agg(F.count("*").alias("held"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("held", "shingle"))
@@ -147,7 +147,7 @@ def _prefixes(apart: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
 def _central_pairs(apart: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Each member of another component with its bucket's most central one: that with the fewest shingles of its own."""
     own = prefixes.groupBy("rep").agg(F.count_if(F.col("held") == 1).alias("own"))
-    rows = apart.join(own, "rep")
+    rows = join_rows(apart, own, "rep")
     hubs = rows.groupBy("band").agg(F.min(F.struct("own", "rep", "comp")).alias("hub"))
     mates = join_summary(rows, hubs, "band").where(F.col("comp") != F.col("hub.comp"))
     return mates.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
@@ -179,12 +179,12 @@ def _prefix_pairs(apart: DataFrame, prefixes: DataFrame, percent: int, scratch:
     apart = scratch.write(apart, "minhash-apart")
     main = apart.groupBy("band", "comp").count().groupBy("band").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
     outer = join_summary(apart, main, "band").where("comp <> main").select("rep").distinct()
-    rows = scratch.write(_met(prefixes.where("held > 1").join(apart.select("rep", "comp").distinct(), "rep"), percent), "minhash-met")
-    x, y = rows.join(outer, "rep").alias("x"), rows.alias("y")
+    rows = scratch.write(_met(join_rows(prefixes.where("held > 1"), apart.select("rep", "comp").distinct(), "rep"), percent), "minhash-met")
+    x, y = join_rows(rows, outer, "rep").alias("x"), rows.alias("y")
     left = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     enough = (100 + percent) * left >= percent * (F.col("x.n") + F.col("y.n"))
     met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.mine") == F.col("y.other")) & (F.col("x.other") == F.col("y.mine"))
-    pairs = x.join(y, met & (F.col("x.comp") != F.col("y.comp")) & enough)
+    pairs = join_rows(x, y, met & (F.col("x.comp") != F.col("y.comp")) & enough)
     return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
@@ -216,8 +216,8 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     hubs = rows.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
     members = scratch.write(join_summary(rows, hubs, "band"), "minhash-buckets")
 
-    wanted = members.select("rep").distinct().join(classes.select("rep", F.col("lead.doc_id").alias("_id"), F.col("lead.blob").alias("_blob")), "rep")
-    found = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("blob") == F.col("_blob")))
+    wanted = join_rows(members.select("rep").distinct(), classes.select("rep", F.col("lead.doc_id").alias("_id"), F.col("lead.blob").alias("_blob")), "rep")
+    found = join_rows(keyed, wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("blob") == F.col("_blob")))
     sets = found.select("rep", "text").mapInArrow(_sketch(k, True), "rep long, sig array<int>, shingles array<long>").dropDuplicates(["rep"])
     sets = scratch.write(sets, "minhash-sets")
 
@@ -234,10 +234,10 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
             comps = _joined(comps, _confirm(_prefix_pairs(apart, prefixes, percent, scratch), sets, percent))
     scratch.clear()
 
-    label = classes.join(comps.df.select(F.col("a").alias("rep"), F.col("b").alias("comp")), "rep", "left").select("set_key", "lead", F.coalesce("comp", "rep").alias("comp"))
+    label = join_rows(classes, comps.df.select(F.col("a").alias("rep"), F.col("b").alias("comp")), "rep", "left").select("set_key", "lead", F.coalesce("comp", "rep").alias("comp"))
     leads = label.groupBy("comp").agg(F.min("lead").alias("head"))
     label = join_summary(label, leads, "comp").select("set_key", "head")
-    rows = sketch.df.select("doc_id", "blob", "n_shingles", "set_key").join(label, "set_key", "left")
+    rows = join_rows(sketch.df.select("doc_id", "blob", "n_shingles", "set_key"), label, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id"))
     stands = F.col("set_key").isNull() | (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("blob") == F.col("head.blob")))
     rows = rows.select("doc_id", "blob", "n_shingles", component.alias("component_id"), F.coalesce(stands, F.lit(True)).alias("first"))
@@ -251,7 +251,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     blob, id_, gone = fresh(docs, "blob", "id", "gone")
     out = near_duplicates(docs, k, percent).where(~F.col("first")).select(F.col("doc_id").alias(id_), F.col("blob").alias(gone)).distinct()
     rows = docs.withColumn(blob, blob_key(F.coalesce("text", F.lit(""))))
-    rows = rows.join(out, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(blob) == F.col(gone)), "left_anti")
+    rows = join_rows(rows, out, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(blob) == F.col(gone)), "left_anti")
     return rows.dropDuplicates(["doc_id", blob]).drop(blob)
 
 

@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, blob_key, documents, fresh, join_summary, texts
+from .common import Stage, blob_key, documents, fresh, join_rows, join_summary, texts
 
 
 @dataclass(frozen=True)
@@ -132,7 +132,7 @@ def scan(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...]
     else:
         seen = ledger.seen.groupBy("blob").agg(F.collect_set("rule_version").alias("had"))
         rest = F.array_except(F.array(*[F.lit(v) for v in versions]), F.coalesce("had", F.array().cast("array<string>")))
-        blobs = blobs.join(seen, "blob", "left").withColumn("todo", rest).where(F.size("todo") > 0).drop("had")
+        blobs = join_rows(blobs, seen, "blob", "left").withColumn("todo", rest).where(F.size("todo") > 0).drop("had")
     new = blobs.select("blob", F.explode("todo").alias("rule_version"))
     found = scan_blobs(blobs, rules)
     if keep:
@@ -161,7 +161,7 @@ def spans_by_path(docs: DataFrame, ledger: Ledger, extra: list[str] | None = Non
     paths = docs.select(*kept, blob_key(F.coalesce("text", F.lit(""))).alias("blob"))
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
     found = Stage(_by_blob(ledger, "blob", "spans"), "secret-blobs").df
-    return paths.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", none))
+    return join_rows(paths, found, "blob", "left").withColumn("spans", F.coalesce("spans", none))
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:

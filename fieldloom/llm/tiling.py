@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Stage, documents, fresh, join_summary, texts, widen
+from .common import Stage, documents, fresh, join_rows, join_summary, texts, widen
 from .hashing import U64, Words, mix, text_slices
 
 SEED = 5
@@ -237,7 +237,7 @@ def _seed_join(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(np.full(len(x), size), pa.int32()), pa.array(x[:, 1])], ["seed", "size", "row"])
 
     mine = docs.mapInArrow(doc_seeds, "seed long, size int, row long")
-    pairs = mine.join(seeds, ["seed", "size"]).select("row", "item").distinct()
+    pairs = join_rows(mine, seeds, ["seed", "size"]).select("row", "item").distinct()
     both = join_summary(pairs, items.withColumnRenamed("text", "said"), "item")
     both = join_summary(both, docs.select("row", "text"), "row").select("row", "item", "text", "said")
 
@@ -302,7 +302,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = C
         items = Stage(items.withColumn("item", F.monotonically_increasing_id()), "tiling-items").df
         found = _seed_join(docs.select(F.col(row).alias("row"), F.coalesce("text", F.lit("")).alias("text")), items.select("item", "text"), coverage)
         bad = found.where(F.col("n_covered") >= coverage * F.col("n_item_words")).select(F.col("row").alias(row)).distinct()
-        return docs.join(bad, row, "left_anti").drop(row)
+        return join_rows(docs, bad, row, "left_anti").drop(row)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
