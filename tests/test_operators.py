@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from fieldloom.operators import bootstrap, distributions, linalg, masks, provenance, spectra
+from fieldloom.operators import bootstrap, distributions, linalg, masks, provenance, spectra, strips
 from fieldloom.operators import adapters as A
 from fieldloom.plans import algebra, registry
 from fieldloom.sources import arrays, tables
@@ -112,6 +112,24 @@ def test_truncation_sweep_equals_plain_fits(spark):
         assert np.allclose([r.n, r.retention, r.response, r.mse, r.bias, r.variance, r.cosine, r.delta], want, atol=2e-6)
 
 
+def test_gram_matrices_shuffle_tiles_alone(spark, monkeypatch):
+    """Products never leave the task that made them, however many blocks and ranges of pixels there are."""
+    rng = np.random.default_rng(5)
+    x, keys = rng.normal(size=(90, 11)), rng.permutation(np.arange(-45, 45)) * 1_000_003
+    df = spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(keys, x, strict=True)], "k long, x array<double>")
+    monkeypatch.setattr(linalg, "SLAB_DAYS", 7)
+    for t, blocks in ((linalg.tiles(df, "k", "x", 5, 4), 5), (linalg.tiles(df, "k", "x", 1, 64), 1), (strips.Strips.of(df, "k", "x", centred=False, strip_bytes=3000).tiles(20), 5)):
+        g = linalg.gram_tiles(t, blocks)
+        assert "ArrowInPandas" not in (plan := g._jdf.queryExecution().executedPlan().toString()) and "FlatMapGroups" not in plan
+        rows = g.toPandas().sort_values(["i", "j"])
+        order = np.argsort(keys)
+        assert rows.i.tolist() == np.repeat(keys[order], 90).tolist() and rows.j.tolist() == np.tile(keys[order], 90).tolist()
+        assert np.allclose(rows.value, (x @ x.T)[np.ix_(order, order)].ravel(), atol=1e-12)
+    none = linalg.gram_tiles(linalg.tiles(df.where("false"), "k", "x", linalg.gram_blocks(0, 8), 4), 1)
+    assert none.count() == 0
+    assert all(-(-n // linalg.gram_blocks(n, 12)) <= linalg.MOST_DAYS for n in (1, 500, 20_000, 102_564, 1_000_000))
+
+
 def test_matrices_too_large_for_one_place_are_refused(spark):
     wide = spark.range(2).select(F.transform(F.sequence(F.lit(1), F.lit(7000)), lambda v: v.cast("double")).alias("x"))
     with pytest.raises(ValueError, match="too large"):
