@@ -219,40 +219,43 @@ def nearest_distances(queries: DataFrame, refs: DataFrame, ks: tuple[int, ...],
     return found.withColumn("k", place).where(F.col("k").isin(*ks)).select("id", "k", F.col("d").alias("distance"))
 
 
+#: Rows of either block whose distances are looked at together.
+PART_ROWS = 512
+
+
 def _over_pairs(sample: DataFrame, visit: Callable, rows: int = 2048) -> dict[int, float]:
     """Sums by key over all ordered pairs of rows of sample(id, g, x), pairs of a row with itself among them: one job.
 
     visit(d2, i, gi, j, gj) gives keys and what to add to them for a block of squared distances. Rows are packed into
     blocks of about so many. Block a meets block b >= a once, at a place of its own in a triangular schedule, and counts for
-    both orders. A task adds up its pairs of blocks, and only its sums are shuffled.
+    both orders. A worker holds one pair of blocks at a time, whatever their number, and visits it in squares of PART_ROWS; a
+    task's pairs are added up before anything is shuffled.
     """
     count = max(1, -(-sample.count() // rows))
     block = F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("b")
     packed = sample.groupBy(block).agg(F.collect_list(F.struct("id", "g", "x")).alias("r")).select("b", F.col("r.id").alias("ids"), F.col("r.g").alias("gs"), F.flatten("r.x").alias("xs"))
     last = F.lit(count - 1)
-    left, right = (packed.select(F.col("b").alias(mine), F.explode(partners).alias(other), *[F.col(c).alias(f"{c}_{mine}") for c in ("ids", "gs", "xs")]) for mine, other, partners in (("i", "j", F.sequence("b", last)), ("j", "i", F.sequence(F.lit(0), F.col("b")))))
-    pairs = left.join(right.hint("shuffle_merge"), ["i", "j"])
+    left, right = (packed.select(F.col("b").alias(mine), F.explode(partners).alias(other), "ids", "gs", "xs") for mine, other, partners in (("i", "j", F.sequence("b", last)), ("j", "i", F.sequence(F.lit(0), F.col("b")))))
 
-    def side(batch: pa.RecordBatch, at: int, which: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, g, x = (batch.column(f"{c}_{which}").slice(at, 1).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "gs", "xs"))
+    def side(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, g, x = (table.column(c).chunk(0).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "gs", "xs"))
         return ids, g, x.reshape(len(ids), -1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
         keys, sums = np.zeros(0, np.int64), np.zeros(0)
-        for batch in batches:
-            for at in range(len(batch)):
-                (i, gi, q), (j, gj, r) = side(batch, at, "i"), side(batch, at, "j")
-                for first in range(0, len(j), 512):
-                    part = slice(first, first + 512)
-                    d2 = np.stack([((q - v) ** 2).sum(1) for v in r[part]], 1)
-                    found = [visit(d2, i, gi, j[part], gj[part])]
-                    if batch.column("i")[at].as_py() != batch.column("j")[at].as_py():
-                        found.append(visit(d2.T, j[part], gj[part], i, gi))
-                    keys, place = np.unique(np.concatenate((keys, *(k for k, _ in found))), return_inverse=True)
-                    sums = np.bincount(place, np.concatenate((sums, *(v for _, v in found))), len(keys))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sums, pa.float64())], ["k", "v"])
-
-    sums = pairs.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+        (i, gi, q), (j, gj, r) = side(one), side(two)
+        for a in (slice(n, n + PART_ROWS) for n in range(0, len(i), PART_ROWS)):
+            for b in (slice(n, n + PART_ROWS) for n in range(0, len(j), PART_ROWS)):
+                d2 = np.stack([((q[a] - v) ** 2).sum(1) for v in r[b]], 1)
+                found = [visit(d2, i[a], gi[a], j[b], gj[b])]
+                if one.column("i")[0].as_py() != one.column("j")[0].as_py():
+                    found.append(visit(d2.T, j[b], gj[b], i[a], gi[a]))
+                keys, place = np.unique(np.concatenate((keys, *(k for k, _ in found))), return_inverse=True)
+                sums = np.bincount(place, np.concatenate((sums, *(v for _, v in found))), len(keys))
+        return pa.table([pa.array(keys, pa.int64()), pa.array(sums, pa.float64())], ["k", "v"])
+
+    pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, "k long, v double")
+    sums = pairs.groupBy("k").agg(F.sum("v").alias("v")).toArrow()
     return dict(zip(sums.column("k").to_pylist(), sums.column("v").to_pylist(), strict=True))
 
 

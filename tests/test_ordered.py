@@ -83,6 +83,13 @@ def test_pairs_are_met_once_for_both_orders(two_samples, monkeypatch):
         assert abs(energy - (2 * mean(d, 0, 1) - mean(d, 0, 0) - mean(d, 1, 1))) < 1e-12 and abs(mmd2 - (mean(k, 0, 0) + mean(k, 1, 1) - 2 * mean(k, 0, 1))) < 1e-12
 
 
+def test_pairs_are_looked_at_in_small_squares(spark):
+    """Of 1,300 rows in one block each ordered pair counts once, and no square has more than PART_ROWS of either side."""
+    df = spark.range(1300).select("id", (F.col("id") % 2).alias("g"), F.array(F.col("id").cast("double")).alias("x"))
+    at = distributions._over_pairs(df, lambda d2, i, gi, j, gj: (np.array([max(d2.shape), -1]), np.array([1, d2.size])))
+    assert at.pop(-1) == 1300**2 and max(at) <= 512
+
+
 def test_relabelled_statistics_equal_plain_ones(two_samples):
     x, g, df = two_samples
     swaps = np.hstack((np.zeros((330, 1), int), np.random.default_rng(4).integers(0, 2, (330, 20)), np.ones((330, 1), int), (1 - g)[:, None]))
