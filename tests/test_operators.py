@@ -130,6 +130,32 @@ def test_gram_matrices_shuffle_tiles_alone(spark, monkeypatch):
     assert all(-(-n // linalg.gram_blocks(n, 12)) <= linalg.MOST_DAYS for n in (1, 500, 20_000, 102_564, 1_000_000))
 
 
+@pytest.mark.parametrize("name", ["anomaly_gram"])
+def test_gram_queries_shuffle_nothing_for_pairs(spark, name):
+    """A block of days is stored once and read again for each other block: it isn't sent to each pair that it is in."""
+    from fieldloom.plans import registry
+
+    plan = registry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and "Sort" not in plan
+
+
+@pytest.mark.parametrize("most", [linalg.BLOCK_BYTES, 100])
+def test_gram_matrix_of_stored_or_sent_blocks(spark, monkeypatch, most):
+    rng = np.random.default_rng(5)
+    x, keys = rng.normal(size=(90, 11)), rng.permutation(np.arange(-45, 45)) * 1_000_003
+    df = spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(keys, x, strict=True)], "k long, x array<double>")
+    monkeypatch.setattr(linalg, "SLAB_DAYS", 7)
+    monkeypatch.setattr(linalg, "BLOCK_BYTES", most)
+    for t, blocks in ((linalg.tiles(df, "k", "x", 5, 4), 5), (linalg.tiles(df, "k", "x", 1, 64), 1), (strips.Strips.of(df, "k", "x", centred=False, strip_bytes=3000).tiles(20), 5)):
+        g = linalg.gram(t, blocks, 90, 11)
+        assert ("CartesianProduct" in g._jdf.queryExecution().executedPlan().toString()) == (most > 100)
+        rows = g.toPandas().sort_values(["i", "j"])
+        order = np.argsort(keys)
+        assert rows.i.tolist() == np.repeat(keys[order], 90).tolist() and rows.j.tolist() == np.tile(keys[order], 90).tolist()
+        assert np.allclose(rows.value, (x @ x.T)[np.ix_(order, order)].ravel(), atol=1e-12)
+    assert linalg.gram(linalg.tiles(df.where("false"), "k", "x", 1, 4), 1, 0, 0).count() == 0
+
+
 def test_matrices_too_large_for_one_place_are_refused(spark):
     wide = spark.range(2).select(F.transform(F.sequence(F.lit(1), F.lit(7000)), lambda v: v.cast("double")).alias("x"))
     with pytest.raises(ValueError, match="too large"):
