@@ -130,7 +130,7 @@ def test_gram_matrices_shuffle_tiles_alone(spark, monkeypatch):
     assert all(-(-n // linalg.gram_blocks(n, 12)) <= linalg.MOST_DAYS for n in (1, 500, 20_000, 102_564, 1_000_000))
 
 
-@pytest.mark.parametrize("name", ["anomaly_gram"])
+@pytest.mark.parametrize("name", ["anomaly_gram", "temporal_gram"])
 def test_gram_queries_shuffle_nothing_for_pairs(spark, name):
     """A block of days is stored once and read again for each other block: it isn't sent to each pair that it is in."""
     from fieldloom.plans import registry
