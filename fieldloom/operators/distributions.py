@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .staging import Staged
+from .staging import Staged, beside
 
 
 def uniform_bin(x: Column, lo: float, hi: float, bins: int) -> Column:
@@ -219,46 +219,109 @@ def nearest_distances(queries: DataFrame, refs: DataFrame, ks: tuple[int, ...],
     return found.withColumn("k", place).where(F.col("k").isin(*ks)).select("id", "k", F.col("d").alias("distance"))
 
 
-#: Rows of either block whose distances are looked at together.
-PART_ROWS = 512
+#: Rows of either block whose distances are looked at together: few, so that they stay in a processor's cache.
+PART_ROWS = 256
+#: Rows or classes of rows whose labels are made at a time.
+LABELLED = 512
+#: Squared distances below this share of the squared lengths are taken from the entries' differences, as products round them.
+CLOSE = 1e-3
 
 
-def _over_pairs(sample: DataFrame, visit: Callable, rows: int = 2048) -> dict[int, float]:
-    """Sums by key over all ordered pairs of rows of sample(id, g, x), pairs of a row with itself among them: one job.
+def _squares(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Squared distances of rows by one product; of close rows, and where values aren't finite, by differences."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        one, two = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", r, r)
+        d2 = q @ r.T
+        d2 *= -2
+        d2 += one[:, None]
+        d2 += two
+        if not d2.min(initial=np.inf) >= CLOSE * (one.max(initial=0.0) + two.max(initial=0.0)):
+            rows, columns = np.nonzero(~(d2 >= CLOSE * (one[:, None] + two)))
+            for k in range(0, len(rows), 4096):
+                a, b = rows[k : k + 4096], columns[k : k + 4096]
+                d2[a, b] = ((q[a] - r[b]) ** 2).sum(1)
+    return d2
+
+
+class _Sums:
+    """Sums by keys, whole numbers that lie close together."""
+
+    def __init__(self):
+        self.low, self.sums, self.seen = 0, np.zeros(0), np.zeros(0, bool)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        if not len(keys):
+            return
+        low, high = min(self.low, int(keys.min())), max(self.low + len(self.sums), int(keys.max()) + 1)
+        if high - low > len(self.sums):
+            room = self.low - low, high - self.low - len(self.sums)
+            self.low, self.sums, self.seen = low, np.pad(self.sums, room), np.pad(self.seen, room)
+        self.sums += np.bincount(keys - self.low, values, len(self.sums))
+        self.seen[keys - self.low] = True
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.seen)
+        return at + self.low, self.sums[at]
+
 
-    visit(d2, i, gi, j, gj) gives keys and what to add to them for a block of squared distances. Rows are packed into
-    blocks of about so many. Block a meets block b >= a once, at a place of its own in a triangular schedule, and counts for
-    both orders. A worker holds one pair of blocks at a time, whatever their number, and visits it in squares of PART_ROWS; a
-    task's pairs are added up before anything is shuffled.
+def _slices(n: int, size: int) -> list[slice]:
+    return [slice(k, k + size) for k in range(0, n, size)]
+
+
+def _met_blocks(sample: DataFrame, meet: Callable, rows: int, alike: Column | None = None) -> dict[int, float]:
+    """Sums by key over pairs of blocks of rows of sample(id, g, x): one job that shuffles only keys with their sums.
+
+    Blocks of about so many rows, ordered by class (default: id) and id, are written once and read again for each block that
+    they meet. meet(one, two) gets each unordered pair of blocks (a block with itself is the same object), each as classes,
+    ids, groups and matrix, and gives keys and what to add. A task adds up its pairs.
     """
-    count = max(1, -(-sample.count() // rows))
-    block = F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("b")
-    packed = sample.groupBy(block).agg(F.collect_list(F.struct("id", "g", "x")).alias("r")).select("b", F.col("r.id").alias("ids"), F.col("r.g").alias("gs"), F.flatten("r.x").alias("xs"))
-    last = F.lit(count - 1)
-    left, right = (packed.select(F.col("b").alias(mine), F.explode(partners).alias(other), "ids", "gs", "xs") for mine, other, partners in (("i", "j", F.sequence("b", last)), ("j", "i", F.sequence(F.lit(0), F.col("b")))))
-
-    def side(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, g, x = (table.column(c).chunk(0).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "gs", "xs"))
-        return ids, g, x.reshape(len(ids), -1)
-
-    def run(one: pa.Table, two: pa.Table) -> pa.Table:
-        keys, sums = np.zeros(0, np.int64), np.zeros(0)
-        (i, gi, q), (j, gj, r) = side(one), side(two)
-        for a in (slice(n, n + PART_ROWS) for n in range(0, len(i), PART_ROWS)):
-            for b in (slice(n, n + PART_ROWS) for n in range(0, len(j), PART_ROWS)):
-                d2 = np.stack([((q[a] - v) ** 2).sum(1) for v in r[b]], 1)
-                found = [visit(d2, i[a], gi[a], j[b], gj[b])]
-                if one.column("i")[0].as_py() != one.column("j")[0].as_py():
-                    found.append(visit(d2.T, j[b], gj[b], i[a], gi[a]))
-                keys, place = np.unique(np.concatenate((keys, *(k for k, _ in found))), return_inverse=True)
-                sums = np.bincount(place, np.concatenate((sums, *(v for _, v in found))), len(keys))
-        return pa.table([pa.array(keys, pa.int64()), pa.array(sums, pa.float64())], ["k", "v"])
-
-    pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, "k long, v double")
-    sums = pairs.groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    n = sample.count()
+    count = max(1, -(-n // rows), min(-(-n // PART_ROWS), int(np.ceil(np.sqrt(2 * sample.sparkSession.sparkContext.defaultParallelism)))))
+    packed = sample.select((F.col("id") if alike is None else alike).cast("long").alias("c"), "id", "g", "x").withColumn("b", F.pmod(F.xxhash64("c"), F.lit(count)).cast("int"))
+    packed = packed.repartitionByRange(count, "b").groupBy("b").agg(F.sort_array(F.collect_list(F.struct("c", "id", "g", "x"))).alias("r"))
+    packed = packed.select(F.struct("b", F.col("r.c").alias("c"), F.col("r.id").alias("id"), F.col("r.g").alias("g"), F.flatten("r.x").alias("x")).alias("a"))
+
+    def block(batch: pa.RecordBatch, at: int, column: str) -> tuple[int, tuple[np.ndarray, ...]]:
+        b, *lists = batch.column(column).slice(at, 1).flatten()
+        c, i, g, x = (v.flatten().to_numpy(zero_copy_only=False) for v in lists)
+        return b[0].as_py(), (c, i, g, x.reshape(len(i), -1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = _Sums()
+        for batch in batches:
+            for at in range(len(batch)):
+                (a, one), (b, two) = block(batch, at, "a"), block(batch, at, "b")
+                total.add(*meet(one, one if a == b else two))
+        keys, sums = total.rows()
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sums, pa.float64())], ["k", "v"])
+
+    ahead = F.pmod(F.col("b.b") - F.col("a.b"), F.lit(count)) * 2  # each block meets the half of the others that follow it in a ring
+    once = (ahead < count) | ((ahead == count) & (F.col("a.b") < F.col("b.b")))
+    with Staged(packed, "rows") as staged:
+        sums = beside(staged.df, count).where(once).mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
     return dict(zip(sums.column("k").to_pylist(), sums.column("v").to_pylist(), strict=True))
 
 
+def _over_pairs(sample: DataFrame, visit: Callable, rows: int = 4096) -> dict[int, float]:
+    """Sums by key over all ordered pairs of rows of sample(id, g, x), pairs of a row with itself among them: one job.
+
+    visit(d2, i, gi, j, gj) gives keys and what to add to them for a square of PART_ROWS by PART_ROWS squared distances at
+    most. It must not depend on the order of a pair: a square off the diagonal is visited once and counts for both orders.
+    """
+
+    def meet(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        total = _Sums()
+        (_, i, gi, q), (_, j, gj, r) = one, two
+        for a in _slices(len(i), PART_ROWS):
+            for b in _slices(len(j), PART_ROWS):
+                if one is not two or a.start <= b.start:
+                    keys, values = visit(_squares(q[a], r[b]), i[a], gi[a], j[b], gj[b])
+                    total.add(keys, values * (1 if one is two and a == b else 2))
+        return total.rows()
+
+    return _met_blocks(sample, meet, rows)
+
+
 def median_distance(sample: DataFrame) -> float | None:
     """The exact median distance of unordered pairs (i < j) of sample(id, g, x).
 
@@ -267,11 +330,16 @@ def median_distance(sample: DataFrame) -> float | None:
 
     def counts(prefixes: list[int], shift: int) -> dict[int, float]:
         def visit(d2, i, gi, j, gj):
-            bits = np.sqrt(d2[i[:, None] < j[None, :]]).view(np.int64) >> shift
-            found = [np.unique((bits[bits >> 16 == p] & 0xFFFF) + (n << 16), return_counts=True) for n, p in enumerate(prefixes)]
-            return np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found])
+            if same := np.array_equal(i, j):
+                d2 = d2[i[:, None] < j]
+            elif np.isin(i, j).any():
+                d2 = d2[i[:, None] != j]
+            bits = np.sqrt(d2).ravel().view(np.int64)
+            found = [np.bincount((bits[bits >> shift >> 16 == p] if shift < 48 else bits) >> shift & 0xFFFF) for p in prefixes]
+            keys = [np.flatnonzero(f) for f in found]
+            return np.concatenate([k + (n << 16) for n, k in enumerate(keys)]), np.concatenate([f[k] for f, k in zip(found, keys, strict=True)]) * (1.0 + same)
 
-        return _over_pairs(sample, visit)
+        return {k: v / 2 for k, v in _over_pairs(sample, visit).items()}
 
     at = counts([0], 48)
     n = int(sum(at.values()))
@@ -285,11 +353,12 @@ def median_distance(sample: DataFrame) -> float | None:
         at = at if shift == 48 else counts(prefixes, shift)
         for m in middle:
             place = prefixes.index(m[0])
-            for k in sorted(k for k in at if k >> 16 == place):
+            k = 0
+            for k in sorted(k for k in at if k >> 16 == place):  # where processors round a product differently, the last one may hold the rank
                 if m[1] < at[k]:
-                    m[0] = m[0] << 16 | k & 0xFFFF
                     break
                 m[1] -= int(at[k])
+            m[0] = m[0] << 16 | k & 0xFFFF
     return float(np.array([m[0] for m in middle]).view(np.float64).mean())
 
 
@@ -299,8 +368,9 @@ def energy_and_kernel(sample: DataFrame, bandwidth: float | None) -> tuple[float
 
     def visit(d2, i, gi, j, gj):
         d, k = np.sqrt(d2), np.exp(-d2 / s2)
-        cells = [(u, v, np.ix_(gi == u, gj == v)) for u in (0, 1) for v in (0, 1)]
-        return np.arange(12), np.array([f for u, v, c in cells for f in (d[c].size, d[c].sum(), k[c].sum())])
+        cells = [np.ix_(gi == u, gj == v) for u in (0, 1) for v in (0, 1)]
+        found = np.array([f for c in cells for f in (d[c].size, d[c].sum(), k[c].sum())]).reshape(2, 2, 3)
+        return np.arange(12), (found + found.transpose(1, 0, 2)).ravel() / 2
 
     at = _over_pairs(sample, visit)
     if not all(at.get(3 * c) for c in range(4)):
@@ -309,24 +379,54 @@ def energy_and_kernel(sample: DataFrame, bandwidth: float | None) -> tuple[float
     return 2 * d[1] - d[0] - d[3], (None if np.isnan(s2) else k[0] + k[3] - 2 * k[1])
 
 
-def relabelled_statistics(sample: DataFrame, bandwidth: float | None, labels: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def relabelled_statistics(sample: DataFrame, bandwidth: float | None, labels: Callable[[np.ndarray, np.ndarray], np.ndarray], alike: Column | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Energy distances and squared kernel discrepancies of sample(id, g, x) under many labellings: one job.
 
-    labels(ids, g) has a column of 0 and 1 a labelling. Sums over a labelling's ones follow from one product of a block of
-    distances with the labels, those over the others from row sums; NaN where one side is empty or without a bandwidth.
+    labels(ids, g) has a column of 0 and 1 a labelling. Rows of equal alike (a whole number) have equal labels under each of
+    them: distances are added up by these classes, and labels meet the sums. Sums over a labelling's ones follow from one
+    product of a block of sums with the labels, those over the others from row sums; NaN where one side is empty or without a
+    bandwidth.
     """
     s2 = 2 * bandwidth * bandwidth if bandwidth else np.nan
-
-    def visit(d2, i, gi, j, gj):
-        one, two = labels(i, gi).astype(np.float64), labels(j, gj).astype(np.float64)
-        parts = []
-        for m in (np.sqrt(d2), np.exp(-d2 / s2), np.ones_like(d2)):
-            both = np.einsum("ij,ij->j", one, m @ two)
-            parts += [both, m.sum(axis=1) @ one, np.full(one.shape[1], m.sum())]
-        flat = np.concatenate(parts)
-        return np.arange(len(flat)), flat
-
-    at = _over_pairs(sample, visit)
+    each_row = alike is None
+
+    def meet(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        def classes(c: np.ndarray) -> np.ndarray:
+            return np.arange(len(c)) if each_row else np.cumsum(np.r_[0, c[1:] != c[:-1]])
+
+        (c, i, gi, q), (e, j, gj, r), same = one, two, one is two
+        c, e = classes(c), classes(e)
+        whole = np.zeros((2, c[-1] + 1, e[-1] + 1))
+        for a in _slices(len(i), PART_ROWS):
+            for b in _slices(len(j), PART_ROWS):
+                if same and a.start > b.start:
+                    continue
+                d2 = _squares(q[a], r[b])
+                ca, eb = c[a], e[b]
+                at = slice(ca[0], ca[-1] + 1), slice(eb[0], eb[-1] + 1)
+                begin = [np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) for k in (ca, eb)]
+                k = d2 / -s2
+                for total, part in zip(whole, (np.sqrt(d2, out=d2), np.exp(k, out=k)), strict=True):
+                    part = np.add.reduceat(np.add.reduceat(part, begin[0], 0), begin[1], 1)
+                    total[at] += part
+                    if same and a != b:
+                        total[at[::-1]] += part.T
+        parts, sizes = 0.0, [np.bincount(k).astype(np.float64) for k in (c, e)]
+        for a in _slices(len(sizes[0]), LABELLED):
+            at = np.searchsorted(c, np.arange(len(sizes[0]))[a])
+            l1 = labels(i[at], gi[at]).astype(np.float64)
+            for b in _slices(len(sizes[1]), LABELLED):
+                at = np.searchsorted(e, np.arange(len(sizes[1]))[b])
+                l2 = labels(j[at], gj[at]).astype(np.float64)
+                found = []
+                for m in (*whole[:, a, b], np.outer(sizes[0][a], sizes[1][b])):
+                    x11, x1 = np.einsum("ij,ij->j", l1, m @ l2), m.sum(axis=1) @ l1
+                    x = np.full(l1.shape[1], m.sum())
+                    found += [x11, x1, x] if same else [2 * x11, x1 + m.sum(axis=0) @ l2, 2 * x]
+                parts = parts + np.concatenate(found)
+        return np.arange(len(parts)), parts
+
+    at = _met_blocks(sample, meet, 4096, alike)
     sums = np.array([at[k] for k in range(len(at))]).reshape(3, 3, -1)
     with np.errstate(divide="ignore", invalid="ignore"):
         (dx, d_one, d_two), (kx, k_one, k_two), (nx, n_one, n_two) = ((x1 - x11, x11, x - 2 * x1 + x11) for x11, x1, x in sums)

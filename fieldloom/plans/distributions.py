@@ -229,7 +229,8 @@ ob AS (SELECT energy AS e0, mmd2 AS k0 FROM st WHERE r = -1)"""
 @query(ask("n_perm | energy:6 mmd2:6 p_energy:6 p_mmd2:6", _PERMUTED, f"SELECT CAST({PERMUTATIONS} AS BIGINT) AS n_perm, any_value(e0) AS energy, any_value(k0) AS mmd2, (1 + count(*) FILTER (whole AND floor(energy * 1e8) >= floor(e0 * 1e8))) / {PERMUTATIONS + 1}.0::DOUBLE AS p_energy, (1 + count(*) FILTER (whole AND floor(mmd2 * 1e8) >= floor(k0 * 1e8))) / {PERMUTATIONS + 1}.0::DOUBLE AS p_mmd2 FROM st, ob WHERE r >= 0"))
 def block_permutation_p_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QU10: both p-values from 4,000 permutations that swap the labels of whole blocks of 60 days or leave them. The
-    statistics of all permutations are one job over pairs of blocks of days. All vectors of both populations."""
+    statistics of all permutations are one job over pairs of blocks of days, from sums by those blocks and populations. All
+    vectors of both populations."""
 
     def labels(ids: np.ndarray, g: np.ndarray) -> np.ndarray:
         m, r = 2147483647, np.arange(PERMUTATIONS, dtype=np.int64)
@@ -238,7 +239,8 @@ def block_permutation_p_value(spark: SparkSession, sf_dir: str) -> DataFrame:
         return (g[:, None] + np.hstack((np.zeros((len(block), 1), np.int64), drawn))[place]) % 2
 
     sample = _two_samples(spark, sf_dir)
-    both = D.relabelled_statistics(sample, D.median_distance(sample), labels)
+    alike = F.col("id") - F.pmod("id", F.lit(PERMUTED_DAYS)) + F.col("g")
+    both = D.relabelled_statistics(sample, D.median_distance(sample), labels, alike)
     p = [float((1 + (np.floor(x[1:] * 1e8) >= np.floor(x[0] * 1e8)).sum()) / (1 + PERMUTATIONS)) for x in both]
     row = [(PERMUTATIONS, *(float(x[0]) for x in both), *p)]
     return pick(spark.createDataFrame(row, "n_perm long, energy double, mmd2 double, p_energy double, p_mmd2 double"), "n_perm | energy:6 mmd2:6 p_energy:6 p_mmd2:6")

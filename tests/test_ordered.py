@@ -90,6 +90,39 @@ def test_pairs_are_looked_at_in_small_squares(spark):
     assert at.pop(-1) == 1300**2 and max(at) <= 512
 
 
+def test_blocks_of_rows_are_stored_once_and_close_rows_are_exact(spark):
+    """Distances come from products of blocks that no pair shuffles, and those of near copies from differences."""
+    from fieldloom.operators.staging import beside
+
+    r = np.random.default_rng(6)
+    x = 1e4 + r.normal(size=(1200, 5))
+    x[600:] = x[:600] + 1e-7 * r.integers(0, 2, (600, 1))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert np.allclose(distributions._squares(x[:700], x[500:]), d[:700, 500:] ** 2, rtol=1e-12, atol=0)
+    assert np.isinf(distributions._squares(np.array([[np.inf, 1.0]]), np.ones((1, 2)))).all()
+    df = spark.createDataFrame([(k, k % 2, v.tolist()) for k, v in enumerate(x)], "id long, g long, x array<double>")
+    assert distributions.median_distance(df) == pytest.approx(np.median(d[np.triu_indices(1200, 1)]), rel=1e-12)
+    plan = beside(spark.range(9).select(F.struct("id").alias("a")), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("parts", [distributions.PART_ROWS, 40])
+def test_labels_meet_the_sums_of_rows_that_are_labelled_alike(two_samples, monkeypatch, parts):
+    monkeypatch.setattr(distributions, "PART_ROWS", parts)
+    monkeypatch.setattr(distributions, "LABELLED", parts)
+    x, g, df = two_samples
+    drawn, seen = np.random.default_rng(7).integers(0, 2, (34, 50)), df.sparkSession.sparkContext.accumulator(0)
+
+    def labels(ids, own):
+        seen.add(len(ids))
+        return (own[:, None] + drawn[ids // 10]) % 2
+
+    plain = distributions.relabelled_statistics(df, 1.3, labels)
+    by_row, seen.value = seen.value, 0
+    alike = distributions.relabelled_statistics(df, 1.3, labels, F.col("id") - F.pmod("id", F.lit(10)) + F.col("g"))
+    assert all(np.allclose(a, b, rtol=0, atol=1e-12) for a, b in zip(plain, alike, strict=True)) and seen.value * 3 < by_row
+
+
 def test_relabelled_statistics_equal_plain_ones(two_samples):
     x, g, df = two_samples
     swaps = np.hstack((np.zeros((330, 1), int), np.random.default_rng(4).integers(0, 2, (330, 20)), np.ones((330, 1), int), (1 - g)[:, None]))
